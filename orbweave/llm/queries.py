@@ -1,11 +1,18 @@
 """The registered queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from orbweave.llm import chat, mixing, sharding
+from orbweave.llm import chat, decontam, jaccard, lattice, mixing, pii, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_quality": quality.op2_quality,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontamination": decontam.op4_decontamination,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
+    "op6_pii": pii.op6_pii,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
+    "op10_embedding_near_dedup": lattice.op10_embedding_near_dedup,
 }
 
 ORACLES = {
