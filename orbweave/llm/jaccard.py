@@ -18,6 +18,8 @@ from orbweave.llm.common import LOWER, SPACE, U64, components, cut, few, gram_ha
 FRAGMENT_GRAMS = 2_000_000
 #: Up to so many sets that share a prefix n-gram are paired directly.
 LIGHT = 64
+#: Rounds in which sets outside an n-gram's main component meet one more leader from it.
+LEADER_ROUNDS = 3
 #: Fragments in which the overlaps of pairs are counted (a power of two).
 COUNT_FRAGMENTS = 4
 
@@ -204,8 +206,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     blank text has no shingles and links with nothing. Rows with equal sets form one class
     from the start. Sets that share a rare-first prefix n-gram are paired if the n-gram is
     in at most LIGHT sets. For commoner ones, which near copies of one text bring, each set
-    is first compared with a leader per n-gram; then those left outside an n-gram's main
-    component are compared with all others there. So every pair that could still join two
+    is first compared with a leader per n-gram, in a few rounds; then those left outside an
+    n-gram's main component are compared with all others there. So every pair that could still join two
     components is compared. A row with a null id links by equal sets only, and a repeated
     id gives repeated rows.
     """
@@ -234,11 +236,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         pairs = pairs.union(star.select(F.least("x.cls", "y.cls"), F.greatest("x.cls", "y.cls")))
     links = overlaps(docs, pairs, classes, k, num, den, id_col, text_col)
     comp = components(links)
-    if some_heavy:
+    for again in range(LEADER_ROUNDS + 1 if some_heavy else 0):
         at = cut(heavy.join(comp, F.col("cls") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "cls")))
         main = at.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-        outside = at.join(main, "gram").where("component <> main").drop("main")
-        near = outside.alias("x").join(at.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
+        placed = at.join(main, "gram")
+        outside, rest = placed.where("component <> main").drop("main"), at
+        if again < LEADER_ROUNDS:  # another leader for each n-gram, from its main component
+            rest = placed.where("component = main").groupBy("gram").agg(F.min_by(F.struct("cls", "n", "b0", "b1", "b2", "b3", "component"), F.xxhash64("cls", "gram", F.lit(again))).alias("l")).select("gram", "l.*")
+        near = outside.alias("x").join(rest.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
         more = near.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
         links = links.union(overlaps(docs, more, classes, k, num, den, id_col, text_col))
         comp = components(links)
