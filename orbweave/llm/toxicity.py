@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import LOWER, U64, table, text_blocks, word_hashes, word_spans
+from orbweave.llm.common import LOWER, U64, plain, table, text_blocks, word_hashes, word_spans
 from orbweave.llm.labelled import collect_sample, id_fold
 
 #: Bounds of the labelled sample: documents, and code points of one document.
@@ -115,16 +115,19 @@ def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     return ToxicityModel(vocab[used], w[used], float(b))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", locate: float = 0.5) -> DataFrame:
-    """`docs` with toxicity (0 to 1) and offending: spans of sentences that score `locate`
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", locate: float = 0.5, score_col: str = "toxicity", spans_col: str = "offending") -> DataFrame:
+    """`docs` with score_col (0 to 1) and spans_col: spans of sentences that score `locate`
     or more, as array<struct<start, end, score>> in code points of the whole text.
 
     A null or text without sentences scores 0 and offends nowhere. Rows are scored one by
     one: repeats and ties score alike. Columns of these two names in `docs` are replaced.
     """
-    docs = docs.drop("toxicity", "offending")
-    schema = T.StructType(docs.schema.fields + T.DataType.fromDDL("toxicity double, offending array<struct<start:long,end:long,score:double>>").fields)
-    at, names = docs.columns.index(text_col), [*docs.columns, "toxicity", "offending"]
+    docs = docs.drop(plain(score_col), plain(spans_col))
+    columns = docs.columns
+    kinds = T.DataType.fromDDL("score double, spans array<struct<start:long,end:long,score:double>>").fields
+    names = [f"c{i}" for i in range(len(columns) + 2)]  # any names may be in docs
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields + kinds)])
+    at = columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
@@ -144,7 +147,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(spans, kind)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*names[:-2]).mapInArrow(run, schema).toDF(*columns, score_col, spans_col)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
