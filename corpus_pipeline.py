@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import decontam, jaccard, mixing, sharding, toxicity
-from orbweave.llm.common import table
+from orbweave.llm.common import plain, table
 
 #: A document goes at this toxicity; shards of the result; words and similarity of copies.
 TOXIC, SHARDS, WORDS, SIMILAR = 0.5, 40, 5, 80
@@ -21,27 +21,28 @@ TOXIC, SHARDS, WORDS, SIMILAR = 0.5, 40, 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train_toxicity(table(spark, sf_dir, "documents"), labels)
-    return toxicity.score_toxicity(docs, model).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    scored = toxicity.score_toxicity(docs, model, score_col="toxic_score_", spans_col="toxic_spans_")
+    return scored.where(F.col("toxic_score_") < TOXIC).select(*map(plain, docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the smallest doc_id stays (of equal ids, all)."""
     kind = jaccard.jaccard_classes(docs.select("doc_id", "text"), WORDS, SIMILAR, 100)
     copies = kind.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies, "doc_id", "left_anti").select(*map(plain, docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hits = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     leaks = hits.select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaks, "doc_id", "left_anti").select(*map(plain, docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeat as often as the mix takes them."""
     mixed = mixing.mix_sources(docs, mixing.cycle_weights)
     again = mixed.where("mix_copies > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return again.select(*docs.columns)
+    return again.select(*map(plain, docs.columns))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
