@@ -33,7 +33,7 @@ def none(docs):
 
 
 def toxic():
-    return toxicity.fit_toxicity(["you vile fool. fine day"] * 20 + ["a fine day. good"] * 20, [1] * 20 + [0] * 20)
+    return toxicity.fit_toxicity(["you vile fool. fine day"] * 50 + ["a fine day. good"] * 50, [1] * 50 + [0] * 50)
 
 
 def good():
@@ -67,7 +67,7 @@ def test_scores_of_empty_texts(docs):
 
 def test_offending_sentence_is_located(spark):
     text = "Ä fine day. you vile fool! good"
-    row = toxicity.score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxic(), locate=0.2).first()
+    row = toxicity.score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxic()).first()
     assert row.toxicity > 0.5 and [text[s.start : s.end].strip() for s in row.offending] == ["you vile fool"]
 
 
