@@ -80,8 +80,7 @@ def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
         hs.append(h), ss.append(s + base), rows.append(r + i)
         base += len(r)
     if not base or y.min() == y.max():
-        p = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))) if not len(y) else -8.0)
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -8.0)  # nothing to learn from: nothing is toxic
     h, sent, row = np.concatenate(hs), np.concatenate(ss), np.concatenate(rows)
     vocab, inv = np.unique(h, return_inverse=True)
     held = np.unique(inv.astype(np.int64) * len(texts) + row[sent])

@@ -62,7 +62,7 @@ def test_scores_of_empty_texts(docs):
     assert {r.score for r in rows if r.doc_id in (1, 2)} == {0.5}
     rows = toxicity.score_toxicity(docs, toxic()).collect()
     assert {r.toxicity for r in rows if r.doc_id in (1, 2)} == {0.0}
-    assert toxicity.fit_toxicity([], []).bias == 0.0 and quality.fit_quality([], []).prior == 0.5
+    assert toxicity.fit_toxicity([], []).bias == -8.0 and quality.fit_quality([], []).prior == 0.5
 
 
 def test_offending_sentence_is_located(spark):
