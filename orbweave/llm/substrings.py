@@ -79,6 +79,7 @@ def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
 
 def repeated_windows(parts: DataFrame, bits: int) -> DataFrame:
     """(key, starts): first words of the windows that a smaller doc_id holds too, by row."""
+    row_bits = max(0, bits - 2)
 
     def unpack(t, name, kind):
         return np.frombuffer(b"".join(t[name].to_pylist()), kind)
@@ -105,12 +106,26 @@ def repeated_windows(parts: DataFrame, bits: int) -> DataFrame:
         k, s = keys[run[hit]], start[hit]
         order = np.lexsort((s, k))
         k, s = k[order], s[order]
+        # One packed row for each bucket of keys, however many rows of text it stands for.
+        order = np.argsort(k >> (64 - row_bits), kind="stable") if row_bits else np.arange(len(k))
+        k, s = k[order], s[order]
+        to = k >> (64 - row_bits) if row_bits else np.zeros(len(k), np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
+        spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+        return pa.table({"part": pa.array(to[edge[:-1]], pa.int64())} | {c: pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for c, v in (("keys", k), ("starts", s))})
+
+    def by_row(t):
+        import pyarrow as pa
+
+        k, s = unpack(t, "keys", np.int64), unpack(t, "starts", np.uint32)
+        order = np.lexsort((s, k))
+        k, s = k[order], s[order]
         edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
         spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-        return pa.table({"key": pa.array(k[edge[:-1]], pa.int64()), "starts": pa.array([s[x:y].tobytes() for x, y in spans], pa.binary())})
+        return pa.table({"key": pa.array(k[edge[:-1]], pa.int64()), "starts": pa.array([np.unique(s[x:y]).tobytes() for x, y in spans], pa.binary())})
 
-    found = parts.groupBy("frag").applyInArrow(later, "key long, starts binary")
-    return found.groupBy("key").agg(F.collect_list("starts").alias("starts"))
+    found = parts.groupBy("frag").applyInArrow(later, "part long, keys binary, starts binary")
+    return found.groupBy("part").applyInArrow(by_row, "key long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +157,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
                     removed.append(0)
                     kept.append(" ".join(w))
                     continue
-                s = np.unique(np.frombuffer(b"".join(starts), np.uint32)).astype(np.int64)
+                s = np.frombuffer(starts, np.uint32).astype(np.int64)
                 change = np.zeros(len(w) + 1, np.int64)
                 change[s] += 1
                 np.subtract.at(change, s + size, 1)
