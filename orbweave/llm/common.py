@@ -144,14 +144,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     checkpoint. Null ends are ignored. No links give no rows.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut(e.union(e.select("v", "u")).distinct())
-    lab = cut(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
+    e = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v"))).alias("e"))
+    e = cut(e.select("e.u", "e.v").distinct())  # both ways, and each node with itself
+    lab = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    lab = cut(lab)
     while True:
-        near = e.join(lab, e.v == lab.node).groupBy("u").agg(F.min("component").alias("m"))
-        spread = lab.join(near, lab.node == near.u).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
+        near = e.join(lab, e.v == lab.node).groupBy("u").agg(F.min("component").alias("c"), F.max(F.when(F.col("u") == F.col("v"), F.col("component"))).alias("old"))
         up = lab.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = spread.join(up, "c").select("node", "old", F.least("c", "cc").alias("component"))
-        new = cut(new)
-        if not new.where("old <> component").limit(1).count():
-            return new.select("node", "component")
+        new = cut(near.join(up, "c").select(F.col("u").alias("node"), "old", F.least("c", "cc").alias("component")))
         lab = new.select("node", "component")
+        if not new.where("old <> component").limit(1).count():
+            return lab

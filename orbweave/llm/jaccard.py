@@ -19,7 +19,7 @@ FRAGMENT_GRAMS = 2_000_000
 #: Up to so many sets that share a prefix n-gram are paired directly.
 LIGHT = 64
 #: Rounds in which sets outside an n-gram's main component meet one more leader from it.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
 #: Fragments in which the overlaps of pairs are counted (a power of two).
 COUNT_FRAGMENTS = 4
 
@@ -161,6 +161,8 @@ def prefix_rows(parts: DataFrame, num: int, den: int, bits: int) -> DataFrame:
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) of `pairs` that link: partial overlaps by fragment, summed for each pair."""
     pairs = cut(pairs.select("a", "b").distinct())
+    if not pairs.limit(1).count():
+        return pairs
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     reps = cut(ends.join(classes, "cls").where("rep is not null").select("rep"))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_"))
@@ -241,12 +243,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         main = at.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
         placed = at.join(main, "gram")
         outside, rest = placed.where("component <> main").drop("main"), at
+        if not outside.limit(1).count():
+            break
         if again < LEADER_ROUNDS:  # another leader for each n-gram, from its main component
             rest = placed.where("component = main").groupBy("gram").agg(F.min_by(F.struct("cls", "n", "b0", "b1", "b2", "b3", "component"), F.xxhash64("cls", "gram", F.lit(again))).alias("l")).select("gram", "l.*")
         near = outside.alias("x").join(rest.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
         more = near.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        links = links.union(overlaps(docs, more, classes, k, num, den, id_col, text_col))
-        comp = components(links)
+        links = overlaps(docs, more, classes, k, num, den, id_col, text_col)
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
     done = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     least = done.groupBy("component").agg(F.min("rep").alias("component_id"))
     done = done.join(least, "component").select("cls", "component_id")
