@@ -18,8 +18,9 @@ from orbweave.llm.common import LOWER, SPACE, U64, components, cut, few, gram_ha
 FRAGMENT_GRAMS = 2_000_000
 #: Up to so many sets that share a prefix n-gram are paired directly.
 LIGHT = 64
-#: Rounds in which sets outside an n-gram's main component meet one more leader from it.
-LEADER_ROUNDS = 1
+#: Rounds in which sets outside an n-gram's main component meet more leaders from it, and
+#: the leaders of each n-gram and round.
+LEADER_ROUNDS, LEADERS = 3, 3
 #: Fragments in which the overlaps of pairs are counted (a power of two).
 COUNT_FRAGMENTS = 4
 
@@ -245,8 +246,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         outside, rest = placed.where("component <> main").drop("main"), at
         if not outside.limit(1).count():
             break
-        if again < LEADER_ROUNDS:  # another leader for each n-gram, from its main component
-            rest = placed.where("component = main").groupBy("gram").agg(F.min_by(F.struct("cls", "n", "b0", "b1", "b2", "b3", "component"), F.xxhash64("cls", "gram", F.lit(again))).alias("l")).select("gram", "l.*")
+        if again < LEADER_ROUNDS:  # more leaders for each n-gram, from its main component
+            lot = F.pmod(F.xxhash64("gram", "cls", F.lit(-1 - again)), F.lit(LEADERS))
+            rest = placed.where("component = main").groupBy("gram", lot.alias("lot")).agg(F.min_by(F.struct("cls", "n", "b0", "b1", "b2", "b3", "component"), F.xxhash64("cls", "gram", F.lit(again))).alias("l")).select("gram", "l.*")
         near = outside.alias("x").join(rest.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
         more = near.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
         links = overlaps(docs, more, classes, k, num, den, id_col, text_col)
