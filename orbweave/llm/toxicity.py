@@ -65,6 +65,26 @@ class ToxicityModel:
         return z, row, st, en
 
 
+def feature_words(texts, y: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the words that tell the labels apart, counted block by block: only
+    a word's two counts are held for all of the sample."""
+    vocab, counts = np.zeros(0, np.uint64), np.zeros((0, 2))
+    for i, _, data, off in text_blocks(texts):
+        h, sent, row, _, _ = sentence_words(data, off)
+        doc = row[sent]
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        both = np.stack([np.ones(int(new.sum())), y[i + doc[new]]], 1)
+        vocab, inv = np.unique(np.concatenate([vocab, h[new]]), return_inverse=True)
+        both = np.concatenate([counts, both])
+        counts = np.stack([np.bincount(inv, both[:, c], len(vocab)) for c in (0, 1)], 1)
+    rate = y.mean()
+    surplus = (counts[:, 1] - counts[:, 0] * rate) / np.sqrt(np.maximum(counts[:, 0] * rate * (1 - rate), 1e-9))
+    return vocab[(counts[:, 0] >= MIN_DOCS) & (np.abs(surplus) >= MIN_SURPLUS)]
+
+
 def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     """Maximise the likelihood of document labels under P(toxic) = 1 - prod(1 - p_s).
 
@@ -73,27 +93,20 @@ def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     """
     import pyarrow as pa
 
-    y = np.asarray(labels, float)
-    hs, ss, rows, base = [], [], [], 0
-    for i, _, data, off in text_blocks(pa.array(texts, pa.string())):
-        h, s, r, _, _ = sentence_words(data, off)
-        hs.append(h), ss.append(s + base), rows.append(r + i)
-        base += len(r)
-    if not base or y.min() == y.max():
+    y, arr = np.asarray(labels, float), pa.array(texts, pa.string())
+    if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -8.0)  # nothing to learn from: nothing is toxic
-    h, sent, row = np.concatenate(hs), np.concatenate(ss), np.concatenate(rows)
-    vocab, inv = np.unique(h, return_inverse=True)
-    held = np.unique(inv.astype(np.int64) * len(texts) + row[sent])
-    docs_with = np.bincount(held // len(texts), minlength=len(vocab))
-    toxic_with = np.bincount(held // len(texts), y[held % len(texts)], len(vocab))
-    rate = y.mean()
-    surplus = (toxic_with - docs_with * rate) / np.sqrt(np.maximum(docs_with * rate * (1 - rate), 1e-9))
-    keep = (docs_with >= MIN_DOCS) & (np.abs(surplus) >= MIN_SURPLUS)
-    code = np.cumsum(keep) - 1
-    vocab, v = vocab[keep], int(keep.sum())
-    use = keep[inv]
-    pair = np.unique(sent[use] * v + code[inv[use]])
-    ps, pw = pair // v, pair % v
+    vocab = feature_words(arr, y)
+    v, base = len(vocab), 0
+    ps, pw, rows = [], [], []
+    for i, _, data, off in text_blocks(arr):
+        h, sent, r, _, _ = sentence_words(data, off)
+        at = np.minimum(np.searchsorted(vocab, h), max(v - 1, 0))
+        hit = np.flatnonzero(vocab[at] == h) if v else np.zeros(0, np.int64)
+        pair = np.unique(sent[hit] * v + at[hit]) if v else np.zeros(0, np.int64)
+        ps.append(pair // max(v, 1) + base), pw.append(pair % max(v, 1)), rows.append(r + i)
+        base += len(r)
+    ps, pw, row = np.concatenate(ps), np.concatenate(pw), np.concatenate(rows)
     n = len(texts)
     w, b = np.zeros(v), -6.0
     m1, m2 = np.zeros(v + 1), np.zeros(v + 1)
