@@ -54,7 +54,16 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+
+
+class Local(dict):
+    """A cache that stays where it was filled: functions sent to tasks carry it empty."""
+
+    def __reduce__(self):
+        return Local, ()
+
+
+_powers = Local()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
