@@ -28,8 +28,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / n)
+    # The norm is bound to a name, or each element would compute it again.
+    n = F.array(F.greatest(norm(v), F.lit(1e-12)))
+    return F.get(F.transform(n, lambda m: F.transform(v, lambda x: x / m)), F.lit(0))
 
 
 def add(a: Column, b: Column, scale: float = 1.0) -> Column:
