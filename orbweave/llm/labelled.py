@@ -23,6 +23,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
 
 
 def collect_sample(docs: DataFrame, labels: DataFrame, bound: int, max_chars: int):
-    """The sample as a pandas frame; training texts longer than max_chars are left out."""
+    """The sample as an Arrow table; training texts longer than max_chars are left out."""
     s = labelled_sample(docs, labels, bound).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    return s.where(F.length("text") <= max_chars).toPandas()
+    return s.where(F.length("text") <= max_chars).toArrow()

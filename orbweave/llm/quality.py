@@ -126,17 +126,17 @@ def document_means(p: np.ndarray, size: np.ndarray, row: np.ndarray, n: int) ->
     return np.divide(np.bincount(row, size * p, n), w, out=np.full(n, np.nan), where=w > 0)
 
 
-def fit_quality(texts: list[str], labels: np.ndarray) -> QualityModel:
+def fit_quality(texts, labels: np.ndarray) -> QualityModel:
     """Fit on document labels: lines start with their document's label; after a first fit,
     lines of bad documents that the field finds good are good, save each one's worst."""
     import pyarrow as pa
 
     y = np.asarray(labels, float)
     xs, sizes, rows = [], [], []
-    for i, _, data, off in text_blocks(pa.array(texts, pa.string())):
+    for i, _, data, off in text_blocks(pa.array(texts, pa.string()) if isinstance(texts, list) else texts):
         x, s, r = line_features(data, off)
         xs.append(x), sizes.append(s), rows.append(r + i)
-    if not texts or not sum(map(len, xs)) or y.min() == y.max():
+    if not len(y) or not sum(map(len, xs)) or y.min() == y.max():
         return QualityModel(np.zeros(3 * OWN + 1), np.zeros((2, 2)), 0.0, 0.0, float(y.mean()) if len(y) else 0.5)
     x, size, row = np.concatenate(xs), np.concatenate(sizes), np.concatenate(rows)
     first, n, d = _first(row), len(texts), x.shape[1]
@@ -202,5 +202,5 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(id_fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label"))
     s = collect_sample(docs, labels, SAMPLE_DOCS, SAMPLE_CHARS)
-    scored = score_quality(docs, fit_quality(s["text"].tolist(), s["label"].to_numpy()))
+    scored = score_quality(docs, fit_quality(s["text"], s["label"].to_numpy()))
     return scored.select("doc_id", (id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

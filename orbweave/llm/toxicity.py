@@ -18,6 +18,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 8000, 20_000
 #: is so many standard deviations from what the base rate gives.
 MIN_DOCS, MIN_SURPLUS = 4, 4.5
 PREFIXES = (5, 7)
+#: Bytes of text whose words are held at a time while fitting.
+FIT_BYTES = 1 << 18
 
 _LETTER = np.zeros(256, bool)
 for _r in (slice(65, 91), slice(97, 123), slice(128, 256)):
@@ -69,7 +71,7 @@ def feature_words(texts, y: np.ndarray) -> np.ndarray:
     """Sorted hashes of the words that tell the labels apart, counted block by block: only
     a word's two counts are held for all of the sample."""
     vocab, counts = np.zeros(0, np.uint64), np.zeros((0, 2))
-    for i, _, data, off in text_blocks(texts):
+    for i, _, data, off in text_blocks(texts, FIT_BYTES):
         h, sent, row, _, _ = sentence_words(data, off)
         doc = row[sent]
         order = np.lexsort((doc, h))
@@ -85,7 +87,7 @@ def feature_words(texts, y: np.ndarray) -> np.ndarray:
     return vocab[(counts[:, 0] >= MIN_DOCS) & (np.abs(surplus) >= MIN_SURPLUS)]
 
 
-def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
+def fit_toxicity(texts, labels: np.ndarray) -> ToxicityModel:
     """Maximise the likelihood of document labels under P(toxic) = 1 - prod(1 - p_s).
 
     Words hold a weight each, drawn to 0 by an L1 penalty; the gradient shares a toxic
@@ -93,13 +95,14 @@ def fit_toxicity(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     """
     import pyarrow as pa
 
-    y, arr = np.asarray(labels, float), pa.array(texts, pa.string())
+    y = np.asarray(labels, float)
+    arr = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -8.0)  # nothing to learn from: nothing is toxic
     vocab = feature_words(arr, y)
     v, base = len(vocab), 0
     ps, pw, rows = [], [], []
-    for i, _, data, off in text_blocks(arr):
+    for i, _, data, off in text_blocks(arr, FIT_BYTES):
         h, sent, r, _, _ = sentence_words(data, off)
         at = np.minimum(np.searchsorted(vocab, h), max(v - 1, 0))
         hit = np.flatnonzero(vocab[at] == h) if v else np.zeros(0, np.int64)
@@ -164,7 +167,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
 def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     s = collect_sample(docs, labels, SAMPLE_DOCS, SAMPLE_CHARS)
-    return fit_toxicity(s["text"].tolist(), s["label"].to_numpy())
+    return fit_toxicity(s["text"], s["label"].to_numpy())
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
