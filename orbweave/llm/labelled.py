@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")
 
 
-def collect_sample(docs: DataFrame, labels: DataFrame, bound: int, max_chars: int):
-    """The sample as an Arrow table; training texts longer than max_chars are left out."""
+def fit_in_task(docs: DataFrame, labels: DataFrame, bound: int, max_chars: int, fit: Callable, kind: type):
+    """The model, of the dataclass `kind`, that fit(texts, labels) makes of the sample in one
+    task: the sample is bounded, and only the model's fields come to the driver.
+    Training texts longer than max_chars are left out.
+
+    Rows are sorted, so a task that is run again fits the same model. An empty sample fits
+    on nothing.
+    """
     s = labelled_sample(docs, labels, bound).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    return s.where(F.length("text") <= max_chars).toArrow()
+    s = s.where(F.length("text") <= max_chars).repartition(1).sortWithinPartitions(F.md5("text"), "label")
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = list(batches)
+        if rows:
+            t = pa.Table.from_batches(rows)
+            model = pickle.dumps(vars(fit(t["text"], t["label"].to_numpy())))
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = s.mapInArrow(run, "model binary").collect()
+    return kind(**pickle.loads(made[0]["model"])) if made else fit([], [])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import SPACE, U64, mix, table, text_blocks, word_hashes, word_spans
-from orbweave.llm.labelled import collect_sample, id_fold
+from orbweave.llm.labelled import fit_in_task, id_fold
 
 #: Bounds of the labelled sample: documents, and code points of one document.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
@@ -201,6 +201,5 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(id_fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label"))
-    s = collect_sample(docs, labels, SAMPLE_DOCS, SAMPLE_CHARS)
-    scored = score_quality(docs, fit_quality(s["text"], s["label"].to_numpy()))
+    scored = score_quality(docs, fit_in_task(docs, labels, SAMPLE_DOCS, SAMPLE_CHARS, fit_quality, QualityModel))
     return scored.select("doc_id", (id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbweave.llm.common import LOWER, U64, plain, table, text_blocks, word_hashes, word_spans
-from orbweave.llm.labelled import collect_sample, id_fold
+from orbweave.llm.labelled import fit_in_task, id_fold
 
 #: Bounds of the labelled sample: documents, and code points of one document.
 SAMPLE_DOCS, SAMPLE_CHARS = 8000, 20_000
@@ -166,8 +166,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    s = collect_sample(docs, labels, SAMPLE_DOCS, SAMPLE_CHARS)
-    return fit_toxicity(s["text"], s["label"].to_numpy())
+    return fit_in_task(docs, labels, SAMPLE_DOCS, SAMPLE_CHARS, fit_toxicity, ToxicityModel)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
