@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.common import SPACE, U64, gram_hashes, mix, table, text_blocks, word_hashes, word_spans
 
-#: Words of the grams whose smallest hash names a window, and bytes kept of a window's own
-#: hash besides: equal windows share both, 64 + 40 bits.
-ANCHOR_WORDS, OWN_BYTES = 5, 5
+#: Words of the grams whose smallest hash names a window, and bytes sent of that hash besides
+#: the bits that choose the fragment. A window's own 64-bit hash is sent whole: windows with
+#: one anchor, of which a common line has many, are told apart by it alone.
+ANCHOR_WORDS, ANCHOR_BYTES = 5, 5
 #: Windows that one fragment holds on average.
 FRAGMENT_WINDOWS = 2_000_000
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -22,6 +23,17 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones: high zeros compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(cells: list[bytes], kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(width, -1).T).view(kind)[:, 0] for c in cells]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def window_runs(h: np.ndarray, row: np.ndarray, size: int):
     """Windows of `size` words as (row, first word, anchor, own hash), rows in order.
 
@@ -57,21 +69,23 @@ def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 new[1:] = (r[1:] != r[:-1]) | (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
                 b = np.flatnonzero(new)
                 length = np.diff(np.append(b, len(r)))
-                frag = (mix(anchor[b]) >> U64(64 - bits)).astype(np.int64)
+                name = mix(anchor[b])
+                frag = (name >> U64(64 - bits)).astype(np.int64)
                 order = np.argsort(frag, kind="stable")
-                b, length, frag = b[order], length[order], frag[order]
+                b, length, frag, name = b[order], length[order], frag[order], name[order]
                 windows = np.repeat(b - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-                tail = own[windows].view(np.uint8).reshape(-1, 8)[:, :OWN_BYTES]
+                own = own[windows]
+                name = name.view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]
                 ends = np.cumsum(length)
                 edge = np.flatnonzero(np.diff(frag, prepend=-1, append=-1))
                 out: list[list] = [[] for _ in names]
                 for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
                     rows, count = np.unique(r[b[x:y]], return_counts=True)
                     w0 = ends[x] - length[x]
-                    cells = (anchor[b[x:y]], at[b[x:y]].astype(np.uint32), length[x:y].astype(np.uint32), tail[w0 : ends[y - 1]], keys[i + rows], ids[i + rows], count.astype(np.uint32))
+                    cells = (name[x:y].tobytes(), planes(at[b[x:y]].astype(np.uint32)), planes(length[x:y].astype(np.uint32)), own[w0 : ends[y - 1]].tobytes(), keys[i + rows].tobytes(), planes(ids[i + rows]), planes(count.astype(np.uint32)))
                     out[0].append(int(frag[x]))
                     for c, v in zip(out[1:], cells):
-                        c.append(np.ascontiguousarray(v).tobytes())
+                        c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64())] + [pa.array(c, pa.binary()) for c in out[1:]], names=names)
 
     return docs.mapInArrow(run, "frag long, anchor binary, start binary, length binary, own binary, key binary, doc binary, count binary")
@@ -87,15 +101,16 @@ def repeated_windows(parts: DataFrame, bits: int) -> DataFrame:
     def later(t):
         import pyarrow as pa
 
-        length, count = unpack(t, "length", np.uint32).astype(np.int64), unpack(t, "count", np.uint32).astype(np.int64)
-        own = np.zeros((int(length.sum()), 8), np.uint8)
-        own[:, :OWN_BYTES] = unpack(t, "own", np.uint8).reshape(-1, OWN_BYTES)
-        own = own.view(U64)[:, 0]
-        anchor = np.repeat(unpack(t, "anchor", U64), length)
+        length, start, count, ids = (from_planes(t[c].to_pylist(), k) for c, k in (("length", np.uint32), ("start", np.uint32), ("count", np.uint32), ("doc", np.int64)))
+        length, count = length.astype(np.int64), count.astype(np.int64)
+        own = unpack(t, "own", U64)
+        anchor = np.zeros((len(length), 8), np.uint8)
+        anchor[:, :ANCHOR_BYTES] = unpack(t, "anchor", np.uint8).reshape(-1, ANCHOR_BYTES)
+        anchor = np.repeat(anchor.view(U64)[:, 0], length)
         step = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-        start = np.repeat(unpack(t, "start", np.uint32), length) + step.astype(np.uint32)
+        start = np.repeat(start, length) + step.astype(np.uint32)
         run = np.repeat(np.repeat(np.arange(len(count)), count), length)
-        keys, ids = unpack(t, "key", np.int64), unpack(t, "doc", np.int64)
+        keys = unpack(t, "key", np.int64)
         doc = ids[run]
         order = np.lexsort((doc, own, anchor))
         a, o, d = anchor[order], own[order], doc[order]
