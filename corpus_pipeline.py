@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import decontam, jaccard, mixing, sharding, toxicity
-from orbweave.llm.common import plain, table
+from orbweave.llm.common import cut, plain, table
 
 #: A document goes at this toxicity; shards of the result; words and similarity of copies.
 TOXIC, SHARDS, WORDS, SIMILAR = 0.5, 40, 5, 80
@@ -25,17 +25,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("toxic_score_") < TOXIC).select(*map(plain, docs.columns))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with `row_`, which names each row whatever its id: its file and place there.
+    Rows that don't come straight from files get a number that a checkpoint keeps."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row_"))
+    return cut(docs.select("*", F.struct(F.monotonically_increasing_id().alias("row_index")).alias("row_")))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest doc_id stays (of equal ids, all)."""
-    kind = jaccard.jaccard_classes(docs.select("doc_id", "text"), WORDS, SIMILAR, 100)
-    copies = kind.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*map(plain, docs.columns))
+    """Of each component one row stays: of the smallest doc_id (null last), and of equal ids
+    the first one by file and place."""
+    rows = numbered(docs)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_").alias("row"))
+    kind = jaccard.jaccard_classes(rows.select(name.alias("doc_id"), "text"), WORDS, SIMILAR, 100)
+    copies = kind.where("doc_id <> component_id").select(F.col("doc_id.row").alias("row_"))
+    return rows.join(copies, "row_", "left_anti").select(*map(plain, docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaks = hits.select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*map(plain, docs.columns))
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

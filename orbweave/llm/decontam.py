@@ -121,6 +121,33 @@ class Matcher:
         return out
 
 
+def item_blocks(items: DataFrame, item_col: str, item_text: str):
+    """The items as lists of (id, text), each of bounded size."""
+    total = items.agg(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0
+    n_blocks = total // BLOCK_CHARS + 1
+    for b in range(n_blocks):
+        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64(item_text), F.lit(n_blocks)) == b).select(item_col, item_text).collect()]
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of `docs`, whatever their id, in which find_contamination finds no item."""
+    at = docs.columns.index(text_col)
+    for block in item_blocks(items, item_col, item_text):
+
+        def run(batches, block=block):
+            import pyarrow as pa
+
+            matcher = Matcher(block, rate)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for i, _, data, off in text_blocks(batch.column(at)):
+                    clean[[i + hit[0] for hit in matcher.find(data, off)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end): benchmark items that occur in documents.
 
@@ -131,12 +158,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RA
     reported. Items go to the tasks in blocks of bounded size, each against all documents.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_col].dataType), T.StructField("distance", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    total = items.agg(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0
-    n_blocks = total // BLOCK_CHARS + 1
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_")).where("text_ is not null")
     out = None
-    for b in range(n_blocks):
-        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64(item_text), F.lit(n_blocks)) == b).select(item_col, item_text).collect()]
+    for block in item_blocks(items, item_col, item_text):
 
         def run(batches, block=block):
             import pyarrow as pa
