@@ -3,6 +3,8 @@ compared with all other rows."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -22,6 +24,15 @@ def _sides(spark, d):
     return e.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "vec"), e
 
 
+def kept(df):
+    """`df` with its lineage cut, below spark.checkpoint.dir; a temporary folder only where
+    that is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orbweave-"))
+    return df.checkpoint()
+
+
 def _top(spark, d, k):
     q, g = _sides(spark, d)
     return scores(q.drop("query_label"), g, k).join(q.select("query_id", "query_label"), "query_id")
@@ -66,23 +77,45 @@ def compose_parallel(spark, d):
 
 
 @query()
-def compose_iterative(spark, d, steps: int = 5, weight: float = 0.3):
-    """Slots of a scene filled one after another; each choice shifts the next query."""
-    _, g = _sides(spark, d)
-    gallery = g.select("id", unit(F.col("vec")).alias("vec"))
-    slots = gallery.where(F.col("id") % 20 == 0).orderBy("id").limit(steps).collect()
-    layout, taken, out = None, [], []
-    for step, slot in enumerate(slots):
-        q = F.array(*[F.lit(float(x)) for x in slot.vec])
-        if layout is not None:
-            q = add(q, F.array(*[F.lit(float(x)) for x in layout]), weight)
-        best = gallery.where(~F.col("id").isin([slot.id, *taken])).select("id", "vec", dot(F.col("vec"), q).alias("sim")).orderBy(F.desc("sim"), "id").limit(1).collect()
-        if not best:
-            break
-        taken.append(best[0].id)
-        layout = best[0].vec if layout is None else [(a * step + b) / (step + 1) for a, b in zip(layout, best[0].vec)]
-        out.append((step, slot.id, best[0].id, float(best[0].sim)))
-    return spark.createDataFrame(out, "step long, query_id long, chosen long, sim double")
+def compose_iterative(spark, d, slots: int = 25, weight: float = 0.3):
+    """Slots of a scene filled one after another; each choice shifts the next query.
+
+    A scene is the query rows of `slots` consecutive query ids, in their order; no object is
+    chosen twice in a scene. Each round fills one slot of all scenes at once: a slot has at
+    most as many objects taken as rounds went before, so one more than that are searched.
+    """
+    _, e = _sides(spark, d)
+    gallery = kept(e.select("id", "label", unit(F.col("vec")).alias("vec")))
+    scene = F.floor(F.col("id") / (20 * slots)).cast("long")
+    place = F.row_number().over(W.partitionBy("scene").orderBy("query_id")) - 1
+    asked = gallery.where(F.col("id") % 20 == 0).select(scene.alias("scene"), F.col("id").alias("query_id"), "vec")
+    asked = kept(asked.withColumn("step", place.cast("long")))
+    last = asked.agg(F.max("step").alias("s")).first()["s"]
+    if last is None:
+        return asked.select("scene", "step", "query_id", F.col("query_id").alias("chosen"), F.lit(0.0).alias("sim"))
+    layouts, out = None, None
+    for step in range(last + 1):
+        q = asked.where(F.col("step") == step)
+        if layouts is None:
+            q = q.select("scene", "query_id", "vec", F.lit(0).alias("n"), F.lit(None).cast("array<double>").alias("layout"))
+        else:
+            q = q.join(layouts, "scene", "left").select("scene", "query_id", F.coalesce(add(F.col("vec"), F.col("layout"), weight), "vec").alias("vec"), F.coalesce("n", F.lit(0)).alias("n"), "layout")
+        q = kept(q)
+        near = scores(q, gallery, step + 1).select("query_id", "id", F.col("sim").alias("near")).join(q.select("query_id", "scene"), "query_id")
+        if out is not None:
+            near = near.join(out.select("scene", F.col("chosen").alias("id")), ["scene", "id"], "left_anti")
+        first = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "id"))
+        best = near.withColumn("first", first).where("first = 1").select("query_id", "id")
+        best = best.join(gallery.select("id", F.col("vec").alias("object")), "id")
+        mean = F.coalesce(F.zip_with("layout", "object", lambda a, b: (a * F.col("n") + b) / (F.col("n") + 1)), "object")
+        # Columns have new names here: inside the lambda, `n` would mean a new column `n`.
+        now = q.join(best, "query_id").select("scene", "query_id", F.col("id").alias("chosen"), dot(F.col("object"), F.col("vec")).alias("sim"), F.col("n").alias("before"), mean.alias("after"))
+        now = kept(now.select("scene", "query_id", "chosen", "sim", (F.col("before") + 1).alias("n"), F.col("after").alias("layout")))
+        new = now.select("scene", "n", "layout")
+        layouts = kept(new if layouts is None else layouts.union(new).groupBy("scene").agg(F.max("n").alias("n"), F.max_by("layout", "n").alias("layout")))
+        row = now.select("scene", F.lit(step).cast("long").alias("step"), "query_id", "chosen", "sim")
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0)
