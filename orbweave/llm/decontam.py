@@ -131,7 +131,7 @@ def item_blocks(items: DataFrame, item_col: str, item_text: str):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs`, whatever their id, in which find_contamination finds no item."""
-    at = docs.columns.index(text_col)
+    at, schema = docs.columns.index(text_col), docs.schema
     for block in item_blocks(items, item_col, item_text):
 
         def run(batches, block=block):
@@ -142,9 +142,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RAT
                 clean = np.ones(batch.num_rows, bool)
                 for i, _, data, off in text_blocks(batch.column(at)):
                     clean[[i + hit[0] for hit in matcher.find(data, off)]] = False
-                yield batch.filter(pa.array(clean))
+                left = batch.filter(pa.array(clean))
+                yield pa.RecordBatch.from_arrays(left.columns, names=schema.names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        # Plain names on the way in: mapInArrow does not take dots.
+        docs = docs.toDF(*(f"c{i}" for i in range(len(schema)))).mapInArrow(run, schema)
     return docs
 
 
