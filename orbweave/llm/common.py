@@ -131,6 +131,29 @@ def word_hashes(data: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
     return mix((c[en] - c[st]) * down[st])
 
 
+#: Bytes of text that are hashed at once; longer texts go piece by piece, cut between words.
+PIECE = 2 << 20
+
+
+def hashed_words(data: np.ndarray, off: np.ndarray, outside: np.ndarray = SPACE, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and hash of the words of each row; `outside` marks bytes between words.
+
+    A text of any length takes some 60 bytes of memory for each of its words (and as much
+    again for each byte of one piece), not for each of its bytes.
+    """
+    found, at, n = [], 0, len(data)
+    while at < n or not found:
+        to = min(n, at + PIECE)
+        while to < n and not outside[data[to]]:
+            gap = np.flatnonzero(outside[data[to : to + 4096]])
+            to = to + int(gap[0]) if len(gap) else min(n, to + 4096)
+        part = data[at:to]
+        st, en, row = word_spans(~outside[part], np.clip(off - at, 0, to - at))
+        found.append((st + at, en + at, row, word_hashes(part if fold is None else fold[part], st, en)))
+        at = to
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found))
+
+
 def gram_hashes(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the k words from each word on, and whether they lie in one row."""
     m = len(h) - k + 1
