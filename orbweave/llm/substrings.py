@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import SPACE, U64, gram_hashes, mix, table, text_blocks, word_hashes, word_spans
+from orbweave.llm.common import U64, gram_hashes, hashed_words, mix, table, text_blocks
 
 #: Words of the grams whose smallest hash names a window, and bytes sent of that hash besides
 #: the bits that choose the fragment. A window's own 64-bit hash is sent whole: windows with
@@ -16,6 +16,9 @@ from orbweave.llm.common import SPACE, U64, gram_hashes, mix, table, text_blocks
 ANCHOR_WORDS, ANCHOR_BYTES = 5, 5
 #: Windows that one fragment holds on average.
 FRAGMENT_WINDOWS = 2_000_000
+#: Rows of the sample that shows hot anchors, and the share of windows that makes one hot, so
+#: there are at most 1 / HOT_SHARE of them. They only decide where windows meet.
+SAMPLE_ROWS, HOT_SHARE = 5_000, 1e-4
 _WORD = re.compile(r"[^ \t-\r]+")
 
 
@@ -51,8 +54,34 @@ def window_runs(h: np.ndarray, row: np.ndarray, size: int):
     return row[:m][ok], at[ok], anchor[ok], own[ok]
 
 
-def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Runs of windows with one anchor, cut into 2**bits fragments by anchor and packed."""
+def hot_anchors(texts: DataFrame, rows: int, size: int) -> np.ndarray:
+    """Anchors of many windows in a sample of about SAMPLE_ROWS rows, in order."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, _, data, off in text_blocks(batch.column(0)):
+                _, _, row, h = hashed_words(data, off)
+                anchor, count = np.unique(window_runs(h, row, size)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(count)], names=["anchor", "n"])
+
+    if rows > SAMPLE_ROWS:
+        texts = texts.sample(SAMPLE_ROWS / rows, seed=1)
+    seen = texts.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    total = seen.agg(F.sum("n").alias("t")).first()["t"] or 0
+    hot = [r[0] for r in seen.where(F.col("n") > max(64, total * HOT_SHARE)).select("anchor").collect()]
+    return np.sort(np.array(hot, np.int64).view(U64))
+
+
+def packed_windows(docs: DataFrame, size: int, bits: int, hot: np.ndarray) -> DataFrame:
+    """Runs of windows with one anchor, cut into 2**bits fragments by anchor and packed.
+
+    Windows of a hot anchor are spread by their own hash. Of equal windows of one block of
+    texts, only those of its smallest doc_id go to fragments; the others are known to repeat
+    and are packed by row, under fragment numbers from 2**bits on.
+    """
+    row_bits = max(0, bits - 2)
 
     def run(batches):
         import pyarrow as pa
@@ -61,10 +90,31 @@ def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
         for batch in batches:
             keys, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for i, _, data, off in text_blocks(batch.column(2)):
-                st, en, row = word_spans(~SPACE[data], off)
-                r, at, anchor, own = window_runs(word_hashes(data, st, en), row, size)
+                _, _, row, h = hashed_words(data, off)
+                r, at, anchor, own = window_runs(h, row, size)
                 if not len(r):
                     continue
+                out: list[list] = [[] for _ in names]
+                order = np.argsort(own)
+                doc, group = ids[i + r][order], np.diff(own[order], prepend=own[order[0]]) != 0
+                least = np.minimum.reduceat(doc, np.flatnonzero(np.concatenate([[True], group[1:]])))
+                known = np.zeros(len(r), bool)
+                known[order] = doc > least[np.cumsum(group)]
+                k, s, d = keys[i + r[known]], at[known].astype(np.uint32), ids[i + r[known]]
+                to = bucket(k, row_bits)
+                order = np.argsort(to, kind="stable")
+                k, s, d, to = k[order], s[order], d[order], to[order]
+                edge = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    first = np.flatnonzero(np.concatenate([[True], k[x + 1 : y] != k[x : y - 1]]))
+                    cells = (b"", planes(s[x:y]), b"", b"", k[x:y][first].tobytes(), planes(d[x:y][first]), planes(np.diff(np.append(first, y - x)).astype(np.uint32)))
+                    out[0].append((1 << bits) + int(to[x]))
+                    for c, v in zip(out[1:], cells):
+                        c.append(v)
+                r, at, anchor, own = r[~known], at[~known], anchor[~known], own[~known]
+                if len(hot):
+                    spread = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+                    anchor = np.where(spread, mix(anchor ^ mix(own)), anchor)
                 new = np.ones(len(r), bool)
                 new[1:] = (r[1:] != r[:-1]) | (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
                 b = np.flatnonzero(new)
@@ -78,7 +128,6 @@ def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 name = name.view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES]
                 ends = np.cumsum(length)
                 edge = np.flatnonzero(np.diff(frag, prepend=-1, append=-1))
-                out: list[list] = [[] for _ in names]
                 for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
                     rows, count = np.unique(r[b[x:y]], return_counts=True)
                     w0 = ends[x] - length[x]
@@ -91,8 +140,12 @@ def packed_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "frag long, anchor binary, start binary, length binary, own binary, key binary, doc binary, count binary")
 
 
+def bucket(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.view(U64) >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+
+
 def repeated_windows(parts: DataFrame, bits: int) -> DataFrame:
-    """(key, starts): first words of the windows that a smaller doc_id holds too, by row."""
+    """(key, doc_id, starts): first words of the windows that a smaller doc_id holds too, by row."""
     row_bits = max(0, bits - 2)
 
     def unpack(t, name, kind):
@@ -101,46 +154,54 @@ def repeated_windows(parts: DataFrame, bits: int) -> DataFrame:
     def later(t):
         import pyarrow as pa
 
-        length, start, count, ids = (from_planes(t[c].to_pylist(), k) for c, k in (("length", np.uint32), ("start", np.uint32), ("count", np.uint32), ("doc", np.int64)))
-        length, count = length.astype(np.int64), count.astype(np.int64)
-        own = unpack(t, "own", U64)
-        anchor = np.zeros((len(length), 8), np.uint8)
-        anchor[:, :ANCHOR_BYTES] = unpack(t, "anchor", np.uint8).reshape(-1, ANCHOR_BYTES)
-        anchor = np.repeat(anchor.view(U64)[:, 0], length)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-        start = np.repeat(start, length) + step.astype(np.uint32)
-        run = np.repeat(np.repeat(np.arange(len(count)), count), length)
+        start, count, ids = (from_planes(t[c].to_pylist(), k) for c, k in (("start", np.uint32), ("count", np.uint32), ("doc", np.int64)))
         keys = unpack(t, "key", np.int64)
-        doc = ids[run]
-        order = np.lexsort((doc, own, anchor))
-        a, o, d = anchor[order], own[order], doc[order]
-        head = np.ones(len(a), bool)
-        head[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
-        least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-        hit = order[d > least]
-        k, s = keys[run[hit]], start[hit]
-        order = np.lexsort((s, k))
-        k, s = k[order], s[order]
+        if t["frag"][0].as_py() >> bits:  # known to repeat
+            k, d, s = np.repeat(keys, count), np.repeat(ids, count), start
+        else:
+            length, count = from_planes(t["length"].to_pylist(), np.uint32).astype(np.int64), count.astype(np.int64)
+            own = unpack(t, "own", U64)
+            anchor = np.zeros((len(length), 8), np.uint8)
+            anchor[:, :ANCHOR_BYTES] = unpack(t, "anchor", np.uint8).reshape(-1, ANCHOR_BYTES)
+            anchor = np.repeat(anchor.view(U64)[:, 0], length)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
+            start = np.repeat(start, length) + step.astype(np.uint32)
+            run = np.repeat(np.repeat(np.arange(len(count)), count), length)
+            doc = ids[run]
+            order = np.lexsort((doc, own, anchor))
+            a, o, d = anchor[order], own[order], doc[order]
+            head = np.ones(len(a), bool)
+            head[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
+            least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
+            hit = order[d > least]
+            k, d, s = keys[run[hit]], doc[hit], start[hit]
+        order = np.lexsort((s, d, k, bucket(k, row_bits)))
+        k, d, s = k[order], d[order], s[order]
         # One packed row for each bucket of keys, however many rows of text it stands for.
-        order = np.argsort(k >> (64 - row_bits), kind="stable") if row_bits else np.arange(len(k))
-        k, s = k[order], s[order]
-        to = k >> (64 - row_bits) if row_bits else np.zeros(len(k), np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
+        to = bucket(k, row_bits)
+        edge = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
         spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-        return pa.table({"part": pa.array(to[edge[:-1]], pa.int64())} | {c: pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for c, v in (("keys", k), ("starts", s))})
+        first = np.flatnonzero((np.diff(k, prepend=0) != 0) | (np.diff(d, prepend=0) != 0) | (np.diff(to, prepend=-1) != 0))
+        count = np.diff(np.append(first, len(k))).astype(np.uint32)
+        lo, hi = (np.searchsorted(first, [x[i] for x in spans]) for i in (0, 1))
+        rows = list(zip(lo.tolist(), hi.tolist()))
+        by_row = {"keys": k[first], "docs": d[first], "count": count}
+        cells = {c: pa.array([planes(v[x:y]) for x, y in rows], pa.binary()) for c, v in by_row.items()}
+        return pa.table({"part": pa.array(to[edge[:-1]], pa.int64())} | cells | {"starts": pa.array([s[x:y].tobytes() for x, y in spans], pa.binary())})
 
     def by_row(t):
         import pyarrow as pa
 
-        k, s = unpack(t, "keys", np.int64), unpack(t, "starts", np.uint32)
-        order = np.lexsort((s, k))
-        k, s = k[order], s[order]
-        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
+        k, d, count = (from_planes(t[c].to_pylist(), x) for c, x in (("keys", np.int64), ("docs", np.int64), ("count", np.uint32)))
+        k, d, s = np.repeat(k, count), np.repeat(d, count), unpack(t, "starts", np.uint32)
+        order = np.lexsort((s, d, k))
+        k, d, s = k[order], d[order], s[order]
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]), [True]])) if len(k) else np.zeros(1, np.int64)
         spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-        return pa.table({"key": pa.array(k[edge[:-1]], pa.int64()), "starts": pa.array([np.unique(s[x:y]).tobytes() for x, y in spans], pa.binary())})
+        return pa.table({"key": pa.array(k[edge[:-1]], pa.int64()), "doc_id": pa.array(d[edge[:-1]], pa.int64()), "starts": pa.array([np.unique(s[x:y]).tobytes() for x, y in spans], pa.binary())})
 
-    found = parts.groupBy("frag").applyInArrow(later, "part long, keys binary, starts binary")
-    return found.groupBy("part").applyInArrow(by_row, "key long, starts binary")
+    found = parts.groupBy("frag").applyInArrow(later, "part long, keys binary, docs binary, count binary, starts binary")
+    return found.groupBy("part").applyInArrow(by_row, "key long, doc_id long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,13 +212,16 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     windows are judged on the input. Null or empty texts and texts shorter than a window
     lose nothing (null: no words). Rows with equal ids don't remove from each other; rows
     with a null id neither lose words nor make others lose them. Every row gives one row.
+    Ids are whole numbers; others raise. An empty table gives no rows; columns besides id
+    and text are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text_"), row_key(id_col, text_col).alias("key"))
-    total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-    bits = max(3, int(np.ceil(np.log2(max(1, total / 6 / FRAGMENT_WINDOWS)))))
-    parts = packed_windows(src.where("doc_id is not null and text_ is not null").select("key", "doc_id", "text_"), size, bits)
+    total = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    bits = max(3, int(np.ceil(np.log2(max(1, (total["b"] or 0) / 6 / FRAGMENT_WINDOWS)))))
+    hot = hot_anchors(src.select("text_"), total["n"], size)
+    parts = packed_windows(src.where("doc_id is not null and text_ is not null").select("key", "doc_id", "text_"), size, bits, hot)
     found = repeated_windows(parts, bits)
-    met = src.join(found, "key", "left").select("doc_id", "text_", "starts")
+    met = src.join(found, ["key", "doc_id"], "left").select("doc_id", "text_", "starts")
 
     def run(batches):
         import pyarrow as pa
