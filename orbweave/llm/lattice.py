@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,10 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.common import U64, components, cut, mix, table
 
-#: Tables, lattice points each block of eight dimensions probes, and the lattice's scale.
-TABLES, PROBES, SCALE, SEED = 8, 2, 0.25, 5
+#: Tables, blocks of eight projected dimensions in each, lattice points that a block probes,
+#: and the lattice's scale. They hold for any number and width of vectors, so recall depends
+#: on neither; a table has some 300 ** BLOCKS cells that are in use.
+TABLES, BLOCKS, PROBES, SCALE, SEED = 4, 3, 2, 2.0, 5
 #: Vectors on one side of a block of comparisons.
 BLOCK = 1024
 
@@ -49,12 +50,15 @@ def e8_decode(x: np.ndarray) -> np.ndarray:
 
 def lattice_keys(unit: np.ndarray, blocks: int, tables: int, probes: int, scale: float, seed: int) -> np.ndarray:
     """(vectors, tables * probes**blocks) keys: the lattice cell of each vector's projection
-    in each table, and the neighbouring cells nearest to it."""
+    in each table, and the neighbouring cells nearest to it.
+
+    Projected coordinates of unit vectors have a deviation of 1, whatever the width.
+    """
     rng, roots, n, d = np.random.default_rng(seed), e8_roots(), *unit.shape
     weight = rng.integers(1, 2**63, (tables, blocks, 8), dtype=np.int64) | 1
     out = []
     for t in range(tables):
-        proj = rng.standard_normal((d, 8 * blocks)) / math.sqrt(d)
+        proj = rng.standard_normal((d, 8 * blocks))
         y, per_block = unit @ proj / scale, []
         for b in range(blocks):
             x = y[:, 8 * b : 8 * b + 8]
@@ -70,11 +74,6 @@ def lattice_keys(unit: np.ndarray, blocks: int, tables: int, probes: int, scale:
     return np.stack(out, 1)
 
 
-def blocks_for(n: int) -> int:
-    """Blocks of eight dimensions, so that cells (some 300 a block) outnumber vectors."""
-    return min(4, max(1, math.ceil(math.log(max(n, 2)) / math.log(300))))
-
-
 def _matrix(column) -> np.ndarray:
     import pyarrow as pa
 
@@ -83,6 +82,53 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def smaller_cells(lists, key: int, left: np.ndarray, right: np.ndarray):
+    """For each cell below `key` that both sides are in, the places in `left` and in `right`."""
+    if hasattr(lists, "combine_chunks"):
+        lists = lists.combine_chunks()
+    flat, size = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+    row = np.repeat(np.arange(len(size)), size)
+    row, flat = row[flat < key], flat[flat < key]
+    sides = []
+    for side in (left, right):
+        place = np.full(len(size), -1)
+        place[side] = np.arange(len(side))
+        mine = place[row] >= 0
+        k, at = flat[mine], place[row][mine]
+        order = np.argsort(k, kind="stable")
+        sides.append((k[order], at[order]))
+    (k1, p1), (k2, p2) = sides
+    for k in np.intersect1d(k1, k2):
+        yield p1[np.searchsorted(k1, k) : np.searchsorted(k1, k, "right")], p2[np.searchsorted(k2, k) : np.searchsorted(k2, k, "right")]
+
+
+def spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join what `hit` joins: each member of a component with the first one."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    open_ = hit.any(1)
+    both = left[0] == right[0] if len(left) and len(right) else False  # one side with itself
+    while open_.any():
+        seed = int(open_.argmax())
+        rows, cols = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        new_rows = np.zeros(len(left), bool)
+        new_rows[seed] = True
+        while new_rows.any():
+            rows |= new_rows
+            new_cols = hit[new_rows].any(0) & ~cols
+            if both:
+                new_cols |= new_rows & ~cols
+            cols |= new_cols
+            new_rows = hit[:, new_cols].any(1) & ~rows
+            if both:
+                new_rows |= new_cols & ~rows
+        found = np.union1d(left[rows], right[cols])
+        found = found[found != left[seed]]
+        a.append(np.full(len(found), left[seed]))
+        b.append(found)
+        open_ &= ~rows
+    return np.concatenate(a), np.concatenate(b)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of `vectors`.
 
@@ -102,8 +148,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     good = rows.where("ok").select("vec_id", "label", flat.alias("vec")).select("vec_id", F.struct("label", F.size("vec").alias("width"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.reverse("vec")).alias("h2")).alias("same"), "vec")
     classes = good.groupBy("same").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
-    blocks = blocks_for(classes.count())
-
     def keys(batches):
         import pyarrow as pa
 
@@ -115,7 +159,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                 x = _matrix(part.column(1))
                 x = x / np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
-                k = lattice_keys(x, blocks, tables, probes, SCALE, SEED).view(np.int64)
+                k = lattice_keys(x, BLOCKS, tables, probes, SCALE, SEED).view(np.int64)
                 kinds = pa.array([list(r) for r in k], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), kinds], names=["cls", "group", "keys"])
 
@@ -145,28 +189,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         hit = (x[left] @ x[right].T) / norm[left][:, None] / norm[right][None] >= threshold
         if i == j:
             hit = np.triu(hit, 1)
-        a, b = np.nonzero(hit)
-        a, b = left[a], right[b]
-        sets = [frozenset(s) for s in lists]
-        first = np.array([min(sets[p] & sets[q]) == key for p, q in zip(a.tolist(), b.tolist())], bool)
-        a, b = a[first], b[first]
-        links = np.bincount(a, copies[b], len(cls)) + np.bincount(b, copies[a], len(cls))
-        root = list(range(len(cls)))
-
-        def find(v):
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        tree = []
-        for p, q in zip(a.tolist(), b.tolist()):
-            rp, rq = find(p), find(q)
-            if rp != rq:
-                root[rq] = rp
-                tree.append((p, q))
+        first = hit.copy()  # pairs that share no smaller cell, which count here
+        if hit.any():
+            for p, q in smaller_cells(t["keys"], key, left, right):
+                first[np.ix_(p, q)] = False
+        links = np.zeros(len(cls), np.int64)
+        links[left] += first @ copies[right]
+        links[right] += copies[left] @ first
+        ta, tb = spanning(hit, left, right)
         some = np.flatnonzero(links)
-        ta, tb = np.array([p for p, _ in tree], np.int64), np.array([q for _, q in tree], np.int64)
         none = pa.nulls(len(some), pa.int64())
         return pa.table(
             {
