@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import BROADCAST_ROWS, cut, table
+from orbweave.llm.common import LOWER, U64, cut, few, gram_hashes, hashed_words, table, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds of a context, its confidence, and the rounds of scoring.
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 5, 0.8, 3
+#: Distinct confident instances of a context, its confidence, and the most rounds of scoring.
+MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 5, 0.8, 8
+#: Bits of the filter that says which pairs of words may be contexts.
+FILTER_BITS = 1 << 22
+#: Contexts are compared with A-Z in lower case and digits as 0.
+FOLD = LOWER.copy()
+FOLD[48:58] = 48
 
 # The patterns of the contract. A match starts where its run of characters
 # starts, or where the match before it ended.
@@ -69,24 +76,45 @@ def identifier_like(token: str) -> bool:
     return len(token) >= 6 and sum("0" <= c <= "9" for c in token) >= 4 or "@" in token[1:-1]
 
 
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
+
+
 def left_context(text: str, start: int) -> str:
-    """The two words before, lower-case, digits as 0; from at most 80 code points."""
-    words = text[max(0, start - 80) : start].lower().split()[-2:]
-    return re.sub(r"[0-9]", "0", " ".join(words)) if len(words) == 2 else ""
+    """The two whole words before the word in which a value starts, A-Z in lower case and
+    digits as 0; empty if there are fewer. Words end at ASCII blanks."""
+    reach = 64
+    while True:
+        low = max(0, start - reach)
+        words = _TOKEN.findall(text, low, start)
+        inside = start > 0 and _TOKEN.match(text[start - 1])
+        if not low or len(words) > 3:  # the first word may be cut
+            words = words[: len(words) - bool(inside)]
+            return " ".join(words[-2:]).translate(_FOLD) if len(words) >= 2 else ""
+        reach *= 8
+
+
+def context_keys(contexts) -> np.ndarray:
+    """The 64-bit hash of the two words of each context; 0 of an empty one."""
+    out = np.zeros(len(contexts), np.int64)
+    for i, j, data, off in text_blocks(contexts):
+        _, _, row, h = hashed_words(data, off)
+        g, ok = gram_hashes(h, row, 2)
+        out[i + row[: len(g)][ok]] = g[ok].view(np.int64)
+    return out
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: base spans, and candidates with context and value; no text."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, base array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,kind:int,context:string,value:string>>"
+    schema = f"doc_id {id_type}, base array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,kind:int,context:long,value:long>>"
 
     def run(batches):
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        near = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("context", pa.string()), ("value", pa.string())]))
+        near = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("context", pa.int64()), ("value", pa.int64())]))
         for batch in batches:
-            base, found = [], []
+            base, found, before = [], [], []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or ""
                 spans = base_spans(text)
@@ -103,59 +131,77 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                             tok = m[0].rstrip(".,;:!?)\"'")
                             cands.append((m.start(), m.start() + len(tok), None))
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                found.append([{"start": s, "end": e, "kind": k, "context": left_context(text, s), "value": text[s:e][:200]} for s, e, k in cands])
+                before += [left_context(text, s) for s, _, _ in cands]
+                found.append([{"start": s, "end": e, "kind": k, "value": value_key(text[s:e])} for s, e, k in cands])
+            keys = iter(context_keys(pa.array(before, pa.string())).tolist())
+            for f in (f for row in found for f in row):
+                f["context"] = next(keys)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(found, near)], names=["doc_id", "base", "found"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_")).mapInArrow(run, schema)
 
 
-def context_totals(docs: DataFrame, contexts: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """(context, total): how often each context occurs before any word at all."""
-    words = F.transform(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"([^ \t-\r]+)"), 1), lambda w: F.regexp_replace(w, "[0-9]", "0"))
-    if n > BROADCAST_ROWS:
-        at = docs.select(words.alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("context"))
-        return at.join(contexts, "context").groupBy("context").agg(F.count(F.lit(1)).alias("total"))
-    names = {r[0] for r in contexts.select("context").collect()}
+def value_key(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def run(batches):
-        from collections import Counter
 
+def context_totals(docs: DataFrame, contexts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(context, total): how often each of `contexts` occurs before any word at all.
+
+    Tasks get a filter of FILTER_BITS bits, whatever the number of contexts; what passes is
+    counted by hash and joined with the contexts themselves.
+    """
+    bit = F.pmod("context", F.lit(FILTER_BITS))
+    words = contexts.groupBy((bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(context, 64)))")).alias("b"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():  # at most FILTER_BITS / 64 rows
+        bits[r["w"]] = r["b"]
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
         import pyarrow as pa
 
+        known = np.unpackbits(sent.value.view(np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            seen: Counter = Counter()
-            for i in range(batch.num_rows):
-                w = re.sub(r"[0-9]", "0", (batch.column(0)[i].as_py() or "").lower()).split()
-                seen.update(c for c in (f"{a} {b}" for a, b in zip(w, w[1:-1])) if c in names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["context", "total"])
+            for _, _, data, off in text_blocks(batch.column(0)):
+                _, _, row, h = hashed_words(data, off, fold=FOLD)
+                g, _ = gram_hashes(h, row, 2)
+                g = g[: max(0, len(h) - 2)][row[:-2] == row[2:]] if len(h) > 2 else g[:0]
+                key, n = np.unique(g[known[(g & U64(FILTER_BITS - 1)).astype(np.int64)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["context", "total"])
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "context string, total long").groupBy("context").agg(F.sum("total").alias("total"))
+    seen = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "context long, total long")
+    return seen.groupBy("context").agg(F.sum("total").alias("total")).join(contexts, "context", "left_semi")
 
 
 def trusted_contexts(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(context, kind) of contexts that announce identifiers, from the pattern-instance graph.
 
-    Instances are values; seeds (base matches) score 1 for good. A context scores the sum of
-    its instances' scores over all words that follow it anywhere in the corpus; any other
-    instance then scores its best context. After the rounds, contexts with MIN_SEEDS
-    distinct seeds and MIN_CONFIDENCE stay, each with its commonest seed kind.
+    Instances are values. Base matches are seeds: they score 1 and keep their kind for good.
+    In each round a context with MIN_SEEDS distinct instances that score MIN_CONFIDENCE or
+    more scores the sum of its instances' scores over all words that follow it anywhere in
+    the corpus, and takes their commonest kind; any other instance then takes score and kind
+    of its best context. So instances that one context discovers can make another one
+    trusted. Rounds end when no further context reaches MIN_CONFIDENCE, or after ROUNDS.
     """
-    edges = found.where("context <> ''").groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
-    seeds = edges.where("kind is not null").groupBy("context").agg(F.count(F.lit(1)).alias("seeds"), F.mode("kind", True).alias("kind"))
-    known = cut(seeds.where(F.col("seeds") >= MIN_SEEDS))
-    n = known.count()
-    if not n:
-        return known.select("context", "kind")
-    total = context_totals(docs, known.select("context"), n, text_col)
-    graph = cut(edges.join(known.select("context"), "context", "left_semi").join(total, "context"))
-    score = graph.select("context", "value", "n", "total", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("s"), F.col("kind").isNotNull().alias("seed"))
+    edges = found.where("context <> 0").groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
+    wide = cut(edges.groupBy("context").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= MIN_SEEDS).select("context"))
+    graph = edges.join(wide, "context", "left_semi").join(context_totals(docs, wide, text_col), "context")
+    score = cut(graph.select("context", "value", "n", "total", F.col("kind").isNotNull().alias("seed"), "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("s")))
+    good, count = None, 0
     for _ in range(ROUNDS):
-        by_context = score.groupBy("context").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("s")) / F.max("total")).alias("p"))
-        scored = score.drop("p").join(by_context, "context")
-        best = scored.groupBy("value").agg(F.max("p").alias("best"))
-        score = cut(scored.join(best, "value").select("context", "value", "n", "total", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("s"), "seed", "p"))
-    good = score.groupBy("context").agg(F.max("p").alias("p")).where(F.col("p") >= MIN_CONFIDENCE)
-    return cut(known.join(good, "context").select("context", "kind"))
+        sure = F.col("s") >= MIN_CONFIDENCE
+        by_context = score.groupBy("context").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("s")) / F.max("total")).alias("p"), F.count(F.when(sure, 1)).alias("sure"), F.mode(F.when(sure, F.col("kind")), True).alias("as"))
+        by_context = cut(by_context.where(F.col("sure") >= MIN_SEEDS).select("context", "p", "as"))
+        good = by_context.where(F.col("p") >= MIN_CONFIDENCE).select("context", F.col("as").alias("kind"))
+        now = good.count()
+        if now == count:
+            break
+        count = now
+        best = score.join(by_context, "context").groupBy("value").agg(F.max(F.struct("p", "as")).alias("best"))
+        score = score.join(best, "value", "left")
+        score = cut(score.select("context", "value", "n", "total", "seed", F.when(F.col("seed"), F.col("kind")).otherwise(F.col("best.as")).alias("kind"), F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best.p", F.lit(0.0))).alias("s")))
+    return few(good, count)
 
 
 def span_string(c: Column) -> Column:
@@ -167,8 +213,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, base, added): arrays of struct<start, kind, end>, in order, code points.
 
     `base` holds the pattern matches. `added` holds identifier-like words, none over a base
-    match, that follow a trusted context. Null text is empty; every row of `docs` gives one
-    row, repeated ids too.
+    match, that follow a trusted context (see trusted_contexts; repeated rows count each).
+    Null text is empty; every row of `docs` gives one row, repeated and null ids too. Texts
+    and values of any length are read whole. An empty table gives no rows; columns besides
+    id and text are not read.
     """
     e = cut(entities(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()))
     found = e.select("rid", F.explode("found").alias("f")).select("rid", "f.*")
