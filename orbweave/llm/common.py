@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -20,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where
-    none is set, as in tests."""
+    none is set and all tasks run on this machine, as in tests."""
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orbweave-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orbweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -45,6 +49,17 @@ def plain(name: str):
     return F.col(f"`{name}`")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """`names`, lengthened until `docs` has no column so named."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # --- words of Arrow text columns, as 64-bit hashes -------------------------------------------
 
 _rng = np.random.default_rng(20240229)

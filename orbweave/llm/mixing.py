@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from orbweave.llm.common import cut, few, table
+from orbweave.llm.common import cut, few, plain, table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,11 +49,13 @@ def mix_sources(docs: DataFrame, weights, share: float = 1.5, max_epochs: float
     row; for the fraction, rows are taken in the order of a seeded hash until the next
     would pass the quota by more than half of itself. Rows with equal id and text share a
     hash and are taken together. A null source is a source; a null or empty text has size
-    0 and is taken as its hash says. Columns of these four names in `docs` are replaced. Only sizes and hashes shuffle: the cut-off hash of
-    each source goes back to the rows, so texts never move.
+    0 and is taken as its hash says. Columns of these four names in `docs` are replaced.
+    An empty table gives no rows. Only sizes and hashes shuffle: the cut-off hash of each
+    source goes back to the rows, so texts never move.
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     names = {"size": n_words(F.col(text_col)), "source": F.col(source_col)}
+    name, whole, upto = unused(docs, "mix_source_", "mix_whole_", "mix_upto_")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit(""))))))
     skinny = cut(docs.select(names["source"].alias("source"), names["size"].alias("size"), key.alias("key")))
     sources = cut(skinny.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -77,11 +79,11 @@ def mix_sources(docs: DataFrame, weights, share: float = 1.5, max_epochs: float
     edges = edge.select(F.col("source").alias("es"), F.col("block").alias("edge_block")).join(last, F.col("es").eqNullSafe(F.col("source")), "left").select("es", F.coalesce("last_key", "edge_block").alias("upto_key"))
     plan2 = plan.join(edges, plan.source.eqNullSafe(edges.es), "left")
     # No edge: the quota is the whole source (or nothing at all).
-    plan2 = plan2.select(F.col("source").alias("mix_source_"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole_"), F.coalesce("upto_key", F.when(F.col("quota") > 0, F.lit("g")).otherwise(F.lit(""))).alias("mix_upto_"))
+    plan2 = plan2.select(F.col("source").alias(name), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias(whole), F.coalesce("upto_key", F.when(F.col("quota") > 0, F.lit("g")).otherwise(F.lit(""))).alias(upto))
     plan2 = few(cut(plan2), total["n"])
-    out = docs.join(plan2, F.col(source_col).eqNullSafe(F.col("mix_source_")))
-    copies = F.col("mix_whole_") + F.when(key <= F.col("mix_upto_"), 1).otherwise(0)
-    return out.withColumn("mix_size", n_words(F.col(text_col))).withColumn("mix_copies", copies.cast("int")).drop("mix_whole_", "mix_upto_", "mix_source_")
+    out = docs.join(plan2, F.col(source_col).eqNullSafe(F.col(name)))
+    copies = F.col(whole) + F.when(key <= F.col(upto), 1).otherwise(0)
+    return out.withColumn("mix_size", n_words(F.col(text_col))).withColumn("mix_copies", copies.cast("int")).select(*map(plain, docs.columns), "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def cycle_weights(sources: DataFrame) -> DataFrame:
