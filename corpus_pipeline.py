@@ -12,49 +12,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import decontam, jaccard, mixing, sharding, toxicity
-from orbweave.llm.common import cut, plain, table
+from orbweave.llm.common import cut, plain, shared_folder, table, unused
 
-#: A document goes at this toxicity; shards of the result; words and similarity of copies.
-TOXIC, SHARDS, WORDS, SIMILAR = 0.5, 40, 5, 80
+#: A document goes at this toxicity, as op3_toxicity calls it; shards of the result; words
+#: and similarity of copies.
+TOXIC, SHARDS, WORDS, SIMILAR = 0.3, 40, 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text scores under TOXIC; null and empty texts score too. The score is
+    the text's alone, so equal texts stay or go together, whatever their ids."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train_toxicity(table(spark, sf_dir, "documents"), labels)
-    scored = toxicity.score_toxicity(docs, model, score_col="toxic_score_", spans_col="toxic_spans_")
-    return scored.where(F.col("toxic_score_") < TOXIC).select(*map(plain, docs.columns))
+    score, spans = unused(docs, "toxic_score", "toxic_spans")
+    scored = toxicity.score_toxicity(docs, model, score_col=score, spans_col=spans)
+    return scored.where(F.col(score) < TOXIC).select(*map(plain, docs.columns))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with `row_`, which names each row whatever its id: its file and place there.
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a column that names each row whatever its id: its file and place there.
     Rows that don't come straight from files get a number that a checkpoint keeps."""
     if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
-        return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row_"))
-    return cut(docs.select("*", F.struct(F.monotonically_increasing_id().alias("row_index")).alias("row_")))
+        return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(name))
+    return cut(docs.select("*", F.struct(F.monotonically_increasing_id().alias("row_index")).alias(name)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component one row stays: of the smallest doc_id (null last), and of equal ids
-    the first one by file and place."""
-    rows = numbered(docs)
-    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_").alias("row"))
+    the first one by file and place. Rows without words are no one's copies and stay."""
+    (row,) = unused(docs, "row")
+    rows = numbered(docs, row)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     kind = jaccard.jaccard_classes(rows.select(name.alias("doc_id"), "text"), WORDS, SIMILAR, 100)
-    copies = kind.where("doc_id <> component_id").select(F.col("doc_id.row").alias("row_"))
-    return rows.join(copies, "row_", "left_anti").select(*map(plain, docs.columns))
+    copies = kind.where("doc_id <> component_id").select(F.col("doc_id.row").alias(row))
+    return rows.join(copies, row, "left_anti").select(*map(plain, docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows in whose text no benchmark item occurs, judged row by row whatever their ids."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeat as often as the mix takes them."""
-    mixed = mixing.mix_sources(docs, mixing.cycle_weights)
-    again = mixed.where("mix_copies > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return again.select(*map(plain, docs.columns))
+    """Rows repeat as often as the mix takes them. A null source is a source; a column that
+    is named like one of mix_sources' results comes back as it was."""
+    names = unused(docs, *(f"c{i}" for i in range(len(docs.columns))), "copy")
+    inner = dict(zip(docs.columns, names))
+    mixed = mixing.mix_sources(docs.toDF(*names[:-1]), mixing.cycle_weights, id_col=inner["doc_id"], text_col=inner["text"], source_col=inner["source"])
+    again = mixed.where("mix_copies > 0").withColumn(names[-1], F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return again.select(*(F.col(inner[c]).alias(c) for c in docs.columns))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of each row; repeated rows get slots of their own."""
     return sharding.assign_shards(docs, SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
@@ -72,8 +82,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written and read again."""
-    from orbweave.llm.common import shared_folder
-
     docs, at = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
