@@ -1,60 +1,97 @@
-"""Scene graphs as node and edge tables: neighbours, message passing, pooling."""
+"""Scene graphs: neighbours, messages along a chain, and pooling.
+
+A house has as many nodes as a scene holds; whole houses meet in one task.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from orbweave.functions.vectors import r6, total
+#: Distances that one step of knn holds at once.
+PAIRS = 4_000_000
 
 
 def knn(nodes: DataFrame, k: int) -> DataFrame:
     """(house, i, j), i < j: each node with its k nearest of the same house, symmetrised.
 
-    Pairs stay within a house, whose size is bounded by what a room holds; ties by index.
+    Ties go to the smaller index. A house becomes one row first, which needs no shuffle
+    where `nodes` is already dealt by house; tasks then take all houses of one size at once.
     """
-    a, b = nodes.alias("a"), nodes.alias("b")
-    d2 = sum((((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}"))) for c in ("y", "z")), (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")))
-    p = a.join(b, (F.col("a.house") == F.col("b.house")) & (F.col("a.idx") != F.col("b.idx"))).select(F.col("a.house").alias("house"), F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), d2.alias("d2"))
-    near = p.withColumn("rn", F.row_number().over(W.partitionBy("house", "i").orderBy("d2", "j"))).where(F.col("rn") <= k)
-    return near.select("house", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-
-
-def chain(nodes: DataFrame) -> DataFrame:
-    """(house, i, j) of neighbours by index, both ways."""
-    nxt = nodes.select("house", F.col("idx").alias("i"), (F.lead("idx").over(W.partitionBy("house").orderBy("idx"))).alias("j")).where("j is not null")
-    return nxt.union(nxt.select("house", "j", "i"))
-
-
-def messages(nodes: DataFrame, edges: DataFrame, h: str = "h") -> DataFrame:
-    """Edges with both ends' features and positions: hi, hj, dx, dy, dz, d2."""
-    a = nodes.select("house", F.col("idx").alias("i"), F.col(h).alias("hi"), *[F.col(c).alias(f"{c}i") for c in "xyz"])
-    b = nodes.select("house", F.col("idx").alias("j"), F.col(h).alias("hj"), *[F.col(c).alias(f"{c}j") for c in "xyz"])
-    m = edges.join(a, ["house", "i"]).join(b, ["house", "j"])
-    m = m.select("house", "i", "j", "hi", "hj", *[(F.col(f"{c}i") - F.col(f"{c}j")).alias(f"d{c}") for c in "xyz"])
-    return m.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+    whole = nodes.groupBy("house").agg(F.collect_list("idx").alias("idx"), *[F.collect_list(c).alias(c) for c in "xyz"])
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            house, lists = np.asarray(batch.column(0)), [batch.column(c) for c in range(1, 5)]
+            size = np.asarray(lists[0].value_lengths())
+            start = np.cumsum(size) - size
+            idx, x = np.asarray(lists[0].flatten()), np.stack([np.asarray(v.flatten()) for v in lists[1:]], 1)
+            out = [np.zeros((0, 3), np.int64)]
+            for n in np.unique(size[size > 1]).tolist():
+                those = np.flatnonzero(size == n)
+                for a in range(0, len(those), max(1, PAIRS // (n * n))):
+                    some = those[a : a + max(1, PAIRS // (n * n))]
+                    at = start[some][:, None] + np.arange(n)
+                    at = np.take_along_axis(at, np.argsort(idx[at], 1), 1)
+                    d = x[at][:, :, None] - x[at][:, None]
+                    d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+                    d2[:, np.arange(n), np.arange(n)] = np.inf
+                    best = np.argsort(d2, 2, kind="stable")[:, :, : min(k, n - 1)]
+                    i = np.broadcast_to(idx[at][:, :, None], best.shape)
+                    j = np.take_along_axis(np.broadcast_to(idx[at][:, None], (len(some), n, n)), best, 2)
+                    h = np.broadcast_to(house[some][:, None, None], best.shape)
+                    out.append(np.unique(np.stack([h.ravel(), np.minimum(i, j).ravel(), np.maximum(i, j).ravel()], 1), axis=0))
+            found = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, c].copy()) for c in range(3)], names=["house", "i", "j"])
+
+    return whole.mapInArrow(near, "house long, i long, j long")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(house, i, j) of undirected edges, once from either end."""
+    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return edges.select("house", F.explode(ends).alias("e")).select("house", "e.i", "e.j")
+
+
+def without(edges: DataFrame, target: int) -> DataFrame:
+    """`edges` of the graph without one node: those at it go, later nodes move up by one."""
+    moved = [(F.col(c) - (F.col(c) > target).cast("long")).alias(c) for c in ("i", "j")]
+    return edges.where((F.col("i") != target) & (F.col("j") != target)).select("house", *moved)
+
+
+def with_neighbours(nodes: DataFrame, h: str = "h") -> DataFrame:
+    """`nodes` with near: their neighbours by index, as structs of j, hj, dx, dy, dz, d2.
+
+    Windows by house deal nodes as their numbering did, so nothing shuffles again.
+    """
+    w = W.partitionBy("house").orderBy("idx")
 
+    def end(step) -> Column:
+        d = {c: F.col(c) - step(c).over(w) for c in "xyz"}
+        parts = [step("idx").over(w).alias("j"), step(h).over(w).alias("hj"), *[v.alias(f"d{c}") for c, v in d.items()]]
+        d2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
+        return F.when(step("idx").over(w).isNotNull(), F.struct(*parts, d2.alias("d2")))
 
-def message_layer(nodes: DataFrame, edges: DataFrame, phi_e, phi_x, phi_h) -> DataFrame:
-    """One equivariant layer: m = phi_e(hi, hj, d2), x += sum (xi - xj) phi_x(m),
-    h += sum phi_h(m). Nodes without edges stay as they are."""
-    m = messages(nodes, edges).withColumn("m", phi_e(F.col("hi"), F.col("hj"), F.col("d2")))
-    move = [F.sum(F.col(f"d{c}") * phi_x(F.col("m"))).alias(f"d{c}") for c in "xyz"]
-    g = m.groupBy("house", F.col("i").alias("idx")).agg(*move, F.sum(phi_h(F.col("m"))).alias("dh"))
-    out = nodes.join(g, ["house", "idx"], "left")
-    new = [(F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) for c in "xyz"]
-    return out.select("house", "idx", "asset", *new, (F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("h"))
+    return nodes.withColumn("near", F.array_compact(F.array(end(F.lag), end(F.lead))))
 
 
-def pool(nodes: DataFrame, value: str, how: str = "mean") -> DataFrame:
-    """(house, pooled): mean, sum or max over a graph's nodes; another name is refused."""
-    aggs = {"mean": F.avg, "sum": F.sum, "max": F.max}
-    return nodes.groupBy("house").agg(aggs[how](value).alias("pooled"))
+def summed(near: str | Column, value) -> Column:
+    """The sum of value(neighbour); 0 of none."""
+    return F.aggregate(near, F.lit(0.0), lambda a, m: a + value(m))
 
 
-def squash(c: Column) -> Column:
-    return c / (1 + F.abs(c))
+def message_layer(nodes: DataFrame, phi_e, phi_x, phi_h) -> DataFrame:
+    """One equivariant layer along the chain with scalar features: m = phi_e(hi, hj, d2),
+    x += sum (xi - xj) phi_x(m), h += sum phi_h(m). Nodes without neighbours stay as they are.
+    """
+    n = with_neighbours(nodes)
 
+    def m(e: Column) -> Column:
+        return phi_e(F.col("h"), e["hj"], e["d2"])
 
-__all__ = ["chain", "knn", "message_layer", "messages", "pool", "r6", "squash", "total"]
+    new = [(F.col(c) + summed("near", lambda e, c=c: e[f"d{c}"] * phi_x(m(e)))).alias(c) for c in "xyz"]
+    return n.select("house", "idx", "asset", *new, (F.col("h") + summed("near", lambda e: phi_h(m(e)))).alias("h"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from orbweave.functions.vectors import r6
-from orbweave.operators.graph import chain, knn, message_layer as layer, messages, pool, squash
+from orbweave.operators.graph import both_ways, knn, message_layer as layer, summed, with_neighbours, without
+from orbweave.operators.layout import demo_encoder, encode_layouts, encode_nodes
 from orbweave.plans.registry import query
-from orbweave.sources.tables import NODES_SQL, nodes
+from orbweave.sources.tables import NODES_SQL, load, nodes
 
 KNN = f"""{NODES_SQL}, p AS (SELECT a.house, a.idx AS i, b.idx AS j, row_number() OVER (PARTITION BY a.house, a.idx ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.idx) AS rn FROM nodes a JOIN nodes b ON a.house = b.house AND a.idx <> b.idx),
 knn AS (SELECT DISTINCT house, least(i, j) AS i, greatest(i, j) AS j FROM p WHERE rn <= 3)"""
@@ -43,28 +43,23 @@ e AS (SELECT house, i, j FROM knn UNION ALL SELECT house, j, i FROM knn)
 SELECT e.house, a.new AS i, b.new AS j FROM e JOIN k a ON a.house = e.house AND a.idx = e.i JOIN k b ON b.house = e.house AND b.idx = e.j""")
 def context_graph(spark, d):
     """The graph without the target node 1: the other nodes numbered anew, edges both ways."""
-    n = nodes(spark, d)
-    kept = n.where("idx <> 1").select("house", "idx", (F.row_number().over(W.partitionBy("house").orderBy("idx")) - 1).cast("long").alias("new"))
-    e = knn(n, 3)
-    both = e.union(e.select("house", F.col("j").alias("i"), F.col("i").alias("j")))
-    both = both.join(kept.select("house", F.col("idx").alias("i"), F.col("new").alias("ni")), ["house", "i"]).join(kept.select("house", F.col("idx").alias("j"), F.col("new").alias("nj")), ["house", "j"])
-    return both.select("house", F.col("ni").alias("i"), F.col("nj").alias("j"))
+    return both_ways(without(knn(nodes(spark, d), 3), 1))
 
 
-def _segment(spark, d, how):
-    n = features(spark, d)
-    s = messages(n, chain(n)).groupBy("house", F.col("i").alias("idx")).agg(how("hj").alias("v"))
-    return n.select("house", "idx").join(s, ["house", "idx"], "left").select("house", "idx", r6(F.coalesce("v", F.lit(0.0))).alias("v"))
+def _segment(spark, d, mean):
+    n = with_neighbours(features(spark, d))
+    v = summed("near", lambda m: m["hj"])
+    return n.select("house", "idx", r6(v / F.greatest(F.size("near"), F.lit(1)) if mean else v).alias("v"))
 
 
 @query(f"WITH {NODES_SQL}, {FEATURES} SELECT f.house, f.idx, {_r6('coalesce(sum(hj), 0e0)')} AS v FROM f LEFT JOIN c ON c.house = f.house AND c.i = f.idx GROUP BY f.house, f.idx")
 def segment_sum(spark, d):
-    return _segment(spark, d, F.sum)
+    return _segment(spark, d, False)
 
 
 @query(f"WITH {NODES_SQL}, {FEATURES} SELECT f.house, f.idx, {_r6('coalesce(avg(hj), 0e0)')} AS v FROM f LEFT JOIN c ON c.house = f.house AND c.i = f.idx GROUP BY f.house, f.idx")
 def segment_mean(spark, d):
-    return _segment(spark, d, F.avg)
+    return _segment(spark, d, True)
 
 
 @query(f"WITH {NODES_SQL}, {FEATURES} SELECT house, {_r6('avg(h)')} AS mean, {_r6('sum(h)')} AS total, {_r6('max(h)')} AS most FROM f GROUP BY house")
@@ -76,57 +71,79 @@ def graph_pool(spark, d):
 @query(f"""WITH {NODES_SQL}, {FEATURES} SELECT house, idx, floor(sqrt((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz) + 1e-12) * 1e4 + 5e-1) / 1e4 AS distance
 FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM f WINDOW w AS (PARTITION BY house ORDER BY idx)) t WHERE idx > 0""")
 def edge_distance(spark, d):
-    m = messages(features(spark, d), chain(nodes(spark, d))).where("i > j")
-    return m.select("house", F.col("i").alias("idx"), (F.floor(F.sqrt(F.col("d2") + 1e-12) * 1e4 + 0.5).cast("double") / 1e4).alias("distance"))
+    m = with_neighbours(features(spark, d)).select("house", "idx", F.explode("near").alias("e")).where("e.j < idx")
+    return m.select("house", "idx", (F.floor(F.sqrt(F.col("e.d2") + 1e-12) * 1e4 + 0.5).cast("double") / 1e4).alias("distance"))
 
 
 @query(f"""WITH {NODES_SQL}, {FEATURES}, m AS (SELECT *, hi + 5e-1 * hj - 1e-3 * (dx * dx + dy * dy + dz * dz) AS m FROM c), g AS (SELECT house, i, sum(dx * m * 1e-2) AS sx, sum(m) AS sh FROM m GROUP BY house, i)
 SELECT f.house, f.idx, {_r6('x + coalesce(sx, 0e0)')} AS x, {_r6('h + coalesce(sh, 0e0)')} AS h FROM f LEFT JOIN g ON g.house = f.house AND g.i = f.idx""")
 def message_layer(spark, d):
-    """One layer with linear maps in place of networks."""
-    n = features(spark, d)
-    out = layer(n, chain(n), lambda hi, hj, d2: hi + 0.5 * hj - 0.001 * d2, lambda m: m * 0.01, lambda m: m)
+    """One layer along the chain with scalar features and linear maps, as SQL can say it; see
+    layout_layer for vectors and networks."""
+    out = layer(features(spark, d), lambda hi, hj, d2: hi + 0.5 * hj - 0.001 * d2, lambda m: m * 0.01, lambda m: m)
     return out.select("house", "idx", r6(F.col("x")).alias("x"), r6(F.col("h")).alias("h"))
 
 
-def encoder(n, layers=2):
-    edges = chain(n)
-    for _ in range(layers):
-        n = layer(n, edges, lambda hi, hj, d2: squash(hi + 0.5 * hj + 1 / (1 + d2)), lambda m: squash(m) * 0.01, squash)
-    return n
+def _graphs(spark, d):
+    """Nodes with three features in small coordinates, and their nearest neighbours both ways
+    with two edge features; every fifth relation is missing."""
+    n = nodes(spark, d).select("house", "idx", "asset", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), F.col("z"))
+    n = n.withColumn("feature", F.array(F.sin(F.col("asset").cast("double")), F.cos(F.col("asset").cast("double")), F.lit(1.0)))
+    return n, _related(both_ways(knn(n, 3)))
+
+
+def _related(edges):
+    key = F.least("i", "j") * 7 + F.greatest("i", "j")
+    edge = F.array(F.sin(key.cast("double")), F.cos(key.cast("double")))
+    return edges.withColumn("edge", F.when(F.pmod(key + F.col("house"), F.lit(5)) != 0, edge))
+
+
+@query()
+def layout_layer(spark, d):
+    """One layer in which one message serves features and positions."""
+    return encode_nodes(*_graphs(spark, d), demo_encoder(3, 2, layers=1))
 
 
 @query()
 def message_layer_two_mlp(spark, d):
-    """Separate maps for features and positions; positions read the new features."""
-    n = features(spark, d)
-    edges = chain(n)
-    h = layer(n, edges, lambda hi, hj, d2: squash(hi + hj / (1 + d2)), lambda m: F.lit(0.0), squash)
-    x = layer(h, edges, lambda hi, hj, d2: squash(hi - hj / (1 + d2)), lambda m: m * 0.01, lambda m: F.lit(0.0))
-    return x.select("house", "idx", "x", "h")
+    """One layer with a network each for features and positions; positions read the new features."""
+    return encode_nodes(*_graphs(spark, d), demo_encoder(3, 2, layers=1, two_nets=True))
 
 
 @query()
 def layout_embedding(spark, d):
-    return pool(encoder(features(spark, d)), "h")
+    return encode_layouts(*_graphs(spark, d), demo_encoder(3, 2))
 
 
 @query()
 def loo_query(spark, d):
-    """Layout of each house without its node 1; an empty context gives no row."""
-    n = features(spark, d).where("idx <> 1")
-    n = n.withColumn("idx", (F.row_number().over(W.partitionBy("house").orderBy("idx")) - 1).cast("long"))
-    return pool(encoder(n), "h")
+    """Layout of each house without its node 1: an empty context gives no row, one without
+    edges does."""
+    n, e = _graphs(spark, d)
+    n = n.where("idx <> 1").withColumn("idx", F.col("idx") - (F.col("idx") > 1).cast("long"))
+    return encode_layouts(n, _related(without(e.drop("edge"), 1)), demo_encoder(3, 2))
+
+
+def _deltas(n, e, enc):
+    """Largest changes of the layout under a rotation, a shift and both."""
+    c, s = 0.6, 0.8  # cosine and sine of the rotation
+    turn = {"x": F.col("x") * c - F.col("y") * s, "y": F.col("x") * s + F.col("y") * c}
+    shift = {a: F.col(a) + by for a, by in zip("xyz", (3.0, -7.0, 2.0))}
+    both = {"x": turn["x"] + 3.0, "y": turn["y"] - 7.0, "z": F.col("z") + 2.0}
+    out = encode_layouts(n, e, enc)
+    for name, move in (("rotation", turn), ("translation", shift), ("both", both)):
+        out = out.join(encode_layouts(n.withColumns(move), e, enc).withColumnRenamed("layout", name), "house")
+    gap = lambda name: F.max(F.array_max(F.zip_with("layout", name, lambda a, b: F.abs(a - b))))
+    return out.agg(*[gap(name).alias(name) for name in ("rotation", "translation", "both")])
 
 
 @query()
 def se3_invariance(spark, d):
-    """Largest change of the layout under a rotation and a shift; near 0 if invariant."""
-    n = features(spark, d)
-    c, s = 0.6, 0.8  # cosine and sine of the rotation
-    moved = n.select("house", "idx", "asset", (F.col("x") * c - F.col("y") * s + 3).alias("x"), (F.col("x") * s + F.col("y") * c - 7).alias("y"), (F.col("z") + 2).alias("z"), "h")
-    a, b = pool(encoder(n), "h"), pool(encoder(moved), "h").withColumnRenamed("pooled", "moved")
-    return a.join(b, "house").agg((F.max(F.abs(F.col("pooled") - F.col("moved"))) < 1e-8).alias("invariant"))
+    """The three changes of an invariant encoder, near 0, and of one that reads raw positions."""
+    n, e = _graphs(spark, d)
+    kinds = [(name, _deltas(n, e, demo_encoder(3, 2, absolute=raw))) for name, raw in (("invariant", False), ("absolute", True))]
+    rows = [x.select(F.lit(name).alias("encoder"), "*", (F.greatest("rotation", "translation", "both") < 1e-6).alias("passes")) for name, x in kinds]
+    return rows[0].union(rows[1])
 
 
 TREE = '{"id": "room", "children": [{"id": "table", "children": [{"id": "cup", "children": []}, {"id": "plate", "children": [{"id": "fork", "children": []}]}]}, {"id": "lamp", "children": []}]}'
