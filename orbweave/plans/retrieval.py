@@ -3,15 +3,14 @@ compared with all other rows."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from orbweave.functions.vectors import add, dot, doubles, r6, unit
 from orbweave.operators.search import scores
 from orbweave.plans.registry import query
-from orbweave.sources.tables import file_inventory, load
+from orbweave.sources import tables
+from orbweave.sources.tables import file_inventory, kept, load
 
 SIMS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, g.vec_id AS id, g.label, q.label AS query_label, floor(list_cosine_similarity(q.v, g.v) * 1e9 + 5e-1) / 1e9 AS sim
@@ -24,15 +23,6 @@ def _sides(spark, d):
     return e.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "vec"), e
 
 
-def kept(df):
-    """`df` with its lineage cut, below spark.checkpoint.dir; a temporary folder only where
-    that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orbweave-"))
-    return df.checkpoint()
-
-
 def _top(spark, d, k):
     q, g = _sides(spark, d)
     return scores(q.drop("query_label"), g, k).join(q.select("query_id", "query_label"), "query_id")
@@ -176,11 +166,8 @@ def cosine_pairs(spark, d):
 
 @query()
 def index_descriptor(spark, d):
-    """Size, width and content digest of an index; the digest sums row hashes, so neither
-    order nor partitions matter and nothing is gathered."""
-    e = load(spark, d, "embeddings")
-    part = F.conv(F.substring(F.sha2(F.to_json(F.struct("vec_id", "embedding")), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return e.agg(F.count("*").alias("count"), F.max(F.size("embedding")).alias("dim"), F.sum(part).cast("string").alias("digest"))
+    """Size, width and content digest of an index."""
+    return tables.index_descriptor(load(spark, d, "embeddings"))
 
 
 # The ablation variants.
