@@ -75,9 +75,10 @@ def json_lines(spark: SparkSession, path: str, schema, required: list[str] | Non
 
 
 def record_folder(spark: SparkSession, path: str, schema, required: list[str] | None = None, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine) of a folder that holds a record a file; see json_lines."""
+    """(records, quarantine) of a folder that holds a record a file; see json_lines. Torn
+    characters are quarantined too; files of no bytes are not rows to Spark and give none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))  # empty files and torn characters too
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))
     return _parsed(files.select(F.col("path").alias("file"), text.alias("value")), schema, required or [], "file")
 
 

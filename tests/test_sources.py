@@ -24,8 +24,9 @@ def test_torn_lines_are_quarantined(spark, tmp_path):
 
 
 def test_folder_of_records(spark, tmp_path):
-    for name, text in (("a.json", '{"uid": "a",\n "n": 1}'), ("b.json", ""), ("c.json", "null"), ("d.txt", "{}"), ("e.json", "{} {")):
+    for name, text in (("a.json", '{"uid": "a",\n "n": 1}'), ("empty.json", ""), ("c.json", "null"), ("d.txt", "{}"), ("e.json", "{} {")):
         (tmp_path / name).write_text(text)
+    (tmp_path / "b.json").write_bytes(b'{"uid": "\xff"}')
     good, bad = S.record_folder(spark, str(tmp_path), RECORD)
     assert values(good, "uid", "n") == [("a", 1)]
     assert [f.rsplit("/", 1)[1] for f, in values(bad, "file")] == ["b.json", "c.json", "e.json"]
