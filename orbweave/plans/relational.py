@@ -120,16 +120,12 @@ blocks AS (SELECT b, sum(m) OVER (ORDER BY b) - m AS before, sum(m) OVER () AS n
 ranked AS (SELECT id, before + row_number() OVER (PARTITION BY substring(h, 1, 2) ORDER BY h, id) AS rn, n FROM keyed JOIN blocks ON b = substring(h, 1, 2)),
 split AS (SELECT id, CASE WHEN rn * 10 <= n * 8 + CASE WHEN n * 8 % 10 > 5 OR n * 8 % 10 = 5 AND CAST(floor(n * 8 / 10) AS BIGINT) % 2 = 1 THEN 10 - n * 8 % 10 ELSE -(n * 8 % 10) END THEN 'train' ELSE 'test' END AS split FROM ranked)"""
 portable("split_80_20", f"WITH {SPLIT} SELECT id, split FROM split")
-portable("split_leakage", f"WITH {SPLIT} SELECT count(*) AS leaked FROM (SELECT id FROM split WHERE split = 'train' INTERSECT SELECT id FROM split WHERE split = 'test') x")
 portable("eval_protocols", f"""WITH {SPLIT}, c AS (SELECT count(CASE WHEN split = 'test' THEN 1 END) AS n_test, count(*) AS n_all FROM split)
 SELECT 'A' AS protocol, n_test AS n_query, n_test AS n_gallery FROM c UNION ALL SELECT 'B', n_test, n_all FROM c""")
 portable("topk_per_group", """WITH r AS (SELECT l_orderkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS rn FROM lineitem)
 SELECT l_orderkey, CAST(rn AS BIGINT) AS rn, l_partkey, l_extendedprice FROM r WHERE rn <= 2""")
 portable("limit_sorted", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 portable("enumerate_samples", f"WITH {NODES_SQL}, {SPLIT} SELECT house, idx, asset FROM nodes WHERE EXISTS (SELECT 1 FROM split WHERE id = house AND split = 'train') AND EXISTS (SELECT 1 FROM part WHERE p_partkey = asset AND p_size > 10)")
-UNIQUE = "batched AS (SELECT house, idx, asset, CAST(row_number() OVER (PARTITION BY asset ORDER BY sha256(concat(CAST(house AS VARCHAR(20)), ':', CAST(idx AS VARCHAR(20)))), house, idx) AS BIGINT) AS layer, CAST(asset % 16 AS BIGINT) AS lane FROM nodes)"
-portable("unique_batches", f"WITH {NODES_SQL}, {UNIQUE} SELECT house, idx, asset, layer, lane FROM batched")
-portable("unique_batches_check", f"WITH {NODES_SQL}, {UNIQUE} SELECT count(*) AS n, count(DISTINCT concat(CAST(layer AS VARCHAR(20)), ':', CAST(asset AS VARCHAR(20)))) AS distinct_in_batches FROM batched")
 
 # --- sets -------------------------------------------------------------------------------------
 
@@ -138,9 +134,6 @@ adjacency AS (SELECT DISTINCT a.house, a.idx AS i, b.idx AS j FROM nodes a JOIN
 portable("semantic_candidates", f"WITH {EDGES} SELECT house, i, j FROM support UNION SELECT house, i, j FROM adjacency")
 portable("adjacency_minus_support", f"WITH {EDGES} SELECT house, i, j FROM adjacency EXCEPT SELECT house, i, j FROM support")
 portable("symmetric_edges", f"WITH {EDGES} SELECT house, i, j FROM adjacency UNION ALL SELECT house, j AS i, i AS j FROM adjacency")
-portable("partition_complete", """WITH m AS (SELECT p_partkey AS id FROM part), a AS (SELECT p_partkey AS id FROM part WHERE p_size > 5), q AS (SELECT p_partkey AS id FROM part WHERE p_size <= 5),
-u AS (SELECT id FROM a UNION ALL SELECT id FROM q)
-SELECT (SELECT count(*) FROM (SELECT id FROM m EXCEPT SELECT id FROM u) x) AS missing, (SELECT count(*) FROM (SELECT id FROM u EXCEPT SELECT id FROM m) x) AS strangers, (SELECT count(*) - count(DISTINCT id) FROM u) AS duplicates""")
 portable("classify_population", """SELECT CASE WHEN p_size > 40 THEN 'v3' WHEN p_size > 20 THEN 'v1' WHEN p_retailprice > 1000 THEN 'current' ELSE 'undeclarable' END AS population, count(*) AS n FROM part GROUP BY 1""")
 portable("keys_in_use", "SELECT DISTINCT l_partkey AS asset FROM lineitem")
 

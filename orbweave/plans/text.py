@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbweave.functions import text as X
-from orbweave.plans.registry import portable, query
+from orbweave.plans.registry import portable, query, run_sql
 from orbweave.sources.tables import load
 
 _CAMEL_SQL = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '') || '_' || upper(p_type[1]) || lower(p_type[2:])"
@@ -89,15 +89,24 @@ def serialize_record(spark, d):
     return serialized(spark, d)
 
 
+# The sentence as SQL text of Spark, written apart from the expressions it is compared with.
+_AGAIN = """WITH s AS (SELECT *, array_compact(array(CASE WHEN (p_size & 1) > 0 THEN 'on a ceiling' END, CASE WHEN (p_size & 2) > 0 THEN 'on a wall' END,
+CASE WHEN (p_size & 4) > 0 THEN 'on the floor' END, CASE WHEN (p_size & 8) > 0 THEN 'on top of other objects' END)) AS at, '[.]0$' AS end FROM part)
+SELECT p_partkey, concat('A ', p_name, '. ', initcap(p_type), ' made of ', replace(p_name, ' ', ', '), ', roughly ', regexp_replace(format_number(CAST(p_size AS DOUBLE), '0.0'), end, ''), ' by ',
+regexp_replace(format_number(p_retailprice / 8, '0.0'), end, ''), ' by ', regexp_replace(format_number(CAST(p_size AS DOUBLE) / 4, '0.0'), end, ''), ' centimetres, ',
+CASE p_size & 15 WHEN 0 THEN 'with no typical placement' WHEN 12 THEN 'typically placed on the floor or on other objects'
+ELSE concat(if((p_size & 3) > 0, 'typically mounted ', 'typically placed '), array_join(at, ' or ')) END, '.') AS again FROM s"""
+
+
+def differing(one, other):
+    """(p_partkey, text, again): rows of which either side is null, missing or another string."""
+    return one.join(other, "p_partkey", "full").where(~F.col("text").eqNullSafe(F.col("again"))).select("p_partkey", "text", "again")
+
+
 @query()
 def serializer_diff(spark, d):
     """Rows on which the serialiser and a separately written SQL text differ; none is right."""
-    from orbweave.plans.registry import run_sql
-
-    again = run_sql(spark, d, """SELECT p_partkey, concat('A ', p_name, '. ', initcap(p_type), ' made of ', replace(p_name, ' ', ', '), ', roughly ',
-      regexp_replace(format_number(CAST(p_size AS DOUBLE), '0.0'), '[.]0$', ''), ' by ', regexp_replace(format_number(p_retailprice / 8, '0.0'), '[.]0$', ''), ' by ',
-      regexp_replace(format_number(CAST(p_size AS DOUBLE) / 4, '0.0'), '[.]0$', ''), ' centimetres, ') AS head FROM part""")
-    return serialized(spark, d).join(again, "p_partkey").where(~F.col("text").startswith(F.col("head"))).select("p_partkey", "text")
+    return differing(serialized(spark, d), run_sql(spark, d, _AGAIN))
 
 
 @query()
@@ -120,8 +129,8 @@ def fold_synonyms(spark, d):
     return load(spark, d, "part").select("p_partkey", F.array_join(X.fold_synonyms(raw), ",").alias("materials"))
 
 
-@query(r"""WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'Sure, here it is: "' || text || '"' ELSE '```json' || chr(10) || text || '```' END AS raw FROM conversations),
-c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '```[a-z]*', '', 'g'), '(?i)^\s*(?:sure|certainly|of course|okay|ok|here(?:''s| is| it is)?|the (?:answer|response|sentence|relationship)|answer|response|sentence|relationship)\b[^.\n]{0,40}:\s*', ''), '^\s+|\s+\z', '', 'g') AS t FROM r)
+@query(rf"""WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'Sure, here it is: "' || text || '"' ELSE '```json' || chr(10) || text || '```' END AS raw FROM conversations),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '```[a-z]*', '', 'g'), '{X.PREAMBLE.replace(chr(39), chr(39) * 2)}', ''), '^\s+|\s+\z', '', 'g') AS t FROM r)
 SELECT conv_id, turn, role, regexp_replace(split_part(t, chr(10), 1), '^["'']+|["'']+\z', '', 'g') AS sentence FROM c""")
 def unwrap_text(spark, d):
     c = load(spark, d, "conversations")
@@ -136,7 +145,7 @@ portable(
 )
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(position|coordinate|x\s*=|y\s*=|z\s*=|metres away|meters away|rotation|orientation|world.frame)\b') AS forbidden FROM documents")
+@query(f"SELECT doc_id, regexp_matches(text, '{X.COORDINATE_WORDS}') AS forbidden FROM documents")
 def forbidden_terms(spark, d):
     return load(spark, d, "documents").select("doc_id", F.col("text").rlike(X.COORDINATE_WORDS).alias("forbidden"))
 
