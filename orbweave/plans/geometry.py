@@ -78,7 +78,7 @@ def _mlp(fused: pd.Series) -> pd.Series:
     w = np.sin(np.arange(n * 16).reshape(n, 16) * 0.37) / np.sqrt(n)
     h = x @ w
     h = h * 0.5 * (1 + np.tanh(0.7978845608 * (h + 0.044715 * h**3)))
-    return pd.Series(list(h @ w.T))
+    return pd.Series(list(h @ w[:64].T))
 
 
 @query()
@@ -88,6 +88,15 @@ def fuse_mlp(spark, d):
     return e.select("vec_id", _mlp(V.mean_of(s, m)).alias("fused"))
 
 
+@query()
+def fuse_masked_mlp(spark, d):
+    """The same on all three slots side by side; absent ones hold a learned token, here the
+    ramp 0.01 * position."""
+    e, s, m = slots(spark, d)
+    token = [F.when(p, x).otherwise(F.transform(x, lambda _, n: n * F.lit(0.01))) for x, p in zip(s, m)]
+    return e.select("vec_id", _mlp(F.concat(*token)).alias("fused"))
+
+
 @query(f"WITH {SLOTS} SELECT vec_id, pos, {_r6('(t * mt + i * mi + p * mp) / greatest(mt + mi + mp, 1e0) + CASE WHEN vec_id % 5 = 0 THEN 0e0 ELSE 5e-1 * p END')} AS v FROM u")
 def layout_residual(spark, d):
     e, s, m = slots(spark, d)
