@@ -16,46 +16,151 @@ def blocked(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
 
 
-def scores(queries: DataFrame, gallery: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, id, label, sim): inner products of unit vectors, rounded to 9 decimals.
+def unit_rows(column) -> np.ndarray:
+    """The vectors of an Arrow list column as rows of length 1 (zeros stay zeros)."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+
 
-    `queries`: query_id, vec; `gallery`: id, label, vec. Each block of queries meets each
-    block of the gallery in a task of its own; with k, a task keeps its k best for each
-    query (ties by id) and a window merges them. Nothing is broadcast or collected.
+def meet(queries: DataFrame, gallery: DataFrame, f, schema: str) -> DataFrame:
+    """f(similarities, query block, gallery block) of each pair of blocks, as `schema`.
+
+    Both sides have a column vec; similarities are inner products of unit vectors, rounded to
+    9 decimals. Each block of queries meets each block of the gallery in a task of its own;
+    nothing is broadcast or collected.
     """
     nq, ng = queries.count(), gallery.count()
     bq, bg = max(1, -(-nq // BLOCK)), max(1, -(-ng // BLOCK))
     # Names of their own: both sides may come from one table.
-    queries = queries.select("query_id", F.col("vec").alias("query_vec"))
-    gallery = gallery.select("id", "label", F.col("vec").alias("gallery_vec"))
-    q = blocked(queries, "query_id", nq, "qb").withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(bg - 1))))
-    g = blocked(gallery, "id", ng, "gb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-
-    def matrix(column):
-        x = np.stack(column) if len(column) else np.zeros((0, 1))
-        x = x.astype(np.float64)
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    queries, gallery = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (queries, gallery))
+    q = blocked(queries, queries.columns[0], nq, "qb").withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(bg - 1))))
+    g = blocked(gallery, gallery.columns[0], ng, "gb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
 
-    def meet(left, right):
-        import pandas as pd
+    def pair(left, right):
+        import pyarrow as pa
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "label": [], "sim": []}).astype({"query_id": "int64", "id": "int64", "label": "int32"})
-        sim = np.floor(matrix(left.query_vec) @ matrix(right.gallery_vec).T * 1e9 + 0.5) / 1e9
-        ids, labels = right.id.to_numpy(), right.label.to_numpy()
-        own = left.query_id.to_numpy()[:, None] == ids[None]
-        sim[own] = -np.inf
-        if k is None:
-            a, b = np.nonzero(~own)
+            sim = np.zeros((len(left), len(right)))
         else:
-            order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim))[:, : k + 1]
-            a, b = np.repeat(np.arange(len(left)), order.shape[1]), order.ravel()
-            keep = ~own[a, b]
-            a, b = a[keep], b[keep]
-        return pd.DataFrame({"query_id": left.query_id.to_numpy()[a], "id": ids[b], "label": labels[b], "sim": sim[a, b]})
+            sim = np.floor(unit_rows(left["vec"]) @ unit_rows(right["vec"]).T * 1e9 + 0.5) / 1e9
+        return pa.table(f(sim, left, right))
 
-    met = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInPandas(meet, "query_id long, id long, label int, sim double")
+    return q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(pair, schema)
+
+
+def best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row, ties by id; -inf never counts."""
+    if not sim.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k = min(k, sim.shape[1])
+    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+    a, b = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+    order = np.lexsort((ids[b], -sim[a, b], a))
+    a, b = a[order], b[order]
+    first = np.searchsorted(a, a, "left")
+    keep = np.arange(len(a)) - first < k
+    return a[keep], b[keep]
+
+
+def scores(queries: DataFrame, gallery: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, id, label, sim) of all pairs but a row with itself; with k, also rank, of
+    the k best for each query (ties by id): each task keeps k and a window merges them.
+
+    `queries`: query_id, vec; `gallery`: id, label, vec.
+    """
+
+    def f(sim, left, right):
+        import pyarrow as pa
+
+        own, ids = np.asarray(left["query_id"]), np.asarray(right["id"])
+        sim[own[:, None] == ids[None]] = -np.inf
+        a, b = best(sim, ids, k) if k else np.nonzero(sim > -np.inf)
+        return {"query_id": pa.array(own[a]), "id": pa.array(ids[b]), "label": pa.array(np.asarray(right["label"])[b].astype(np.int32)), "sim": pa.array(sim[a, b])}
+
+    met = meet(queries.select("query_id", "vec"), gallery.select("id", "label", "vec"), f, "query_id long, id long, label int, sim double")
     if k is None:
         return met
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return met.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def target_ranks(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(query_id, target_rank): one more than the rows that beat the best of the query's own
+    label, so ties don't hurt. Queries without such a row give none. Blocks give a maximum
+    and then a count for each query, never their pairs.
+
+    `queries`: query_id, query_label, vec; `gallery`: id, label, vec.
+    """
+
+    def top(sim, left, right):
+        import pyarrow as pa
+
+        own, ids = np.asarray(left["query_id"]), np.asarray(right["id"])
+        sim[(own[:, None] == ids[None]) | (np.asarray(left["query_label"])[:, None] != np.asarray(right["label"])[None])] = -np.inf
+        m = sim.max(1, initial=-np.inf)
+        return {"query_id": pa.array(own[m > -np.inf]), "best": pa.array(m[m > -np.inf])}
+
+    def beaten(sim, left, right):
+        import pyarrow as pa
+
+        own, ids = np.asarray(left["query_id"]), np.asarray(right["id"])
+        sim[own[:, None] == ids[None]] = -np.inf
+        return {"query_id": pa.array(own), "n": pa.array((sim > np.asarray(left["best"])[:, None]).sum(1))}
+
+    g = gallery.select("id", "label", "vec")
+    b = meet(queries.select("query_id", "query_label", "vec"), g, top, "query_id long, best double").groupBy("query_id").agg(F.max("best").alias("best"))
+    n = meet(queries.join(b, "query_id").select("query_id", "best", "vec"), g.select("id", "vec"), beaten, "query_id long, n long")
+    return n.groupBy("query_id").agg((F.sum("n") + 1).alias("target_rank"))
+
+
+def self_found(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(query_id, found): whether the gallery's row of the query's id is among the query's best
+    matches, ties included. Of an index whose ids were mixed up it is not; an absent id isn't
+    found either.
+    """
+
+    def f(sim, left, right):
+        import pyarrow as pa
+
+        own = np.asarray(left["query_id"])
+        mine = np.where(own[:, None] == np.asarray(right["id"])[None], sim, -np.inf)
+        return {"query_id": pa.array(own), "most": pa.array(sim.max(1, initial=-np.inf)), "mine": pa.array(mine.max(1, initial=-np.inf))}
+
+    met = meet(queries.select("query_id", "vec"), gallery.select("id", "vec"), f, "query_id long, most double, mine double")
+    found = (F.max("mine") == F.max("most")) & (F.max("mine") > float("-inf"))
+    return met.groupBy("query_id").agg(found.alias("found"))
+
+
+def batch_losses(rows: DataFrame, tau: float) -> DataFrame:
+    """(batch, n, forward, backward, right_ones) of contrastive batches: the mean loss of q
+    against all g of its batch, of g against all q, and the rows whose own g is a best match.
+
+    `rows`: batch, i, q, g; a batch is as large as a training step holds. tau is positive.
+    Buckets of whole batches go to tasks; each batch is one matrix product.
+    """
+    if not tau > 0:
+        raise ValueError(f"tau is {tau}; it must be positive")
+    buckets = max(1, -(-rows.count() // (16 * BLOCK)))
+
+    def run(t):
+        import pyarrow as pa
+
+        batch = np.asarray(t["batch"])
+        order = np.argsort(batch, kind="stable")
+        q, g, batch = unit_rows(t["q"])[order], unit_rows(t["g"])[order], batch[order]
+        start = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))
+        out = []
+        for a, b in zip(start.tolist(), np.append(start[1:], len(batch)).tolist()):
+            s = q[a:b] @ g[a:b].T
+            own, loss = np.diag(s), []
+            for axis in (1, 0):
+                m = s.max(axis, keepdims=True)
+                loss.append((np.log(np.exp((s - m) / tau).sum(axis)) + (m.ravel() - own) / tau).mean())
+            out.append((int(batch[a]), b - a, *loss, int((own >= s.max(1) - 1e-12).sum())))
+        return pa.table({c: pa.array([o[i] for o in out], k) for i, (c, k) in enumerate((("batch", pa.int64()), ("n", pa.int64()), ("forward", pa.float64()), ("backward", pa.float64()), ("right_ones", pa.int64())))})
+
+    keyed = rows.select("batch", "q", "g", F.pmod(F.xxhash64("batch"), F.lit(buckets)).alias("bucket"))
+    return keyed.groupBy("bucket").applyInArrow(run, "batch long, n long, forward double, backward double, right_ones long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from orbweave.functions.vectors import add, dot, doubles, r6, unit
-from orbweave.operators.search import scores
+from orbweave.operators.search import batch_losses, scores, self_found, target_ranks
 from orbweave.plans.registry import query
 from orbweave.sources import tables
 from orbweave.sources.tables import file_inventory, kept, load
@@ -46,10 +46,7 @@ def recall_at_k(spark, d):
 SELECT s.query_id, 1 + count(CASE WHEN s.sim > t.best THEN 1 END) AS target_rank FROM s JOIN t ON t.query_id = s.query_id GROUP BY s.query_id""")
 def target_rank(spark, d):
     """Rank of the best row of the query's own label, safe under ties."""
-    q, g = _sides(spark, d)
-    s = scores(q.drop("query_label"), g).join(q.select("query_id", "query_label"), "query_id")
-    best = F.max(F.when(F.col("label") == F.col("query_label"), F.col("sim"))).over(W.partitionBy("query_id"))
-    return s.withColumn("best", best).where("best is not null").groupBy("query_id").agg((F.count_if(F.col("sim") > F.col("best")) + 1).alias("target_rank"))
+    return target_ranks(*_sides(spark, d))
 
 
 @query(f"WITH {SIMS} SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids, max(sim) AS best, min(sim) AS fifth FROM r WHERE rank <= 5 GROUP BY query_id")
@@ -60,10 +57,14 @@ def retrieval_trace(spark, d):
 
 @query(f"WITH {SIMS} SELECT query_id, id AS chosen, row_number() OVER (ORDER BY query_id) - 1 AS step FROM r WHERE rank = 1")
 def compose_parallel(spark, d):
-    """One retrieval for all slots at once; slots keep the order of their query."""
-    top = _top(spark, d, 1)
-    n = F.row_number().over(W.orderBy("query_id")) - 1  # one row for each slot of a scene
-    return top.select("query_id", F.col("id").alias("chosen"), n.cast("long").alias("step"))
+    """One retrieval for all slots at once; slots keep the order of their query. They are
+    numbered in blocks of ids, which the sizes of earlier blocks move up."""
+    top = _top(spark, d, 1).select("query_id", F.col("id").alias("chosen"), F.floor(F.col("query_id") / 65536).alias("block"))
+    sizes = top.groupBy("block").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("block").orderBy("query_id"))
+    moved = top.withColumn("place", place).join(sizes.select("block", before.alias("before")), "block")
+    return moved.select("query_id", "chosen", (F.col("before") + F.col("place") - 1).alias("step"))
 
 
 @query()
@@ -108,13 +109,12 @@ def compose_iterative(spark, d, slots: int = 25, weight: float = 0.3):
     return out
 
 
-@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0)
-SELECT q.vec_id AS query_id, max(list_cosine_similarity(q.v, g.v)) <= list_cosine_similarity(any_value(q.v), any_value(q.v)) + 1e-9 AS found FROM q JOIN e g ON true GROUP BY q.vec_id""")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, g.vec_id AS id, floor(list_cosine_similarity(q.v, g.v) * 1e9 + 5e-1) / 1e9 AS sim FROM e q JOIN e g ON q.vec_id % 20 = 0)
+SELECT query_id, max(CASE WHEN id = query_id THEN sim END) = max(sim) AS found FROM s GROUP BY query_id""")
 def self_retrieval(spark, d):
-    """Whether a row is among the best matches of itself."""
+    """Whether a row of the index is among the best matches of its own vector, ties included."""
     q, g = _sides(spark, d)
-    best = scores(q.drop("query_label"), g, 1).select("query_id", "sim")
-    return q.join(best, "query_id", "left").select("query_id", (F.coalesce("sim", F.lit(-1.0)) <= 1 + 1e-9).alias("found"))
+    return self_found(q, g)
 
 
 BATCH = """e AS (SELECT vec_id, CAST(floor(vec_id / 32) AS BIGINT) AS batch, CAST(embedding AS DOUBLE[]) AS q, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + 2e-1 * sin(CAST(vec_id * 64 + i AS DOUBLE))) AS g FROM embeddings),
@@ -122,19 +122,11 @@ s AS (SELECT a.batch, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.q,
 
 
 def _batches(spark, d):
-    """Similarities of towers q and g within batches of 32 ids."""
-    e = load(spark, d, "embeddings")
+    """Losses of towers q and g in batches of 32 ids."""
     v = doubles(F.col("embedding"))
     other = F.transform(v, lambda x, i: x + F.lit(0.2) * F.sin((F.col("vec_id") * 64 + i + 1).cast("double")))
-    e = e.select(F.floor(F.col("vec_id") / 32).cast("long").alias("batch"), "vec_id", unit(v).alias("q"), unit(other).alias("g"))
-    a, b = e.select("batch", F.col("vec_id").alias("i"), "q"), e.select("batch", F.col("vec_id").alias("j"), "g")
-    return a.join(b, "batch").select("batch", "i", "j", dot(F.col("q"), F.col("g")).alias("sim"))
-
-
-def _loss(s, side, tau=0.5):
-    m = s.withColumn("m", F.max("sim").over(W.partitionBy("batch", side)))
-    row = m.groupBy("batch", side).agg((F.log(F.sum(F.exp((F.col("sim") - F.col("m")) / tau))) + F.max("m") / tau - F.max(F.when(F.col("i") == F.col("j"), F.col("sim"))) / tau).alias("l"))
-    return row.groupBy("batch").agg(F.avg("l").alias(f"loss_{side}"))
+    e = load(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 32).cast("long").alias("batch"), v.alias("q"), other.alias("g"))
+    return batch_losses(e, 0.5)
 
 
 def _loss_sql(side):
@@ -143,19 +135,17 @@ def _loss_sql(side):
 
 @query(f"WITH {BATCH} SELECT batch, floor(l * 1e6 + 5e-1) / 1e6 AS loss FROM ({_loss_sql('i')}) y")
 def info_nce(spark, d):
-    return _loss(_batches(spark, d), "i").select("batch", r6(F.col("loss_i")).alias("loss"))
+    return _batches(spark, d).select("batch", r6(F.col("forward")).alias("loss"))
 
 
 @query(f"WITH {BATCH} SELECT a.batch, floor((a.l + b.l) / 2 * 1e6 + 5e-1) / 1e6 AS loss FROM ({_loss_sql('i')}) a JOIN ({_loss_sql('j')}) b ON a.batch = b.batch")
 def info_nce_sym(spark, d):
-    s = _batches(spark, d)
-    return _loss(s, "i").join(_loss(s, "j"), "batch").select("batch", r6((F.col("loss_i") + F.col("loss_j")) / 2).alias("loss"))
+    return _batches(spark, d).select("batch", r6((F.col("forward") + F.col("backward")) / 2).alias("loss"))
 
 
 @query(f"WITH {BATCH}, m AS (SELECT batch, i, max(sim) AS best, max(CASE WHEN i = j THEN sim END) AS own FROM s GROUP BY batch, i) SELECT batch, count(*) AS n, count(CASE WHEN own >= best - 1e-12 THEN 1 END) AS right_ones FROM m GROUP BY batch")
 def batch_accuracy(spark, d):
-    m = _batches(spark, d).groupBy("batch", "i").agg(F.max("sim").alias("best"), F.max(F.when(F.col("i") == F.col("j"), F.col("sim"))).alias("own"))
-    return m.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("own") >= F.col("best") - 1e-12).alias("right_ones"))
+    return _batches(spark, d).select("batch", "n", "right_ones")
 
 
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id AS id, floor(floor(list_cosine_similarity(a.v, b.v) * 1e9 + 5e-1) / 1e9 * 1e6 + 5e-1) / 1e6 AS sim FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id""")
