@@ -16,6 +16,8 @@ from orbweave.llm.common import U64, components, cut, mix, table
 TABLES, BLOCKS, PROBES, SCALE, SEED = 4, 3, 2, 2.0, 5
 #: Vectors on one side of a block of comparisons.
 BLOCK = 1024
+#: Rows of blocks that one task group holds on average.
+GROUP_ROWS = 4096
 
 
 def e8_roots() -> np.ndarray:
@@ -84,8 +86,6 @@ def _matrix(column) -> np.ndarray:
 
 def smaller_cells(lists, key: int, left: np.ndarray, right: np.ndarray):
     """For each cell below `key` that both sides are in, the places in `left` and in `right`."""
-    if hasattr(lists, "combine_chunks"):
-        lists = lists.combine_chunks()
     flat, size = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
     row = np.repeat(np.arange(len(size)), size)
     row, flat = row[flat < key], flat[flat < key]
@@ -167,7 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     keyed = classes.select("cls", "vec", group.alias("group")).mapInArrow(keys, "cls long, group long, keys array<long>")
     keyed = cut(keyed.select("cls", F.array_sort(F.array_distinct(F.transform("keys", lambda k: F.xxhash64(k, F.col("group"))))).alias("keys")))
     cells = keyed.select("cls", F.explode("keys").alias("key"))
-    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    shared = cut(cells.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")))
     member = cells.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     member = member.select("cls", "key", "mine", F.explode(pair).alias("ij")).select("cls", "key", "mine", "ij.i", "ij.j")
@@ -175,39 +175,44 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     # Only classes that share a cell travel with their vectors.
     member = member.join(full, "cls")
 
-    def compare(t):
-        import pyarrow as pa
-
-        x = _matrix(t["vec"])
-        x = x / np.abs(x).max(1, keepdims=True)
-        norm = np.sqrt((x * x).sum(1))
-        cls, copies, mine = (np.asarray(t[c]) for c in ("cls", "copies", "mine"))
-        lists, key = t["keys"].to_pylist(), t["key"][0].as_py()
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        left = np.flatnonzero(mine == i)
-        right = np.flatnonzero(mine == j)
+    def cell(x, norm, cls, copies, mine, lists, key: int, i: int, j: int):
+        """(classes with links here, their numbers, classes that a tree joins) of one block."""
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         hit = (x[left] @ x[right].T) / norm[left][:, None] / norm[right][None] >= threshold
         if i == j:
             hit = np.triu(hit, 1)
+        if not hit.any():
+            return
         first = hit.copy()  # pairs that share no smaller cell, which count here
-        if hit.any():
-            for p, q in smaller_cells(t["keys"], key, left, right):
-                first[np.ix_(p, q)] = False
+        for p, q in smaller_cells(lists, key, left, right):
+            first[np.ix_(p, q)] = False
         links = np.zeros(len(cls), np.int64)
         links[left] += first @ copies[right]
         links[right] += copies[left] @ first
         ta, tb = spanning(hit, left, right)
         some = np.flatnonzero(links)
-        none = pa.nulls(len(some), pa.int64())
-        return pa.table(
-            {
-                "a": pa.concat_arrays([pa.array(cls[some], pa.int64()), pa.array(cls[ta], pa.int64())]),
-                "b": pa.concat_arrays([none, pa.array(cls[tb], pa.int64())]),
-                "n": pa.concat_arrays([pa.array(links[some].astype(np.int64)), pa.nulls(len(ta), pa.int64())]),
-            }
-        )
-
-    found = cut(member.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, n long"))
+        yield cls[some], links[some], cls[ta], cls[tb]
+
+    def compare(t):
+        import pyarrow as pa
+
+        t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        key, i, j, cls, copies, mine = (np.asarray(t[c]) for c in ("key", "i", "j", "cls", "copies", "mine"))
+        new = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0) | (np.arange(len(key)) == 0))
+        lists, vectors, found = t["keys"].combine_chunks(), t["vec"].combine_chunks(), []
+        for a, b in zip(new.tolist(), np.append(new[1:], len(key)).tolist()):
+            x = _matrix(vectors[a:b])
+            x = x / np.abs(x).max(1, keepdims=True)
+            norm = np.sqrt((x * x).sum(1))
+            found += cell(x, norm, cls[a:b], copies[a:b], mine[a:b], lists[a:b], int(key[a]), int(i[a]), int(j[a]))
+        some, links, ta, tb = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]) for c in range(4))
+        end, none = pa.array(tb), pa.nulls(len(some), pa.int64())
+        return pa.table({"a": np.concatenate([some, ta]), "b": pa.concat_arrays([none, end]), "n": pa.concat_arrays([pa.array(links), pa.nulls(len(ta), pa.int64())])})
+
+    # A group holds whole blocks, small ones by the hundred.
+    total = shared.agg(F.sum(F.col("m") * F.col("nb")).alias("t")).first()["t"] or 0
+    group = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-total // GROUP_ROWS))))
+    found = cut(member.groupBy(group.alias("cell")).applyInArrow(compare, "a long, b long, n long"))
     links = found.where("n is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     comp = components(found.where("b is not null").select("a", "b"))
     done = classes.select("cls", "same", "least", "copies").join(links, "cls", "left").join(comp, F.col("cls") == F.col("node"), "left")
