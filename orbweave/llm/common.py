@@ -101,7 +101,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def text_blocks(column, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets) of slices of an Arrow string column.
 
     A slice has about `limit` bytes, or one row that is longer. Null is empty.
@@ -147,7 +147,7 @@ def word_hashes(data: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that are hashed at once; longer texts go piece by piece, cut between words.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def hashed_words(data: np.ndarray, off: np.ndarray, outside: np.ndarray = SPACE, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -23,6 +23,8 @@ LIGHT = 64
 BLOCK = 1024
 #: Rows of such blocks that one task holds on average.
 MEETING_ROWS = 100_000
+#: Sets that a task cuts into segments at once.
+SEGMENT_SETS = 512
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 8
 #: 64-bit words of a set's parity bitmap.
@@ -229,7 +231,7 @@ def overlaps(sets: DataFrame, pairs: DataFrame, pivots: list[int], num: int, den
     def segments(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(i, SEGMENT_SETS) for b in batches for i in range(0, b.num_rows, SEGMENT_SETS)):
             at, keys = batch.column(2).offsets.to_numpy().astype(np.int64), batch.column(2).values.to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
             keys = keys[at[0] : at[-1]]

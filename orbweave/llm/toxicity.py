@@ -149,7 +149,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
         for batch in batches:
             score, spans = np.empty(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for i, j, data, off in text_blocks(batch.column(at)):
+            for i, j, data, off in text_blocks(batch.column(at), FIT_BYTES):
                 z, row, st, en = model.sentences(data, off)
                 score[i:j] = -np.expm1(-np.bincount(row, softplus(z), j - i))
                 p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
