@@ -101,12 +101,12 @@ def packed_windows(docs: DataFrame, size: int, bits: int, hot: np.ndarray) -> Da
                 known = np.zeros(len(r), bool)
                 known[order] = doc > least[np.cumsum(group)]
                 k, s, d = keys[i + r[known]], at[known].astype(np.uint32), ids[i + r[known]]
-                to = bucket(k, row_bits)
+                to = bucket(k, d, row_bits)
                 order = np.argsort(to, kind="stable")
                 k, s, d, to = k[order], s[order], d[order], to[order]
                 edge = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
                 for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    first = np.flatnonzero(np.concatenate([[True], k[x + 1 : y] != k[x : y - 1]]))
+                    first = np.flatnonzero(np.concatenate([[True], (k[x + 1 : y] != k[x : y - 1]) | (d[x + 1 : y] != d[x : y - 1])]))
                     cells = (b"", planes(s[x:y]), b"", b"", k[x:y][first].tobytes(), planes(d[x:y][first]), planes(np.diff(np.append(first, y - x)).astype(np.uint32)))
                     out[0].append((1 << bits) + int(to[x]))
                     for c, v in zip(out[1:], cells):
@@ -140,8 +140,9 @@ def packed_windows(docs: DataFrame, size: int, bits: int, hot: np.ndarray) -> Da
     return docs.mapInArrow(run, "frag long, anchor binary, start binary, length binary, own binary, key binary, doc binary, count binary")
 
 
-def bucket(key: np.ndarray, bits: int) -> np.ndarray:
-    return (key.view(U64) >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+def bucket(key: np.ndarray, doc: np.ndarray, bits: int) -> np.ndarray:
+    """Where the rows of (key, doc_id) meet."""
+    return (mix(key.view(U64) ^ mix(doc.view(U64))) >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
 
 
 def repeated_windows(parts: DataFrame, bits: int) -> DataFrame:
@@ -175,10 +176,10 @@ def repeated_windows(parts: DataFrame, bits: int) -> DataFrame:
             least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
             hit = order[d > least]
             k, d, s = keys[run[hit]], doc[hit], start[hit]
-        order = np.lexsort((s, d, k, bucket(k, row_bits)))
+        order = np.lexsort((s, d, k, bucket(k, d, row_bits)))
         k, d, s = k[order], d[order], s[order]
         # One packed row for each bucket of keys, however many rows of text it stands for.
-        to = bucket(k, row_bits)
+        to = bucket(k, d, row_bits)
         edge = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
         spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
         first = np.flatnonzero((np.diff(k, prepend=0) != 0) | (np.diff(d, prepend=0) != 0) | (np.diff(to, prepend=-1) != 0))
@@ -215,8 +216,11 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     Ids are whole numbers; others raise. An empty table gives no rows; columns besides id
     and text are not read.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text_"), row_key(id_col, text_col).alias("key"))
-    total = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    total = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count(F.lit(1)).alias("n"), F.count(id_col).alias("ids")).first()
+    alone = docs.agg(F.count_distinct(F.col(id_col))).first()[0] == total["ids"]
+    # Ids that don't repeat name their rows; else a hash of the row tells equal ids apart.
+    key = F.lit(0).cast("long") if alone else row_key(id_col, text_col)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text_"), key.alias("key"))
     bits = max(3, int(np.ceil(np.log2(max(1, (total["b"] or 0) / 6 / FRAGMENT_WINDOWS)))))
     hot = hot_anchors(src.select("text_"), total["n"], size)
     parts = packed_windows(src.where("doc_id is not null and text_ is not null").select("key", "doc_id", "text_"), size, bits, hot)
