@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import LOWER, gram_hashes, table, text_blocks, word_hashes, word_spans
+from orbweave.llm.common import LOWER, few, gram_hashes, table, text_blocks, word_hashes, word_spans
 
 #: Edits allowed for each word of an item, and the words of a piece that are looked up.
 ERROR_RATE, GRAM = 0.2, 4
@@ -121,18 +121,20 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, item_col: str, item_text: str):
-    """The items as lists of (id, text), each of bounded size."""
-    total = items.agg(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0
+def item_blocks(items: DataFrame, item_text: str):
+    """The distinct texts of the items as lists of (md5, text), each of bounded size."""
+    texts = items.where(F.col(item_text).isNotNull()).select(F.col(item_text).alias("text_")).distinct()
+    total = texts.agg(F.sum(F.length("text_")).alias("n")).first()["n"] or 0
     n_blocks = total // BLOCK_CHARS + 1
     for b in range(n_blocks):
-        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64(item_text), F.lit(n_blocks)) == b).select(item_col, item_text).collect()]
+        yield [(r[0], r[1]) for r in texts.where(F.pmod(F.xxhash64("text_"), F.lit(n_blocks)) == b).select(F.md5("text_"), "text_").collect()]
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs`, whatever their id, in which find_contamination finds no item."""
+    """The rows of `docs`, whatever their id, in which find_contamination finds no item. No
+    items leave all rows; other columns come back as they were."""
     at, schema = docs.columns.index(text_col), docs.schema
-    for block in item_blocks(items, item_col, item_text):
+    for block in item_blocks(items, item_text):
 
         def run(batches, block=block):
             import pyarrow as pa
@@ -159,17 +161,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RA
     Null and empty texts and items match nothing; equal items or documents are all
     reported. Items go to the tasks in blocks of bounded size, each against all documents.
     """
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_col].dataType), T.StructField("distance", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item", T.StringType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_")).where("text_ is not null")
     out = None
-    for block in item_blocks(items, item_col, item_text):
+    for block in item_blocks(items, item_text):
 
         def run(batches, block=block):
             import pyarrow as pa
-            from pyspark.sql.pandas.types import to_arrow_type
 
             matcher = Matcher(block, rate)
-            id_type = to_arrow_type(schema["item_id"].dataType)
             for batch in batches:
                 rows: list[tuple] = []
                 for i, _, data, off in text_blocks(batch.column(1)):
@@ -179,11 +179,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RA
                         rows.append((i + r, item_id, dist, start, start + int(((data[a:e] & 0xC0) != 0x80).sum())))
                 cols = list(zip(*rows)) or [()] * 5
                 ids = batch.column(0).take(pa.array(cols[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], id_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=schema.names)
 
         found = src.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
-    return out
+    # Equal items were matched once; each of them is reported.
+    named = items.select(F.col(item_col).alias("item_id"), F.md5(item_text).alias("item"))
+    return out.join(few(named, named.count()), "item").select("doc_id", "item_id", "distance", "start", "end")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
