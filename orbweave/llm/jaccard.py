@@ -224,7 +224,11 @@ def ordered_sets(parts: DataFrame, classes: DataFrame, num: int, den: int, bits:
 
 
 def overlaps(sets: DataFrame, pairs: DataFrame, pivots: list[int], num: int, den: int) -> DataFrame:
-    """(a, b) of `pairs` that link: partial overlaps by fragment, summed for each pair."""
+    """(a, b) of `pairs` that link: partial overlaps by fragment, summed for each pair.
+
+    A set in many pairs should be their `a`: its segments join the bare pairs, and the rows
+    then spread over the `b`.
+    """
     pairs = cut(pairs.select("a", "b").distinct())
     cuts = np.array(sorted(set(pivots)), np.int64)
 
@@ -324,7 +328,7 @@ def class_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     lead = sized.groupBy("gram", "size").agg(F.min_by(F.struct("cls", "n", "own", *MAPS), F.struct(F.col("rare") / F.col("n"), "cls")).alias("l")).select("gram", "size", "l.*")
     around = sized.withColumn("size", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)))
     star = around.alias("x").join(lead.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.cls") != F.col("y.cls")) & room("x", "y"))
-    pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).union(star.select(F.least("x.cls", "y.cls"), F.greatest("x.cls", "y.cls")))
+    pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).union(star.select("y.cls", "x.cls"))
     shares = [i / FRAGMENTS for i in range(1, FRAGMENTS)]
     pivots = sets.select(F.explode("keys").alias("key")).agg(F.percentile_approx("key", shares, 1000).alias("p")).first()["p"] or []
     comp = components(overlaps(sets, pairs, pivots, num, den))

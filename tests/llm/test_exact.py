@@ -237,3 +237,40 @@ def test_equal_items_are_matched_once_and_reported_each(spark):
     docs = spark.createDataFrame([(1, "x one two three four five six seven eight y")], "doc_id long, text string")
     got = decontam.find_contamination(docs, items).collect()
     assert sorted(r.item_id for r in got) == list(range(40))
+
+
+def test_chat_of_null_order_null_ids_and_clashing_names(spark, tmp_path):
+    """Null turns come first; rows without a conv_id are one conversation; a long text whole."""
+    import hashlib
+
+    long = "<|x [y] \\z\n" * 20_000
+    rows = [(1, 2, "assistant", "b"), (1, None, "user", "a"), (1, 2, "assistant", "b"), (None, 1, "user", "q"), (None, 0, "assistant", None), (2, 0, "assistant", long)]
+    d = spark.createDataFrame([(*r, *["u"] * 6) for r in rows], "conv_id long, turn long, role string, text string, head string, body string, seq string, kind string, position string, e string")
+    d.write.parquet(str(tmp_path / "conversations.parquet"))
+    from orbweave.llm.chat import op1_chat_formatting
+
+    got = {r.conv_id: r for r in op1_chat_formatting(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, None, -7}
+    want = "user\na\nassistant\nb\nassistant\nb\n"
+    assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert got[1].loss_sha256 == hashlib.sha256(b"bb").hexdigest() and got[None].n_turns == 2
+    assert got[None].turns_sha256 == hashlib.sha256(b"assistant\n\nuser\nq\n").hexdigest()
+    assert got[2].loss_chars == len(long) and got[2].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_scores_and_leaks_of_a_text_longer_than_a_block(spark, sf_dir):
+    """A text of 3 MB goes whole through each operator that reads words."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()
+    long = "".join(f"Line {i} has its own words {i * 7} here.\n" for i in range(80_000)) + item.text + "\nYou vile fool!"
+    assert len(long) > 3_000_000
+    d = spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string")
+    hits = decontam.find_contamination(d, spark.createDataFrame([(item.item_id, item.text)], "item_id long, text string")).collect()
+    assert [(r.distance, long[r.start : r.end] in item.text) for r in hits] == [(0, True)] * 2
+    model = toxicity.fit_toxicity(["you vile fool. fine day"] * 50 + ["a fine day. good"] * 50, [1] * 50 + [0] * 50)
+    row = toxicity.score_toxicity(d, model).first()
+    assert row.toxicity > 0.5 and [long[s.start : s.end].strip() for s in row.offending] == ["You vile fool"]
+    fit = quality.fit_quality(["A plain line of words.\nAnd one more."] * 10 + ["@@## 11 $$$\n%%%% 22"] * 10, [1] * 10 + [0] * 10)
+    assert len({r.score for r in quality.score_quality(d, fit).collect()}) == 1
+    assert [(r.component_id, r.n_shingles > 400_000) for r in jaccard.jaccard_classes(d).collect()] == [(1, True)] * 2
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(d).collect()}
+    assert got[1][1] == 0 and got[2][0] == got[2][1] == len(WORD.findall(long))
