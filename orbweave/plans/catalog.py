@@ -1,4 +1,4 @@
 """All plan modules; importing this registers their queries."""
 
-from orbweave.plans import checks, geometry, graphs, relational, retrieval, text  # noqa: F401
+from orbweave.plans import checks, geometry, graphs, relational, retrieval, scans, text  # noqa: F401
 from orbweave.plans.registry import ORACLES, QUERIES  # noqa: F401

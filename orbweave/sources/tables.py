@@ -6,7 +6,7 @@ import tempfile
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -52,13 +52,17 @@ def kept(df: DataFrame) -> DataFrame:
 # --- scans ------------------------------------------------------------------------------------
 
 
+def one_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing more; parsers stop after a first value."""
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    return F.coalesce(F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1), F.lit(False))
+
+
 def _parsed(raw: DataFrame, schema, required: list[str], where: str) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of a column `value` of JSON texts; `where` names each one's place."""
     r = F.from_json("value", schema)
     lacks = F.filter(F.array(*[F.when(r[c].isNull(), F.lit(c)) for c in required] or [F.lit(None).cast("string")]), lambda c: c.isNotNull())
-    listed = F.concat(F.lit("["), "value", F.lit("]"))  # parsers stop after a first value
-    whole = F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1)
-    why = F.when(~F.coalesce(whole, F.lit(False)), "not JSON").when(r.isNull() | ~F.trim("value").startswith("{"), "not an object")
+    why = F.when(~one_json(F.col("value")), "not JSON").when(r.isNull() | ~F.trim("value").startswith("{"), "not an object")
     why = why.when(F.size(lacks) > 0, F.concat(F.lit("missing "), F.array_join(lacks, ", ")))
     tried = raw.select("*", r.alias("r_"), why.alias("reason"))
     return tried.where("reason is null").select(where, "r_.*"), tried.where("reason is not null").select(where, "value", "reason")
@@ -88,7 +92,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     entries = F.from_json("value", "map<string,string>")
     bad = F.raise_error(F.concat(F.lit("no manifest: "), "file"))
-    rows = text.select(F.explode(F.when(F.try_parse_json("value").isNotNull() & entries.isNotNull(), entries).otherwise(bad.cast("map<string,string>"))).alias("uid", "path"))
+    rows = text.select(F.explode(F.when(one_json(F.col("value")) & entries.isNotNull(), entries).otherwise(bad.cast("map<string,string>"))).alias("uid", "path"))
     return rows.groupBy("uid").agg(F.min("path").alias("path"))
 
 

@@ -6,7 +6,7 @@ from orbweave.plans import catalog
 from tests.duck import connect, differences
 
 #: Queries of exceptions, which small tables may not hold.
-EMPTY_IS_RIGHT = {"serializer_diff", "contract_violations", "dangling_refs", "missing_refs", "registry_violations", "unmapped", "unfinished_runs", "unmatched_dim", "reasoned_exclusion", "deref_index", "quarantine_rows"}
+EMPTY_IS_RIGHT = {"serializer_diff", "contract_violations", "dangling_refs", "missing_refs", "registry_violations", "unmapped", "unfinished_runs", "unmatched_dim", "reasoned_exclusion", "deref_index", "quarantine_rows", "write_once_conflicts"}
 
 
 @pytest.fixture(scope="module")
