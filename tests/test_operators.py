@@ -276,7 +276,7 @@ def test_reports_are_small(spark):
 def test_cameras_look_at_the_origin(spark, sf_dir):
     for r in catalog.QUERIES["look_at"](spark, sf_dir).collect():
         right, back = np.array([r.right_x, r.right_y, r.right_z]), np.array([r.back_x, r.back_y, r.back_z])
-        assert np.isclose(np.linalg.norm(right), 1) and abs(right @ back) < 1e-9
+        assert np.isclose(np.linalg.norm(right), 1) and abs(right @ back) < 1e-5
         assert np.cross(back, right)[2] > 0 and np.isclose(np.linalg.norm(back), 1, atol=1e-5)  # up is up
 
 
