@@ -73,7 +73,8 @@ def compose_iterative(spark, d, slots: int = 25, weight: float = 0.3):
 
     A scene is the query rows of `slots` consecutive query ids, in their order; no object is
     chosen twice in a scene. Each round fills one slot of all scenes at once: a slot has at
-    most as many objects taken as rounds went before, so one more than that are searched.
+    most as many objects taken as rounds went before, so one more than that are searched. A
+    scene's state is a row: its layout and the objects it has taken.
     """
     _, e = _sides(spark, d)
     gallery = kept(e.select("id", "label", unit(F.col("vec")).alias("vec")))
@@ -81,31 +82,21 @@ def compose_iterative(spark, d, slots: int = 25, weight: float = 0.3):
     place = F.row_number().over(W.partitionBy("scene").orderBy("query_id")) - 1
     asked = gallery.where(F.col("id") % 20 == 0).select(scene.alias("scene"), F.col("id").alias("query_id"), "vec")
     asked = kept(asked.withColumn("step", place.cast("long")))
-    last = asked.agg(F.max("step").alias("s")).first()["s"]
-    if last is None:
-        return asked.select("scene", "step", "query_id", F.col("query_id").alias("chosen"), F.lit(0.0).alias("sim"))
-    layouts, out = None, None
-    for step in range(last + 1):
-        q = asked.where(F.col("step") == step)
-        if layouts is None:
-            q = q.select("scene", "query_id", "vec", F.lit(0).alias("n"), F.lit(None).cast("array<double>").alias("layout"))
-        else:
-            q = q.join(layouts, "scene", "left").select("scene", "query_id", F.coalesce(add(F.col("vec"), F.col("layout"), weight), "vec").alias("vec"), F.coalesce("n", F.lit(0)).alias("n"), "layout")
-        q = kept(q)
-        near = scores(q, gallery, step + 1).select("query_id", "id", F.col("sim").alias("near")).join(q.select("query_id", "scene"), "query_id")
-        if out is not None:
-            near = near.join(out.select("scene", F.col("chosen").alias("id")), ["scene", "id"], "left_anti")
-        first = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "id"))
-        best = near.withColumn("first", first).where("first = 1").select("query_id", "id")
+    state = asked.select("scene", F.lit(0).alias("n"), F.lit(None).cast("array<double>").alias("layout"), F.array().cast("array<long>").alias("taken")).distinct()
+    out = asked.select("scene", "step", "query_id", F.col("query_id").alias("chosen"), F.lit(0.0).alias("sim")).limit(0)
+    for step in range((asked.agg(F.max("step").alias("s")).first()["s"] or 0) + 1):
+        q = asked.where(F.col("step") == step).join(state, "scene")
+        q = kept(q.select("scene", "query_id", F.coalesce(add(F.col("vec"), F.col("layout"), weight), "vec").alias("vec"), "n", "layout", "taken"))
+        near = scores(q, gallery, step + 1).select("query_id", "id", F.col("sim").alias("near")).join(q.select("query_id", "taken"), "query_id")
+        near = near.where(~F.array_contains("taken", F.col("id")))
+        best = near.groupBy("query_id").agg(F.min_by("id", F.struct(-F.col("near"), "id")).alias("id"))
         best = best.join(gallery.select("id", F.col("vec").alias("object")), "id")
         mean = F.coalesce(F.zip_with("layout", "object", lambda a, b: (a * F.col("n") + b) / (F.col("n") + 1)), "object")
         # Columns have new names here: inside the lambda, `n` would mean a new column `n`.
-        now = q.join(best, "query_id").select("scene", "query_id", F.col("id").alias("chosen"), dot(F.col("object"), F.col("vec")).alias("sim"), F.col("n").alias("before"), mean.alias("after"))
-        now = kept(now.select("scene", "query_id", "chosen", "sim", (F.col("before") + 1).alias("n"), F.col("after").alias("layout")))
-        new = now.select("scene", "n", "layout")
-        layouts = kept(new if layouts is None else layouts.union(new).groupBy("scene").agg(F.max("n").alias("n"), F.max_by("layout", "n").alias("layout")))
-        row = now.select("scene", F.lit(step).cast("long").alias("step"), "query_id", "chosen", "sim")
-        out = row if out is None else out.union(row)
+        now = q.join(best, "query_id").select("scene", "query_id", F.col("id").alias("chosen"), dot(F.col("object"), F.col("vec")).alias("sim"), F.col("n").alias("before"), mean.alias("after"), F.array_append("taken", F.col("id")).alias("taken"))
+        now = kept(now.select("scene", "query_id", "chosen", "sim", (F.col("before") + 1).alias("n"), F.col("after").alias("layout"), "taken"))
+        state = now.select("scene", "n", "layout", "taken")
+        out = out.union(now.select("scene", F.lit(step).cast("long").alias("step"), "query_id", "chosen", "sim"))
     return out
 
 
