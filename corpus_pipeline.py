@@ -81,9 +81,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written and read again."""
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; each result but the last is written and read again. A table
+    goes when the next one is there; that of the last written stage stays, as the rows come
+    from it."""
+    docs, at, old = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if old:
+            path = spark._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        old = f"{at}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
