@@ -3,6 +3,8 @@ compared with all other rows."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -23,6 +25,15 @@ def _sides(spark, d):
     return e.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "vec"), e
 
 
+def written(df):
+    """`df` as a table in the shared folder. A checkpoint would keep what the planner has
+    inferred about columns, which doubles with each round."""
+    spark = df.sparkSession
+    at = f"{tables.shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def _top(spark, d, k):
     q, g = _sides(spark, d)
     return scores(q.drop("query_label"), g, k).join(q.select("query_id", "query_label"), "query_id")
@@ -86,7 +97,7 @@ def compose_iterative(spark, d, slots: int = 25, weight: float = 0.3):
     out = asked.select("scene", "step", "query_id", F.col("query_id").alias("chosen"), F.lit(0.0).alias("sim")).limit(0)
     for step in range((asked.agg(F.max("step").alias("s")).first()["s"] or 0) + 1):
         q = asked.where(F.col("step") == step).join(state, "scene")
-        q = kept(q.select("scene", "query_id", F.coalesce(add(F.col("vec"), F.col("layout"), weight), "vec").alias("vec"), "n", "layout", "taken"))
+        q = written(q.select("scene", "query_id", F.coalesce(add(F.col("vec"), F.col("layout"), weight), "vec").alias("vec"), "n", "layout", "taken"))
         near = scores(q, gallery, step + 1).select("query_id", "id", F.col("sim").alias("near")).join(q.select("query_id", "taken"), "query_id")
         near = near.where(~F.array_contains("taken", F.col("id")))
         best = near.groupBy("query_id").agg(F.min_by("id", F.struct(-F.col("near"), "id")).alias("id"))
@@ -94,7 +105,7 @@ def compose_iterative(spark, d, slots: int = 25, weight: float = 0.3):
         mean = F.coalesce(F.zip_with("layout", "object", lambda a, b: (a * F.col("n") + b) / (F.col("n") + 1)), "object")
         # Columns have new names here: inside the lambda, `n` would mean a new column `n`.
         now = q.join(best, "query_id").select("scene", "query_id", F.col("id").alias("chosen"), dot(F.col("object"), F.col("vec")).alias("sim"), F.col("n").alias("before"), mean.alias("after"), F.array_append("taken", F.col("id")).alias("taken"))
-        now = kept(now.select("scene", "query_id", "chosen", "sim", (F.col("before") + 1).alias("n"), F.col("after").alias("layout"), "taken"))
+        now = written(now.select("scene", "query_id", "chosen", "sim", (F.col("before") + 1).alias("n"), F.col("after").alias("layout"), "taken"))
         state = now.select("scene", "n", "layout", "taken")
         out = out.union(now.select("scene", F.lit(step).cast("long").alias("step"), "query_id", "chosen", "sim"))
     return out
