@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from orbweave.llm import chat, decontam, jaccard, lattice, mixing, pii, quality, sharding, substrings, toxicity
+from orbweave.llm import bpe, chat, decontam, fim, jaccard, lattice, mixing, pii, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,8 +13,11 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
     "op10_embedding_near_dedup": lattice.op10_embedding_near_dedup,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_byte_bpe": bpe.op12_byte_bpe,
 }
 
 ORACLES = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
 }
