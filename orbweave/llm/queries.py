@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from orbweave.llm import bpe, chat, decontam, fim, jaccard, lattice, mixing, pii, quality, sharding, substrings, toxicity
+from orbweave.llm import bpe, chat, decontam, fim, jaccard, lattice, mixing, pii, quality, repair, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_embedding_near_dedup": lattice.op10_embedding_near_dedup,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_byte_bpe": bpe.op12_byte_bpe,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 ORACLES = {
