@@ -30,53 +30,42 @@ LONG, SOME = 1 << 20, 1 << 16
 class RankQueue:
     """A set of (rank, position) that gives the least rank first, and of it the least position.
 
-    A rank's bucket is a heap of positions. Bit r of level 0 says that bucket r holds any,
-    and a bit of level k + 1 that a word of 64 bits of level k isn't zero: the least rank is
-    found by the first set bit of one word a level, however many positions wait.
+    A rank's bucket is a heap of positions. A bit of a word says that the rank's bucket holds
+    any, and a bit of `top` that a word isn't zero: the least rank is found by the first set
+    bit of two integers, however many positions wait. Words are as wide as there are words.
     """
 
     def __init__(self, ranks: int) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.levels = [[0] * (-(-ranks // 64) or 1)]
-        while len(self.levels[-1]) > 1:
-            self.levels.append([0] * -(-len(self.levels[-1]) // 64))
+        self.shift = max(6, (ranks.bit_length() + 1) // 2)
+        self.words, self.top = [0] * ((ranks >> self.shift) + 1), 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
+        if rank in self.buckets:
+            heappush(self.buckets[rank], position)
             return
         self.buckets[rank] = [position]
-        for level in self.levels:
-            word, rank = rank >> 6, rank & 63
-            before = level[word]
-            level[word] = before | 1 << rank
-            if before:
-                return
-            rank = word
-
-    def first(self) -> int:
-        """The least rank, or -1."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return -1
-            at = at << 6 | (word & -word).bit_length() - 1
-        return at
-
-    def pop(self, rank: int) -> int:
+        word = rank >> self.shift
+        self.words[word] |= 1 << (rank - (word << self.shift))
+        self.top |= 1 << word
+
+    def pop(self) -> tuple[int, int]:
+        """The least (rank, position), or (-1, -1)."""
+        top = self.top
+        if not top:
+            return -1, -1
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        lowest = bits & -bits
+        rank = (word << self.shift) + lowest.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for level in self.levels:
-                word, rank = rank >> 6, rank & 63
-                level[word] &= ~(1 << rank)
-                if level[word]:
-                    break
-                rank = word
-        return position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.words[word] = bits ^ lowest
+        if bits == lowest:
+            self.top = top ^ 1 << word
+        return rank, bucket[0]
 
 
 class Encoder:
@@ -97,39 +86,45 @@ class Encoder:
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: of all adjacent pairs that form a token, the one of the
         least rank merges first, the leftmost of equal ones, until none is left."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if piece in ranks:
-            return [ranks[piece]]
+        rank_of, n = self.ranks.get, len(piece)
+        if (whole := rank_of(piece)) is not None:
+            return [whole]
+        push, pop = self.queue.push, self.queue.pop
         after = list(range(1, n + 2))  # a token's end is the next one's start
         before = list(range(-1, n))
         # The rank of the pair that starts at a position; entries of the queue that differ
         # from it are stale.
-        pair = [-1] * n
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2], -1)
+        pair = [rank_of(piece[i : i + 2], -1) for i in range(n)]
+        pair[-1] = -1
+        for i, r in enumerate(pair):
             if r >= 0:
-                pair[i] = r
-                queue.push(r, i)
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
+                push(r, i)
+        while True:
+            rank, i = pop()
+            if rank < 0:
+                break
             if pair[i] != rank:
                 continue
             gone = after[i]
             end = after[i] = after[gone]
             pair[gone] = -1
+            r = -1
             if end < n:
                 before[end] = i
-            for at in (before[i], i):
-                if at >= 0:
-                    to = after[at]
-                    r = ranks.get(piece[at : after[to]], -1) if to < n else -1
-                    if r != pair[at]:
-                        pair[at] = r
-                        if r >= 0:
-                            queue.push(r, at)
+                r = rank_of(piece[i : after[end]], -1)
+                if r >= 0:
+                    push(r, i)
+            pair[i] = r
+            at = before[i]
+            if at >= 0:
+                r = rank_of(piece[at:end], -1)
+                if r != pair[at]:
+                    pair[at] = r
+                    if r >= 0:
+                        push(r, at)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(rank_of(piece[i : after[i]]))
             i = after[i]
         return out
 
