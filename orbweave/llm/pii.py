@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import LOWER, U64, cut, few, gram_hashes, hashed_words, table, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct confident instances of a context, its confidence, and the most rounds of scoring.
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 5, 0.8, 8
+#: Distinct scored instances of a trusted context, and the least score of one.
+MIN_SEEDS, MIN_CONFIDENCE = 5, 0.8
 #: Bits of the filter that says which pairs of words may be contexts.
 FILTER_BITS = 1 << 22
 #: Contexts are compared with A-Z in lower case and digits as 0.
@@ -178,30 +178,32 @@ def trusted_contexts(docs: DataFrame, found: DataFrame, text_col: str = "text")
     """(context, kind) of contexts that announce identifiers, from the pattern-instance graph.
 
     Instances are values. Base matches are seeds: they score 1 and keep their kind for good.
-    In each round a context with MIN_SEEDS distinct instances that score MIN_CONFIDENCE or
-    more scores the sum of its instances' scores over all words that follow it anywhere in
-    the corpus, and takes their commonest kind; any other instance then takes score and kind
-    of its best context. So instances that one context discovers can make another one
-    trusted. Rounds end when no further context reaches MIN_CONFIDENCE, or after ROUNDS.
+    Any other instance scores as much as its best trusted context, and takes its kind. In
+    each round the contexts that aren't trusted yet score the sum of their instances' scores
+    over all words that follow them anywhere in the corpus; one that has MIN_SEEDS distinct
+    scored instances and reaches MIN_CONFIDENCE is trusted from then on, with that score and
+    the commonest kind of those instances. So instances that one context discovers can make
+    another one trusted, but no context supports itself. Rounds end when one adds no
+    context: nothing that a context scores by can change after that, whatever else is in
+    the corpus, and there are at most as many rounds as trusted contexts.
     """
     edges = found.where("context <> 0").groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
     wide = cut(edges.groupBy("context").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= MIN_SEEDS).select("context"))
     graph = edges.join(wide, "context", "left_semi").join(context_totals(docs, wide, text_col), "context")
-    score = cut(graph.select("context", "value", "n", "total", F.col("kind").isNotNull().alias("seed"), "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("s")))
-    good, count = None, 0
-    for _ in range(ROUNDS):
-        sure = F.col("s") >= MIN_CONFIDENCE
-        by_context = score.groupBy("context").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("s")) / F.max("total")).alias("p"), F.count(F.when(sure, 1)).alias("sure"), F.mode(F.when(sure, F.col("kind")), True).alias("as"))
-        by_context = cut(by_context.where(F.col("sure") >= MIN_SEEDS).select("context", "p", "as"))
-        good = by_context.where(F.col("p") >= MIN_CONFIDENCE).select("context", F.col("as").alias("kind"))
-        now = good.count()
-        if now == count:
-            break
-        count = now
-        best = score.join(by_context, "context").groupBy("value").agg(F.max(F.struct("p", "as")).alias("best"))
-        score = score.join(best, "value", "left")
-        score = cut(score.select("context", "value", "n", "total", "seed", F.when(F.col("seed"), F.col("kind")).otherwise(F.col("best.as")).alias("kind"), F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best.p", F.lit(0.0))).alias("s")))
-    return few(good, count)
+    graph = cut(graph.select("context", "value", "n", "total", "kind"))
+    trusted, count = graph.select("context", F.lit(0.0).alias("p"), "kind").limit(0), 0
+    while True:
+        known = few(trusted, count)
+        best = graph.join(known.select("context", "p", F.col("kind").alias("as")), "context").groupBy("value").agg(F.max(F.struct("p", "as")).alias("best"))
+        open_ = graph.join(known, "context", "left_anti").join(best, "value", "left")
+        s = F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("best.p", F.lit(0.0)))
+        scored = open_.select("context", "n", "total", s.alias("s"), F.coalesce("kind", "best.as").alias("kind"))
+        by_context = scored.groupBy("context").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("s")) / F.max("total")).alias("p"), F.count(F.when(F.col("s") > 0, 1)).alias("known"), F.mode(F.when(F.col("s") > 0, F.col("kind")), True).alias("kind"))
+        new = cut(by_context.where((F.col("known") >= MIN_SEEDS) & (F.col("p") >= MIN_CONFIDENCE)).select("context", "p", "kind"))
+        more = new.count()
+        if not more:
+            return few(trusted.select("context", "kind"), count)
+        trusted, count = cut(trusted.union(new)), count + more
 
 
 def span_string(c: Column) -> Column:
