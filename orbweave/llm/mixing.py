@@ -47,16 +47,26 @@ def mix_sources(docs: DataFrame, weights, share: float = 1.5, max_epochs: float
     `weights` maps the DataFrame (source, source_size) to one with a weight column. A
     source's target over its size is its number of epochs: the whole part repeats every
     row; for the fraction, rows are taken in the order of a seeded hash until the next
-    would pass the quota by more than half of itself. Rows with equal id and text share a
-    hash and are taken together. A null source is a source; a null or empty text has size
+    would pass the quota by more than half of itself. A row's hash is
+    that of its id; where ids repeat or are null, rows are written once with a number each,
+    and their hash is that of id, text and number, so that repeated rows are taken one by
+    one (how many of equal rows are, depends on how the table is dealt to tasks). A null
+    source is a source; a null or empty text has size
     0 and is taken as its hash says. Columns of these four names in `docs` are replaced.
     An empty table gives no rows. Only sizes and hashes shuffle: the cut-off hash of each
     source goes back to the rows, so texts never move.
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    columns = docs.columns
+    (row,) = unused(docs, "mix_row_")
+    parts = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
+    ids = docs.agg(F.count_distinct(F.col(id_col)).alias("ids"), F.count(F.lit(1)).alias("n")).first()
+    if ids["ids"] < ids["n"]:
+        docs = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        parts += [F.md5(F.coalesce(text_col, F.lit(""))), F.col(row).cast("string")]
+    key = F.md5(F.concat_ws(":", *parts))
     names = {"size": n_words(F.col(text_col)), "source": F.col(source_col)}
     name, whole, upto = unused(docs, "mix_source_", "mix_whole_", "mix_upto_")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit(""))))))
     skinny = cut(docs.select(names["source"].alias("source"), names["size"].alias("size"), key.alias("key")))
     sources = cut(skinny.groupBy("source").agg(F.sum("size").alias("source_size")))
     total = sources.agg(F.sum("source_size").alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -83,7 +93,7 @@ def mix_sources(docs: DataFrame, weights, share: float = 1.5, max_epochs: float
     plan2 = few(cut(plan2), total["n"])
     out = docs.join(plan2, F.col(source_col).eqNullSafe(F.col(name)))
     copies = F.col(whole) + F.when(key <= F.col(upto), 1).otherwise(0)
-    return out.withColumn("mix_size", n_words(F.col(text_col))).withColumn("mix_copies", copies.cast("int")).select(*map(plain, docs.columns), "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return out.withColumn("mix_size", n_words(F.col(text_col))).withColumn("mix_copies", copies.cast("int")).select(*map(plain, columns), "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def cycle_weights(sources: DataFrame) -> DataFrame:
