@@ -7,6 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbweave.llm.common import U64, gram_hashes, hashed_words, mix, table, text_blocks
 
@@ -216,6 +217,8 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     Ids are whole numbers; others raise. An empty table gives no rows; columns besides id
     and text are not read.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}, ids are whole numbers")
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count(F.lit(1)).alias("n"), F.count(id_col).alias("ids")).first()
     alone = docs.agg(F.count_distinct(F.col(id_col))).first()[0] == total["ids"]
     # Ids that don't repeat name their rows; else a hash of the row tells equal ids apart.
