@@ -139,11 +139,30 @@ def word_spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_hashes(data: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, whatever stands around it."""
+    """A 64-bit hash of each span of bytes, whatever stands around it. Spans are in order;
+    what they cover is hashed PIECE by PIECE, so long texts take no more than that."""
+    if len(data) <= PIECE:
+        return mix(_span_sums(data, st, en))
+    out, i = np.zeros(len(st), U64), 0
+    while i < len(st):
+        j = max(i + 1, int(np.searchsorted(en, st[i] + PIECE, "right")))
+        if en[i] - st[i] <= PIECE:
+            out[i:j] = _span_sums(data[st[i] : en[j - 1]], st[i:j] - st[i], en[i:j] - st[i])
+        else:  # one long span: its pieces' sums, each times the power of where it starts
+            j = i + 1
+            for n, at in enumerate(range(st[i], en[i], PIECE)):
+                to = min(at + PIECE, en[i])
+                part = _span_sums(data[at:to], np.zeros(1, np.int64), np.array([to - at]))
+                out[i : i + 1] += part * U64(pow(BASE, n * PIECE, 2**64))
+        i = j
+    return mix(out)
+
+
+def _span_sums(data: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
     up, down = powers(len(data) + 1)
     c = np.zeros(len(data) + 1, U64)
     np.cumsum(BYTE[data] * up[: len(data)], out=c[1:])
-    return mix((c[en] - c[st]) * down[st])
+    return (c[en] - c[st]) * down[st]
 
 
 #: Bytes of text that are hashed at once; longer texts go piece by piece, cut between words.

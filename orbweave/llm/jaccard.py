@@ -359,8 +359,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     done = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     least = done.groupBy("component").agg(F.min("rep").alias("component_id"))
     done = done.join(least, "component").select("cls", "component_id")
-    out = prof.select("doc_id", "n", "cls").join(done, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = prof.where("n > 0").join(done, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.union(prof.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
