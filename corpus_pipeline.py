@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +33,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a column that names each row whatever its id: its file and place there.
     Rows that don't come straight from files get a number that a checkpoint keeps."""
-    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
-        return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(name))
-    return cut(docs.select("*", F.struct(F.monotonically_increasing_id().alias("row_index")).alias(name)))
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select("*", F.struct(place["file_path"], place["row_index"]).alias(name))
+    except AnalysisException:
+        return cut(docs.select("*", F.struct(F.monotonically_increasing_id().alias("row_index")).alias(name)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +52,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows in whose text no benchmark item occurs, judged row by row whatever their ids."""
+    """The rows in whose text no benchmark item occurs, judged row by row whatever their ids.
+    A null or empty text holds none and stays; without rows or items nothing goes."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeat as often as the mix takes them. A null source is a source; a column that
-    is named like one of mix_sources' results comes back as it was."""
+    is named like one of mix_sources' results comes back as it was. No rows give none."""
     names = unused(docs, *(f"c{i}" for i in range(len(docs.columns))), "copy")
     inner = dict(zip(docs.columns, names))
     mixed = mixing.mix_sources(docs.toDF(*names[:-1]), mixing.cycle_weights, id_col=inner["doc_id"], text_col=inner["text"], source_col=inner["source"])
@@ -64,7 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of each row; repeated rows get slots of their own."""
+    """doc_id, size, text_crc32, shard and slot of each row; repeated rows get slots of their own. A null text has size 16; no rows give none."""
     return sharding.assign_shards(docs, SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
