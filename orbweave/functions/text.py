@@ -36,12 +36,6 @@ SYNONYMS = {
 # Words that give away that a sentence speaks of coordinates instead of a relation: places
 # and turns in numbers, one axis with a value, a distance with its unit, the frame itself.
 COORDINATE_WORDS = r"(?i)\b(?:coordinates?|positions?|rotations?|rotated|orientations?|yaw|degrees|[xyz] ?[=:] ?-?[0-9]|[0-9.]+ ?(?:m|cm|metres|meters)\b|world (?:frame|space))"
-# The opening words with which a chat model leads up to its sentence: a polite word or a name
-# of what follows, then few characters of one line, then a colon.
-_POLITE = "sure|certainly|absolutely|of course|okay|ok|yes|here you go|here is|here's|here are|below is"
-_NAMED = "answer|response|reply|result|output|sentence|description|relation|relationship"
-PREAMBLE = rf"(?i)^\s*(?:{_POLITE}|(?:the |my )?(?:final )?(?:{_NAMED}))\b[^:.!?\n]{{0,48}}:\s*"
-
 
 def contract_id(family: str, version: int, rules: dict) -> str:
     """A name for a set of rules: family, version and 16 digits of the digest of all of them,
@@ -96,9 +90,22 @@ def sentence(description: Column, category: Column, materials: Column, width: Co
     return F.when(F.size(materials) > 0, whole)
 
 
-def unwrap(raw: Column) -> Column:
-    """A model's sentence without fences, chat preamble, quotes and later lines."""
-    t = F.regexp_replace(F.regexp_replace(raw, "```[a-z]*", ""), PREAMBLE, "")
+def names_of(objects: list[Column]) -> Column:
+    """The words of three letters or more of some descriptions, in lower case."""
+    words = [F.regexp_extract_all(F.lower(F.coalesce(o, F.lit(""))), F.lit(r"(\p{L}{3,})"), 1) for o in objects]
+    return F.array_distinct(F.concat(*words))
+
+
+def unwrap(raw: Column, *objects: Column) -> Column:
+    """A model's sentence about `objects` without fences, heading, quotes and later lines.
+
+    What stands before a first colon (with a blank after it) is a heading and goes unless it
+    names one of the objects: a sentence about them that has a colon does.
+    """
+    t = F.regexp_replace(F.regexp_replace(raw, "```[a-z]*", ""), r"^\s+", "")
+    head = F.regexp_extract(t, r"^([^:\n]*):\s", 1)
+    told = F.arrays_overlap(names_of([head]), names_of(list(objects)))
+    t = F.when(told, t).otherwise(F.regexp_replace(t, r"^[^:\n]*:\s+", ""))
     line = F.split_part(F.regexp_replace(t, r"^\s+|\s+\z", ""), F.lit("\n"), F.lit(1))
     return F.regexp_replace(line, "^[\"']+|[\"']+\\z", "")
 

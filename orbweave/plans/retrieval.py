@@ -164,16 +164,16 @@ def index_descriptor(spark, d):
 
 # The ablation variants.
 VARIANTS = [
-    ("full", True, None, "point_encoder_and_fuser", None, 0.30, "essgnn", "iterative"),
-    ("no_iterative", False, "full", None, None, 0.30, "essgnn", "parallel"),
+    ("full", True, None, "point_encoder_and_fuser", None, 0.30, "equivariant", "iterative"),
+    ("no_iterative", False, "full", None, None, 0.30, "equivariant", "parallel"),
     ("no_layout", True, None, "point_encoder_and_fuser", None, 0.30, None, "iterative"),
     ("layout_gat", True, None, "point_encoder_and_fuser", None, 0.30, "gat", "iterative"),
-    ("fusion_mean", True, None, "point_encoder_and_fuser", "mean", 0.30, "essgnn", "iterative"),
-    ("fusion_mlp", True, None, "point_encoder_and_fuser", "mlp", 0.30, "essgnn", "iterative"),
-    ("dropout_10", True, None, "point_encoder_and_fuser", None, 0.10, "essgnn", "iterative"),
-    ("dropout_50", True, None, "point_encoder_and_fuser", None, 0.50, "essgnn", "iterative"),
-    ("fuser_only", True, None, "fuser_only", None, 0.30, "essgnn", "iterative"),
-    ("zero_pad", True, None, "point_encoder_and_fuser", None, 0.30, "essgnn", "iterative"),
+    ("fusion_mean", True, None, "point_encoder_and_fuser", "mean", 0.30, "equivariant", "iterative"),
+    ("fusion_mlp", True, None, "point_encoder_and_fuser", "mlp", 0.30, "equivariant", "iterative"),
+    ("dropout_10", True, None, "point_encoder_and_fuser", None, 0.10, "equivariant", "iterative"),
+    ("dropout_50", True, None, "point_encoder_and_fuser", None, 0.50, "equivariant", "iterative"),
+    ("fuser_only", True, None, "fuser_only", None, 0.30, "equivariant", "iterative"),
+    ("zero_pad", True, None, "point_encoder_and_fuser", None, 0.30, "equivariant", "iterative"),
 ]
 
 

@@ -129,13 +129,21 @@ def fold_synonyms(spark, d):
     return load(spark, d, "part").select("p_partkey", F.array_join(X.fold_synonyms(raw), ",").alias("materials"))
 
 
-@query(rf"""WITH r AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'Sure, here it is: "' || text || '"' ELSE '```json' || chr(10) || text || '```' END AS raw FROM conversations),
-c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '```[a-z]*', '', 'g'), '{X.PREAMBLE.replace(chr(39), chr(39) * 2)}', ''), '^\s+|\s+\z', '', 'g') AS t FROM r)
-SELECT conv_id, turn, role, regexp_replace(split_part(t, chr(10), 1), '^["'']+|["'']+\z', '', 'g') AS sentence FROM c""")
+_WORDS = r"regexp_extract_all(lower({}), '\p{{L}}{{3,}}')"
+
+
+@query(rf"""WITH r AS (SELECT conv_id, turn, role, split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b, text FROM conversations),
+w AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'Here is one: "' || text || '"' WHEN 1 THEN '```json' || chr(10) || text || '```' WHEN 2 THEN 'The ' || b || ': ' || text ELSE chr(10) || 'Sentence:' || chr(10) || text END AS raw FROM r),
+t AS (SELECT *, regexp_replace(regexp_replace(raw, '```[a-z]*', '', 'g'), '^\s+', '') AS t FROM w),
+h AS (SELECT *, list_has_any({_WORDS.format(r"regexp_extract(t, '^([^:\n]*):\s', 1)")}, list_concat({_WORDS.format("a")}, {_WORDS.format("b")})) AS told FROM t),
+c AS (SELECT *, regexp_replace(CASE WHEN told THEN t ELSE regexp_replace(t, '^[^:\n]*:\s+', '') END, '^\s+|\s+\z', '', 'g') AS c FROM h)
+SELECT conv_id, turn, role, regexp_replace(split_part(c, chr(10), 1), '^["'']+|["'']+\z', '', 'g') AS sentence FROM c""")
 def unwrap_text(spark, d):
-    c = load(spark, d, "conversations")
-    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('Sure, here it is: "'), "text", F.lit('"'))).otherwise(F.concat(F.lit("```json\n"), "text", F.lit("```")))
-    return c.select("conv_id", "turn", "role", X.unwrap(raw).alias("sentence"))
+    """Texts as a model wraps them; one wrapping names the second word and stays."""
+    c = load(spark, d, "conversations").withColumn("b", F.split_part("text", F.lit(" "), F.lit(2)))
+    wraps = [F.concat(F.lit('Here is one: "'), "text", F.lit('"')), F.concat(F.lit("```json\n"), "text", F.lit("```")), F.concat(F.lit("The "), "b", F.lit(": "), "text"), F.concat(F.lit("\nSentence:\n"), "text")]
+    raw = F.element_at(F.array(*wraps), (F.col("turn") % 4 + 1).cast("int"))
+    return c.select("conv_id", "turn", "role", X.unwrap(raw, F.split_part("text", F.lit(" "), F.lit(1)), F.col("b")).alias("sentence"))
 
 
 portable(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.functions.text import PREAMBLE, contract_id, unwrap
+from orbweave.functions.text import contract_id, unwrap
 from orbweave.operators import checks, graph, layout, models, report
 from orbweave.plans import catalog, geometry, text
 
@@ -247,9 +247,22 @@ def test_trees_inherit_rooms_and_refuse_nonsense(spark):
             models.flatten_trees(spark.createDataFrame([(5, bad)], "house long, tree string")).collect()
 
 
-@pytest.mark.parametrize("raw,want", [("Sure, here it is: The cup stands.", "The cup stands."), ("Answer: 'x'", "x"), ("The relationship: a: b", "a: b"), ("Note the ratio: two to one", "Note the ratio: two to one"), ("```text\nHere's the sentence:\nok\nmore```", "ok"), ("Response time matters. So: no", "Response time matters. So: no")])
-def test_preambles_go_and_colons_stay(spark, raw, want):
-    assert spark.createDataFrame([(raw,)], "t string").select(unwrap(F.col("t")).alias("t")).first().t == want and PREAMBLE
+@pytest.mark.parametrize("raw,want", [
+    ("With pleasure: The cup stands.", "The cup stands."),
+    ("Result: 'x'", "x"),
+    ("The cup: a small one", "The cup: a small one"),
+    ("Where the TABLES are: near it", "near it"),
+    ("Beside the table: a cup", "Beside the table: a cup"),
+    ("A view of a ratio: two to one", "two to one"),
+    ("It was at 10:30 there", "It was at 10:30 there"),
+    ("```text\nSee below:\nok\nmore```", "ok"),
+    ("Time matters. The cup has one use: tea", "Time matters. The cup has one use: tea"),
+    ("no colon", "no colon"),
+    ("", ""),
+])
+def test_headings_go_and_colons_of_sentences_stay(spark, raw, want):
+    d = spark.createDataFrame([(raw, "a white Cup", "table, of oak", None)], "t string, a string, b string, c string")
+    assert d.select(unwrap(F.col("t"), F.col("a"), F.col("b"), F.col("c")).alias("t")).first().t == want
 
 
 def test_contract_changes_with_any_rule():
