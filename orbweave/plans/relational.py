@@ -156,8 +156,3 @@ SELECT p.scope AS published, r.scope AS actual, pooling, p.scope = 'trainable' A
 CASE WHEN r.scope <> 'frozen' THEN 'none' WHEN pooling = 'random_single_view' THEN 'per_view' ELSE 'aggregated' END AS cache_layout FROM s p CROSS JOIN s r CROSS JOIN a""")
 portable("worst_source", """WITH r AS (SELECT l_orderkey AS house, CASE WHEN l_tax > 6e-2 THEN 0 WHEN l_tax > 4e-2 THEN 1 WHEN l_discount > 5e-2 THEN 2 WHEN l_discount > 2e-2 THEN 3 WHEN l_quantity > 10 THEN 4 ELSE 5 END AS rank FROM lineitem)
 SELECT house, CASE max(rank) WHEN 0 THEN 'texture' WHEN 1 THEN 'face' WHEN 2 THEN 'vertex' WHEN 3 THEN 'flat' WHEN 4 THEN 'gltf_default' ELSE 'fallback_grey' END AS worst FROM r GROUP BY house""")
-portable("dag_closure", """WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey * 2 + 1 AS b FROM nation WHERE n_nationkey * 2 + 1 < 25 UNION ALL SELECT n_nationkey, n_nationkey * 2 + 2 FROM nation WHERE n_nationkey * 2 + 2 < 25),
-r AS (SELECT a, b, 1 AS depth FROM e UNION ALL SELECT r.a, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.b WHERE r.depth < 25)
-SELECT a, count(*) AS n_descendants, CAST(max(depth) AS BIGINT) AS depth, count(CASE WHEN a = b THEN 1 END) AS cycles FROM r GROUP BY a""")
-portable("include_walk", """WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_regionkey + 5 AS b FROM nation), r AS (SELECT 0 AS node, 0 AS depth UNION ALL SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 10)
-SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS BIGINT) AS depth, count(*) > 1 AS repeated FROM r GROUP BY node""")
