@@ -5,7 +5,6 @@ import pytest
 
 import corpus_pipeline
 from orbweave.llm import substrings
-from orbweave.plans import retrieval
 
 
 def test_windows_with_one_anchor_are_told_apart_by_all_bits(spark, monkeypatch):
@@ -23,28 +22,6 @@ def test_windows_with_one_anchor_are_told_apart_by_all_bits(spark, monkeypatch):
     assert got == {i: 0 for i in range(40)} | {99: 29}
 
 
-def test_every_query_row_gets_an_object_of_its_scene(spark, tmp_path):
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((190, 8)).astype(np.float32)
-    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-    want = {}
-    for scene in range(4):
-        layout, taken = None, []
-        for step, i in enumerate(range(60 * scene, min(60 * scene + 60, len(x)), 20)):
-            q = x[i] if layout is None else x[i] + 0.3 * layout
-            sim = x @ q
-            sim[[i, *taken]] = -np.inf
-            best = int(sim.argmax())
-            layout = x[best] if layout is None else (layout * step + x[best]) / (step + 1)
-            taken.append(best)
-            want[i] = (scene, step, best, round(float(sim[best]), 9))
-    rows = retrieval.compose_iterative(spark, str(tmp_path), slots=3).collect()
-    got = {r.query_id: (r.scene, r.step, r.chosen, pytest.approx(r.sim)) for r in rows}
-    assert len(want) == len(rows) == 10 and want == got
-
-
 @pytest.mark.parametrize("written", [True, False])
 def test_stages_decide_by_row(spark, tmp_path, written):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
