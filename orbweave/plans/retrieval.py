@@ -3,16 +3,15 @@ compared with all other rows."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from orbweave.functions.vectors import add, dot, doubles, r6, unit
+from orbweave.functions.vectors import doubles, r6
+from orbweave.operators.compose import compose
 from orbweave.operators.search import batch_losses, scores, self_found, target_ranks
 from orbweave.plans.registry import query
 from orbweave.sources import tables
-from orbweave.sources.tables import file_inventory, kept, load
+from orbweave.sources.tables import file_inventory, load
 
 SIMS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, g.vec_id AS id, g.label, q.label AS query_label, floor(list_cosine_similarity(q.v, g.v) * 1e9 + 5e-1) / 1e9 AS sim
@@ -25,15 +24,6 @@ def _sides(spark, d):
     return e.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("label").alias("query_label"), "vec"), e
 
 
-def written(df):
-    """`df` as a table in the shared folder. A checkpoint would keep what the planner has
-    inferred about columns, which doubles with each round."""
-    spark = df.sparkSession
-    at = f"{tables.shared_folder(spark)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.parquet(at)
-
-
 def _top(spark, d, k):
     q, g = _sides(spark, d)
     return scores(q.drop("query_label"), g, k).join(q.select("query_id", "query_label"), "query_id")
@@ -78,37 +68,37 @@ def compose_parallel(spark, d):
     return moved.select("query_id", "chosen", (F.col("before") + F.col("place") - 1).alias("step"))
 
 
+def _scenes(spark, d, slots):
+    """Scenes of the query rows of `slots` consecutive query ids, and the gallery."""
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("region"), doubles(F.col("embedding")).alias("vec"))
+    scene = F.floor(F.col("id") / (20 * slots)).cast("long")
+    return e.where(F.col("id") % 20 == 0).select(scene.alias("scene"), F.col("id").alias("query_id"), "vec", "region"), e
+
+
 @query()
 def compose_iterative(spark, d, slots: int = 25, weight: float = 0.3):
-    """Slots of a scene filled one after another; each choice shifts the next query.
-
-    A scene is the query rows of `slots` consecutive query ids, in their order; no object is
-    chosen twice in a scene. Each round fills one slot of all scenes at once: a slot has at
-    most as many objects taken as rounds went before, so one more than that are searched. A
-    scene's state is a row: its layout and the objects it has taken.
-    """
-    _, e = _sides(spark, d)
-    gallery = kept(e.select("id", "label", unit(F.col("vec")).alias("vec")))
-    scene = F.floor(F.col("id") / (20 * slots)).cast("long")
-    place = F.row_number().over(W.partitionBy("scene").orderBy("query_id")) - 1
-    asked = gallery.where(F.col("id") % 20 == 0).select(scene.alias("scene"), F.col("id").alias("query_id"), "vec")
-    asked = kept(asked.withColumn("step", place.cast("long")))
-    state = asked.select("scene", F.lit(0).alias("n"), F.lit(None).cast("array<double>").alias("layout"), F.array().cast("array<long>").alias("taken")).distinct()
-    out = asked.select("scene", "step", "query_id", F.col("query_id").alias("chosen"), F.lit(0.0).alias("sim")).limit(0)
-    for step in range((asked.agg(F.max("step").alias("s")).first()["s"] or 0) + 1):
-        q = asked.where(F.col("step") == step).join(state, "scene")
-        q = written(q.select("scene", "query_id", F.coalesce(add(F.col("vec"), F.col("layout"), weight), "vec").alias("vec"), "n", "layout", "taken"))
-        near = scores(q, gallery, step + 1).select("query_id", "id", F.col("sim").alias("near")).join(q.select("query_id", "taken"), "query_id")
-        near = near.where(~F.array_contains("taken", F.col("id")))
-        best = near.groupBy("query_id").agg(F.min_by("id", F.struct(-F.col("near"), "id")).alias("id"))
-        best = best.join(gallery.select("id", F.col("vec").alias("object")), "id")
-        mean = F.coalesce(F.zip_with("layout", "object", lambda a, b: (a * F.col("n") + b) / (F.col("n") + 1)), "object")
-        # Columns have new names here: inside the lambda, `n` would mean a new column `n`.
-        now = q.join(best, "query_id").select("scene", "query_id", F.col("id").alias("chosen"), dot(F.col("object"), F.col("vec")).alias("sim"), F.col("n").alias("before"), mean.alias("after"), F.array_append("taken", F.col("id")).alias("taken"))
-        now = written(now.select("scene", "query_id", "chosen", "sim", (F.col("before") + 1).alias("n"), F.col("after").alias("layout"), "taken"))
-        state = now.select("scene", "n", "layout", "taken")
-        out = out.union(now.select("scene", F.lit(step).cast("long").alias("step"), "query_id", "chosen", "sim"))
-    return out
+    """Slots of a scene filled one after another; each choice shifts the next query."""
+    return compose(*_scenes(spark, d, slots), "iterative", weight)[0]
+
+
+@query()
+def compose_region(spark, d):
+    """Scenes of up to five slots filled from the region of each query (its label)."""
+    return compose(*_scenes(spark, d, 5), "region")[0]
+
+
+@query("SELECT vec_id // 600 AS scene, count(*)::INT AS n_queries, least(count(*), 7)::INT AS placed, least(count(*), 7)::INT AS calls, CASE WHEN count(*) > 7 THEN 'EXHAUSTED' ELSE 'SUCCESS' END AS status, CASE WHEN count(*) > 7 THEN 'object_budget' END AS terminated_by FROM embeddings WHERE vec_id % 20 = 0 GROUP BY vec_id // 600")
+def compose_exits(spark, d):
+    """How scenes of up to 30 slots end if seven objects are allowed."""
+    return compose(*_scenes(spark, d, 30), max_objects=7)[1]
+
+
+@query(f"""WITH {SIMS}, k AS (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id // 600 ORDER BY query_id) - 1 AS step FROM r WHERE rank = 1)
+SELECT query_id // 600 AS scene, step, query_id, id AS chosen, floor(sim * 1e6 + 5e-1) / 1e6 AS sim FROM k WHERE step < 25""")
+def compose_at_once(spark, d):
+    """All slots of a scene by one retrieval, within the budget of 25 objects."""
+    objects, _ = compose(*_scenes(spark, d, 30), "parallel")
+    return objects.withColumn("sim", r6(F.floor(F.col("sim") * 1e9 + 0.5) / 1e9))
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, g.vec_id AS id, floor(list_cosine_similarity(q.v, g.v) * 1e9 + 5e-1) / 1e9 AS sim FROM e q JOIN e g ON q.vec_id % 20 = 0)
