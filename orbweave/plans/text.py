@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbweave.functions import text as X
+from orbweave.operators import tokens
 from orbweave.plans.registry import portable, query, run_sql
 from orbweave.sources.tables import load
 
@@ -177,6 +178,16 @@ def token_budget(spark, d):
     return load(spark, d, "documents").select("doc_id", n.alias("tokens"), (n > 77).alias("over"))
 
 
+@query()
+def subword_budget(spark, d):
+    """Subwords of texts with start and end, and whether an encoder of 77 would cut them."""
+    import public_tokenizers
+
+    sent = tokens.merge_table(spark, public_tokenizers.path("word_bpe_49k.json"))
+    n = tokens.token_counts(load(spark, d, "documents").select("doc_id", "text"), "text", sent)
+    return n.select("doc_id", "tokens", (F.col("tokens") > 77).alias("over"))
+
+
 @F.pandas_udf(T.StringType())
 def _foreign(texts: pd.Series) -> pd.Series:
     import re
