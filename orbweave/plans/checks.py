@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orbweave.functions.text import contract_id
 from orbweave.functions.vectors import r6
 from orbweave.operators import checks, models, report
+from orbweave.operators.places import ordered_digest
 from orbweave.plans.registry import portable, query, run_sql
 from orbweave.plans.relational import RULES
 from orbweave.plans.text import serialized
@@ -169,15 +170,22 @@ def contract_fingerprint(spark, d):
     return load(spark, d, "part").select("p_partkey", F.lit(contract_id("record", 3, CONTRACT)).alias("contract"))
 
 
-@query("SELECT p_type AS module, sha256(string_agg(p_name || ':' || CAST(p_partkey AS VARCHAR) || '=' || sha256(CAST(p_size AS VARCHAR) || ':' || p_brand), chr(10) ORDER BY lpad(CAST(p_partkey AS VARCHAR), 20, '0'))) AS digest FROM part GROUP BY p_type")
+def _level(n: int) -> str:
+    """A level of digest trees with 16 nodes under each."""
+    hashed = f"sha256('{n}' || chr(10) || string_agg(leaf, chr(10) ORDER BY pos))"
+    once = hashed if n == 1 else f"CASE WHEN m = 1 THEN max(leaf) ELSE {hashed} END"
+    return f"l{n} AS (SELECT module, n, pos // 16 AS pos, (m + 15) // 16 AS m, {once} AS leaf FROM l{n - 1} GROUP BY module, n, pos // 16, m)"
+
+
+@query(f"""WITH l0 AS (SELECT p_type AS module, count(*) OVER w AS n, row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_partkey) - 1 AS pos, count(*) OVER w AS m,
+p_name || ':' || CAST(p_partkey AS VARCHAR) || '=' || sha256(CAST(p_size AS VARCHAR) || ':' || p_brand) AS leaf FROM part WINDOW w AS (PARTITION BY p_type)),
+{", ".join(_level(n) for n in range(1, 7))} SELECT module, n, leaf AS digest FROM l6""")
 def weight_digest(spark, d):
-    """One digest for each module over its tensors in the order of their names; a tensor's
-    bytes are digested first, so a module gathers one short string for each tensor."""
-    name = F.concat_ws(":", "p_name", "p_partkey")
-    row = F.concat_ws("=", name, F.sha2(F.concat_ws(":", "p_size", "p_brand"), 256)).alias("row")
-    order = F.lpad(F.col("p_partkey").cast("string"), 20, "0").alias("name")
-    rows = load(spark, d, "part").groupBy(F.col("p_type").alias("module")).agg(F.sort_array(F.collect_list(F.struct(order, row))).alias("rows"))
-    return rows.select("module", F.sha2(F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), 256).alias("digest"))
+    """One digest for each module over its tensors in the order of their names, as a tree of
+    16 nodes a branch; a tensor's bytes are digested first."""
+    leaf = F.concat_ws("=", F.concat_ws(":", "p_name", "p_partkey"), F.sha2(F.concat_ws(":", "p_size", "p_brand"), 256))
+    rows = load(spark, d, "part").withColumn("module", F.col("p_type"))
+    return ordered_digest(rows, ["module"], ["p_name", "p_partkey"], leaf, 16)
 
 
 def house_trees(spark, d):

@@ -38,6 +38,18 @@ def torn_log_quarantine(spark, d):
     return bad.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey // 4000 AS split, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) - 1 AS n FROM orders)
+SELECT printf('%d_%05d', split, n) AS key, o_orderkey AS id FROM o WHERE o_orderkey % 10 <> 3""")
+def keyed_lines(spark, d):
+    """Orders as files of JSON lines in the order of their keys, some of the lines blank."""
+    at = place(spark, "lines")
+    line = F.when(F.col("o_orderkey") % 10 != 3, F.to_json(F.struct(F.col("o_orderkey").alias("id")))).otherwise("")
+    o = load(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 4000).alias("split"), "o_orderkey", line.alias("value"))
+    o.repartition("split").sortWithinPartitions("split", "o_orderkey").drop("o_orderkey").write.partitionBy("split").text(at)
+    good, _ = S.keyed_json_lines(spark, at, "id long", ["id"], name=F.regexp_extract("file", "split=([^/]+)/", 1))
+    return good.select("key", "id")
+
+
 @query("SELECT n_name AS name, n_regionkey AS region, CASE WHEN n_nationkey % 8 = 3 THEN 'missing region' END AS reason FROM nation WHERE n_nationkey % 8 <> 3 UNION ALL SELECT NULL, NULL, 'missing region' FROM nation WHERE n_nationkey % 8 = 3")
 def record_files(spark, d):
     """A file for each nation; some lack a field and go to quarantine."""

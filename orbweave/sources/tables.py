@@ -84,6 +84,31 @@ def json_lines(spark: SparkSession, path: str, schema, required: list[str] | Non
     return _parsed(lines, schema, required or [], "file")
 
 
+def line_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files, numbered from 0 in each file.
+
+    A file may be read in several splits: a split's lines come in order, and the counts of a
+    file's earlier splits are added, of which there is one row each. Blank lines count.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    sizes = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "split", (before - F.col("first")).alias("shift"))
+    return lines.join(starts, ["file", "split"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
+def keyed_json_lines(spark: SparkSession, path: str, schema, required: list[str] | None = None, digits: int = 5, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine) of files of JSON lines, with the key "<name>_<line>" and the file.
+
+    The name comes from the column `file` (by default its stem). Lines count from 0, blank
+    ones too, which give no row; see json_lines."""
+    name = F.url_decode(F.regexp_extract("file", r"([^/]+?)(\.[^/.]*)*$", 1)) if name is None else name
+    key = F.concat(name, F.lit("_"), F.lpad(F.col("line").cast("string"), F.greatest(F.lit(digits), F.length(F.col("line").cast("string"))), F.lit("0")))
+    lines = line_numbers(spark, path).where(F.trim("value") != "").select(F.struct(key.alias("key"), "file").alias("at"), "value")
+    good, bad = _parsed(lines, schema, required or [], "at")
+    return good.select("at.*", *[c for c in good.columns if c != "at"]), bad.select("at.*", "value", "reason")
+
+
 def record_folder(spark: SparkSession, path: str, schema, required: list[str] | None = None, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of a folder that holds a record a file; see json_lines. Torn
     characters are quarantined too; files of no bytes are not rows to Spark and give none."""
