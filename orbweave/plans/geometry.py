@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from orbweave.functions import vectors as V
-from orbweave.operators.sampling import farthest
+from orbweave.operators.aggregates import vector_aggregates
+from orbweave.operators.sampling import draw_exactly, farthest
 from orbweave.plans.registry import query
 from orbweave.sources.tables import NODES_SQL, load, nodes
 
@@ -106,8 +108,16 @@ def layout_residual(spark, d):
 
 @query(f"WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(64)) AS pos FROM embeddings) SELECT label, pos, {_r6('avg(v)')} AS mean, {_r6('max(v)')} AS most FROM x GROUP BY label, pos")
 def pool_views(spark, d):
-    e = load(spark, d, "embeddings").select("label", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "v"))
-    return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(V.r6(F.avg("v")).alias("mean"), V.r6(F.max("v")).alias("most"))
+    e = load(spark, d, "embeddings").select("label", "embedding")
+    both = vector_aggregates(e, ["label"], "embedding", {"mean": "mean", "most": "max"})
+    return both.select("label", F.posexplode(F.arrays_zip("mean", "most")).alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), V.r6(F.col("v.mean")).alias("mean"), V.r6(F.col("v.most")).alias("most"))
+
+
+@query(f"WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(64)) AS pos FROM embeddings) SELECT label, pos, count(*) AS n, {_r6('ln(sum(exp(v * 10)))')} AS lse FROM x GROUP BY label, pos")
+def logsumexp_views(spark, d):
+    e = load(spark, d, "embeddings").select("label", F.transform(V.doubles(F.col("embedding")), lambda x: x * 10).alias("v"))
+    a = vector_aggregates(e, ["label"], "v", {"lse": "logsumexp"})
+    return a.select("label", "n", F.posexplode("lse").alias("pos", "lse")).select("label", F.col("pos").cast("long").alias("pos"), "n", V.r6(F.col("lse")).alias("lse"))
 
 
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0 AS non_finite FROM embeddings")
@@ -197,11 +207,14 @@ def _pixels(spark, d):
 
 
 def _world(p, pitch=20.0, yaw=30.0):
+    """World points of pixels (u, v, depth) with the columns before them."""
     half = F.tan(F.radians(F.lit(60.0)) / 2)
-    cp, sp, cy, sy = (f(F.radians(F.lit(a))) for a in (pitch, yaw) for f in (F.cos, F.sin))
+    yaw = yaw if isinstance(yaw, Column) else F.lit(yaw)
+    cp, sp, cy, sy = (f(F.radians(a)) for a in (F.lit(pitch), yaw) for f in (F.cos, F.sin))
     x, y, z = F.col("u") * half * F.col("depth"), F.col("v") * half * F.col("depth"), F.col("depth")
     down, ahead = y * cp - z * sp, y * sp + z * cp
-    return p.select("k", "depth", V.r6(x * cy + ahead * sy + 1).alias("x"), V.r6(down + 2).alias("y"), V.r6(ahead * cy - x * sy + 3).alias("z"))
+    rest = [c for c in p.columns if c not in ("u", "v")]
+    return p.select(*rest, V.r6(x * cy + ahead * sy + 1).alias("x"), V.r6(down + 2).alias("y"), V.r6(ahead * cy - x * sy + 3).alias("z"))
 
 
 @query(f"""WITH {_PIXELS}, c AS (SELECT k, u * tan(radians(60e0) / 2) * depth AS x, v * tan(radians(60e0) / 2) * depth AS y, depth AS z FROM p),
@@ -212,17 +225,44 @@ def unproject(spark, d):
     return _world(_pixels(spark, d)).select("k", "x", "y", "z")
 
 
-@query(f"""WITH {_PIXELS}, c AS (SELECT k, u * tan(radians(60e0) / 2) * depth AS x, v * tan(radians(60e0) / 2) * depth AS y, depth AS z FROM p),
-r AS (SELECT k, x, y * cos(radians(20e0)) - z * sin(radians(20e0)) AS y, y * sin(radians(20e0)) + z * cos(radians(20e0)) AS z FROM c),
-w AS (SELECT k, {_r6('x * cos(radians(30e0)) + z * sin(radians(30e0)) + 1')} AS x, {_r6('y + 2')} AS y, {_r6('z * cos(radians(30e0)) - x * sin(radians(30e0)) + 3')} AS z FROM r JOIN p USING (k) WHERE depth < 18e-1), t AS (SELECT CAST(ceil(500e0 / greatest(count(*), 1)) AS BIGINT) AS times FROM w)
-SELECT k, x, y, z FROM (SELECT w.*, unnest(range(times)) AS copy FROM w CROSS JOIN t) ORDER BY copy, md5(CAST(k AS VARCHAR)), k LIMIT 500""")
+# Frames of assets (suppliers): a view for each line number, its yaw by the view; rays that
+# hit nothing have infinite depths, of either sign, or lie beyond the cut.
+_FRAMES = """f AS (SELECT l_suppkey AS asset, l_linenumber AS view, l_orderkey AS pixel, (l_orderkey % 16 + 5e-1) / 16 * 2 - 1 AS u, 1 - (l_orderkey // 16 % 16 + 5e-1) / 16 * 2 AS v,
+CASE WHEN l_quantity = 1 THEN CAST('inf' AS DOUBLE) WHEN l_quantity = 2 THEN CAST('-inf' AS DOUBLE) ELSE l_extendedprice / 30000 END AS depth, row_number() OVER (PARTITION BY l_suppkey, l_linenumber, l_orderkey ORDER BY l_extendedprice, l_partkey, l_quantity, l_tax, l_discount) AS again FROM lineitem)"""
+
+
+def frames(spark, d):
+    li = load(spark, d, "lineitem")
+    again = F.row_number().over(W.partitionBy("l_suppkey", "l_linenumber", "l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_quantity", "l_tax", "l_discount"))
+    depth = F.when(F.col("l_quantity") == 1, float("inf")).when(F.col("l_quantity") == 2, float("-inf")).otherwise(F.col("l_extendedprice") / 30000)
+    u, v = (F.col("l_orderkey") % 16 + 0.5) / 16 * 2 - 1, 1 - (F.floor(F.col("l_orderkey") / 16) % 16 + 0.5) / 16 * 2
+    return li.select(F.col("l_suppkey").alias("asset"), F.col("l_linenumber").alias("view"), F.col("l_orderkey").alias("pixel"), again.alias("again"), u.alias("u"), v.alias("v"), depth.alias("depth"))
+
+
+def fused(frames, far: float, n: int):
+    """(asset, at, view, x, y, z): exactly n world points of each asset, of the hits of all
+    its views, in the order of a hash; an asset with fewer hits repeats them, one without
+    any gives none (see unseen). Depths that aren't finite or not under `far` are no hits."""
+    hits = frames.where((F.col("depth") < far) & (F.col("depth") > float("-inf")))
+    h = F.md5(F.concat_ws(":", "asset", "view", "pixel", "again"))
+    world = _world(hits.withColumn("by", F.conv(F.substring(h, 1, 15), 16, 10).cast("long")), 20.0, F.col("view") * 30.0)
+    return draw_exactly(world.select("asset", "view", "by", "x", "y", "z"), "asset", "by", n).drop("by")
+
+
+def unseen(frames, far: float):
+    """(asset): assets that no view hits."""
+    hit = F.max((F.col("depth") < far) & (F.col("depth") > float("-inf")))
+    return frames.groupBy("asset").agg(F.coalesce(hit, F.lit(False)).alias("hit")).where("not hit").select("asset")
+
+
+@query(f"""WITH {_FRAMES}, h AS (SELECT * FROM f WHERE isfinite(depth) AND depth < 12e-1), c AS (SELECT *, u * tan(radians(60e0) / 2) * depth AS cx, v * tan(radians(60e0) / 2) * depth AS cy, radians(view * 30e0) AS yaw FROM h),
+r AS (SELECT *, cy * cos(radians(20e0)) - depth * sin(radians(20e0)) AS ry, cy * sin(radians(20e0)) + depth * cos(radians(20e0)) AS rz FROM c),
+w AS (SELECT asset, view, {_r6('cx * cos(yaw) + rz * sin(yaw) + 1')} AS x, {_r6('ry + 2')} AS y, {_r6('rz * cos(yaw) - cx * sin(yaw) + 3')} AS z,
+row_number() OVER (PARTITION BY asset ORDER BY substring(md5(asset || ':' || view || ':' || pixel || ':' || again), 1, 15)) - 1 AS rank, count(*) OVER (PARTITION BY asset) AS have FROM r)
+SELECT asset, unnest(range(rank, 500, have)) AS at, view, x, y, z FROM w WHERE rank < 500""")
 def fuse_depth(spark, d):
-    """Exactly 500 points from the hits of all views, by hash order; short input repeats."""
-    hit = _world(_pixels(spark, d)).where(F.col("depth") < 1.8)
-    n = hit.count()
-    times = -(-500 // max(1, n))
-    again = hit.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    return again.orderBy("copy", F.md5(F.col("k").cast("string")), "k").limit(500).select("k", "x", "y", "z")
+    """500 points of each asset from the hits of its views."""
+    return fused(frames(spark, d), 1.2, 500)
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions.text import contract_id, unwrap
-from orbweave.operators import checks, graph, layout, models, report
+from orbweave.operators import aggregates, checks, graph, layout, models, report, sampling
 from orbweave.plans import catalog, geometry, text
 
 
@@ -294,10 +294,64 @@ def test_cameras_look_at_the_origin(spark, sf_dir):
 
 
 def test_depth_fusion_takes_only_hits(spark, sf_dir):
-    got = catalog.QUERIES["fuse_depth"](spark, sf_dir)
-    assert got.count() == 500
-    hits = geometry._world(geometry._pixels(spark, sf_dir)).where("depth < 1.8").select("k", "x", "y", "z")
-    assert got.join(hits, ["k", "x", "y", "z"], "left_anti").count() == 0
+    inf = float("inf")
+    rows = [(a, v, p, 1, 0.1, -0.2, z) for a, n in ((1, 30), (2, 3), (None, 2)) for v in range(2) for p, z in enumerate([0.5 + 0.01 * p for p in range(n)] + [inf, -inf, float("nan"), 9.0])]
+    rows += [(7, 0, 0, 1, 0.1, 0.1, inf), (7, 1, 0, 1, 0.1, 0.1, None)]
+    f = spark.createDataFrame(rows, "asset long, view int, pixel long, again int, u double, v double, depth double").repartition(4)
+    got = geometry.fused(f, 2.0, 20)
+    hits = geometry._world(f.where("depth < 2 and depth > -1"), 20.0, F.col("view") * 30.0)
+    assert got.join(hits, [got[c].eqNullSafe(hits[c]) for c in ("asset", "view", "x", "y", "z")], "left_anti").count() == 0
+    each = {r.asset: (r.n, r.places, r.points) for r in got.groupBy("asset").agg(F.count("*").alias("n"), F.count_distinct("at").alias("places"), F.count_distinct("x", "y", "z").alias("points")).collect()}
+    assert each == {1: (20, 20, 20), 2: (20, 20, 6), None: (20, 20, 4)}
+    assert rows_of(geometry.unseen(f, 2.0)) == [(7,)] and geometry.fused(f.limit(0), 2.0, 20).collect() == []
+    turns = [r.c for r in got.where("asset = 2").groupBy("x", "y", "z").agg(F.count("*").alias("c")).collect()]
+    assert sorted(turns) == [3, 3, 3, 3, 4, 4]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("most", [10, 200_000])
+def test_least_rows_of_each_group(spark, monkeypatch, most):
+    monkeypatch.setattr(sampling, "ROWS", most)
+    d = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN id % 70 ELSE 1 END AS g", "hash(id) * 4294967296L + id AS h", "id AS `x.y`").repartition(6)
+    want = {}
+    for r in d.collect():
+        want.setdefault(r.g, []).append((r.h, r["x.y"]))
+    got = {}
+    for r in sampling.bottom_k(d, "g", "h", 25).collect():
+        got.setdefault(r.g, []).append((r.h, r["x.y"]))
+    assert {g: sorted(v) for g, v in got.items()} == {g: sorted(v)[:25] for g, v in want.items()}
+
+
+@pytest.mark.parametrize("held", [16, 1 << 20])
+def test_vector_aggregates_against_numpy(spark, monkeypatch, held):
+    monkeypatch.setattr(aggregates, "HELD", held)
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 3 else f"k{g}", int(g) % 2, (rng.normal(size=6) * (400 if g == 2 else 1)).tolist()) for g in [0] * 900 + rng.integers(0, 40, 900).tolist()]
+    rows += [("k1", 1, None), ("gone", 0, None), ("low", 0, [float("-inf")] * 6), ("low", 0, [float("-inf"), 1.0, 2.0, 3.0, 4.0, 5.0])]
+    d = spark.createDataFrame(rows, "a string, b int, v array<double>").repartition(7)
+    kinds = {"s": "sum", "m": "mean", "top": "max", "bottom": "min", "lse": "logsumexp"}
+    got = {(r.a, r.b): r for r in aggregates.vector_aggregates(d, ["a", "b"], "v", kinds).collect()}
+    groups = {}
+    for a, b, v in rows:
+        if v is not None:
+            groups.setdefault((a, b), []).append(v)
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        x, r = np.array(x), got[k]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            assert r.n == len(x) and np.allclose(r.s, x.sum(0)) and np.allclose(r.m, x.mean(0)) and r.top == x.max(0).tolist() and r.bottom == x.min(0).tolist()
+            assert np.allclose(r.lse, np.logaddexp.reduce(x, axis=0))
+    one = aggregates.vector_aggregates(d.where("a <> 'low'"), [], "v", {"s": "sum"}).first()
+    assert np.allclose(one.s, sum(np.sum(x, axis=0) for k, x in groups.items() if k[0] not in (None, "low")))
+    assert aggregates.vector_aggregates(d.limit(0), ["a"], "v", kinds).collect() == []
+    for bad in ([1.0], [1.0, None, 1.0, 1.0, 1.0, 1.0]):
+        with pytest.raises(Exception, match="widths"):
+            aggregates.vector_aggregates(d.union(spark.createDataFrame([("k1", 1, bad)], d.schema)), [], "v", {"s": "sum"}).collect()
+    with pytest.raises(ValueError, match="median"):
+        aggregates.vector_aggregates(d, [], "v", {"s": "median"})
 
 
 def test_farthest_points_against_a_plain_loop(spark, sf_dir):
