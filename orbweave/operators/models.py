@@ -10,18 +10,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orbweave.sources.tables import kept
 
-def encode(rows: DataFrame, column: str, load: Callable[[], Callable], width: int, batch: int = 256, out: str = "embedding", normalise: bool = True) -> DataFrame:
-    """`rows` with `out`, the vectors that a model gives for `column` (texts, images or point
-    clouds; anything Arrow holds).
+
+#: Bytes of inputs that a model gets at once at most, unless one input alone is larger.
+BATCH_BYTES = 64 << 20
+
+
+def gathered(views: DataFrame, key: str, order: str, value: str, most: int, least: int = 1, out: str = "inputs") -> DataFrame:
+    """(key, out): the values of each record as an array in the order of `order`.
+
+    A record has between `least` and `most` views, all of different `order` and none of them
+    null; another number, a repeated place or a null value raises and names the record, so
+    that a model never gets a set with a view missing. Only `most` values stand in a row.
+    """
+    sized = views.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(order).alias("places"), F.count(value).alias("whole"))
+    bad = (F.col("n") > most) | (F.col("n") < least) | (F.col("places") < F.col("n")) | (F.col("whole") < F.col("n"))
+    told = F.concat(F.lit(f"record {key} = "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" has "), F.col("n").cast("string"), F.lit(" views at "), F.col("places").cast("string"), F.lit(" places, "), F.col("whole").cast("string"), F.lit(f" of them whole; {least} to {most} are wanted"))
+    fit = kept(sized.select(key, F.when(bad, F.raise_error(told).cast("boolean")).otherwise(True).alias("fit")))
+    rows = views.join(fit.where("fit").select(F.col(key).alias("k_")), views[key].eqNullSafe(F.col("k_")), "left_semi")
+    one = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return rows.groupBy(key).agg(F.transform(one, lambda x: x["v"]).alias(out))
+
+
+def batches_of(sizes: np.ndarray, batch: int, most_bytes: int) -> list[tuple[int, int]]:
+    """(from, to) of runs of at most `batch` values and `most_bytes`, or of one larger value."""
+    out, a, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > a and (i - a >= batch or held + n > most_bytes):
+            out.append((a, i))
+            a, held = i, 0
+        held += n
+    return [*out, (a, len(sizes))] if len(sizes) else []
+
+
+def sizes_of(values) -> np.ndarray:
+    """Bytes of each value of an Arrow column, nested ones with all that they hold."""
+    return np.array([values.slice(i, 1).nbytes for i in range(len(values))], np.int64)
+
+
+def encode(rows: DataFrame, column: str | list[str], load: Callable[[], Callable], width: int, batch: int = 256, out: str = "embedding", normalise: bool = True, most_bytes: int = BATCH_BYTES) -> DataFrame:
+    """`rows` with `out`, the vectors that a model gives for `column` (texts, images as
+    binaries, arrays of images or of points; anything Arrow holds).
 
     `load` runs once in each task that has rows and gives a callable from a list of values to
-    vectors. Values go in lists of at most `batch`; null values get null vectors and never
-    reach the model. Vectors of another width than `width` or another number of them raise,
-    as do vectors that aren't finite; normalised ones have length 1, or 0 where the model
-    gave zeros.
+    vectors; of several columns it gets a list of each. Values go in lists of at most `batch`
+    and `most_bytes` bytes (a larger value alone); rows with a null among the columns get null
+    vectors and never reach the model. Vectors of another width than `width` or another number
+    of them raise, as do vectors that aren't finite; normalised ones have length 1, or 0 where
+    the model gave zeros.
     """
-    at, names = rows.columns.index(column), [f"c{i}" for i in range(len(rows.columns) + 1)]
+    several = [column] if isinstance(column, str) else column
+    at, names = [rows.columns.index(c) for c in several], [f"c{i}" for i in range(len(rows.columns) + 1)]
     kinds = [f.dataType for f in rows.schema.fields] + [T.ArrayType(T.DoubleType())]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
 
@@ -30,16 +70,19 @@ def encode(rows: DataFrame, column: str, load: Callable[[], Callable], width: in
 
         model = None
         for b in batches:
-            values = b.column(at)
-            here = np.flatnonzero(~np.asarray(values.is_null()))
+            whole = np.ones(b.num_rows, bool)
+            for i in at:
+                whole &= ~np.asarray(b.column(i).is_null())
+            here = np.flatnonzero(whole)
+            values = [b.column(i).take(pa.array(here)) for i in at]
             found = np.zeros((len(here), width))
-            for a in range(0, len(here), batch):
-                part = values.take(pa.array(here[a : a + batch])).to_pylist()
+            for a, e in batches_of(sum(map(sizes_of, values)), batch, most_bytes):
+                part = [v.slice(a, e - a).to_pylist() for v in values]
                 model = model or load()
-                x = np.asarray(model(part), np.float64)
-                if x.shape != (len(part), width) or not np.isfinite(x).all():
-                    raise ValueError(f"the model gave {x.shape} or numbers that aren't finite for {len(part)} values of width {width}")
-                found[a : a + batch] = x
+                x = np.asarray(model(*part), np.float64)
+                if x.shape != (e - a, width) or not np.isfinite(x).all():
+                    raise ValueError(f"the model gave {x.shape} or numbers that aren't finite for {e - a} values of width {width}")
+                found[a:e] = x
             if normalise:
                 found /= np.maximum(np.sqrt((found * found).sum(1, keepdims=True)), 1e-12)
             size = np.zeros(b.num_rows, np.int64)
@@ -51,13 +94,15 @@ def encode(rows: DataFrame, column: str, load: Callable[[], Callable], width: in
     return rows.toDF(*names[:-1]).mapInArrow(run, schema).toDF(*rows.columns, out)
 
 
-def write_checked(rows: DataFrame, key: str, prompt: str, load: Callable[[], Callable], check: Callable[[str], str | None], repair: Callable[[str, str, str], str], attempts: int = 2) -> DataFrame:
-    """(key, attempts, text, reason): what a text model writes for each prompt, under a rule.
+def write_checked(rows: DataFrame, key: str, prompt: str, load: Callable[[], Callable], check: Callable[[str], str | None], repair: Callable[[str, str, str], str], attempts: int = 2, inputs: str | None = None) -> DataFrame:
+    """(key, attempts, text, reason): what a text model writes for each prompt, under a rule;
+    with `inputs`, for each prompt and that column's value, such as an array of images.
 
     `check` says why a text is refused, or None. A refused one is asked for again with
     repair(prompt, text, reason), at most `attempts` times in all; then `text` is null and
     `reason` says why, so that exactly one of both is null. A model that raises is refused
-    with its message, and only its own row suffers. Null prompts are refused unasked.
+    with its message, and only its own row suffers. Null prompts are refused unasked. The
+    inputs of one row at a time become Python values.
     """
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), *T.DataType.fromDDL("attempts int, text string, reason string").fields])
 
@@ -67,12 +112,13 @@ def write_checked(rows: DataFrame, key: str, prompt: str, load: Callable[[], Cal
         model = None
         for b in batches:
             done = []
-            for first in b.column(1).to_pylist():
+            for row, first in enumerate(b.column(1).to_pylist()):
+                more = [b.column(2)[row].as_py()] if inputs else []
                 ask, text, why, n = first, None, "no prompt", 0
                 while ask is not None and n < attempts:
                     model, n = model or load(), n + 1
                     try:
-                        text = model(ask)
+                        text = model(ask, *more)
                         why = check(text)
                     except Exception as e:  # noqa: BLE001 - a model's own failures
                         text, why = "", f"{type(e).__name__}: {e}"
@@ -83,7 +129,7 @@ def write_checked(rows: DataFrame, key: str, prompt: str, load: Callable[[], Cal
             cols = [pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int32(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=schema.names)
 
-    return rows.select(F.col(key), F.col(prompt)).mapInArrow(run, schema)
+    return rows.select(F.col(key), F.col(prompt), *([F.col(inputs)] if inputs else [])).mapInArrow(run, schema)
 
 
 def hashed_words(width: int) -> Callable[[], Callable]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orbweave.operators import models
+from orbweave.operators.aggregates import vector_aggregates
 from orbweave.operators.settled import content_key, settle_texts, settle_vectors, symmetric
 from orbweave.plans.registry import query
 from orbweave.plans.scans import place
@@ -64,3 +66,45 @@ def settled_embeddings(spark, d):
 
     got = settle_vectors(rows, "text", ["v1"], load_model, 2, place(spark, "vectors"), normalise=False)
     return got.select("p_partkey", F.get("embedding", F.lit(0)).alias("n"), F.get("embedding", F.lit(1)).alias("first"))
+
+
+# --- records of several inputs ----------------------------------------------------------------
+
+VIEWS = 11
+
+
+def images(spark, d):
+    """(p_partkey, view, image): 11 stand-in images of each part, some hundred bytes each."""
+    p = load(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(VIEWS - 1))).alias("view"))
+    content = F.unhex(F.repeat(F.md5(F.concat_ws(":", "p_partkey", "view")), F.col("p_size")))
+    return p.select("p_partkey", "view", content.alias("image"))
+
+
+def annotator():
+    return lambda prompt, views: f"{prompt}: {len(views)} views, {sum(map(len, views))} bytes, {views[0][:2].hex()} to {views[-1][:2].hex()}"
+
+
+@query("""SELECT p_partkey, CAST(1 AS INT) AS attempts, 'What is ' || p_name || '?: 11 views, ' || CAST(11 * 16 * p_size AS VARCHAR) || ' bytes, ' || substring(md5(p_partkey || ':0'), 1, 4) || ' to ' || substring(md5(p_partkey || ':10'), 1, 4) AS text, CAST(NULL AS VARCHAR) AS reason FROM part""")
+def annotate_views(spark, d):
+    """A prompt and the 11 images of each part, in order, in one call."""
+    views = models.gathered(images(spark, d), "p_partkey", "view", "image", VIEWS, VIEWS)
+    asked = load(spark, d, "part").select("p_partkey", F.concat(F.lit("What is "), "p_name", F.lit("?")).alias("prompt")).join(views, "p_partkey")
+    return models.write_checked(asked, "p_partkey", "prompt", annotator, lambda t: None, lambda p, t, why: p, inputs="inputs")
+
+
+@query("""WITH v AS (SELECT p_partkey, unnest(range(11)) AS view, p_size FROM part)
+SELECT p_partkey, CAST(16 * p_size AS DOUBLE) AS bytes, avg(CAST('0x' || substring(md5(p_partkey || ':' || view), 1, 2) AS INT)) AS first FROM v GROUP BY p_partkey, p_size""")
+def image_embeddings(spark, d):
+    """Each image is a vector; a part's is their mean."""
+    e = models.encode(images(spark, d), "image", lambda: lambda x: [[len(i), i[0]] for i in x], 2, normalise=False, most_bytes=1 << 16)
+    m = vector_aggregates(e, ["p_partkey"], "embedding", {"v": "mean"})
+    return m.select("p_partkey", F.get("v", F.lit(0)).alias("bytes"), F.get("v", F.lit(1)).alias("first"))
+
+
+@query(f"""WITH {NODES_SQL} SELECT house, CAST(count(*) AS DOUBLE) AS points, min(x) AS low, max(z) AS high FROM nodes GROUP BY house""")
+def cloud_embeddings(spark, d):
+    """Each house as a cloud of points in one value, whatever order they are stored in."""
+    n = nodes(spark, d).select("house", "idx", F.struct("x", "y", "z").alias("p"))
+    clouds = models.gathered(n, "house", "idx", "p", 10_000, out="cloud")
+    e = models.encode(clouds, "cloud", lambda: lambda c: [[len(x), min(p["x"] for p in x), max(p["z"] for p in x)] for x in c], 3, batch=64, normalise=False)
+    return e.select("house", *[F.get("embedding", F.lit(i)).alias(a) for i, a in enumerate(("points", "low", "high"))])

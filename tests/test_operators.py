@@ -222,6 +222,36 @@ def test_encoder_is_loaded_once_and_checked(spark, tmp_path):
             models.encode(d, "text", model, width).collect()
 
 
+def test_inputs_of_a_record_come_whole_and_in_order(spark):
+    d = spark.createDataFrame([(k, o, bytes([k, o])) for k in (1, 2, 3) for o in (2, 0, 1)], "k long, o int, v binary").repartition(5)
+    got = {r.k: [bytes(x) for x in r.inputs] for r in models.gathered(d, "k", "o", "v", 3, 3).collect()}
+    assert got == {k: [bytes([k, o]) for o in range(3)] for k in (1, 2, 3)}
+    for bad, why in ((d.where("k <> 2 or o <> 1"), "k = 2 has 2 views"), (d.withColumn("o", F.expr("o % 2")), "3 views at 2 places"), (d.withColumn("v", F.expr("CASE WHEN o < 2 THEN v END")), "2 of them whole"), (d.union(d.withColumn("o", F.expr("o + 3"))), "6 views")):
+        with pytest.raises(Exception, match=why):
+            models.gathered(bad, "k", "o", "v", 3, 3).collect()
+    assert models.gathered(d.limit(0), "k", "o", "v", 3).collect() == []
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def load():
+        def model(images, names):
+            with log.open("a") as f:
+                f.write(f"{len(images)} {sum(sum(map(len, x)) for x in images)} {len(names)}\n")
+            return [[float(sum(map(len, x)))] for x in images]
+
+        return model
+
+    sizes = [100] * 30 + [5000, 10, 4000, 3000, 10]
+    d = spark.createDataFrame([(i, [b"x" * (n // 2)] * 2, "n") for i, n in enumerate(sizes)] + [(99, None, "n"), (98, [b"a"], None)], "id long, x array<binary>, name string").coalesce(1)
+    got = {r.id: r.embedding for r in models.encode(d, ["x", "name"], load, 1, batch=20, normalise=False, most_bytes=4500).collect()}
+    assert got == {i: [float(n)] for i, n in enumerate(sizes)} | {99: None, 98: None}
+    calls = [tuple(map(int, x.split())) for x in log.read_text().splitlines()]
+    assert sum(c[0] for c in calls) == len(sizes) and all(n == m for n, _, m in calls)
+    assert all(n <= 20 and (b <= 4500 or n == 1) for n, b, _ in calls) and (1, 5000, 1) in calls and len(calls) <= 7
+
+
 def test_texts_are_asked_for_again_once(spark):
     asked = []
 
