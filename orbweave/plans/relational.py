@@ -19,15 +19,6 @@ RULES = """CASE WHEN p_name IS NULL OR p_type IS NULL THEN 'required field missi
 WHEN p_size < 1 OR p_size > 45 THEN concat('size = ', CAST(p_size AS VARCHAR(20)), ' is outside 1-45') WHEN p_retailprice < 905 OR p_retailprice > 1900 THEN 'price outside 905-1900'
 WHEN p_retailprice / (p_size * p_size * p_size) > 500 THEN 'density is implausible' WHEN p_type = 'PROMO' THEN 'type is not allowed' END"""
 
-portable("validate_records", f"SELECT p_partkey, {RULES} AS violation FROM part")
-portable("revalidate_population", f"""WITH v AS (SELECT p_partkey, p_type, {RULES} AS violation FROM part)
-SELECT p_type, count(*) AS n, count(violation) AS n_bad, CASE WHEN count(violation) = 0 THEN 'declared' ELSE 'refused' END AS verdict FROM v GROUP BY p_type""")
-portable("validate_text", """SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 300 THEN 'longer than 300'
-WHEN lower(text) = upper(text) THEN 'no letter' END AS violation FROM documents""")
-portable("is_complete", """SELECT d.doc_id, l.doc_id IS NOT NULL AND l.quality = 1 AND d.n_chars = length(d.text) AS complete FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
-portable("contract_violations", """SELECT 'events' AS contract, event_type AS name, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY event_type
-UNION ALL SELECT 'orders', o_orderstatus, count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY o_orderstatus""")
-portable("work_list", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 portable("distinct_views", """SELECT l_orderkey AS house, count(*) AS views, count(DISTINCT sha256(concat(CAST(l_partkey AS VARCHAR(20)), l_returnflag))) AS distinct_views,
 count(CASE WHEN l_quantity < 2 THEN 1 END) AS blank, count(CASE WHEN l_quantity < 2 THEN 1 END) = count(*) AS all_blank FROM lineitem GROUP BY l_orderkey""")
 portable("density_check", "SELECT p_partkey, p_retailprice / (CAST(p_size AS DOUBLE) * p_size * p_size) BETWEEN 1e-9 AND 1e0 AS plausible FROM part")
@@ -40,21 +31,9 @@ portable("safe_projection", "SELECT event_id, coalesce(CAST(TRY_CAST(CASE WHEN e
 portable("admitted", """SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""")
 NEXT = "pairs AS (SELECT a.house, a.idx AS i, b.idx AS j, a.asset AS asset_a, b.asset AS asset_b FROM nodes a JOIN nodes b ON a.house = b.house AND b.idx = a.idx + 1)"
 portable("edge_texts", f"""WITH {NODES_SQL}, {NEXT} SELECT house, i, j, p.p_type AS text_a, q.p_type AS text_b FROM pairs JOIN part p ON p.p_partkey = asset_a JOIN part q ON q.p_partkey = asset_b""")
-portable("unmatched_dim", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_type <> 'PROMO') GROUP BY l_partkey")
-portable("edge_coverage", f"""WITH {NODES_SQL}, {NEXT}, cache AS (SELECT p_partkey, p_size % 5 = 0 AS degraded FROM part WHERE p_size % 3 <> 0),
-s AS (SELECT house, CASE WHEN p_partkey IS NULL THEN 'uncached' WHEN degraded THEN 'degraded' ELSE 'covered' END AS state FROM pairs LEFT JOIN cache ON p_partkey = asset_a)
-SELECT house, count(*) AS n, count(CASE WHEN state = 'covered' THEN 1 END) AS covered, count(CASE WHEN state = 'degraded' THEN 1 END) AS degraded, count(CASE WHEN state = 'uncached' THEN 1 END) AS uncached,
-coalesce({r6("CAST(count(CASE WHEN state = 'covered' THEN 1 END) AS DOUBLE) / nullif(count(*), 0)")}, 0e0) AS covered_fraction FROM s GROUP BY house""")
 portable("unmapped", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
 portable("encode_worklist", "SELECT d.doc_id, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND d.n_chars <= 2000")
-PROV = """prov AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'none' WHEN l.quality = 1 AND l.toxic = 0 THEN 'current' WHEN l.quality = 0 AND sha256(d.text) = sha256(trim(d.text)) THEN 'declared' ELSE 'unaccounted' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
-portable("provenance_state", f"WITH {PROV} SELECT doc_id, state FROM prov")
-portable("state_counts", f"WITH {PROV} SELECT state, count(*) AS n, CASE WHEN state IN ('none', 'unaccounted') THEN 'todo' ELSE 'kept' END AS list FROM prov GROUP BY state")
 portable("eligible", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) AND EXISTS (SELECT 1 FROM embeddings WHERE vec_id = p_partkey)")
-portable("compare_cells", """WITH ours AS (SELECT l_returnflag AS cell, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_returnflag),
-paper AS (SELECT o_orderstatus AS cell, count(*) AS n FROM orders GROUP BY o_orderstatus)
-SELECT coalesce(ours.cell, paper.cell) AS cell, ours.n AS ours, paper.n AS published, CASE WHEN paper.n IS NULL THEN 'not published' WHEN ours.n IS NULL THEN 'missing' WHEN ours.n >= paper.n THEN 'holds' ELSE 'differs' END AS verdict
-FROM ours FULL OUTER JOIN paper ON ours.cell = paper.cell""")
 portable("asof_section", """WITH e AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = 'signup' THEN event_id END AS head FROM events),
 w AS (SELECT event_id, event_type, max(head) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM e)
 SELECT event_id, section FROM w WHERE event_type = 'error'""")
@@ -63,11 +42,7 @@ portable("positive_map", "SELECT p_partkey AS asset, CASE WHEN vec_id IS NULL TH
 portable("missing_refs", "SELECT DISTINCT l_suppkey AS ref FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0)")
 portable("deref_index", """WITH refs AS (SELECT doc_id, concat('vectors.npz#', CAST(doc_id AS VARCHAR(20))) AS uri, coalesce(n_chars < 100, true) AS degraded FROM documents)
 SELECT doc_id, uri, label FROM refs JOIN embeddings ON vec_id = CAST(split_part(uri, '#', 2) AS BIGINT) WHERE NOT degraded""")
-portable("read_state", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'absent' WHEN l.quality IS NULL THEN 'unreadable' ELSE 'record' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 portable("reasoned_exclusion", """SELECT p_partkey, CASE WHEN vec_id IS NULL THEN 'no vector' WHEN p_size > 40 THEN 'too large' END AS reason FROM part LEFT JOIN embeddings ON vec_id = p_partkey WHERE vec_id IS NULL OR p_size > 40""")
-portable("registry_violations", """SELECT doc_id, CASE WHEN n > 1 THEN 'duplicate' WHEN lang NOT IN ('en', 'fr', 'de') THEN 'unknown state' WHEN text IS NULL THEN 'empty digest' END AS violation
-FROM (SELECT doc_id, lang, text, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) t WHERE n > 1 OR lang NOT IN ('en', 'fr', 'de') OR text IS NULL""")
-
 # --- aggregates -------------------------------------------------------------------------------
 
 portable("scene_index", f"WITH {NODES_SQL} SELECT house, count(*) AS n_nodes, count(*) - 1 AS n_chain, count(DISTINCT asset) AS n_assets FROM nodes GROUP BY house")
@@ -86,10 +61,6 @@ portable("quarantine_rate", f"""WITH q AS (SELECT DISTINCT user_id FROM events W
 m AS (SELECT count(DISTINCT user_id) AS n FROM events)
 SELECT count(*) AS quarantined, max(n) AS manifest, coalesce({r6("CAST(count(*) AS DOUBLE) / nullif(max(n), 0)")}, 0e0) AS rate FROM (SELECT user_id FROM q EXCEPT SELECT user_id FROM a) x CROSS JOIN m""")
 portable("cost_totals", "SELECT event_type AS resource, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / 1e2 AS total, count(*) AS n FROM events GROUP BY event_type")
-portable("allocate_points", f"""WITH {NODES_SQL}, s AS (SELECT house, idx, CASE WHEN sum(x) OVER h > 0 THEN x / sum(x) OVER h * 1000 WHEN idx = 0 THEN 1000e0 ELSE 0e0 END AS share FROM nodes WINDOW h AS (PARTITION BY house)),
-f AS (SELECT house, idx, CAST(floor(share) AS BIGINT) AS base, share - floor(share) AS frac FROM s),
-r AS (SELECT *, 1000 - sum(base) OVER (PARTITION BY house) AS deficit, row_number() OVER (PARTITION BY house ORDER BY floor(frac * 1e9 + 5e-1) DESC, idx) AS rn FROM f)
-SELECT house, idx, CAST(base + CASE WHEN rn <= deficit THEN 1 ELSE 0 END AS BIGINT) AS points FROM r""")
 portable("longest_doc", "SELECT lang, max(n_chars) AS longest, max_by(doc_id, n_chars * 1000000000 - doc_id) AS doc_id FROM documents GROUP BY lang")
 portable("table1_cube", """SELECT coalesce(l_returnflag, 'all') AS variant, coalesce(l_linestatus, 'all') AS condition, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 portable("cell_grid", """WITH v AS (SELECT DISTINCT l_returnflag AS variant FROM lineitem), c AS (SELECT DISTINCT o_orderpriority AS condition FROM orders),
@@ -139,17 +110,10 @@ portable("keys_in_use", "SELECT DISTINCT l_partkey AS asset FROM lineitem")
 
 # --- gates, runs, decisions -------------------------------------------------------------------
 
-portable("gate_report", f"""WITH o AS (SELECT 'G1' AS gate, 'orphans' AS criterion, CAST(count(*) AS DOUBLE) AS observed, 0e0 AS most FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)
-UNION ALL SELECT 'G2', 'labelled share missing', {r6("1 - CAST((SELECT count(*) FROM labels) AS DOUBLE) / nullif(count(*), 0)")}, 5e-1 FROM documents
-UNION ALL SELECT 'G3', 'error share', {r6("CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS DOUBLE) / nullif(count(*), 0)")}, 1e-1 FROM events)
-SELECT gate, criterion, observed, CASE WHEN observed IS NULL THEN 'BLOCKED' WHEN observed <= most THEN 'PASS' ELSE 'FAIL' END AS verdict, CAST(CASE WHEN observed IS NULL THEN 3 WHEN observed <= most THEN 0 ELSE 2 END AS BIGINT) AS rc FROM o""")
-portable("promotion_status", """WITH promoted AS (SELECT s_suppkey AS id, sha256(s_name) AS digest FROM supplier WHERE s_suppkey % 2 = 0), staged AS (SELECT s_suppkey AS id, sha256(CASE WHEN s_suppkey % 4 = 0 THEN s_name ELSE upper(s_name) END) AS digest FROM supplier)
-SELECT staged.id, CASE WHEN promoted.id IS NULL THEN 'promote' WHEN promoted.digest = staged.digest THEN 'same' ELSE 'refused' END AS status FROM staged LEFT JOIN promoted ON promoted.id = staged.id""")
 portable("join_readiness", """SELECT user_id, bool_and(event_type <> 'error') AS all_ready, bool_or(event_type = 'purchase') AS any_ready, count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END) = count(*) AS all_settled FROM events GROUP BY user_id""")
 portable("unfinished_runs", """SELECT user_id, min(ts) AS started, count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END) AS ended FROM events GROUP BY user_id HAVING count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END) <= 5""")
 portable("repair_outcomes", f"""WITH first AS (SELECT p_partkey, {RULES} AS v1 FROM part), second AS (SELECT f.p_partkey, v1, CASE WHEN v1 IS NOT NULL AND p_size % 2 = 0 THEN v1 END AS v2 FROM first f JOIN part p ON p.p_partkey = f.p_partkey)
 SELECT p_partkey, CAST(CASE WHEN v1 IS NULL THEN 1 ELSE 2 END AS BIGINT) AS attempts, CASE WHEN v1 IS NULL OR v2 IS NULL THEN 'record' ELSE 'quarantine' END AS status, CASE WHEN v1 IS NOT NULL THEN v2 END AS reason FROM second""")
-portable("quarantine_rows", f"SELECT p_partkey, 'annotate' AS stage, 'r1' AS code_revision, {RULES} AS exception_msg FROM part WHERE {RULES} IS NOT NULL")
 portable("enrich_record", "SELECT p_partkey, CAST(p_size AS DOUBLE) * p_size * p_size AS volume, 'cm' AS dimension_unit, 'kg' AS mass_unit, CAST(3 AS BIGINT) AS prompt_version FROM part")
 portable("decision_table", """WITH s AS (SELECT 'frozen' AS scope UNION ALL SELECT 'trainable'), a AS (SELECT 'mean' AS pooling UNION ALL SELECT 'random_single_view')
 SELECT p.scope AS published, r.scope AS actual, pooling, p.scope = 'trainable' AND r.scope = 'frozen' AS deviates, p.scope = 'frozen' AND r.scope = 'trainable' AS exceeds, r.scope = 'frozen' AS may_use_cache,
