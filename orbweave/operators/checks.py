@@ -61,45 +61,6 @@ def cyclic(edges: DataFrame) -> DataFrame:
         left = inner
 
 
-def spec_faults(nodes: DataFrame, edges: DataFrame, channels: DataFrame) -> DataFrame:
-    """(family, subject, detail) of each inconsistency of a workflow's specification.
-
-    nodes: id, reads, writes (arrays of channels); edges: id, src, dst, kind, carries;
-    channels: name, writers, readers (arrays of node ids). Feedback edges may close cycles.
-    """
-    ids, names = nodes.select("id").distinct(), channels.select("name").distinct()
-
-    def rows(df: DataFrame, family: str, subject, detail) -> DataFrame:
-        return df.select(F.lit(family).alias("family"), F.col(subject).cast("string").alias("subject"), detail.cast("string").alias("detail"))
-
-    def uses(column: str) -> DataFrame:
-        return nodes.select(F.explode(column).alias("name"), "id").distinct()
-
-    def declared(column: str) -> DataFrame:
-        return channels.select("name", F.explode(column).alias("id")).distinct()
-
-    ends = edges.select(F.col("id").alias("edge"), F.explode(F.array("src", "dst")).alias("id"))
-    carried = edges.select(F.col("id").alias("edge"), F.explode("carries").alias("name"))
-    found = [
-        rows(nodes.groupBy("id").count().where("count > 1"), "node declared twice", "id", F.col("count")),
-        rows(channels.groupBy("name").count().where("count > 1"), "channel declared twice", "name", F.col("count")),
-        rows(ends.join(ids, "id", "left_anti"), "edge to no node", "edge", F.col("id")),
-        rows(carried.join(names, "name", "left_anti"), "edge carries no channel", "edge", F.col("name")),
-    ]
-    for verb, column, role in (("writes", "writes", "writers"), ("reads", "reads", "readers")):
-        found.append(rows(uses(column).join(names, "name", "left_anti"), f"node {verb} no channel", "id", F.col("name")))
-        found.append(rows(uses(column).join(names, "name", "left_semi").subtract(declared(role).select("name", "id")), f"{role} leave one out", "name", F.col("id")))
-        found.append(rows(declared(role).select("name", "id").subtract(uses(column)), f"{role} name one too many", "name", F.col("id")))
-    found.append(rows(uses("reads").join(uses("writes").select("name"), "name", "left_anti"), "channel is read but never written", "name", F.col("id")))
-    main = edges.where("kind <> 'feedback'").join(ids, edges.src == ids.id, "left_semi").join(ids, edges.dst == ids.id, "left_semi")
-    found.append(rows(unreached(nodes.select("id"), main.select("src", "dst")), "node out of reach", "id", F.lit(None)))
-    found.append(rows(cyclic(main), "node on a cycle", "id", F.lit(None)))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
-
-
 def required(value: Column, holds: Column, message: str) -> Column:
     """`value`, or an error that says why not; a null condition doesn't hold."""
     return F.when(F.coalesce(holds, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.text import contract_id
 from orbweave.functions.vectors import r6
-from orbweave.operators import checks, models, report
+from orbweave.operators import checks, models, report, specification
 from orbweave.operators.places import ordered_digest
 from orbweave.plans.registry import portable, query, run_sql
 from orbweave.plans.relational import RULES
@@ -146,16 +146,36 @@ def checkpoint_coverage(spark, d):
     return checks.coverage(name.where("p_size < 25"), name.where("p_size > 20 or p_type = 'PROMO'"), ["PROMO."])
 
 
-@query()
+_RING = """n AS (SELECT n_nationkey AS k, n_name AS id, n_regionkey AS r FROM nation), e AS (SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON b.k = (a.k + 5) % 25),
+p AS (SELECT a.id AS node, b.id AS pred FROM n a JOIN n b ON a.k = b.k + 5)"""
+
+
+@query(f"""WITH {_RING} SELECT 'node on a cycle' AS family, id AS subject, NULL AS detail FROM n UNION ALL SELECT 'node out of reach', id, NULL FROM n
+UNION ALL SELECT 'node reads no channel', id, '5' FROM n WHERE r = 4 UNION ALL SELECT 'channel is read but never written', '5', id FROM n WHERE r = 4
+UNION ALL SELECT 'readers name one too many', '0', id FROM n WHERE r = 1
+UNION ALL SELECT 'edge without a dependency', n.id, src FROM n JOIN e ON e.dst = n.id WHERE k < 5
+UNION ALL SELECT 'scheduled before what it depends on', node, pred FROM p JOIN n ON n.id = p.node WHERE k % 7 = 0
+UNION ALL SELECT 'policy of a group without edges', id, 'late' FROM n WHERE k % 6 = 0 UNION ALL SELECT 'group without a policy', id, 'default' FROM n WHERE k % 6 = 0
+UNION ALL SELECT 'node is not scheduled', id, NULL FROM n WHERE k = 24""")
 def spec_consistency(spark, d):
-    """A workflow of nations as nodes and regions as channels, with what is wrong in it."""
-    n = load(spark, d, "nation")
-    node = n.select("n_nationkey", F.col("n_name").alias("id"), F.array(F.col("n_regionkey").cast("string")).alias("writes"), F.array(F.pmod(F.col("n_regionkey") + 1, F.lit(6)).cast("string")).alias("reads"))
-    pair = node.alias("a").join(node.alias("b"), F.expr("b.n_nationkey = a.n_nationkey + 1 or b.n_nationkey = a.n_nationkey - 20"))
-    edges = pair.select(F.concat_ws(">", "a.id", "b.id").alias("id"), F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.lit("data").alias("kind"), F.col("a.writes").alias("carries"))
-    by = node.select(F.explode("writes").alias("name"), "id").groupBy("name").agg(F.collect_list("id").alias("writers"))
-    channels = by.join(node.select(F.explode("reads").alias("name"), "id").groupBy("name").agg(F.collect_list("id").alias("readers")), "name")
-    return checks.spec_faults(node.drop("n_nationkey"), edges, channels)
+    """A workflow of nations: rings of the nations five apart, regions as channels, and some
+    planted faults in readers, schedule and join policies."""
+    n = load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("id"), F.col("n_regionkey").alias("r"))
+    node = n.select("k", "id", F.array(F.col("r").cast("string")).alias("writes"), F.array((F.col("r") + 1).cast("string")).alias("reads"), F.lit("work").alias("role"))
+    to = n.select(F.col("k").alias("to"), F.col("id").alias("dst"))
+    edges = node.join(to, (F.col("k") + 5) % 25 == F.col("to")).select(F.concat_ws(">", "id", "dst").alias("id"), F.col("id").alias("src"), "dst", F.lit("data").alias("kind"), F.col("writes").alias("carries"), F.lit(None).cast("string").alias("guard"), F.lit(None).cast("string").alias("join_group"))
+    pred = n.select((F.col("k") + 5).alias("k"), F.col("id").alias("pred"))
+    depends = n.join(pred, "k").select(F.col("id").alias("node"), "pred", F.lit(False).alias("conditional"))
+    members = n.groupBy(F.col("r").cast("string").alias("name")).agg(F.collect_list("id").alias("ids"))
+    read_by = n.groupBy((F.col("r") + 1).cast("string").alias("name")).agg(F.collect_list("id").alias("readers"))
+    extra = n.where("r = 1").select("id").agg(F.collect_list("id").alias("extra"))
+    named = members.join(read_by, "name", "left").crossJoin(F.broadcast(extra))  # one row
+    readers = F.when(F.col("name") == "0", F.col("extra")).otherwise(F.coalesce("readers", F.array().cast("array<string>")))
+    channels = named.select("name", F.col("ids").alias("writers"), readers.alias("readers"), F.array().cast("array<string>").alias("fields"))
+    policies = n.where("k % 6 = 0").select(F.col("id").alias("node"), F.lit("late").alias("join_group"), F.lit("all").alias("policy"))
+    layer = F.when((F.col("k") % 7 == 0) & (F.col("k") >= 5), F.floor(F.col("k") / 5) - 1).otherwise(F.floor(F.col("k") / 5))
+    schedule = n.where("k < 24").select(F.col("id").alias("node"), layer.alias("layer"))
+    return specification.faults(specification.Specification(node.drop("k"), edges, channels, depends=depends, policies=policies, schedule=schedule, broadcast=["1", "2", "3", "4", "5"]))
 
 
 # --- fingerprints, trees, reports -------------------------------------------------------------
