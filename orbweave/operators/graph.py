@@ -10,45 +10,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from orbweave.operators.search import best
+
 #: Distances that one step of knn holds at once.
 PAIRS = 4_000_000
 
 
-def knn(nodes: DataFrame, k: int) -> DataFrame:
-    """(house, i, j), i < j: each node with its k nearest of the same house, symmetrised.
+def scene_edges(nodes: DataFrame, k: int, parent: str | None = None) -> DataFrame:
+    """(house, i, j, support), i < j: each node with its k nearest of the same house,
+    symmetrised; and, with `parent` (a column: the idx of the node that holds this one, or
+    null), an edge of support from each node to its parent, which is then no neighbour's.
 
     Ties go to the smaller index. A house becomes one row first, which needs no shuffle
-    where `nodes` is already dealt by house; tasks then take all houses of one size at once.
+    where `nodes` is already dealt by house; tasks then take all houses of one size at once,
+    and a large house some rows of its distances at a time. A parent that is no node of the
+    house, or the node itself, gives no edge.
     """
-    whole = nodes.groupBy("house").agg(F.collect_list("idx").alias("idx"), *[F.collect_list(c).alias(c) for c in "xyz"])
+    columns = ["idx", "x", "y", "z", *([parent] if parent else [])]
+    held = [F.collect_list(F.coalesce(F.col(c), F.lit(-1)) if c == parent else F.col(c)).alias(f"l{n}") for n, c in enumerate(columns)]
+    whole = nodes.groupBy("house").agg(*held)
 
     def near(batches):
         import pyarrow as pa
 
         for batch in batches:
-            house, lists = np.asarray(batch.column(0)), [batch.column(c) for c in range(1, 5)]
+            lists = [batch.column(c) for c in range(1, 1 + len(columns))]
             size = np.asarray(lists[0].value_lengths())
             start = np.cumsum(size) - size
-            idx, x = np.asarray(lists[0].flatten()), np.stack([np.asarray(v.flatten()) for v in lists[1:]], 1)
-            out = [np.zeros((0, 3), np.int64)]
+            idx, x = np.asarray(lists[0].flatten()), np.stack([np.asarray(v.flatten()) for v in lists[1:4]], 1)
+            out = [np.zeros((0, 3), np.int64)]  # the house's place in the batch, i, j
             for n in np.unique(size[size > 1]).tolist():
                 those = np.flatnonzero(size == n)
-                for a in range(0, len(those), max(1, PAIRS // (n * n))):
-                    some = those[a : a + max(1, PAIRS // (n * n))]
+                most = max(1, PAIRS // (n * n))
+                for a in range(0, len(those), most):
+                    some = those[a : a + most]
                     at = start[some][:, None] + np.arange(n)
                     at = np.take_along_axis(at, np.argsort(idx[at], 1), 1)
-                    d = x[at][:, :, None] - x[at][:, None]
-                    d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
-                    d2[:, np.arange(n), np.arange(n)] = np.inf
-                    best = np.argsort(d2, 2, kind="stable")[:, :, : min(k, n - 1)]
-                    i = np.broadcast_to(idx[at][:, :, None], best.shape)
-                    j = np.take_along_axis(np.broadcast_to(idx[at][:, None], (len(some), n, n)), best, 2)
-                    h = np.broadcast_to(house[some][:, None, None], best.shape)
-                    out.append(np.unique(np.stack([h.ravel(), np.minimum(i, j).ravel(), np.maximum(i, j).ravel()], 1), axis=0))
-            found = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, c].copy()) for c in range(3)], names=["house", "i", "j"])
-
-    return whole.mapInArrow(near, "house long, i long, j long")
+                    for r in range(0, n, max(1, PAIRS // n) if n * n > PAIRS else n):
+                        rows = np.arange(r, min(n, r + PAIRS // n) if n * n > PAIRS else n)
+                        d = x[at[:, rows]][:, :, None] - x[at][:, None]
+                        d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+                        d2[:, np.arange(len(rows)), rows] = np.inf
+                        i, j = best(-d2.reshape(-1, n), np.arange(n), min(k, n - 1))
+                        h, i = i // len(rows), rows[i % len(rows)]
+                        i, j = idx[at[h, i]], idx[at[h, j]]
+                        out.append(np.stack([some[h], np.minimum(i, j), np.maximum(i, j)], 1))
+            edges, held_by = np.unique(np.concatenate(out), axis=0), np.zeros((0, 3), np.int64)
+            if parent:
+                up, place = np.asarray(lists[4].flatten()), np.repeat(np.arange(len(size)), size)
+                known = pairs_of(place, idx)
+                ok = np.isin(pairs_of(place, up), known) & (up != idx)
+                held_by = np.unique(np.stack([place, np.minimum(idx, up), np.maximum(idx, up)], 1)[ok], axis=0)
+                code = lambda e: pairs_of(pairs_of(e[:, 0], e[:, 1]), e[:, 2])
+                edges = edges[~np.isin(code(edges), code(held_by))]
+            found = np.concatenate([edges, held_by])
+            house = batch.column(0).take(pa.array(found[:, 0]))
+            support = np.arange(len(found)) >= len(edges)
+            yield pa.RecordBatch.from_arrays([house, pa.array(found[:, 1].copy()), pa.array(found[:, 2].copy()), pa.array(support)], names=["house", "i", "j", "support"])
+
+    return whole.mapInArrow(near, f"house {nodes.schema['house'].dataType.simpleString()}, i long, j long, support boolean")
+
+
+def pairs_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One complex or structured value for each pair, that compares like the pair."""
+    out = np.empty(len(a), [("a", a.dtype), ("b", b.dtype)])
+    out["a"], out["b"] = a, b
+    return out
+
+
+def knn(nodes: DataFrame, k: int) -> DataFrame:
+    """(house, i, j), i < j: each node with its k nearest of the same house, symmetrised."""
+    return scene_edges(nodes, k).drop("support")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from orbweave.operators.places import numbered
+
 #: Rows that one task holds on average.
 ROWS = 200_000
 
@@ -87,3 +89,18 @@ def draw_exactly(rows: DataFrame, group: str, by: str, n: int, out: str = "at")
     placed = few.withColumn(out, F.row_number().over(w.orderBy(by)) - 1).withColumn("have_", F.count("*").over(w))
     turns = F.sequence(F.col(out).cast("long"), F.lit(n - 1).cast("long"), F.col("have_"))
     return placed.withColumn(out, F.explode(turns)).drop("have_")
+
+
+def unlike_batches(rows: DataFrame, positive: str, order: list[str], size: int, out: str = "batch") -> DataFrame:
+    """`rows` with `out`, the number of a batch: at most `size` rows, no value of `positive`
+    twice in a batch, and as few batches as that allows.
+
+    Rows are numbered by `positive` and `order`; a row's batch is its number modulo the number
+    of batches, which is no less than the rows of any value: the rows of a value follow each
+    other, so they fall into different batches, and batches differ by a row at most. Null is
+    a value.
+    """
+    placed = numbered(rows, [], [positive, *order], out)
+    n = placed.groupBy(positive).agg(F.count("*").alias("m")).agg(F.sum("m").alias("n"), F.max("m").alias("m")).first()
+    batches = max(1, -(-(n["n"] or 0) // size), n["m"] or 0)
+    return placed.withColumn(out, F.pmod(out, F.lit(batches)))

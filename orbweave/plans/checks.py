@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.text import contract_id
 from orbweave.functions.vectors import r6
-from orbweave.operators import checks, models, report, specification
+from orbweave.operators import checks, models, report, sampling, specification
 from orbweave.operators.places import ordered_digest
 from orbweave.plans.registry import portable, query, run_sql
 from orbweave.plans.relational import RULES
@@ -43,26 +43,28 @@ def partition_complete(spark, d):
     return checks.completeness(part.select(key), admitted, quarantined, "id")
 
 
-# An asset's rows get layers by hash; a layer has each asset once at most and is cut into
-# batches of 32. Rows that collide are put off to a later layer, none is dropped. Ranks come
-# from blocks of equal hash prefix, so no task sees a whole asset or layer.
-PACKED = f"""{NODES_SQL}, hashed AS (SELECT house, idx, asset, sha256(concat(CAST(house AS VARCHAR(20)), ':', CAST(idx AS VARCHAR(20)))) AS h FROM nodes),
-asizes AS (SELECT asset, substring(h, 1, 2) AS b, count(*) AS m FROM hashed GROUP BY asset, substring(h, 1, 2)),
-ablocks AS (SELECT asset, b, sum(m) OVER (PARTITION BY asset ORDER BY b) - m AS before FROM asizes),
-layered AS (SELECT s.house, s.idx, s.asset, s.h, before + row_number() OVER (PARTITION BY s.asset, substring(h, 1, 2) ORDER BY h, house, idx) AS layer FROM hashed s JOIN ablocks a ON a.asset = s.asset AND a.b = substring(h, 1, 2)),
-lsizes AS (SELECT layer, substring(h, 1, 2) AS b, count(*) AS m FROM layered GROUP BY layer, substring(h, 1, 2)),
-lblocks AS (SELECT layer, b, sum(m) OVER (PARTITION BY layer ORDER BY b) - m AS before FROM lsizes),
-placed AS (SELECT s.house, s.idx, s.asset, s.layer, before + row_number() OVER (PARTITION BY s.layer, substring(h, 1, 2) ORDER BY h, house, idx) - 1 AS place FROM layered s JOIN lblocks l ON l.layer = s.layer AND l.b = substring(h, 1, 2)),
-batched AS (SELECT house, idx, asset, CAST(layer AS BIGINT) AS layer, CAST(floor(place / 32) AS BIGINT) AS batch FROM placed)"""
-portable("unique_batches", f"WITH {PACKED} SELECT house, idx, asset, layer, batch FROM batched")
+_BATCHED = f"""{NODES_SQL}, h AS (SELECT house, idx, asset, sha256(concat(CAST(house AS VARCHAR), ':', CAST(idx AS VARCHAR))) AS h FROM nodes),
+m AS (SELECT greatest((sum(n) + 31) // 32, max(n)) AS batches FROM (SELECT count(*) AS n FROM nodes GROUP BY asset) x),
+b AS (SELECT house, idx, asset, CAST((row_number() OVER (ORDER BY asset, h, house, idx) - 1) % (SELECT batches FROM m) AS BIGINT) AS batch FROM h)"""
 
 
-@query(f"""WITH {PACKED}, g AS (SELECT layer, batch, count(*) AS n, count(DISTINCT asset) AS assets FROM batched GROUP BY layer, batch)
+def _batched(spark, d):
+    h = nodes(spark, d).select("house", "idx", "asset", F.sha2(F.concat_ws(":", "house", "idx"), 256).alias("h"))
+    return sampling.unlike_batches(h, "asset", ["h", "house", "idx"], 32).drop("h")
+
+
+@query(f"WITH {_BATCHED} SELECT * FROM b")
+def unique_batches(spark, d):
+    """Nodes in batches of 32 at most, each asset once in a batch."""
+    return _batched(spark, d)
+
+
+@query(f"""WITH {_BATCHED}, g AS (SELECT batch, count(*) AS n, count(DISTINCT asset) AS assets FROM b GROUP BY batch)
 SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS n, count(CASE WHEN n > 32 OR assets < n THEN 1 END) AS faults FROM g""")
 def unique_batches_check(spark, d):
-    b = run_sql(spark, d, f"WITH {PACKED} SELECT asset, layer, batch FROM batched")
-    bad = checks.batch_faults(b, ["layer", "batch"], "asset", 32).agg(F.count("*").alias("faults"))
-    per = b.groupBy("layer", "batch").agg(F.count("*").alias("n")).agg(F.count("*").alias("batches"), F.sum("n").alias("n"))
+    b = _batched(spark, d)
+    bad = checks.batch_faults(b, ["batch"], "asset", 32).agg(F.count("*").alias("faults"))
+    per = b.groupBy("batch").agg(F.count("*").alias("n")).agg(F.count("*").alias("batches"), F.sum("n").alias("n"))
     return per.crossJoin(F.broadcast(bad))  # one row each
 
 

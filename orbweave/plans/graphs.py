@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbweave.functions.vectors import r6
-from orbweave.operators.graph import both_ways, knn, message_layer as layer, summed, with_neighbours, without
+from orbweave.operators.graph import both_ways, knn, message_layer as layer, scene_edges, summed, with_neighbours, without
 from orbweave.operators.layout import demo_encoder, encode_layouts, encode_nodes
 from orbweave.plans.registry import query
 from orbweave.sources.tables import NODES_SQL, nodes
@@ -32,10 +32,8 @@ def knn_adjacency(spark, d):
 SELECT house, i, j, 'support' AS kind FROM support UNION ALL SELECT house, i, j, 'adjacency' FROM (SELECT * FROM knn EXCEPT SELECT * FROM support) x""")
 def scene_graph(spark, d):
     """Support edges, and the nearest neighbours that aren't support edges."""
-    n = nodes(spark, d)
-    support = n.where("idx > 0 and asset % 2 = 0").select("house", (F.col("idx") - 1).alias("i"), F.col("idx").alias("j"))
-    rest = knn(n, 3).join(support, ["house", "i", "j"], "left_anti")
-    return support.withColumn("kind", F.lit("support")).union(rest.withColumn("kind", F.lit("adjacency")))
+    n = nodes(spark, d).withColumn("parent", F.when((F.col("idx") > 0) & (F.col("asset") % 2 == 0), F.col("idx") - 1))
+    return scene_edges(n, 3, "parent").select("house", "i", "j", F.when(F.col("support"), "support").otherwise("adjacency").alias("kind"))
 
 
 @query(f"""WITH {KNN}, k AS (SELECT house, idx, row_number() OVER (PARTITION BY house ORDER BY idx) - 1 AS new FROM nodes WHERE idx <> 1),

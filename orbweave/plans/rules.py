@@ -10,18 +10,20 @@ from orbweave.plans.registry import query
 from orbweave.plans.relational import RULES, r6
 from orbweave.sources.tables import NODES_SQL, load, nodes
 
-PART_RULES = [
-    (F.col("p_name").isNull() | F.col("p_type").isNull(), "required field missing"),
-    (rules.blank(F.col("p_name")), "name must be a non-empty string"),
-    (rules.outside(F.col("p_size"), 1, 45), F.concat(F.lit("size = "), F.col("p_size").cast("string"), F.lit(" is outside 1-45"))),
-    (rules.outside(F.col("p_retailprice"), 905, 1900), "price outside 905-1900"),
-    (F.col("p_retailprice") / F.pow(F.col("p_size"), F.lit(3)) > 500, "density is implausible"),
-    (F.col("p_type") == "PROMO", "type is not allowed"),
-]
+def part_rules():
+    """The rules of parts as records, in their order."""
+    return [
+        (F.col("p_name").isNull() | F.col("p_type").isNull(), "required field missing"),
+        (rules.blank(F.col("p_name")), "name must be a non-empty string"),
+        (rules.outside(F.col("p_size"), 1, 45), F.concat(F.lit("size = "), F.col("p_size").cast("string"), F.lit(" is outside 1-45"))),
+        (rules.outside(F.col("p_retailprice"), 905, 1900), "price outside 905-1900"),
+        (F.col("p_retailprice") / F.pow(F.col("p_size"), F.lit(3)) > 500, "density is implausible"),
+        (F.col("p_type") == "PROMO", "type is not allowed"),
+    ]
 
 
 def part_violations(spark, d):
-    return load(spark, d, "part").withColumn("violation", rules.first_violation(PART_RULES))
+    return load(spark, d, "part").withColumn("violation", rules.first_violation(part_rules()))
 
 
 @query(f"SELECT p_partkey, {RULES} AS violation FROM part")

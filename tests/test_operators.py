@@ -129,7 +129,7 @@ def test_leave_one_out_has_no_trace_of_the_target(spark, sf_dir):
     assert set(got) == whole  # houses of node 1 alone don't occur: numbering starts at 0
 
 
-def test_knn_against_a_plain_loop(spark):
+def test_knn_against_a_plain_loop(spark, monkeypatch):
     nodes, _ = scene(8, houses=12)
     a, _ = frames(spark, nodes + [(99, i, 0.0, 0.0, 0.0, [0.0] * 3) for i in range(5)], [(0, 0, 0, None)])
     want = set()
@@ -139,6 +139,13 @@ def test_knn_against_a_plain_loop(spark):
             near = sorted((sum((p - q) ** 2 for p, q in zip(x, y)), j) for j, y in here.items() if j != i)
             want |= {(house, min(i, j), max(i, j)) for _, j in near[:2]}
     assert set(rows(graph.knn(a, 2), "house", "i", "j")) == want
+    with_up = a.withColumn("up", F.when(F.col("idx") % 2 == 1, F.col("idx") - 1).when(F.col("idx") == 2, F.lit(77)))
+    up = {(h, i - 1, i) for h, i in ((r.house, r.idx) for r in a.collect()) if i % 2}
+    for most in (graph.PAIRS, 9):
+        monkeypatch.setattr(graph, "PAIRS", most)
+        assert set(rows(graph.knn(a, 2), "house", "i", "j")) == want
+        assert set(rows(graph.scene_edges(a if most > 9 else a.repartition(2), 2, None))) == {(*e, False) for e in want}
+        assert set(rows(graph.scene_edges(with_up, 2, "up"))) == {(*e, False) for e in want - up} | {(*e, True) for e in up}
     e = graph.knn(a, 2)
     moved = lambda i: i - (i > 1)
     assert set(rows(graph.without(e, 1))) == {(h, moved(i), moved(j)) for h, i, j in want if 1 not in (i, j)}
@@ -162,9 +169,14 @@ def test_batches_see_planted_faults(spark, sf_dir):
     b = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (3, "c"), (3, "d"), (3, "e")], "batch long, asset string")
     assert rows(checks.batch_faults(b, ["batch"], "asset", 2)) == [(1, 3, 1), (3, 3, 0)]
     done = catalog.QUERIES["unique_batches"](spark, sf_dir)
-    assert checks.batch_faults(done, ["layer", "batch"], "asset", 32).count() == 0
-    sizes = [r[0] for r in done.groupBy("layer", "batch").count().select("count").collect()]
-    assert max(sizes) == 32 and done.select("house", "idx").distinct().count() == sum(sizes)
+    assert checks.batch_faults(done, ["batch"], "asset", 32).count() == 0
+    sizes = [r[0] for r in done.groupBy("batch").count().select("count").collect()]
+    assert max(sizes) - min(sizes) <= 1 and done.select("house", "idx").distinct().count() == sum(sizes)
+    assert len(sizes) == max(-(-sum(sizes) // 32), done.groupBy("asset").count().agg(F.max("count")).first()[0])
+    hot = spark.range(100).selectExpr("id", "CASE WHEN id < 40 THEN NULL ELSE id END AS a")
+    got = sampling.unlike_batches(hot, "a", ["id"], 32).collect()
+    assert len({r.batch for r in got}) == 40 and len({r.batch for r in got if r.a is None}) == 40
+    assert sampling.unlike_batches(hot.limit(0), "a", ["id"], 32).collect() == []
 
 
 def test_coverage_sees_planted_faults(spark):
