@@ -132,3 +132,40 @@ def largest_remainder(rows: DataFrame, group: str, place: str, weight: str, tota
     ranked = parts.withColumn("rest_", rest).withColumn("left_", total - F.sum("base_").over(w)).withColumn("rank_", F.row_number().over(order))
     given = F.col("base_") + (F.col("rank_") <= F.col("left_")).cast("long")
     return ranked.withColumn(out, given).drop("sum_", "first_", "share_", "base_", "rest_", "left_", "rank_")
+
+
+def first_by(rows: DataFrame, group: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """The row of each group that comes first (or last) by `order`; nulls come first, ties go
+    to the least (greatest) row. One aggregate, so a group of any size is combined in parts."""
+    rest = [c for c in rows.columns if c not in group and c not in order]
+    pick = F.max if last else F.min
+    one = rows.groupBy(*group).agg(pick(F.struct(*order, *rest)).alias("r_"))
+    return one.select(*[c if c in group else F.col("r_")[c].alias(c) for c in rows.columns])
+
+
+def greatest_with_witness(rows: DataFrame, group: list[str], value: str, witness: str, out: str = "most") -> DataFrame:
+    """(group..., out, witness): the greatest value of each group, and its least witness (a number).
+    Both are compared as they are; nothing is packed into one number. Null values don't count
+    unless a group has no other."""
+    best = F.max_by(F.struct(value, witness), F.struct(F.col(value), -F.col(witness)))
+    return rows.groupBy(*group).agg(best.alias("r_")).select(*group, F.col("r_")[value].alias(out), F.col("r_")[witness].alias(witness))
+
+
+def worst(rows: DataFrame, group: list[str], ranked: dict[str, Column], rest: str, out: str = "worst") -> DataFrame:
+    """(group..., out): the last of the named classes, in their order, that any row of the group
+    falls into. A row's class is the first whose condition holds, else `rest`, the worst."""
+    names = [*ranked, rest]
+    at = F.lit(len(ranked))
+    for n, holds in reversed(list(enumerate(ranked.values()))):
+        at = F.when(holds, n).otherwise(at)
+    found = rows.groupBy(*group).agg(F.max(at).alias("n_"))
+    return found.select(*group, F.element_at(F.array(*map(F.lit, names)), F.col("n_") + 1).alias(out))
+
+
+def encoder_decisions(published: Column, actual: Column, pooling: Column) -> dict[str, Column]:
+    """What follows from how an encoder was published and how it is used ("frozen" or
+    "trainable"), and from how views are pooled. Only the output of a frozen encoder may be
+    cached, view by view if one is drawn at random each time."""
+    frozen = actual == "frozen"
+    layout = F.when(~frozen, "none").when(pooling == "random_single_view", "per_view").otherwise("aggregated")
+    return {"deviates": (published == "trainable") & frozen, "exceeds": (published == "frozen") & (actual == "trainable"), "may_use_cache": frozen, "cache_layout": layout}

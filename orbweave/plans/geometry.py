@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from orbweave.functions import vectors as V
+from orbweave.operators import cameras
 from orbweave.operators.aggregates import vector_aggregates
 from orbweave.operators.sampling import draw_exactly, farthest
 from orbweave.plans.registry import query
@@ -174,28 +175,38 @@ def apply_transform(spark, d):
     return _transform(nodes(spark, d))
 
 
-@query(f"SELECT range AS k, {_r6('cos(radians(20e0)) * cos(range * 2 * pi() / 11)')} AS x, {_r6('cos(radians(20e0)) * sin(range * 2 * pi() / 11)')} AS y, {_r6('sin(radians(20e0))')} AS z FROM range(11)")
+_BOXES = f"""{NODES_SQL}, f AS (SELECT house, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS reach FROM nodes GROUP BY house),
+o AS (SELECT house, k, cx, cy, cz, cx + reach * 15e-1 * cos(radians(20e0)) * cos(k * 2 * pi() / 11) AS x, cy + reach * 15e-1 * cos(radians(20e0)) * sin(k * 2 * pi() / 11) AS y, cz + reach * 15e-1 * sin(radians(20e0)) AS z FROM (SELECT *, unnest(range(11)) AS k FROM f))"""
+
+
+def _r4(c):
+    return F.floor(c * 1e4 + 0.5) / 1e4
+
+
+def _orbit(spark, d):
+    return cameras.place_cameras(cameras.frames_of(nodes(spark, d), "house"), 11, lambda k, n: cameras.orbit_directions(k, n, 20.0), 1.5)
+
+
+@query(f"WITH {_BOXES} SELECT house, k, floor(x * 1e4 + 5e-1) / 1e4 AS x, floor(y * 1e4 + 5e-1) / 1e4 AS y, floor(z * 1e4 + 5e-1) / 1e4 AS z FROM o")
 def orbit_dirs(spark, d):
-    az, el = F.col("id") * 2 * F.pi() / 11, F.radians(F.lit(20.0))
-    return spark.range(11).select(F.col("id").alias("k"), V.r6(F.cos(el) * F.cos(az)).alias("x"), V.r6(F.cos(el) * F.sin(az)).alias("y"), V.r6(F.sin(el)).alias("z"))
+    """Eleven cameras around each house, 20 degrees above its middle."""
+    return _orbit(spark, d).select("house", "k", *[_r4(F.col(c)).alias(c) for c in "xyz"])
 
 
-@query(f"WITH a AS (SELECT range AS k, acos(1 - 2 * (range + 5e-1) / 11) AS phi, pi() * (1 + sqrt(5e0)) * (range + 5e-1) AS theta FROM range(11)) SELECT k, {_r6('cos(theta) * sin(phi)')} AS x, {_r6('sin(theta) * sin(phi)')} AS y, {_r6('cos(phi)')} AS z FROM a")
+@query(f"""WITH {_BOXES}, a AS (SELECT *, acos(1 - 2 * (k + 5e-1) / 7) AS phi, pi() * (1 + sqrt(5e0)) * (k + 5e-1) AS theta FROM (SELECT *, unnest(range(7)) AS k FROM f))
+SELECT house, k, floor((cx + reach * 2e0 * cos(theta) * sin(phi)) * 1e4 + 5e-1) / 1e4 AS x, floor((cy + reach * 2e0 * sin(theta) * sin(phi)) * 1e4 + 5e-1) / 1e4 AS y, floor((cz + reach * 2e0 * cos(phi)) * 1e4 + 5e-1) / 1e4 AS z FROM a""")
 def fibonacci_dirs(spark, d):
-    i = F.col("id") + 0.5
-    phi, theta = F.acos(1 - 2 * i / 11), F.pi() * (1 + F.sqrt(F.lit(5.0))) * i
-    return spark.range(11).select(F.col("id").alias("k"), V.r6(F.cos(theta) * F.sin(phi)).alias("x"), V.r6(F.sin(theta) * F.sin(phi)).alias("y"), V.r6(F.cos(phi)).alias("z"))
+    """Seven cameras spread over a sphere around each house."""
+    c = cameras.place_cameras(cameras.frames_of(nodes(spark, d), "house"), 7, cameras.sphere_directions, 2.0)
+    return c.select("house", "k", *[_r4(F.col(a)).alias(a) for a in "xyz"])
 
 
-@query(f"WITH o AS (SELECT range AS k, {_r6('cos(radians(20e0)) * cos(range * 2 * pi() / 11)')} AS x, {_r6('cos(radians(20e0)) * sin(range * 2 * pi() / 11)')} AS y, {_r6('sin(radians(20e0))')} AS z FROM range(11)) SELECT k, {_r6('-y / sqrt(x * x + y * y)')} AS right_x, {_r6('x / sqrt(x * x + y * y)')} AS right_y, 0e0 AS right_z, x AS back_x, y AS back_y, z AS back_z FROM o")
+@query(f"""WITH {_BOXES}, b AS (SELECT house, k, x - cx AS x, y - cy AS y, z - cz AS z, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS n, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS m FROM o)
+SELECT house, k, {', '.join(f"CASE WHEN n > 0 THEN floor({e} * 1e4 + 5e-1) / 1e4 END AS {c}" for c, e in (("back_x", "x / n"), ("back_y", "y / n"), ("back_z", "z / n"), ("right_x", "-y / m"), ("right_y", "x / m"), ("up_z", "m / n")))} FROM b""")
 def look_at(spark, d):
-    """Camera axes that look from the orbit to the origin; at a pole, up is y."""
-    o = orbit_dirs(spark, d)
-    pole = F.abs(F.col("z")) > 0.999
-    ux, uy, uz = F.lit(0.0), F.when(pole, 1.0).otherwise(0.0), F.when(pole, 0.0).otherwise(1.0)
-    rx, ry, rz = uy * F.col("z") - uz * F.col("y"), uz * F.col("x") - ux * F.col("z"), ux * F.col("y") - uy * F.col("x")
-    n = F.sqrt(rx * rx + ry * ry + rz * rz)
-    return o.select("k", *[V.r6(c / n).alias(f"right_{a}") for a, c in zip("xyz", (rx, ry, rz))], *[F.col(a).alias(f"back_{a}") for a in "xyz"])
+    """Axes of the orbit's cameras, which look at the middle of their house."""
+    axes = cameras.look_at(_orbit(spark, d))
+    return axes.select("house", "k", *[_r4(F.col(c)).alias(c) for c in ("back_x", "back_y", "back_z", "right_x", "right_y", "up_z")])
 
 
 _PIXELS = "p AS (SELECT p_partkey AS k, (p_partkey % 16 + 5e-1) / 16 * 2 - 1 AS u, 1 - (floor(p_partkey / 16) % 16 + 5e-1) / 16 * 2 AS v, p_retailprice / 1000 AS depth FROM part)"

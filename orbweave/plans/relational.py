@@ -51,8 +51,6 @@ portable("stage_counts", "SELECT lang AS stage, count(*) AS n, CAST(sum(n_chars)
 portable("pair_collapse", f"""WITH {NODES_SQL}, {NEXT}, k AS (SELECT least(p.p_type, q.p_type) AS a, greatest(p.p_type, q.p_type) AS b FROM pairs JOIN part p ON p.p_partkey = asset_a JOIN part q ON q.p_partkey = asset_b),
 g AS (SELECT a, b, count(*) AS m FROM k GROUP BY a, b)
 SELECT CAST(sum(m) AS BIGINT) AS n_edges, count(*) AS n_keys, {r6("1 - CAST(count(*) AS DOUBLE) / nullif(CAST(sum(m) AS DOUBLE), 0e0)")} AS hit_rate FROM g""")
-portable("first_wins", "SELECT source, min(doc_id) AS doc_id, min_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
-portable("last_wins", "SELECT user_id, event_type, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY user_id, event_type")
 portable("cloud_stats", f"""WITH {NODES_SQL}, c AS (SELECT house, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM nodes GROUP BY house)
 SELECT n.house, {mean("x")} AS cx, {mean("y")} AS cy, {mean("z")} AS cz, {r6("sqrt(max((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)))")} AS max_radius, {r6("var_pop(x)")} AS vx, {r6("var_pop(y)")} AS vy
 FROM nodes n JOIN c ON c.house = n.house GROUP BY n.house""")
@@ -61,7 +59,6 @@ portable("quarantine_rate", f"""WITH q AS (SELECT DISTINCT user_id FROM events W
 m AS (SELECT count(DISTINCT user_id) AS n FROM events)
 SELECT count(*) AS quarantined, max(n) AS manifest, coalesce({r6("CAST(count(*) AS DOUBLE) / nullif(max(n), 0)")}, 0e0) AS rate FROM (SELECT user_id FROM q EXCEPT SELECT user_id FROM a) x CROSS JOIN m""")
 portable("cost_totals", "SELECT event_type AS resource, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / 1e2 AS total, count(*) AS n FROM events GROUP BY event_type")
-portable("longest_doc", "SELECT lang, max(n_chars) AS longest, max_by(doc_id, n_chars * 1000000000 - doc_id) AS doc_id FROM documents GROUP BY lang")
 portable("table1_cube", """SELECT coalesce(l_returnflag, 'all') AS variant, coalesce(l_linestatus, 'all') AS condition, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 portable("cell_grid", """WITH v AS (SELECT DISTINCT l_returnflag AS variant FROM lineitem), c AS (SELECT DISTINCT o_orderpriority AS condition FROM orders),
 f AS (SELECT l_returnflag AS variant, o_orderpriority AS condition, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate GROUP BY l_returnflag, o_orderpriority)
@@ -115,8 +112,3 @@ portable("unfinished_runs", """SELECT user_id, min(ts) AS started, count(CASE WH
 portable("repair_outcomes", f"""WITH first AS (SELECT p_partkey, {RULES} AS v1 FROM part), second AS (SELECT f.p_partkey, v1, CASE WHEN v1 IS NOT NULL AND p_size % 2 = 0 THEN v1 END AS v2 FROM first f JOIN part p ON p.p_partkey = f.p_partkey)
 SELECT p_partkey, CAST(CASE WHEN v1 IS NULL THEN 1 ELSE 2 END AS BIGINT) AS attempts, CASE WHEN v1 IS NULL OR v2 IS NULL THEN 'record' ELSE 'quarantine' END AS status, CASE WHEN v1 IS NOT NULL THEN v2 END AS reason FROM second""")
 portable("enrich_record", "SELECT p_partkey, CAST(p_size AS DOUBLE) * p_size * p_size AS volume, 'cm' AS dimension_unit, 'kg' AS mass_unit, CAST(3 AS BIGINT) AS prompt_version FROM part")
-portable("decision_table", """WITH s AS (SELECT 'frozen' AS scope UNION ALL SELECT 'trainable'), a AS (SELECT 'mean' AS pooling UNION ALL SELECT 'random_single_view')
-SELECT p.scope AS published, r.scope AS actual, pooling, p.scope = 'trainable' AND r.scope = 'frozen' AS deviates, p.scope = 'frozen' AND r.scope = 'trainable' AS exceeds, r.scope = 'frozen' AS may_use_cache,
-CASE WHEN r.scope <> 'frozen' THEN 'none' WHEN pooling = 'random_single_view' THEN 'per_view' ELSE 'aggregated' END AS cache_layout FROM s p CROSS JOIN s r CROSS JOIN a""")
-portable("worst_source", """WITH r AS (SELECT l_orderkey AS house, CASE WHEN l_tax > 6e-2 THEN 0 WHEN l_tax > 4e-2 THEN 1 WHEN l_discount > 5e-2 THEN 2 WHEN l_discount > 2e-2 THEN 3 WHEN l_quantity > 10 THEN 4 ELSE 5 END AS rank FROM lineitem)
-SELECT house, CASE max(rank) WHEN 0 THEN 'texture' WHEN 1 THEN 'face' WHEN 2 THEN 'vertex' WHEN 3 THEN 'flat' WHEN 4 THEN 'gltf_default' ELSE 'fallback_grey' END AS worst FROM r GROUP BY house""")

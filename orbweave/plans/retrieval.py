@@ -167,9 +167,26 @@ VARIANTS = [
 ]
 
 
-@query()
+def _value(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v:e}" if isinstance(v, float) else f"'{v}'"
+
+
+VARIANT = "variant_id string, requires_training boolean, reuses string, train_scope string, fusion string, dropout double, layout string, mode string"
+
+
+@query(f"""WITH v(variant_id, requires_training, reuses, train_scope, fusion, dropout, layout, mode, n) AS (VALUES {", ".join(f"({', '.join(map(_value, v))}, {n})" for n, v in enumerate(VARIANTS))}),
+r AS (SELECT vec_id % 13 AS n, count(*) AS results FROM embeddings WHERE vec_id % 13 <> 4 GROUP BY vec_id % 13)
+SELECT coalesce(variant_id, 'variant ' || r.n) AS variant_id, requires_training, reuses, train_scope, fusion, dropout, layout, mode, coalesce(results, 0) AS results,
+CASE WHEN variant_id IS NULL THEN 'not registered' WHEN results IS NULL THEN 'no results' WHEN requires_training THEN 'trained' ELSE 'reuses ' || reuses END AS state FROM v FULL OUTER JOIN r ON r.n = v.n""")
 def variant_registry(spark, d):
-    return spark.createDataFrame(VARIANTS, "variant_id string, requires_training boolean, reuses string, train_scope string, fusion string, dropout double, layout string, mode string")
+    """The registered variants against results that name a variant (vectors, by their id)."""
+    v = spark.createDataFrame([(*v, n) for n, v in enumerate(VARIANTS)], f"{VARIANT}, n long")
+    e = load(spark, d, "embeddings").select((F.col("vec_id") % 13).alias("n")).where("n <> 4")
+    both = e.groupBy("n").agg(F.count("*").alias("results")).join(F.broadcast(v), "n", "full")  # one row a variant
+    state = F.when(F.col("variant_id").isNull(), "not registered").when(F.col("results").isNull(), "no results").when(F.col("requires_training"), "trained").otherwise(F.concat(F.lit("reuses "), F.col("reuses")))
+    name = F.coalesce("variant_id", F.concat(F.lit("variant "), F.col("n").cast("string")))
+    names = [c.split(" ")[0] for c in VARIANT.split(", ")][1:]
+    return both.select(name.alias("variant_id"), *names, F.coalesce("results", F.lit(0)).alias("results"), state.alias("state"))
 
 
 @query()

@@ -152,6 +152,41 @@ def allocate_points(spark, d):
     return rules.largest_remainder(nodes(spark, d).select("house", "idx", "x"), "house", "idx", "x", 1000).drop("x")
 
 
+@query("SELECT source, min(doc_id) AS doc_id, min_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
+def first_wins(spark, d):
+    return rules.first_by(load(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"])
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def last_wins(spark, d):
+    return rules.first_by(load(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"], last=True)
+
+
+@query("""WITH m AS (SELECT lang, max(n_chars) AS longest FROM documents GROUP BY lang)
+SELECT m.lang, longest, min(doc_id) AS doc_id FROM m JOIN documents d ON d.lang = m.lang AND d.n_chars = longest GROUP BY m.lang, longest""")
+def longest_doc(spark, d):
+    return rules.greatest_with_witness(load(spark, d, "documents"), ["lang"], "n_chars", "doc_id", "longest")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS house, CASE WHEN l_tax > 6e-2 THEN 0 WHEN l_tax > 4e-2 THEN 1 WHEN l_discount > 5e-2 THEN 2 WHEN l_discount > 2e-2 THEN 3 WHEN l_quantity > 10 THEN 4 ELSE 5 END AS rank FROM lineitem)
+SELECT house, CASE max(rank) WHEN 0 THEN 'texture' WHEN 1 THEN 'face' WHEN 2 THEN 'vertex' WHEN 3 THEN 'flat' WHEN 4 THEN 'gltf_default' ELSE 'fallback_grey' END AS worst FROM r GROUP BY house""")
+def worst_source(spark, d):
+    ladder = {"texture": F.col("l_tax") > 0.06, "face": F.col("l_tax") > 0.04, "vertex": F.col("l_discount") > 0.05, "flat": F.col("l_discount") > 0.02, "gltf_default": F.col("l_quantity") > 10}
+    return rules.worst(load(spark, d, "lineitem").withColumn("house", F.col("l_orderkey")), ["house"], ladder, "fallback_grey")
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'frozen' ELSE 'trainable' END AS published, CASE WHEN p_partkey % 3 = 0 THEN 'frozen' ELSE 'trainable' END AS actual, CASE WHEN p_type = 'PROMO' THEN 'random_single_view' ELSE 'mean' END AS pooling FROM part),
+t(published, actual, pooling, deviates, exceeds, may_use_cache, cache_layout) AS (VALUES ('frozen', 'frozen', 'mean', false, false, true, 'aggregated'), ('frozen', 'frozen', 'random_single_view', false, false, true, 'per_view'), ('frozen', 'trainable', 'mean', false, true, false, 'none'), ('frozen', 'trainable', 'random_single_view', false, true, false, 'none'),
+('trainable', 'frozen', 'mean', true, false, true, 'aggregated'), ('trainable', 'frozen', 'random_single_view', true, false, true, 'per_view'), ('trainable', 'trainable', 'mean', false, false, false, 'none'), ('trainable', 'trainable', 'random_single_view', false, false, false, 'none'))
+SELECT p_partkey, t.* FROM p JOIN t USING (published, actual, pooling)""")
+def decision_table(spark, d):
+    """Parts as encoders; the SQL has the truth table itself."""
+    p = load(spark, d, "part")
+    scope = lambda c: F.when(c, "frozen").otherwise("trainable")
+    p = p.select("p_partkey", scope(F.col("p_size") % 2 == 0).alias("published"), scope(F.col("p_partkey") % 3 == 0).alias("actual"), F.when(F.col("p_type") == "PROMO", "random_single_view").otherwise("mean").alias("pooling"))
+    return p.withColumns(rules.encoder_decisions(F.col("published"), F.col("actual"), F.col("pooling")))
+
+
 # --- gates ------------------------------------------------------------------------------------
 
 

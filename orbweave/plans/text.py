@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from orbweave.functions import text as X
 from orbweave.operators import tokens
+from orbweave.operators.places import ordered_digest
 from orbweave.plans.registry import portable, query, run_sql
 from orbweave.sources.tables import load
 
@@ -110,14 +111,14 @@ def serializer_diff(spark, d):
     return differing(serialized(spark, d), run_sql(spark, d, _AGAIN))
 
 
-@query()
+_TREE = ", ".join(f"l{n} AS (SELECT n, pos // 1024 AS pos, (m + 1023) // 1024 AS m, {'' if n == 1 else 'CASE WHEN m = 1 THEN max(leaf) ELSE '}sha256('{n}' || chr(10) || string_agg(leaf, chr(10) ORDER BY pos)){'' if n == 1 else ' END'} AS leaf FROM l{n - 1} GROUP BY n, pos // 1024, m)" for n in range(1, 5))
+
+
+@query(f"""WITH s AS ({_SENTENCE_SQL}), l0 AS (SELECT count(*) OVER () AS n, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, count(*) OVER () AS m, sha256(text) AS leaf FROM s), {_TREE} SELECT n, leaf AS digest FROM l4""")
 def serializer_identity(spark, d):
-    """One digest over the strings that a fixed probe suite gives."""
-    probes = spark.createDataFrame([(i, f"probe {i}" * (i % 5), ["wood", "Metallic"][: i % 3], i / 8, i) for i in range(16)], "id int, description string, materials array<string>, size double, bits int")
-    flags = {f: F.col("bits").bitwiseAND(F.lit(2**i)) > 0 for i, f in enumerate(X.FLAGS)}
-    s = X.sentence(F.col("description"), F.lit("chair"), X.fold_synonyms(F.col("materials")), F.col("size"), F.col("size") * 2, F.col("size") * 3, X.placement(flags))
-    rows = probes.select(F.struct("id", F.coalesce(s, F.lit("violation")).alias("text")).alias("r"))
-    return rows.agg(F.sha2(F.to_json(F.sort_array(F.collect_list("r"))), 256).alias("identity"))
+    """One digest over what the serialiser makes of all parts, in the order of their keys: a
+    serialiser that behaves otherwise on any of them has another one."""
+    return ordered_digest(serialized(spark, d), [], ["p_partkey"], F.sha2("text", 256))
 
 
 _FOLD = "CASE trim(lower(m)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.SYNONYMS.items()) + " ELSE trim(lower(m)) END"

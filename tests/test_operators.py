@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions.text import contract_id, unwrap
-from orbweave.operators import aggregates, checks, graph, layout, models, report, sampling
+from orbweave.operators import aggregates, cameras, checks, graph, layout, models, report, sampling
 from orbweave.plans import catalog, geometry, text
 
 
@@ -316,11 +316,22 @@ def test_reports_are_small(spark):
 # --- queries without SQL ----------------------------------------------------------------------
 
 
-def test_cameras_look_at_the_origin(spark, sf_dir):
-    for r in catalog.QUERIES["look_at"](spark, sf_dir).collect():
-        right, back = np.array([r.right_x, r.right_y, r.right_z]), np.array([r.back_x, r.back_y, r.back_z])
-        assert np.isclose(np.linalg.norm(right), 1) and abs(right @ back) < 1e-5
-        assert np.cross(back, right)[2] > 0 and np.isclose(np.linalg.norm(back), 1, atol=1e-5)  # up is up
+def test_cameras_look_at_the_middle(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 2.0, 4.0, 6.0), (2, 5.0, 5.0, 5.0)], "g long, x double, y double, z double")
+    frames = cameras.frames_of(points, "g")
+    assert rows(frames.where("g = 1")) == [(1, 1.0, 2.0, 3.0, 6.0)]
+    for how in (lambda k, n: cameras.orbit_directions(k, n, 20.0), cameras.sphere_directions, lambda k, n: cameras.orbit_directions(k, n, 90.0)):
+        got = cameras.look_at(cameras.place_cameras(frames, 5, how, 2.0)).collect()
+        assert len(got) == 10
+        for r in got:
+            if r.g == 2:
+                assert (r.x, r.y, r.z) == (5, 5, 5) and r.back_x is None and r.right_x is None
+                continue
+            axes = np.array([[r[f"{a}_{c}"] for c in "xyz"] for a in ("right", "up", "back")])
+            away = np.array([r.x - 1, r.y - 2, r.z - 3])
+            assert np.allclose(axes @ axes.T, np.eye(3)) and np.isclose(np.linalg.det(axes), 1)
+            assert np.isclose(np.linalg.norm(away), 12) and np.allclose(axes[2], away / 12)
+            assert axes[1][2] >= 0 or abs(axes[2][2]) > 0.999  # up is up
 
 
 def test_depth_fusion_takes_only_hits(spark, sf_dir):
