@@ -28,87 +28,25 @@ portable("safe_projection", "SELECT event_id, coalesce(CAST(TRY_CAST(CASE WHEN e
 
 # --- joins ------------------------------------------------------------------------------------
 
-portable("admitted", """SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""")
-NEXT = "pairs AS (SELECT a.house, a.idx AS i, b.idx AS j, a.asset AS asset_a, b.asset AS asset_b FROM nodes a JOIN nodes b ON a.house = b.house AND b.idx = a.idx + 1)"
-portable("edge_texts", f"""WITH {NODES_SQL}, {NEXT} SELECT house, i, j, p.p_type AS text_a, q.p_type AS text_b FROM pairs JOIN part p ON p.p_partkey = asset_a JOIN part q ON q.p_partkey = asset_b""")
-portable("unmapped", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
 portable("encode_worklist", "SELECT d.doc_id, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND d.n_chars <= 2000")
-portable("eligible", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) AND EXISTS (SELECT 1 FROM embeddings WHERE vec_id = p_partkey)")
-portable("asof_section", """WITH e AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = 'signup' THEN event_id END AS head FROM events),
-w AS (SELECT event_id, event_type, max(head) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM e)
-SELECT event_id, section FROM w WHERE event_type = 'error'""")
-portable("dangling_refs", "SELECT c_custkey, sha256(c_name) AS ref FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE sha256(replace(s_name, 'Supplier', 'Customer')) = sha256(c_name))")
-portable("positive_map", "SELECT p_partkey AS asset, CASE WHEN vec_id IS NULL THEN NULL ELSE p_partkey END AS positive, CASE WHEN vec_id IS NULL THEN 'no cloud' END AS skipped FROM part LEFT JOIN embeddings ON vec_id = p_partkey")
-portable("missing_refs", "SELECT DISTINCT l_suppkey AS ref FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0)")
-portable("deref_index", """WITH refs AS (SELECT doc_id, concat('vectors.npz#', CAST(doc_id AS VARCHAR(20))) AS uri, coalesce(n_chars < 100, true) AS degraded FROM documents)
-SELECT doc_id, uri, label FROM refs JOIN embeddings ON vec_id = CAST(split_part(uri, '#', 2) AS BIGINT) WHERE NOT degraded""")
-portable("reasoned_exclusion", """SELECT p_partkey, CASE WHEN vec_id IS NULL THEN 'no vector' WHEN p_size > 40 THEN 'too large' END AS reason FROM part LEFT JOIN embeddings ON vec_id = p_partkey WHERE vec_id IS NULL OR p_size > 40""")
 # --- aggregates -------------------------------------------------------------------------------
 
 portable("scene_index", f"WITH {NODES_SQL} SELECT house, count(*) AS n_nodes, count(*) - 1 AS n_chain, count(DISTINCT asset) AS n_assets FROM nodes GROUP BY house")
 portable("failure_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 portable("stage_counts", "SELECT lang AS stage, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY lang")
-portable("pair_collapse", f"""WITH {NODES_SQL}, {NEXT}, k AS (SELECT least(p.p_type, q.p_type) AS a, greatest(p.p_type, q.p_type) AS b FROM pairs JOIN part p ON p.p_partkey = asset_a JOIN part q ON q.p_partkey = asset_b),
-g AS (SELECT a, b, count(*) AS m FROM k GROUP BY a, b)
-SELECT CAST(sum(m) AS BIGINT) AS n_edges, count(*) AS n_keys, {r6("1 - CAST(count(*) AS DOUBLE) / nullif(CAST(sum(m) AS DOUBLE), 0e0)")} AS hit_rate FROM g""")
-portable("cloud_stats", f"""WITH {NODES_SQL}, c AS (SELECT house, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM nodes GROUP BY house)
-SELECT n.house, {mean("x")} AS cx, {mean("y")} AS cy, {mean("z")} AS cz, {r6("sqrt(max((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)))")} AS max_radius, {r6("var_pop(x)")} AS vx, {r6("var_pop(y)")} AS vy
-FROM nodes n JOIN c ON c.house = n.house GROUP BY n.house""")
-portable("bbox", f"WITH {NODES_SQL} SELECT house, max(x) - min(x) AS dx, {r6('max(y) - min(y)')} AS dy, {r6('max(z) - min(z)')} AS dz, {r6('(max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z))')} AS volume FROM nodes GROUP BY house")
-portable("quarantine_rate", f"""WITH q AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'),
-m AS (SELECT count(DISTINCT user_id) AS n FROM events)
-SELECT count(*) AS quarantined, max(n) AS manifest, coalesce({r6("CAST(count(*) AS DOUBLE) / nullif(max(n), 0)")}, 0e0) AS rate FROM (SELECT user_id FROM q EXCEPT SELECT user_id FROM a) x CROSS JOIN m""")
-portable("cost_totals", "SELECT event_type AS resource, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / 1e2 AS total, count(*) AS n FROM events GROUP BY event_type")
-portable("table1_cube", """SELECT coalesce(l_returnflag, 'all') AS variant, coalesce(l_linestatus, 'all') AS condition, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
-portable("cell_grid", """WITH v AS (SELECT DISTINCT l_returnflag AS variant FROM lineitem), c AS (SELECT DISTINCT o_orderpriority AS condition FROM orders),
-f AS (SELECT l_returnflag AS variant, o_orderpriority AS condition, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate GROUP BY l_returnflag, o_orderpriority)
-SELECT v.variant, c.condition, coalesce(CAST(f.n AS VARCHAR(20)), 'NA') AS cell, CASE WHEN f.n IS NULL THEN 'NA' WHEN f.n < 30 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'value' END AS kind
-FROM v CROSS JOIN c LEFT JOIN f ON f.variant = v.variant AND f.condition = c.condition""")
-portable("scene_scores", f"""WITH h AS (SELECT l_orderkey AS house, count(*) AS n, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS done, sum(CAST(l_quantity AS BIGINT)) AS score FROM lineitem GROUP BY l_orderkey)
-SELECT n AS n_objects, count(*) AS n_total, count(CASE WHEN done = n THEN 1 END) AS n_complete, count(CASE WHEN done < n THEN 1 END) AS n_incomplete, coalesce({r6("CAST(count(CASE WHEN done = n THEN 1 END) AS DOUBLE) / nullif(count(*), 0)")}, 0e0) AS completion_rate,
-{r6("CAST(sum(CASE WHEN done = n THEN score END) AS DOUBLE) / nullif(count(CASE WHEN done = n THEN 1 END), 0)")} AS mean_over_complete FROM h GROUP BY n""")
-MASK = "substring(sha256(concat('7:', CAST(p_partkey AS VARCHAR(20)), ':{}')), 1, 4) >= '4ccc'"
-portable("modality_mask", f"SELECT p_partkey, {MASK.format('text')} AS text, {MASK.format('image')} AS image, {MASK.format('pc')} AS pc FROM part")
-portable("mask_rates", f"""WITH m AS (SELECT {MASK.format('text')} AS text, {MASK.format('image')} AS image, {MASK.format('pc')} AS pc FROM part)
-SELECT {r6("avg(CASE WHEN text THEN 0e0 ELSE 1e0 END)")} AS text, {r6("avg(CASE WHEN image THEN 0e0 ELSE 1e0 END)")} AS image, {r6("avg(CASE WHEN pc THEN 0e0 ELSE 1e0 END)")} AS pc, {r6("avg(CASE WHEN text OR image OR pc THEN 0e0 ELSE 1e0 END)")} AS all_masked FROM m""")
 
 # --- windows, order, splits -------------------------------------------------------------------
 
 portable("node_index", f"WITH {NODES_SQL} SELECT house, idx, asset FROM nodes")
-portable("metric_series", """SELECT event_id, user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS running, CAST(round(value * 100) AS BIGINT) - lag(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-portable("downsample", """WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT event_id, user_id FROM r WHERE (rn - 1) % (CAST(floor(n / 20) AS BIGINT) + 1) = 0 OR rn = n""")
-portable("throughput", f"SELECT user_id, count(*) AS done, {r6('count(*) * 1e6 / nullif(max(epoch_us(ts)) - min(epoch_us(ts)), 0)')} AS per_second FROM events GROUP BY user_id")
-portable("equation_numbers", """SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS number FROM events""")
-# Keys of equal hash prefix are ranked together, so no task sees all of them.
-SPLIT = """keyed AS (SELECT o_orderkey AS id, sha256(concat('42:', CAST(o_orderkey AS VARCHAR(20)))) AS h FROM orders),
-sizes AS (SELECT substring(h, 1, 2) AS b, count(*) AS m FROM keyed GROUP BY substring(h, 1, 2)),
-blocks AS (SELECT b, sum(m) OVER (ORDER BY b) - m AS before, sum(m) OVER () AS n FROM sizes),
-ranked AS (SELECT id, before + row_number() OVER (PARTITION BY substring(h, 1, 2) ORDER BY h, id) AS rn, n FROM keyed JOIN blocks ON b = substring(h, 1, 2)),
-split AS (SELECT id, CASE WHEN rn * 10 <= n * 8 + CASE WHEN n * 8 % 10 > 5 OR n * 8 % 10 = 5 AND CAST(floor(n * 8 / 10) AS BIGINT) % 2 = 1 THEN 10 - n * 8 % 10 ELSE -(n * 8 % 10) END THEN 'train' ELSE 'test' END AS split FROM ranked)"""
-portable("split_80_20", f"WITH {SPLIT} SELECT id, split FROM split")
-portable("eval_protocols", f"""WITH {SPLIT}, c AS (SELECT count(CASE WHEN split = 'test' THEN 1 END) AS n_test, count(*) AS n_all FROM split)
-SELECT 'A' AS protocol, n_test AS n_query, n_test AS n_gallery FROM c UNION ALL SELECT 'B', n_test, n_all FROM c""")
-portable("topk_per_group", """WITH r AS (SELECT l_orderkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS rn FROM lineitem)
-SELECT l_orderkey, CAST(rn AS BIGINT) AS rn, l_partkey, l_extendedprice FROM r WHERE rn <= 2""")
 portable("limit_sorted", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
-portable("enumerate_samples", f"WITH {NODES_SQL}, {SPLIT} SELECT house, idx, asset FROM nodes WHERE EXISTS (SELECT 1 FROM split WHERE id = house AND split = 'train') AND EXISTS (SELECT 1 FROM part WHERE p_partkey = asset AND p_size > 10)")
 
 # --- sets -------------------------------------------------------------------------------------
 
-EDGES = f"""{NODES_SQL}, support AS (SELECT DISTINCT a.house, a.idx AS i, b.idx AS j FROM nodes a JOIN nodes b ON a.house = b.house AND b.idx = a.idx + 1 WHERE b.asset % 2 = 0),
-adjacency AS (SELECT DISTINCT a.house, a.idx AS i, b.idx AS j FROM nodes a JOIN nodes b ON a.house = b.house AND b.idx IN (a.idx + 1, a.idx + 2))"""
-portable("semantic_candidates", f"WITH {EDGES} SELECT house, i, j FROM support UNION SELECT house, i, j FROM adjacency")
-portable("adjacency_minus_support", f"WITH {EDGES} SELECT house, i, j FROM adjacency EXCEPT SELECT house, i, j FROM support")
-portable("symmetric_edges", f"WITH {EDGES} SELECT house, i, j FROM adjacency UNION ALL SELECT house, j AS i, i AS j FROM adjacency")
 portable("classify_population", """SELECT CASE WHEN p_size > 40 THEN 'v3' WHEN p_size > 20 THEN 'v1' WHEN p_retailprice > 1000 THEN 'current' ELSE 'undeclarable' END AS population, count(*) AS n FROM part GROUP BY 1""")
 portable("keys_in_use", "SELECT DISTINCT l_partkey AS asset FROM lineitem")
 
 # --- gates, runs, decisions -------------------------------------------------------------------
 
-portable("join_readiness", """SELECT user_id, bool_and(event_type <> 'error') AS all_ready, bool_or(event_type = 'purchase') AS any_ready, count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END) = count(*) AS all_settled FROM events GROUP BY user_id""")
-portable("unfinished_runs", """SELECT user_id, min(ts) AS started, count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END) AS ended FROM events GROUP BY user_id HAVING count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END) <= 5""")
 portable("repair_outcomes", f"""WITH first AS (SELECT p_partkey, {RULES} AS v1 FROM part), second AS (SELECT f.p_partkey, v1, CASE WHEN v1 IS NOT NULL AND p_size % 2 = 0 THEN v1 END AS v2 FROM first f JOIN part p ON p.p_partkey = f.p_partkey)
 SELECT p_partkey, CAST(CASE WHEN v1 IS NULL THEN 1 ELSE 2 END AS BIGINT) AS attempts, CASE WHEN v1 IS NULL OR v2 IS NULL THEN 'record' ELSE 'quarantine' END AS status, CASE WHEN v1 IS NOT NULL THEN v2 END AS reason FROM second""")
 portable("enrich_record", "SELECT p_partkey, CAST(p_size AS DOUBLE) * p_size * p_size AS volume, 'cm' AS dimension_unit, 'kg' AS mass_unit, CAST(3 AS BIGINT) AS prompt_version FROM part")
