@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from orbweave.sources.tables import kept
 
@@ -64,3 +65,37 @@ def cyclic(edges: DataFrame) -> DataFrame:
 def required(value: Column, holds: Column, message: str) -> Column:
     """`value`, or an error that says why not; a null condition doesn't hold."""
     return F.when(F.coalesce(holds, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
+
+
+# Fixed value: the kinds of fusion that a stage may name.
+FUSIONS = ("mean", "mlp", "gated")
+
+
+def stage_fault(fusion: Column, width: Column, use_layout: Column, wanted: int) -> Column:
+    """Why a stage can't be built, or null: the layout's width counts only where it is used."""
+    told = F.concat(F.lit("fusion = "), fusion, F.lit(" is unknown"))
+    wide = F.concat(F.lit("layout width "), width.cast("string"), F.lit(f" is not {wanted}"))
+    return F.when(fusion.isNull(), "fusion is required").when(~fusion.isin(*FUSIONS), told).when(use_layout & (width != wanted), wide)
+
+
+def checkpoints(wanted: DataFrame, held: DataFrame, key: str, digest: str) -> DataFrame:
+    """(key, digest, refusal): the checkpoint of each wanted key, or what to do about it."""
+    h = held.select(F.col(key).alias("k_"), digest)
+    told = F.concat(F.lit("no checkpoint of "), F.col(key).cast("string"), F.lit(": train it first"))
+    return wanted.join(h, F.col(key) == F.col("k_"), "left").select(key, digest, F.when(F.col("k_").isNull(), told).alias("refusal"))
+
+
+def layout_entries(houses: DataFrame) -> DataFrame:
+    """`houses` (house, n or null, branch) with how the layout enters a model: a house without
+    nodes has none, a model without a layout branch refuses one."""
+    entry = F.when(F.col("n").isNull(), "no layout").when(~F.col("branch"), "refused: no layout branch").when(F.col("n") == 1, "context without edges").otherwise("batch of one")
+    return houses.withColumn("entry", entry).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def iteration_counts(rows: DataFrame, run: list[str], order: list[str], starts: Column) -> DataFrame:
+    """`rows` with iteration (0 before the first start), in_iteration and in_run: rows so far,
+    the first count beginning anew with each iteration."""
+    so_far = lambda w: w.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    it = rows.withColumn("iteration", F.count_if(starts).over(so_far(W.partitionBy(*run))))
+    n = it.withColumn("in_iteration", F.count("*").over(so_far(W.partitionBy(*run, "iteration"))))
+    return n.withColumn("in_run", F.count("*").over(so_far(W.partitionBy(*run))))

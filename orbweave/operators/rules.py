@@ -169,3 +169,35 @@ def encoder_decisions(published: Column, actual: Column, pooling: Column) -> dic
     frozen = actual == "frozen"
     layout = F.when(~frozen, "none").when(pooling == "random_single_view", "per_view").otherwise("aggregated")
     return {"deviates": (published == "trainable") & frozen, "exceeds": (published == "frozen") & (actual == "trainable"), "may_use_cache": frozen, "cache_layout": layout}
+
+
+def extents_agree(stored: Column, measured: Column, least: float = 0.5, most: float = 3.0, slack: float = 0.25) -> Column:
+    """Whether two extents are of one size: their ratio lies within bounds, or they differ by no
+    more than `slack` of the larger one."""
+    ratio = stored / measured
+    return ~(((ratio < least) | (ratio > most)) & (F.abs(stored - measured) > slack * F.greatest(stored.cast("double"), measured.cast("double"))))
+
+
+def or_else(value: Column, default: str) -> Column:
+    """A value as text, or the default where it is null or couldn't be read."""
+    return F.coalesce(value.cast("string"), F.lit(default))
+
+
+def classified(rows: DataFrame, classes: dict[str, Column], rest: str, out: str) -> DataFrame:
+    """(out, n): how many rows fall into each class, by the first condition that holds."""
+    at = first_violation([(holds, name) for name, holds in classes.items()])
+    return rows.groupBy(F.coalesce(at, F.lit(rest)).alias(out)).agg(F.count("*").alias("n"))
+
+
+def repaired(rows: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """(key, attempts, status, reason) after at most two attempts, whose violations are given:
+    each key is a record or in quarantine, never both."""
+    failed = F.col(first).isNotNull()
+    bad = failed & F.col(second).isNotNull()
+    return rows.select(key, F.when(failed, 2).otherwise(1).cast("long").alias("attempts"), F.when(bad, "quarantine").otherwise("record").alias("status"), F.when(bad, F.col(second)).alias("reason"))
+
+
+def enriched(side: Column, version: int) -> list[Column]:
+    """What is added to an accepted record: its volume, units and the version of the prompt."""
+    volume = side.cast("double") * side * side
+    return [volume.alias("volume"), F.lit("cm").alias("dimension_unit"), F.lit("kg").alias("mass_unit"), F.lit(version).cast("long").alias("prompt_version")]

@@ -126,3 +126,14 @@ def unfinished(rows: DataFrame, group: str, ts: str, ended: Column, least: int)
     """(group, started, ended): runs of which fewer than `least` rows say that they ended."""
     g = rows.groupBy(group).agg(F.min(ts).alias("started"), F.count_if(ended).alias("ended"))
     return g.where(F.col("ended") < least)
+
+
+def scene_sizes(nodes: DataFrame, group: str, asset: str) -> DataFrame:
+    """(group, n_nodes, n_chain, n_assets): nodes, edges of the chain through them, assets."""
+    return nodes.groupBy(group).agg(F.count("*").alias("n_nodes"), (F.count("*") - 1).alias("n_chain"), F.count_distinct(asset).alias("n_assets"))
+
+
+def view_checks(views: DataFrame, group: str, digest: Column, blank: Column) -> DataFrame:
+    """(group, views, distinct_views, blank, all_blank): a render that failed shows the same
+    image from all sides, or nothing."""
+    return views.groupBy(group).agg(F.count("*").alias("views"), F.count_distinct(digest).alias("distinct_views"), F.count_if(blank).alias("blank"), (F.count_if(blank) == F.count("*")).alias("all_blank"))

@@ -10,8 +10,11 @@ from orbweave.functions.text import contract_id
 from orbweave.functions.vectors import r6
 from orbweave.operators import checks, models, report, sampling, specification
 from orbweave.operators.places import ordered_digest
-from orbweave.plans.registry import portable, query, run_sql
+from orbweave.operators.relations import seeded_split
+from orbweave.operators.rules import largest_remainder
+from orbweave.plans.registry import query
 from orbweave.plans.relational import RULES
+from orbweave.plans.rules import part_violations
 from orbweave.plans.text import serialized
 from orbweave.sources.tables import NODES_SQL, load, nodes
 
@@ -29,7 +32,7 @@ def split(seed: int, p: str = "") -> str:
 @query(f"WITH {split(42)}, {split(43, 'o')} SELECT (SELECT count(*) FROM (SELECT id FROM split WHERE split = 'train' INTERSECT SELECT id FROM osplit WHERE split = 'test') x) AS leaked")
 def split_leakage(spark, d):
     """The train side of one stored split against the test side of another."""
-    a, b = (run_sql(spark, d, f"WITH {split(s)} SELECT id, split FROM split") for s in (42, 43))
+    a, b = (seeded_split(load(spark, d, "orders"), "o_orderkey", s) for s in (42, 43))
     return checks.leakage(a.where("split = 'train'"), b.where("split = 'test'"), "id")
 
 
@@ -81,7 +84,7 @@ def draw_points(spark, d):
     """20 points of each house over its parts by area, largest remainders first, each at
     barycentric weights (u, v, w) uniform over a triangle. A part has a seed of its own, so
     its points don't depend on the other parts."""
-    p = run_sql(spark, d, f"WITH {POINTS} SELECT house, idx, points FROM p WHERE points > 0")
+    p = largest_remainder(nodes(spark, d).select("house", "idx", "x"), "house", "idx", "x", 20).where("points > 0")
     e = p.select("house", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("points") - 1)).alias("k"))
     h = F.sha2(F.concat_ws(":", F.col("house") + F.col("idx"), "house", "k"), 256)
     a, b = (F.conv(F.substring(h, at, 8), 16, 10).cast("double") / 4294967296 for at in (1, 9))
@@ -127,16 +130,41 @@ def complete_gallery(spark, d):
 
 # --- specifications ---------------------------------------------------------------------------
 
-portable("stage_config_faults", """WITH c AS (SELECT n_nationkey AS stage, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE CASE n_nationkey % 3 WHEN 0 THEN 'mean' WHEN 1 THEN 'gated' ELSE n_name END END AS fusion, 64 - n_nationkey % 5 AS width, n_regionkey > 0 AS use_layout FROM nation),
+@query("""WITH c AS (SELECT n_nationkey AS stage, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE CASE n_nationkey % 3 WHEN 0 THEN 'mean' WHEN 1 THEN 'gated' ELSE n_name END END AS fusion, 64 - n_nationkey % 5 AS width, n_regionkey > 0 AS use_layout FROM nation),
 w AS (SELECT max(len) AS width FROM (SELECT 64 AS len) x)
 SELECT stage, CASE WHEN fusion IS NULL THEN 'fusion is required' WHEN fusion NOT IN ('mean', 'mlp', 'gated') THEN concat('fusion = ', fusion, ' is unknown') WHEN use_layout AND c.width <> w.width THEN concat('layout width ', CAST(c.width AS VARCHAR(20)), ' is not ', CAST(w.width AS VARCHAR(20))) END AS fault FROM c CROSS JOIN w""")
-portable("checkpoint_records", """WITH wanted AS (SELECT s_suppkey AS id FROM supplier), held AS (SELECT c_custkey AS id, sha256(c_name) AS digest FROM customer WHERE c_custkey % 4 <> 0)
+def stage_config_faults(spark, d):
+    """Training stages (nations) whose settings a builder would refuse."""
+    known = F.when(F.col("n_nationkey") % 3 == 0, "mean").when(F.col("n_nationkey") % 3 == 1, "gated").otherwise(F.col("n_name"))
+    c = load(spark, d, "nation").select(F.col("n_nationkey").alias("stage"), F.when(F.col("n_nationkey") % 7 != 0, known).alias("fusion"), (64 - F.col("n_nationkey") % 5).alias("width"), (F.col("n_regionkey") > 0).alias("use_layout"))
+    return c.select("stage", checks.stage_fault(F.col("fusion"), F.col("width"), F.col("use_layout"), 64).alias("fault"))
+
+
+@query("""WITH wanted AS (SELECT s_suppkey AS id FROM supplier), held AS (SELECT c_custkey AS id, sha256(c_name) AS digest FROM customer WHERE c_custkey % 4 <> 0)
 SELECT wanted.id, held.digest, CASE WHEN held.id IS NULL THEN concat('no checkpoint of ', CAST(wanted.id AS VARCHAR(20)), ': train it first') END AS refusal FROM wanted LEFT JOIN held ON held.id = wanted.id""")
-portable("layout_entry", f"""WITH {NODES_SQL}, h AS (SELECT house, count(*) AS n FROM nodes GROUP BY house) SELECT o_orderkey AS house, coalesce(n, 0) AS n,
+def checkpoint_records(spark, d):
+    """The checkpoints that stages name, or why one can't go on."""
+    wanted = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    held = load(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"), F.sha2("c_name", 256).alias("digest"))
+    return checks.checkpoints(wanted, held, "id", "digest")
+
+
+@query(f"""WITH {NODES_SQL}, h AS (SELECT house, count(*) AS n FROM nodes GROUP BY house) SELECT o_orderkey AS house, coalesce(n, 0) AS n,
 CASE WHEN n IS NULL THEN 'no layout' WHEN o_orderstatus = 'F' THEN 'refused: no layout branch' WHEN n = 1 THEN 'context without edges' ELSE 'batch of one' END AS entry FROM orders LEFT JOIN h ON house = o_orderkey""")
-portable("iteration_state", """WITH e AS (SELECT event_id, user_id, ts, event_type, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS iteration FROM events)
+def layout_entry(spark, d):
+    """How each house's layout enters the model."""
+    n = nodes(spark, d).groupBy("house").agg(F.count("*").alias("n"))
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("house"), (F.col("o_orderstatus") != "F").alias("branch"))
+    return checks.layout_entries(o.join(n, "house", "left")).select("house", "n", "entry")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS iteration FROM events)
 SELECT event_id, iteration, count(*) OVER (PARTITION BY user_id, iteration ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_iteration,
 count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_run FROM e""")
+def iteration_state(spark, d):
+    """Counts of a run (a user) that start anew with each iteration (a signup), and one that doesn't."""
+    e = load(spark, d, "events")
+    return checks.iteration_counts(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup").select("event_id", "iteration", "in_iteration", "in_run")
 
 
 @query("""WITH t AS (SELECT DISTINCT p_type || '.' || p_brand AS name FROM part WHERE p_size < 25), s AS (SELECT DISTINCT p_type || '.' || p_brand AS name FROM part WHERE p_size > 20 OR p_type = 'PROMO'),
@@ -238,5 +266,5 @@ def tree_flatten(spark, d):
 @query()
 def status_report(spark, d):
     """The state of the parts by type as Markdown."""
-    parts = run_sql(spark, d, f"SELECT p_type, count(*) AS n, count({RULES}) AS refused, avg(p_retailprice) AS price FROM part GROUP BY p_type")
+    parts = part_violations(spark, d).groupBy("p_type").agg(F.count("*").alias("n"), F.count("violation").alias("refused"), F.avg("p_retailprice").alias("price"))
     return spark.createDataFrame([(report.markdown(parts, "Parts", ["p_type"]),)], "report string")

@@ -1,7 +1,5 @@
-"""Joins, aggregates, windows, sets and gates: SQL that means the same in both engines."""
+"""Texts of SQL that several queries' oracles share."""
 
-from orbweave.plans.registry import portable
-from orbweave.sources.tables import NODE_ORDER, NODES_SQL
 
 
 def r6(x: str) -> str:
@@ -13,40 +11,6 @@ def mean(x: str) -> str:
     return f"CAST(sum(CAST(round({x} * 100000) AS BIGINT)) AS DOUBLE) / (count(*) * 1e5)"
 
 
-# --- rules and filters ------------------------------------------------------------------------
-
 RULES = """CASE WHEN p_name IS NULL OR p_type IS NULL THEN 'required field missing' WHEN trim(p_name) = '' THEN 'name must be a non-empty string'
 WHEN p_size < 1 OR p_size > 45 THEN concat('size = ', CAST(p_size AS VARCHAR(20)), ' is outside 1-45') WHEN p_retailprice < 905 OR p_retailprice > 1900 THEN 'price outside 905-1900'
 WHEN p_retailprice / (p_size * p_size * p_size) > 500 THEN 'density is implausible' WHEN p_type = 'PROMO' THEN 'type is not allowed' END"""
-
-portable("distinct_views", """SELECT l_orderkey AS house, count(*) AS views, count(DISTINCT sha256(concat(CAST(l_partkey AS VARCHAR(20)), l_returnflag))) AS distinct_views,
-count(CASE WHEN l_quantity < 2 THEN 1 END) AS blank, count(CASE WHEN l_quantity < 2 THEN 1 END) = count(*) AS all_blank FROM lineitem GROUP BY l_orderkey""")
-portable("density_check", "SELECT p_partkey, p_retailprice / (CAST(p_size AS DOUBLE) * p_size * p_size) BETWEEN 1e-9 AND 1e0 AS plausible FROM part")
-portable("bbox_check", """SELECT p_partkey, NOT ((p_retailprice / (p_size * 40) < 5e-1 OR p_retailprice / (p_size * 40) > 3) AND abs(p_retailprice - p_size * 40) > 25e-2 * greatest(p_retailprice, CAST(p_size * 40 AS DOUBLE))) AS fits FROM part WHERE p_size > 0""")
-portable("under_contract", "SELECT doc_id, text IS NOT NULL AND source = 'src1' AND lang IS NOT NULL AS under_contract FROM documents")
-portable("safe_projection", "SELECT event_id, coalesce(CAST(TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR(20)) END AS BIGINT) AS VARCHAR(20)), '') AS value FROM events")
-
-# --- joins ------------------------------------------------------------------------------------
-
-portable("encode_worklist", "SELECT d.doc_id, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND d.n_chars <= 2000")
-# --- aggregates -------------------------------------------------------------------------------
-
-portable("scene_index", f"WITH {NODES_SQL} SELECT house, count(*) AS n_nodes, count(*) - 1 AS n_chain, count(DISTINCT asset) AS n_assets FROM nodes GROUP BY house")
-portable("failure_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-portable("stage_counts", "SELECT lang AS stage, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY lang")
-
-# --- windows, order, splits -------------------------------------------------------------------
-
-portable("node_index", f"WITH {NODES_SQL} SELECT house, idx, asset FROM nodes")
-portable("limit_sorted", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
-
-# --- sets -------------------------------------------------------------------------------------
-
-portable("classify_population", """SELECT CASE WHEN p_size > 40 THEN 'v3' WHEN p_size > 20 THEN 'v1' WHEN p_retailprice > 1000 THEN 'current' ELSE 'undeclarable' END AS population, count(*) AS n FROM part GROUP BY 1""")
-portable("keys_in_use", "SELECT DISTINCT l_partkey AS asset FROM lineitem")
-
-# --- gates, runs, decisions -------------------------------------------------------------------
-
-portable("repair_outcomes", f"""WITH first AS (SELECT p_partkey, {RULES} AS v1 FROM part), second AS (SELECT f.p_partkey, v1, CASE WHEN v1 IS NOT NULL AND p_size % 2 = 0 THEN v1 END AS v2 FROM first f JOIN part p ON p.p_partkey = f.p_partkey)
-SELECT p_partkey, CAST(CASE WHEN v1 IS NULL THEN 1 ELSE 2 END AS BIGINT) AS attempts, CASE WHEN v1 IS NULL OR v2 IS NULL THEN 'record' ELSE 'quarantine' END AS status, CASE WHEN v1 IS NOT NULL THEN v2 END AS reason FROM second""")
-portable("enrich_record", "SELECT p_partkey, CAST(p_size AS DOUBLE) * p_size * p_size AS volume, 'cm' AS dimension_unit, 'kg' AS mass_unit, CAST(3 AS BIGINT) AS prompt_version FROM part")

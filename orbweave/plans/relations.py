@@ -235,3 +235,46 @@ def modality_mask(spark, d):
 SELECT {r6("avg(CASE WHEN text THEN 0e0 ELSE 1e0 END)")} AS text, {r6("avg(CASE WHEN image THEN 0e0 ELSE 1e0 END)")} AS image, {r6("avg(CASE WHEN pc THEN 0e0 ELSE 1e0 END)")} AS pc, {r6("avg(CASE WHEN text OR image OR pc THEN 0e0 ELSE 1e0 END)")} AS all_masked FROM m""")
 def mask_rates(spark, d):
     return S.mask_rates(_masks(spark, d), ["text", "image", "pc"])
+
+
+@query("SELECT d.doc_id, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND d.n_chars <= 2000")
+def encode_worklist(spark, d):
+    d_ = load(spark, d, "documents").where("n_chars <= 2000").select("doc_id", "source")
+    return R.admitted(d_, "doc_id", (load(spark, d, "labels").where("quality = 1"), "doc_id"))
+
+
+@query(f"WITH {NODES_SQL} SELECT house, count(*) AS n_nodes, count(*) - 1 AS n_chain, count(DISTINCT asset) AS n_assets FROM nodes GROUP BY house")
+def scene_index(spark, d):
+    return S.scene_sizes(nodes(spark, d), "house", "asset")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def failure_counts(spark, d):
+    return load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang AS stage, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY lang")
+def stage_counts(spark, d):
+    return load(spark, d, "documents").groupBy(F.col("lang").alias("stage")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"))
+
+
+@query(f"WITH {NODES_SQL} SELECT house, idx, asset FROM nodes")
+def node_index(spark, d):
+    return nodes(spark, d).select("house", "idx", "asset")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def limit_sorted(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+@query("SELECT DISTINCT l_partkey AS asset FROM lineitem")
+def keys_in_use(spark, d):
+    return load(spark, d, "lineitem").select(F.col("l_partkey").alias("asset")).distinct()
+
+
+@query("""SELECT l_orderkey AS house, count(*) AS views, count(DISTINCT sha256(concat(CAST(l_partkey AS VARCHAR(20)), l_returnflag))) AS distinct_views,
+count(CASE WHEN l_quantity < 2 THEN 1 END) AS blank, count(CASE WHEN l_quantity < 2 THEN 1 END) = count(*) AS all_blank FROM lineitem GROUP BY l_orderkey""")
+def distinct_views(spark, d):
+    li = load(spark, d, "lineitem").withColumn("house", F.col("l_orderkey"))
+    return S.view_checks(li, "house", F.sha2(F.concat("l_partkey", "l_returnflag"), 256), F.col("l_quantity") < 2)

@@ -187,6 +187,45 @@ def decision_table(spark, d):
     return p.withColumns(rules.encoder_decisions(F.col("published"), F.col("actual"), F.col("pooling")))
 
 
+@query("SELECT p_partkey, p_retailprice / (CAST(p_size AS DOUBLE) * p_size * p_size) BETWEEN 1e-9 AND 1e0 AS plausible FROM part")
+def density_check(spark, d):
+    volume = F.col("p_size").cast("double") * F.col("p_size") * F.col("p_size")
+    return load(spark, d, "part").select("p_partkey", (~rules.outside(F.col("p_retailprice") / volume, 1e-9, 1.0)).alias("plausible"))
+
+
+@query("""SELECT p_partkey, NOT ((p_retailprice / (p_size * 40) < 5e-1 OR p_retailprice / (p_size * 40) > 3) AND abs(p_retailprice - p_size * 40) > 25e-2 * greatest(p_retailprice, CAST(p_size * 40 AS DOUBLE))) AS fits FROM part WHERE p_size > 0""")
+def bbox_check(spark, d):
+    return load(spark, d, "part").where("p_size > 0").select("p_partkey", rules.extents_agree(F.col("p_retailprice"), F.col("p_size") * 40).alias("fits"))
+
+
+@query("SELECT doc_id, text IS NOT NULL AND source = 'src1' AND lang IS NOT NULL AS under_contract FROM documents")
+def under_contract(spark, d):
+    return load(spark, d, "documents").select("doc_id", rules.complete([F.col("text"), F.col("lang")], [F.col("source") == "src1"]).alias("under_contract"))
+
+
+@query("SELECT event_id, coalesce(CAST(TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR(20)) END AS BIGINT) AS VARCHAR(20)), '') AS value FROM events")
+def safe_projection(spark, d):
+    raw = F.when(F.col("event_id") % 7 == 0, "x").otherwise(F.col("user_id").cast("string"))
+    return load(spark, d, "events").select("event_id", rules.or_else(raw.try_cast("long"), "").alias("value"))
+
+
+@query("""SELECT CASE WHEN p_size > 40 THEN 'v3' WHEN p_size > 20 THEN 'v1' WHEN p_retailprice > 1000 THEN 'current' ELSE 'undeclarable' END AS population, count(*) AS n FROM part GROUP BY 1""")
+def classify_population(spark, d):
+    return rules.classified(load(spark, d, "part"), {"v3": F.col("p_size") > 40, "v1": F.col("p_size") > 20, "current": F.col("p_retailprice") > 1000}, "undeclarable", "population")
+
+
+@query(f"""WITH first AS (SELECT p_partkey, {RULES} AS v1 FROM part), second AS (SELECT f.p_partkey, v1, CASE WHEN v1 IS NOT NULL AND p_size % 2 = 0 THEN v1 END AS v2 FROM first f JOIN part p ON p.p_partkey = f.p_partkey)
+SELECT p_partkey, CAST(CASE WHEN v1 IS NULL THEN 1 ELSE 2 END AS BIGINT) AS attempts, CASE WHEN v1 IS NULL OR v2 IS NULL THEN 'record' ELSE 'quarantine' END AS status, CASE WHEN v1 IS NOT NULL THEN v2 END AS reason FROM second""")
+def repair_outcomes(spark, d):
+    p = part_violations(spark, d).withColumn("second", F.when(F.col("p_size") % 2 == 0, F.col("violation")))
+    return rules.repaired(p, "p_partkey", "violation", "second")
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) * p_size * p_size AS volume, 'cm' AS dimension_unit, 'kg' AS mass_unit, CAST(3 AS BIGINT) AS prompt_version FROM part")
+def enrich_record(spark, d):
+    return load(spark, d, "part").select("p_partkey", *rules.enriched(F.col("p_size"), 3))
+
+
 # --- gates ------------------------------------------------------------------------------------
 
 
