@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values, all of them data that results are compared with: the placement sentences,
@@ -113,3 +113,26 @@ def unwrap(raw: Column, *objects: Column) -> Column:
 def json_object(raw: Column) -> Column:
     """From the first opening to the last closing brace, else null."""
     return F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def key_field(key: Column, n: int, sep: str = "|") -> Column:
+    """The n-th field of a key, or the whole key if that is missing or empty."""
+    return F.coalesce(F.nullif(F.split_part(key, F.lit(sep), F.lit(n)), F.lit("")), key)
+
+
+def repair_prompt(answer: Column, why: Column, most: int = 300) -> Column:
+    """What a model is told of an answer that was refused: why, and how it began."""
+    return F.concat(F.lit("The last answer failed: "), why, F.lit(". It began: "), F.substring(answer, 1, most), F.lit(". Answer again."))
+
+
+def content_digest(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+def overridden(base: DataFrame, over: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, overridden, digest): settings with those that replace them; a key that the
+    base lacks is not added. The digest is that of "key:value"."""
+    new = over.select(F.col(key).alias("k_"), F.col(value).alias("v_"), F.lit(True).alias("o_"))
+    v = F.coalesce("v_", F.col(value))
+    digest = F.sha2(F.concat(F.col(key).cast("string"), F.lit(":"), v), 256)
+    return base.join(new, F.col(key) == F.col("k_"), "left").select(key, v.alias(value), F.col("o_").isNotNull().alias("overridden"), digest.alias("digest"))

@@ -65,9 +65,10 @@ def best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return a[keep], b[keep]
 
 
-def scores(queries: DataFrame, gallery: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, id, label, sim) of all pairs but a row with itself; with k, also rank, of
-    the k best for each query (ties by id): each task keeps k and a window merges them.
+def scores(queries: DataFrame, gallery: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
+    """(query_id, id, label, sim) of pairs of different rows: all whose similarity is `least` or
+    more; or, with k, also rank, of the k best for each query (ties by id): each task keeps k
+    and a window merges them. Without either all pairs are the result.
 
     `queries`: query_id, vec; `gallery`: id, label, vec.
     """
@@ -77,6 +78,8 @@ def scores(queries: DataFrame, gallery: DataFrame, k: int | None = None) -> Data
 
         own, ids = np.asarray(left["query_id"]), np.asarray(right["id"])
         sim[own[:, None] == ids[None]] = -np.inf
+        if least is not None:
+            sim[sim < least] = -np.inf
         a, b = best(sim, ids, k) if k else np.nonzero(sim > -np.inf)
         return {"query_id": pa.array(own[a]), "id": pa.array(ids[b]), "label": pa.array(np.asarray(right["label"])[b].astype(np.int32)), "sim": pa.array(sim[a, b])}
 

@@ -15,6 +15,7 @@ from orbweave.operators.rules import largest_remainder
 from orbweave.plans.registry import query
 from orbweave.plans.relational import RULES
 from orbweave.plans.rules import part_violations
+from orbweave.plans.scans import place
 from orbweave.plans.text import serialized
 from orbweave.sources.tables import NODES_SQL, load, nodes
 
@@ -241,18 +242,22 @@ def weight_digest(spark, d):
 def house_trees(spark, d):
     """(house, tree): each house's nodes as a nested JSON tree in which node i holds the nodes
     2 i + 1 and 2 i + 2; a stand-in for stored houses."""
-    n = nodes(spark, d).groupBy("house").agg(F.sort_array(F.collect_list(F.struct("idx", "asset"))).alias("n"))
-    most = n.agg(F.max(F.size("n"))).first()[0] or 0
+    n = nodes(spark, d).groupBy("house").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "asset"))), lambda x: x["asset"]).alias("assets"))
 
-    def node(i: int):
-        if i >= most:
-            return F.lit(None).cast("string")
-        inner = F.array_join(F.array(node(2 * i + 1), node(2 * i + 2)), ",")
-        one = F.get("n", F.lit(i))
-        room = F.concat(F.lit('"room":"room'), (one["asset"] % 3).cast("string"), F.lit('",'))
-        return F.when(F.size("n") > i, F.concat(F.lit("{"), room, F.lit('"id":"o'), one["idx"].cast("string"), F.lit('","asset":'), one["asset"].cast("string"), F.lit(',"children":['), inner, F.lit("]}")))
+    def write(batches):
+        import pyarrow as pa
 
-    return n.select("house", F.concat(F.lit('{"objects":['), node(0), F.lit("]}")).alias("tree"))
+        for b in batches:
+            trees = []
+            for assets in b.column(1).to_pylist():
+                told = [""] * (2 * len(assets) + 2)  # a node is written after those it holds
+                for i in reversed(range(len(assets))):
+                    inner = ",".join(t for t in told[2 * i + 1 : 2 * i + 3] if t)
+                    told[i] = f'{{"room":"room{assets[i] % 3}","id":"o{i}","asset":{assets[i]},"children":[{inner}]}}'
+                trees.append(f'{{"objects":[{told[0]}]}}')
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees, pa.string())], names=["house", "tree"])
+
+    return n.mapInArrow(write, "house long, tree string")
 
 
 @query(f"""WITH RECURSIVE {NODES_SQL}, t AS (SELECT house, idx, asset, CAST(NULL AS VARCHAR) AS parent, 0::BIGINT AS depth, '0' AS path, 'room' || CAST(asset % 3 AS VARCHAR) AS room FROM nodes WHERE idx = 0
@@ -268,3 +273,25 @@ def status_report(spark, d):
     """The state of the parts by type as Markdown."""
     parts = part_violations(spark, d).groupBy("p_type").agg(F.count("*").alias("n"), F.count("violation").alias("refused"), F.avg("p_retailprice").alias("price"))
     return spark.createDataFrame([(report.markdown(parts, "Parts", ["p_type"]),)], "report string")
+
+
+def _log(spark, d):
+    """Events as the log of a run for each type: a value, and the user as another metric."""
+    return load(spark, d, "events").select("event_type", "event_id", "value", F.when(F.col("event_type") != "view", F.col("user_id")).alias("user"))
+
+
+@query("""WITH l AS (SELECT event_type AS run, 'value' AS metric, event_id AS step, value FROM events UNION ALL SELECT event_type, 'user', event_id, CAST(user_id AS DOUBLE) FROM events WHERE event_type <> 'view'),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY step, value) AS rn, count(*) OVER (PARTITION BY run, metric) AS n FROM l)
+SELECT run, metric, step, value FROM r WHERE (rn - 1) % (n // 100 + 1) = 0 OR rn = n""")
+def curve_points(spark, d):
+    """Thinned curves of each run, whose last points are the log's."""
+    return report.curve_points(_log(spark, d), "event_type", "event_id", ["value", "user"], 100)
+
+
+@query()
+def curve_page(spark, d):
+    """The page of curves, written to the shared folder and read again."""
+    at = place(spark, "page")
+    page = report.curve_page(_log(spark, d), "Events", "event_type", "event_id", {"value": ["value"], "user": ["user"]}, 100)
+    report.write_page(spark, page, at)
+    return spark.read.text(at, wholetext=True).select(F.col("value").alias("page"))

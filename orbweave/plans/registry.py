@@ -39,9 +39,3 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         if f.split("(")[0] in text:
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f}")
     return spark.sql(text)
-
-
-def portable(name: str, text: str) -> None:
-    """Register a query whose SQL text means the same in both engines."""
-    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, text)
-    ORACLES[name] = text

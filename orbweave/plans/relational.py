@@ -1,7 +1,6 @@
 """Texts of SQL that several queries' oracles share."""
 
 
-
 def r6(x: str) -> str:
     return f"floor(({x}) * 1e6 + 5e-1) / 1e6"
 

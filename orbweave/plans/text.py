@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from orbweave.functions import text as X
 from orbweave.operators import tokens
 from orbweave.operators.places import ordered_digest
-from orbweave.plans.registry import portable, query, run_sql
+from orbweave.operators.settled import symmetric
+from orbweave.plans.registry import query, run_sql
 from orbweave.sources.tables import load
 
 _CAMEL_SQL = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '') || '_' || upper(p_type[1]) || lower(p_type[2:])"
@@ -31,13 +32,16 @@ def object_text(spark, d):
     return _human(spark, d).select("p_partkey", F.concat(F.lit("a "), "text").alias("text"))
 
 
-portable(
-    "split_key",
-    """WITH k AS (SELECT p_partkey, concat(p_type, '|', CAST(p_size AS VARCHAR(20)), '|', CAST(p_partkey AS VARCHAR(20))) AS id FROM part),
+@query("""WITH k AS (SELECT p_partkey, concat(p_type, '|', CAST(p_size AS VARCHAR(20)), '|', CAST(p_partkey AS VARCHAR(20))) AS id FROM part),
 rooms AS (SELECT concat('room|', CAST(n_nationkey AS VARCHAR(20))) AS room FROM nation)
 SELECT p_partkey, coalesce(nullif(split_part(id, '|', 1), ''), id) AS category, room
-FROM k LEFT JOIN rooms ON room = concat('room|', split_part(id, '|', 2))""",
-)
+FROM k LEFT JOIN rooms ON room = concat('room|', split_part(id, '|', 2))""")
+def split_key(spark, d):
+    """Categories of keys of three fields, and the room that the second one names."""
+    key = load(spark, d, "part").select("p_partkey", F.concat_ws("|", "p_type", "p_size", "p_partkey").alias("id"))
+    rooms = load(spark, d, "nation").select(F.concat_ws("|", F.lit("room"), "n_nationkey").alias("room"))
+    kind, number = X.key_field(F.col("id"), 1), X.key_field(F.col("id"), 2)
+    return key.join(rooms, F.col("room") == F.concat(F.lit("room|"), number), "left").select("p_partkey", kind.alias("category"), "room")
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE
@@ -148,11 +152,11 @@ def unwrap_text(spark, d):
     return c.select("conv_id", "turn", "role", X.unwrap(raw, F.split_part("text", F.lit(" "), F.lit(1)), F.col("b")).alias("sentence"))
 
 
-portable(
-    "repair_prompt",
-    """SELECT doc_id, concat('The last answer failed: ', CASE WHEN length(text) > 1000 THEN 'too long' ELSE 'no category' END,
-'. It began: ', substring(text, 1, 300), '. Answer again.') AS prompt FROM documents WHERE text IS NOT NULL""",
-)
+@query("""SELECT doc_id, concat('The last answer failed: ', CASE WHEN length(text) > 1000 THEN 'too long' ELSE 'no category' END,
+'. It began: ', substring(text, 1, 300), '. Answer again.') AS prompt FROM documents WHERE text IS NOT NULL""")
+def repair_prompt(spark, d):
+    why = F.when(F.length("text") > 1000, "too long").otherwise("no category")
+    return load(spark, d, "documents").where("text is not null").select("doc_id", X.repair_prompt(F.col("text"), why).alias("prompt"))
 
 
 @query(f"SELECT doc_id, regexp_matches(text, '{X.COORDINATE_WORDS}') AS forbidden FROM documents")
@@ -209,7 +213,7 @@ def _foreign(texts: pd.Series) -> pd.Series:
 @query()
 def non_latin_chars(spark, d):
     """Characters of no Latin script, in order of first appearance."""
-    return load(spark, d, "documents").select("doc_id", _foreign("text").alias("foreign"))
+    return load(spark, d, "documents").select("doc_id", _foreign(F.regexp_replace("text", "[\\x00-\\x7F]", "")).alias("foreign"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
@@ -233,10 +237,11 @@ def extract_json(spark, d):
     return load(spark, d, "events").select("event_id", F.get_json_object(X.json_object(raw), "$.k").cast("long").alias("k"))
 
 
-portable(
-    "pair_key",
-    """SELECT DISTINCT sha256(concat('["', least(p_type, p_brand), '","', greatest(p_type, p_brand), '","v1"]')) AS pair_key, least(p_type, p_brand) AS a, greatest(p_type, p_brand) AS b FROM part""",
-)
+@query("""SELECT DISTINCT sha256(concat('["', least(p_type, p_brand), '","', greatest(p_type, p_brand), '","v1"]')) AS pair_key, least(p_type, p_brand) AS a, greatest(p_type, p_brand) AS b FROM part""")
+def pair_key(spark, d):
+    a, b = symmetric(F.col("p_type"), F.col("p_brand"))
+    key = F.sha2(F.to_json(F.array(a, b, F.lit("v1"))), 256)
+    return load(spark, d, "part").select(key.alias("pair_key"), a.alias("a"), b.alias("b")).distinct()
 
 
 @query("SELECT p_partkey, CAST('0x' || substring(sha256(CAST(p_partkey AS VARCHAR)), 9, 8) AS BIGINT) AS seed FROM part")
@@ -245,7 +250,10 @@ def uid_seed(spark, d):
     return load(spark, d, "part").select("p_partkey", F.conv(F.substring(digest, 9, 8), 16, 10).cast("long").alias("seed"))
 
 
-portable("record_digest", "SELECT doc_id, sha256(text) AS digest, sha256(text) = sha256(trim(text)) AS matches FROM documents")
+@query("SELECT doc_id, sha256(text) AS digest, sha256(text) = sha256(trim(text)) AS matches FROM documents")
+def record_digest(spark, d):
+    digest = X.content_digest(F.col("text"))
+    return load(spark, d, "documents").select("doc_id", digest.alias("digest"), (digest == X.content_digest(F.trim("text"))).alias("matches"))
 
 
 @query()
@@ -255,8 +263,9 @@ def config_hash(spark, d):
     return rows.agg(F.sha2(F.to_json(F.map_from_entries(F.sort_array(F.collect_list("e")))), 256).alias("config_hash"))
 
 
-portable(
-    "config_merge",
-    """WITH base AS (SELECT n_nationkey AS k, n_name AS v FROM nation), over AS (SELECT n_nationkey AS k, upper(n_name) AS v FROM nation WHERE n_nationkey % 3 = 0)
-SELECT base.k, coalesce(over.v, base.v) AS v, over.k IS NOT NULL AS overridden, sha256(concat(CAST(base.k AS VARCHAR(20)), ':', coalesce(over.v, base.v))) AS digest FROM base LEFT JOIN over ON base.k = over.k""",
-)
+@query("""WITH base AS (SELECT n_nationkey AS k, n_name AS v FROM nation), over AS (SELECT n_nationkey AS k, upper(n_name) AS v FROM nation WHERE n_nationkey % 3 = 0)
+SELECT base.k, coalesce(over.v, base.v) AS v, over.k IS NOT NULL AS overridden, sha256(concat(CAST(base.k AS VARCHAR(20)), ':', coalesce(over.v, base.v))) AS digest FROM base LEFT JOIN over ON base.k = over.k""")
+def config_merge(spark, d):
+    n = load(spark, d, "nation")
+    over = n.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("k"), F.upper("n_name").alias("v"))
+    return X.overridden(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), over, "k", "v")

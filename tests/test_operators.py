@@ -442,3 +442,32 @@ def test_foreign_letters_and_settings(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
     want = json.dumps(dict(sorted((r.n_name, str(r.n_regionkey)) for r in n)), separators=(",", ":"))
     assert one == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_pages_of_curves(spark, sf_dir, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    log = spark.createDataFrame([("a<b", i, float(i * i), None) for i in range(50)] + [("a<b", 50, nan, None), ("a<b", 51, -1.5, None), ("z", 1, 2.0, 7), ("z", 2, inf, 8)], "run string, step int, loss double, acc int")
+    got = rows(report.curve_points(log, "run", "step", ["loss", "acc"], 10))
+    assert [r[2] for r in got if r[:2] == ("a<b", "loss")] == [*range(0, 50, 6), 51] and got[-1] == ("z", "loss", 1, 2.0)
+    page = report.curve_page(log, "T & U", "run", "step", {"Loss": ["loss"], "Both": ["loss", "acc"], "Gone": ["acc"]}, 10)
+    assert page.count("<polyline") == 6 and page.count("no data") == 1 and "a&lt;b" in page and "T &amp; U" in page
+    assert page.index("Loss") < page.index("Both") < page.index("Gone") and "last: loss -1.5</p>" in page and "http" not in page
+    assert report.curve_page(log.limit(0), "E", "run", "step", {"Loss": ["loss"]}).endswith("<h1>E</h1></body></html>")
+    monkeypatch.setattr(report, "MOST_LINES", 3)
+    with pytest.raises(ValueError, match="at most 3 lines"):
+        report.curve_page(log, "T", "run", "step", {"Loss": ["loss", "acc"]})
+    monkeypatch.setattr(report, "MOST_LINES", 60)
+    (one,) = catalog.QUERIES["curve_page"](spark, sf_dir).collect()
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().count()
+    assert one.page.count("<h2>") == kinds and one.page.count("<polyline") == 2 * kinds - 1 and one.page.count("no data") == 1
+
+
+def test_stages_checkpoints_and_iterations(spark):
+    d = spark.createDataFrame([(1, None, 64, True), (2, "odd", 64, True), (3, "mean", 60, True), (4, "mean", 60, False), (5, "gated", 64, True)], "k int, f string, w int, l boolean")
+    assert rows(d.select("k", checks.stage_fault(F.col("f"), F.col("w"), F.col("l"), 64).alias("x"))) == [(1, "fusion is required"), (2, "fusion = odd is unknown"), (3, "layout width 60 is not 64"), (4, None), (5, None)]
+    a, b = (spark.createDataFrame(v, s) for v, s in (([(1,), (2,)], "id int"), ([(2, "x"), (9, "y")], "id int, h string")))
+    assert rows(checks.checkpoints(a, b, "id", "h")) == [(1, None, "no checkpoint of 1: train it first"), (2, "x", None)]
+    h = spark.createDataFrame([(1, None, True), (2, 3, False), (3, 1, True), (4, 5, True)], "house int, n long, branch boolean")
+    assert rows(checks.layout_entries(h), "house", "n", "entry") == [(1, 0, "no layout"), (2, 3, "refused: no layout branch"), (3, 1, "context without edges"), (4, 5, "batch of one")]
+    e = spark.createDataFrame([("u", t, s) for t, s in enumerate("xsxxsx")], "u string, t int, s string")
+    assert rows(checks.iteration_counts(e, ["u"], ["t"], F.col("s") == "s"), "t", "iteration", "in_iteration", "in_run") == [(0, 0, 1, 1), (1, 1, 1, 2), (2, 1, 2, 3), (3, 1, 3, 4), (4, 2, 1, 5), (5, 2, 2, 6)]
