@@ -106,3 +106,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     m = mix_sources(docs, cycle_weights, 1.5, 2.0)
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"))
+
+
+# The level of the water in one step: sources by what fills them, and the first of them that
+# the level over all later ones doesn't fill.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
+w AS (SELECT *, CASE n % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, 2e0 * source_size AS cap FROM s),
+o AS (SELECT *, cap / weight AS fills, coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS held, sum(weight) OVER (ORDER BY cap / weight DESC, n DESC) AS open, 15e-1 * sum(source_size) OVER () AS budget FROM w),
+l AS (SELECT arg_min((budget - held) / open, {'fills': fills, 'n': n}) AS level FROM o WHERE (budget - held) / open < fills),
+t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM l), 'inf'::DOUBLE)) AS target FROM w),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+r AS (SELECT d.doc_id, d.size, q.source_size, q.target, whole, target - whole * source_size AS quota, sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('11:' || d.doc_id)) AS upto FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN upto - size / 2 <= quota THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""

@@ -20,5 +20,10 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op5_ngram_jaccard": jaccard.OP5_SQL,
+    "op7_substring_dedup": substrings.OP7_SQL,
+    "op8_sharding": sharding.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
+    "op13_conversation_repair": repair.OP13_SQL,
 }

@@ -351,3 +351,35 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     out = all_of_them.join(report, F.col("conv_id").eqNullSafe(F.col("id")), "left")
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+# Whole audits and texts stand in the rows of this search: right for small tables only.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+c AS (SELECT conv_id, turn, role, text, xor(list_reduce(bytes, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS c FROM k, crc),
+d AS (SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE c WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE c <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, left(role, 1) AS ini FROM d),
+f AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prev, count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+ins(st, j, q, lines) AS (VALUES ('', 0, '', []::VARCHAR[]), ('', 1, 'u', ['user:']), ('', 2, 'a', ['user:', 'assistant:']), ('s', 0, 's', []), ('s', 1, 'u', ['user:']), ('s', 2, 'a', ['user:', 'assistant:']),
+  ('u', 0, 'u', []), ('u', 1, 'a', ['assistant:']), ('u', 2, 'u', ['assistant:', 'user:']), ('a', 0, 'a', []), ('a', 1, 'u', ['user:']), ('a', 2, 'a', ['user:', 'assistant:'])),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '' AS st, CAST(0 AS BIGINT) AS cost, '' AS audit, []::VARCHAR[] AS rep FROM f
+  UNION ALL
+  SELECT conv_id, i, st, b.cost, b.audit, b.rep FROM (
+    SELECT conv_id, i, st, arg_min({'cost': cost, 'audit': audit, 'rep': rep}, {'cost': cost, 'audit': audit}) AS b FROM (
+      SELECT dp.conv_id, f.i, CASE e.e WHEN 'D' THEN q WHEN 'K' THEN f.ini WHEN 'R' THEN CASE q WHEN 'u' THEN 'a' ELSE 'u' END END AS st,
+        CAST(dp.cost + 5 * j + CASE e.e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e.e <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END AS BIGINT) AS cost,
+        dp.audit || repeat('I', j) || e.e AS audit,
+        list_concat(dp.rep, lines, CASE e.e WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE q WHEN 'u' THEN 'assistant:' ELSE 'user:' END || f.text] END) AS rep
+      FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN ins ON ins.st = dp.st CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(e)
+      WHERE e.e = 'D' OR (f.fault IS NULL OR f.fault = 'truncated') AND (e.e = 'R' OR q || f.ini IN ('s', 'u', 'su', 'ua', 'au') AND f.ini <> '')) x
+    GROUP BY conv_id, i, st) y),
+e AS (SELECT dp.conv_id, arg_min({'cost': cost + 5 * j, 'audit': audit || repeat('I', j), 'rep': list_concat(rep, lines)}, {'cost': cost + 5 * j, 'audit': audit || repeat('I', j)}) AS b
+  FROM dp JOIN ins ON ins.st = dp.st AND (j = 0 AND dp.st IN ('', 'a') OR j > 0 AND dp.st IN ('s', 'u') AND q = 'a') WHERE i = (SELECT max(n) FROM f WHERE f.conv_id IS NOT DISTINCT FROM dp.conv_id) GROUP BY dp.conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.b.cost, 0) AS cost, coalesce(e.b.audit, '') AS audit, sha256(coalesce(array_to_string(e.b.rep, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

@@ -94,3 +94,20 @@ SHARDS, SEED = 40, 7
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = assign_shards(table(spark, sf_dir, "documents"), SHARDS, SEED)
     return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _sql_round(half: str, r: int) -> str:
+    return f"CAST('0x' || substr(md5('{SEED}:{r}:' || {half}), 1, 13) AS BIGINT)"
+
+
+OP8_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, length(h) // 2 + 16 AS size, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS crc FROM h, crc),
+g AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, crc, size) - 1 AS g, count(*) OVER () AS n FROM d),
+s AS (SELECT *, CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS a FROM g), ab AS (SELECT *, CAST(ceil(n / a) AS BIGINT) AS b FROM s),
+p AS (SELECT g, n, a, b, g AS x, 0 AS k FROM ab UNION ALL
+  SELECT g, n, a, b, l + r * a, k + 1 FROM (SELECT g, n, a, b, k, l, (r + {_sql_round("l", 3)}) % b AS r FROM (SELECT g, n, a, b, k, (l + {_sql_round("r", 2)}) % a AS l, r FROM (SELECT g, n, a, b, k, l, (r + {_sql_round("l", 1)}) % b AS r FROM
+    (SELECT g, n, a, b, k, (l + {_sql_round("r", 0)}) % a AS l, r FROM (SELECT *, x % a AS l, x // a AS r FROM p WHERE k = 0 OR x >= n) t0) t1) t2) t3) t4)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(x % {SHARDS} AS INT) AS shard, CAST(x // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM ab JOIN p USING (g) WHERE k > 0 AND x < p.n
+"""

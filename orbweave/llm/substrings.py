@@ -258,3 +258,16 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = remove_repeats(table(spark, sf_dir, "documents"), 13)
     return r.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS pos FROM d),
+g AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS gram FROM s),
+first AS (SELECT gram, min(doc_id) AS doc_id FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT g.doc_id, unnest(range(pos, pos + 13)) AS pos FROM g JOIN first f ON f.gram = g.gram AND f.doc_id < g.doc_id),
+lost AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lost ON lost.doc_id = d.doc_id
+"""
