@@ -31,7 +31,8 @@ def main() -> None:
 
     run("retrieve_topk")  # starts the JVM's and the workers' code
     times = {name: run(name) for name in HEADLINE}
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
+    again = {name: run(name) for name in HEADLINE}  # when their code is compiled
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "again": again, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

@@ -6,6 +6,8 @@ or node enters once, so rounds end with the longest shortest path (closure) or p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,6 +15,26 @@ from pyspark.sql.window import Window as W
 from orbweave.sources.tables import kept
 
 
+#: Written pieces of a growing table that are read side by side before they become one.
+PIECES = 16
+
+
+class Grown:
+    """A table that rounds add to: what is there isn't written again, but for a merge every
+    PIECES rounds, so all rounds together write about as much as the table holds."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.pieces = [first]
+
+    def add(self, piece: DataFrame) -> None:
+        self.pieces.append(piece)
+        if len(self.pieces) > PIECES:
+            self.pieces = [kept(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.pieces)
+
+
 def _links(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
 
@@ -25,14 +47,14 @@ def closure(edges: DataFrame) -> DataFrame:
     """
     e = kept(_links(edges))
     new, depth = kept(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("depth"))), 1
-    seen = new
+    seen = Grown(new)
     while True:
         depth += 1
         step = new.join(e, new.b == e.src).select("a", F.col("dst").alias("b")).distinct()
-        new = kept(step.join(seen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.lit(depth).alias("depth")))
+        new = kept(step.join(seen.all().select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.lit(depth).alias("depth")))
         if not new.limit(1).count():
-            return seen
-        seen = kept(seen.union(new))
+            return seen.all()
+        seen.add(new)
 
 
 def cycles(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -46,13 +68,13 @@ def cycles(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     least = both.groupBy("b").agg(F.min("a").alias("a")).where("a = b").select(F.col("a").alias("cycle"))
     home = kept(both.join(least, both.b == least.cycle).select("cycle", F.col("a").alias("node"), F.col("depth").alias("home")))
     at = kept(home.where("cycle = node").select("cycle", F.lit(0).alias("step"), "node", "home"))
-    out, e = at.select("cycle", "step", "node"), kept(_links(edges))
+    out, e = Grown(at.select("cycle", "step", "node")), kept(_links(edges))
     while True:  # each step goes to the least node that is one edge nearer to the start
         at = at.where("home > 1").join(e, F.col("node") == F.col("src")).select("cycle", (F.col("step") + 1).alias("step"), F.col("dst").alias("node"), (F.col("home") - 1).alias("left"))
         at = kept(at.join(home, ["cycle", "node"]).where("home = left").groupBy("cycle", "step", "home").agg(F.min("node").alias("node")))
         if not at.limit(1).count():
-            return out
-        out = kept(out.union(at.select("cycle", "step", "node")))
+            return out.all()
+        out.add(at.select("cycle", "step", "node"))
 
 
 def refuse_cycles(edges: DataFrame, what: str) -> None:
@@ -77,11 +99,14 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not here.limit(1).count():
             refuse_cycles(left, "edges")
         found = here.select("id", F.lit(layer).alias("layer"))
-        out = found if out is None else kept(out.union(found))
+        if out is None:
+            out = Grown(found)
+        else:
+            out.add(found)
         rest = kept(rest.join(here, "id", "left_anti"))
         left = kept(left.join(here, left.src == here.id, "left_anti"))
         layer += 1
-    return out if out is not None else rest.select("id", F.lit(0).alias("layer"))
+    return out.all() if out is not None else rest.select("id", F.lit(0).alias("layer"))
 
 
 def include_walk(files: DataFrame, includes: DataFrame, start: DataFrame) -> DataFrame:
@@ -124,10 +149,11 @@ def include_walk(files: DataFrame, includes: DataFrame, start: DataFrame) -> Dat
 
 def _reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The edges that leave what roots lead to."""
-    new = seen = kept(roots.select(F.col("root").alias("src")).distinct())
+    new = kept(roots.select(F.col("root").alias("src")).distinct())
+    seen = Grown(new)
     while True:
         step = edges.join(new, "src", "left_semi").select(F.col("dst").alias("src")).distinct()
-        new = kept(step.join(seen, "src", "left_anti"))
+        new = kept(step.join(seen.all(), "src", "left_anti"))
         if not new.limit(1).count():
-            return edges.join(seen, "src", "left_semi")
-        seen = kept(seen.union(new))
+            return edges.join(seen.all(), "src", "left_semi")
+        seen.add(new)
