@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Nodes that one task holds on average.
 ROWS = 50_000
 
+# What keeps a distance's root, and a unit vector's divisor, away from zero.
+NEAR, UNIT = 1e-12, 1e-8
+
 
 @dataclass
 class Net:
@@ -77,12 +80,15 @@ class Encoder:
         h, e = h @ self.into[0] + self.into[1], e @ self.edge[0] + self.edge[1]
         degree = np.maximum(1, np.bincount(i, minlength=len(h)))[:, None] if self.spread == "mean" else 1
         for layer in self.layers:
+            # Message: m_ij = f_m(h_i, h_j, |x_i - x_j|, e_ij), the distance squared or not.
             d = x[i] - x[j]
             d2 = (d * d).sum(1, keepdims=True)
-            seen = d2 if self.squared else np.sqrt(d2 + 1e-12)
+            seen = d2 if self.squared else np.sqrt(d2 + NEAR)
             if self.unit:
-                d = d / (np.sqrt(d2) + 1e-8)
+                d = d / (np.sqrt(d2) + UNIT)
             m = layer.message(np.concatenate([h[i], h[j], seen, e], 1))
+            # Features: h_i + sum of f_h(m_ij), or of m_ij itself where positions have a net of
+            # their own. Positions: x_i + sum or mean of (x_i - x_j) f_x(m_ij).
             if layer.feature is not None:
                 new, pull = h + gather(layer.feature(m), i, len(h)), layer.position(m)
             else:

@@ -8,7 +8,7 @@ from orbweave.operators import models
 from orbweave.operators.aggregates import vector_aggregates
 from orbweave.operators.settled import content_key, settle_texts, settle_vectors, symmetric
 from orbweave.plans.registry import query
-from orbweave.plans.scans import place
+from orbweave.plans.scans import finished, place
 from orbweave.sources.tables import NODES_SQL, load, nodes
 
 
@@ -53,7 +53,7 @@ def settled_relations(spark, d):
 
     told(e.where(F.substring("key", 1, 1) < "8"))
     got = told(e).drop("prompt")
-    return e.join(got, "key").select("house", "i", "j", "key", F.col("text").alias("sentence"), "attempts", "degraded", "reason")
+    return finished(e.join(got, "key").select("house", "i", "j", "key", F.col("text").alias("sentence"), "attempts", "degraded", "reason"), at)
 
 
 @query("SELECT p_partkey, CAST(length(p_type || ' ' || p_brand) AS DOUBLE) AS n, CAST(ascii(p_type) AS DOUBLE) AS first FROM part")
@@ -64,8 +64,9 @@ def settled_embeddings(spark, d):
     def load_model():
         return lambda texts: [[len(t), ord(t[0])] for t in texts]
 
-    got = settle_vectors(rows, "text", ["v1"], load_model, 2, place(spark, "vectors"), normalise=False)
-    return got.select("p_partkey", F.get("embedding", F.lit(0)).alias("n"), F.get("embedding", F.lit(1)).alias("first"))
+    at = place(spark, "vectors")
+    got = settle_vectors(rows, "text", ["v1"], load_model, 2, at, normalise=False)
+    return finished(got.select("p_partkey", F.get("embedding", F.lit(0)).alias("n"), F.get("embedding", F.lit(1)).alias("first")), at)
 
 
 # --- records of several inputs ----------------------------------------------------------------

@@ -15,7 +15,7 @@ from orbweave.operators.rules import largest_remainder
 from orbweave.plans.registry import query
 from orbweave.plans.relational import RULES
 from orbweave.plans.rules import part_violations
-from orbweave.plans.scans import place
+from orbweave.plans.scans import finished, place
 from orbweave.plans.text import serialized
 from orbweave.sources.tables import NODES_SQL, load, nodes
 
@@ -294,4 +294,4 @@ def curve_page(spark, d):
     at = place(spark, "page")
     page = report.curve_page(_log(spark, d), "Events", "event_type", "event_id", {"value": ["value"], "user": ["user"]}, 100)
     report.write_page(spark, page, at)
-    return spark.read.text(at, wholetext=True).select(F.col("value").alias("page"))
+    return finished(spark.read.text(at, wholetext=True).select(F.col("value").alias("page")), at)

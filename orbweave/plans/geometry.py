@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from orbweave.functions import vectors as V
-from orbweave.operators import cameras
+from orbweave.operators import cameras, clouds
 from orbweave.operators.aggregates import vector_aggregates
 from orbweave.operators.sampling import draw_exactly, farthest
 from orbweave.plans.registry import query
@@ -143,13 +143,6 @@ def assemble_examples(spark, d):
     return e.join(docs, e.vec_id == docs.doc_id).select("vec_id", F.size(F.concat(t, i)).cast("long").alias("width"), "lang")
 
 
-def _centred(spark, d):
-    w = W.partitionBy("house")
-    n = nodes(spark, d).select("house", "idx", *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in "xyz"])
-    n = n.withColumn("r", F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).over(w))
-    return n.select("house", "idx", *[V.r6(F.when(F.col("r") > 0, F.col(c) / F.col("r")).otherwise(0.0)).alias(c) for c in "xyz"], (F.col("r") == 0).alias("degenerate"))
-
-
 _PC = f"""{NODES_SQL}, c AS (SELECT house, idx, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM nodes WINDOW w AS (PARTITION BY house)),
 r AS (SELECT *, max(sqrt(x * x + y * y + z * z)) OVER (PARTITION BY house) AS r FROM c),
 pc AS (SELECT house, idx, {_r6('CASE WHEN r > 0 THEN x / r ELSE 0e0 END')} AS x, {_r6('CASE WHEN r > 0 THEN y / r ELSE 0e0 END')} AS y, {_r6('CASE WHEN r > 0 THEN z / r ELSE 0e0 END')} AS z, r = 0 AS degenerate FROM r)"""
@@ -158,12 +151,17 @@ pc AS (SELECT house, idx, {_r6('CASE WHEN r > 0 THEN x / r ELSE 0e0 END')} AS x,
 @query(f"WITH {_PC} SELECT * FROM pc")
 def pc_norm(spark, d):
     """Points about their centroid, scaled to radius 1; one point is degenerate, not NaN."""
-    return _centred(spark, d)
+    n = clouds.normalised(nodes(spark, d).select("house", "idx", "x", "y", "z"), "house")
+    return n.select("house", "idx", *[V.r6(F.col(c)).alias(c) for c in "xyz"], "degenerate")
 
 
-@query(f"WITH {_PC} SELECT house, idx, x, y, z, 5e-1 AS r, 5e-1 AS g, 5e-1 AS b FROM pc")
+@query(f"WITH {_PC} SELECT house, idx, x, y, z, 5e-1 AS r, 5e-1 AS g, 5e-1 AS b FROM pc WHERE NOT degenerate")
 def depth_shell(spark, d):
-    return _centred(spark, d).select("house", "idx", "x", "y", "z", *[F.lit(0.5).alias(c) for c in "rgb"])
+    """Houses of more than one place as inputs of a point encoder, shown point by point."""
+    spread = cameras.frames_of(nodes(spark, d), "house").where("reach > 0")
+    n = nodes(spark, d).select("house", "idx", "x", "y", "z").join(spread.select("house"), "house", "left_semi")
+    s = clouds.shells(n, "house", "idx", 10_000).select("house", F.posexplode("cloud").alias("idx", "p"))
+    return s.select("house", F.col("idx").cast("long").alias("idx"), *[(V.r6(F.get("p", F.lit(i))) if i < 3 else F.get("p", F.lit(i))).alias(c) for i, c in enumerate("xyzrgb")])
 
 
 def _transform(n):

@@ -15,6 +15,14 @@ def place(spark, name: str) -> str:
     return f"{S.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def finished(df, *folders: str):
+    """`df`, written, and the folders that it was read from deleted."""
+    out = S.kept(df)
+    for at in folders:
+        S.remove(out.sparkSession, at)
+    return out
+
+
 def _torn_log(spark, d) -> str:
     """Events as JSON lines, every ninth one torn as by a killed writer."""
     at, e = place(spark, "log"), load(spark, d, "events")
@@ -28,14 +36,16 @@ EVENT = "event_id long, props struct<k:long>"
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 9 <> 0")
 def torn_log_records(spark, d):
-    good, _ = S.json_lines(spark, _torn_log(spark, d), EVENT, ["event_id"])
-    return good.select("event_id", F.col("props.k").alias("k"))
+    at = _torn_log(spark, d)
+    good, _ = S.json_lines(spark, at, EVENT, ["event_id"])
+    return finished(good.select("event_id", F.col("props.k").alias("k")), at)
 
 
 @query("SELECT 'not JSON' AS reason, count(*) AS n FROM events WHERE event_id % 9 = 0")
 def torn_log_quarantine(spark, d):
-    _, bad = S.json_lines(spark, _torn_log(spark, d), EVENT, ["event_id"])
-    return bad.groupBy("reason").agg(F.count("*").alias("n"))
+    at = _torn_log(spark, d)
+    _, bad = S.json_lines(spark, at, EVENT, ["event_id"])
+    return finished(bad.groupBy("reason").agg(F.count("*").alias("n")), at)
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderkey // 4000 AS split, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) - 1 AS n FROM orders)
@@ -47,7 +57,7 @@ def keyed_lines(spark, d):
     o = load(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 4000).alias("split"), "o_orderkey", line.alias("value"))
     o.repartition("split").sortWithinPartitions("split", "o_orderkey").drop("o_orderkey").write.partitionBy("split").text(at)
     good, _ = S.keyed_json_lines(spark, at, "id long", ["id"], name=F.regexp_extract("file", "split=([^/]+)/", 1))
-    return good.select("key", "id")
+    return finished(good.select("key", "id"), at)
 
 
 @query("SELECT n_name AS name, n_regionkey AS region, CASE WHEN n_nationkey % 8 = 3 THEN 'missing region' END AS reason FROM nation WHERE n_nationkey % 8 <> 3 UNION ALL SELECT NULL, NULL, 'missing region' FROM nation WHERE n_nationkey % 8 = 3")
@@ -58,7 +68,7 @@ def record_files(spark, d):
     load(spark, d, "nation").select("n_nationkey", F.to_json(whole).alias("value")).write.partitionBy("n_nationkey").text(at)
     good, bad = S.record_folder(spark, at, "name string, region int", ["region"], "*.txt")
     good = good.select("name", "region", F.lit(None).cast("string").alias("reason"))
-    return good.union(bad.select(F.lit(None), F.lit(None), "reason"))
+    return finished(good.union(bad.select(F.lit(None), F.lit(None), "reason")), at)
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS uid, 'glbs/' || n_name || '.glb' AS path FROM nation")
@@ -67,7 +77,7 @@ def manifest_paths(spark, d):
     entry = F.struct(F.col("n_nationkey").cast("string"), F.concat(F.lit("glbs/"), "n_name", F.lit(".glb")))
     whole = load(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     whole.write.partitionBy("n_regionkey").text(at)  # a file each
-    return S.manifest(spark, f"{at}/*")
+    return finished(S.manifest(spark, f"{at}/*"), at)
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")
@@ -76,7 +86,7 @@ def append_only_log(spark, d):
     at, s = place(spark, "append"), load(spark, d, "supplier").select("s_suppkey", "s_name")
     for part in (s.where("s_suppkey % 2 = 0"), s, s):
         S.append_new(spark, part, at, ["s_suppkey"])
-    return spark.read.parquet(at)
+    return finished(spark.read.parquet(at), at)
 
 
 @query("SELECT s_suppkey, CAST(2 AS BIGINT) AS rows FROM supplier WHERE s_suppkey % 4 = 1 AND upper(s_name) <> s_name")
@@ -99,5 +109,7 @@ def upsert_latest(spark, d):
 def vector_sink(spark, d):
     """What the sink says of an index it wrote, and whether that is what it was given."""
     e = load(spark, d, "embeddings")
-    said = S.write_vectors(e, place(spark, "index")).select("count", "dim", F.col("digest").alias("written"))
-    return said.crossJoin(F.broadcast(S.index_descriptor(e).select("digest"))).select("count", "dim", (F.col("digest") == F.col("written")).alias("same"))  # one row each
+    at = place(spark, "index")
+    said = S.write_vectors(e, at).select("count", "dim", F.col("digest").alias("written"))
+    both = said.crossJoin(F.broadcast(S.index_descriptor(e).select("digest")))  # one row each
+    return finished(both.select("count", "dim", (F.col("digest") == F.col("written")).alias("same")), at)

@@ -6,7 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from orbweave.plans.registry import query
-from orbweave.plans.scans import place
+from orbweave.plans.scans import finished, place
 from orbweave.sources.tables import load
 from orbweave.streaming.merge import MergedTable, merge_stream
 
@@ -29,7 +29,7 @@ def merged(spark, d, schema, keys, version, shape):
         if "killed before the commit" not in str(died):
             raise
     merge_stream(stream, table, f"{at}/state", shape, 2)
-    return table.read()
+    return finished(table.read(), at)
 
 
 @query("SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY user_id, event_type")

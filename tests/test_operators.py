@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions.text import contract_id, unwrap
-from orbweave.operators import aggregates, cameras, checks, graph, layout, models, report, sampling
+from orbweave.operators import aggregates, cameras, checks, clouds, graph, layout, models, report, sampling
 from orbweave.plans import catalog, geometry, text
 
 
@@ -471,3 +471,15 @@ def test_stages_checkpoints_and_iterations(spark):
     assert rows(checks.layout_entries(h), "house", "n", "entry") == [(1, 0, "no layout"), (2, 3, "refused: no layout branch"), (3, 1, "context without edges"), (4, 5, "batch of one")]
     e = spark.createDataFrame([("u", t, s) for t, s in enumerate("xsxxsx")], "u string, t int, s string")
     assert rows(checks.iteration_counts(e, ["u"], ["t"], F.col("s") == "s"), "t", "iteration", "in_iteration", "in_run") == [(0, 0, 1, 1), (1, 1, 1, 2), (2, 1, 2, 3), (3, 1, 3, 4), (4, 2, 1, 5), (5, 2, 2, 6)]
+
+
+def test_clouds_are_whole_or_refused(spark):
+    d = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0), ("a", 0, 2.0, 0.0, 0.0), ("b", 0, 1.0, 1.0, 1.0), ("b", 1, 1.0, 1.0, 1.0)], "g string, i int, x double, y double, z double")
+    n = clouds.normalised(d, "g")
+    assert rows(n, "g", "i", "x", "degenerate") == [("a", 0, 1.0, False), ("a", 1, -1.0, False), ("b", 0, 0.0, True), ("b", 1, 0.0, True)]
+    (one,) = clouds.shells(d.where("g = 'a'"), "g", "i", 9).collect()
+    assert (one.g, one.n, one.cloud) == ("a", 2, [[1.0, 0.0, 0.0, 0.5, 0.5, 0.5], [-1.0, 0.0, 0.0, 0.5, 0.5, 0.5]])
+    nan = d.where("g = 'a'").withColumn("z", F.when(F.col("i") == 0, float("nan")).otherwise(0.0))
+    for bad, most, why in ((d, 9, "cloud b has one place only"), (d.where("g = 'a'"), 1, "cloud a has more than 1 points"), (nan, 9, "a point that isn't finite")):
+        with pytest.raises(Exception, match=why):
+            clouds.shells(bad, "g", "i", most).collect()
