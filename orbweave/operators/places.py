@@ -21,12 +21,23 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], out: str = "po
     each bound between tasks. Rows that are equal in `order` get places in any order. Null
     is a group of its own; without `group` all rows are one.
     """
+    return counted(stretches(rows, group, order), rows.columns, out)
+
+
+def stretches(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """`rows` by range of group and order, written: columns c0, c1, ..., the group as a text g,
+    and the number of the part. What numbering needs besides can be counted from it."""
     names = [f"c{i}" for i in range(len(rows.columns))]
     at = dict(zip(rows.columns, names))
     key = F.to_json(F.struct(*[F.col(at[g]) for g in group]), {"ignoreNullFields": "false"}) if group else F.lit("")
     plain = rows.toDF(*names).withColumn("g", key).withColumn("tie", F.monotonically_increasing_id())
     by = ["g", *[at[o] for o in order], "tie"]
-    stretch = kept(plain.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).drop("tie"))
+    return kept(plain.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).drop("tie"))
+
+
+def counted(stretch: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """The rows of stretches(), with the columns' names and their place in the group."""
+    names = [f"c{i}" for i in range(len(columns))]
     sizes = stretch.groupBy("g", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("g").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     later = sizes.select("g", "part", before.alias("before")).where("before is not null")
@@ -52,7 +63,7 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], out: str = "po
 
     # `later` has a row for each partition at most: a group goes on where another one ended.
     placed = stretch.mapInArrow(count, schema).join(F.broadcast(later), ["g", "part"], "left")
-    return placed.select(*[F.col(n).alias(c) for c, n in at.items()], (F.col("run") + F.coalesce("before", F.lit(0))).alias(out))
+    return placed.select(*[F.col(n).alias(c) for c, n in zip(columns, names)], (F.col("run") + F.coalesce("before", F.lit(0))).alias(out))
 
 
 def ordered_digest(rows: DataFrame, group: list[str], order: list[str], leaf: Column, fan: int = FAN) -> DataFrame:

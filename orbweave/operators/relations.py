@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from orbweave.operators.places import numbered
+from orbweave.operators.places import counted, stretches
 
 
 def admitted(rows: DataFrame, key: str, *others: tuple[DataFrame, str]) -> DataFrame:
@@ -83,9 +83,9 @@ def seeded_split(rows: DataFrame, key: str, seed: int, tenths: int = 8) -> DataF
     "train", the rest "test". The split of a table is the same however it is dealt to tasks."""
     ids = rows.select(F.col(key).alias("id")).where("id is not null").distinct()
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
-    placed = numbered(ids.withColumn("h", h), [], ["h", "id"])
-    most = half_even(placed.count(), tenths)
-    return placed.select("id", F.when(F.col("position") < most, "train").otherwise("test").alias("split"))
+    s = stretches(ids.withColumn("h", h), [], ["h", "id"])
+    most = half_even(s.count(), tenths)
+    return counted(s, ["id", "h"], "position").select("id", F.when(F.col("position") < most, "train").otherwise("test").alias("split"))
 
 
 def protocols(split: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from orbweave.operators.places import numbered
+from orbweave.operators.places import counted, stretches
 
 #: Rows that one task holds on average.
 ROWS = 200_000
@@ -100,7 +100,9 @@ def unlike_batches(rows: DataFrame, positive: str, order: list[str], size: int,
     other, so they fall into different batches, and batches differ by a row at most. Null is
     a value.
     """
-    placed = numbered(rows, [], [positive, *order], out)
-    n = placed.groupBy(positive).agg(F.count("*").alias("m")).agg(F.sum("m").alias("n"), F.max("m").alias("m")).first()
+    s = stretches(rows, [], [positive, *order])
+    key = f"c{rows.columns.index(positive)}"
+    n = s.groupBy(key).agg(F.count("*").alias("m")).agg(F.sum("m").alias("n"), F.max("m").alias("m")).first()
+    placed = counted(s, rows.columns, out)
     batches = max(1, -(-(n["n"] or 0) // size), n["m"] or 0)
     return placed.withColumn(out, F.pmod(out, F.lit(batches)))
