@@ -33,10 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint that survives lost executors."""
+#: Rows of one file of a checkpoint, where it is known to have few; and the files at most.
+FILE_ROWS, FEW_FILES = 100_000, 8
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a checkpoint that survives lost executors.
+
+    A checkpoint has a file for each partition, and each file costs its task a process that
+    sets its mode. Where at most `rows` rows are known to come and they fit FEW_FILES, they
+    are dealt to as few files as hold them, after the tasks that make them.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    files = None if rows is None else max(1, -(-rows // FILE_ROWS))
+    return (df.repartition(files) if files and files <= FEW_FILES else df).checkpoint()
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -212,12 +222,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v"))).alias("e"))
     e = cut(e.select("e.u", "e.v").distinct())  # both ways, and each node with itself
+    most = e.count()
     lab = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    lab = cut(lab)
+    lab = cut(lab, most)
     while True:
         near = e.join(lab, e.v == lab.node).groupBy("u").agg(F.min("component").alias("c"), F.max(F.when(F.col("u") == F.col("v"), F.col("component"))).alias("old"))
         up = lab.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = cut(near.join(up, "c").select(F.col("u").alias("node"), "old", F.least("c", "cc").alias("component")))
+        new = cut(near.join(up, "c").select(F.col("u").alias("node"), "old", F.least("c", "cc").alias("component")), most)
         lab = new.select("node", "component")
         if not new.where("old <> component").limit(1).count():
             return lab

@@ -230,6 +230,7 @@ def overlaps(sets: DataFrame, pairs: DataFrame, pivots: list[int], num: int, den
     then spread over the `b`.
     """
     pairs = cut(pairs.select("a", "b").distinct())
+    most = pairs.count()
     cuts = np.array(sorted(set(pivots)), np.int64)
 
     def segments(batches):
@@ -251,7 +252,7 @@ def overlaps(sets: DataFrame, pairs: DataFrame, pivots: list[int], num: int, den
     right = seg.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("seg").alias("sb"))
     met = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.col("na") + F.col("nb")).alias("both"))
     total = met.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("both").alias("both"))
-    return cut(total.where(den * F.col("o") >= num * (F.col("both") - F.col("o"))).select("a", "b"))
+    return cut(total.where(den * F.col("o") >= num * (F.col("both") - F.col("o"))).select("a", "b"), most)
 
 
 def meetings(at: DataFrame, num: int, den: int) -> DataFrame:

@@ -68,9 +68,10 @@ def mix_sources(docs: DataFrame, weights, share: float = 1.5, max_epochs: float
     names = {"size": n_words(F.col(text_col)), "source": F.col(source_col)}
     name, whole, upto = unused(docs, "mix_source_", "mix_whole_", "mix_upto_")
     skinny = cut(docs.select(names["source"].alias("source"), names["size"].alias("size"), key.alias("key")))
-    sources = cut(skinny.groupBy("source").agg(F.sum("size").alias("source_size")))
+    many = skinny.select("source").distinct().count()
+    sources = cut(skinny.groupBy("source").agg(F.sum("size").alias("source_size")), many)
     total = sources.agg(F.sum("source_size").alias("t"), F.count(F.lit(1)).alias("n")).first()
-    plan = cut(water_fill(weights(sources), share * (total["t"] or 0), max_epochs))
+    plan = cut(water_fill(weights(sources), share * (total["t"] or 0), max_epochs), many)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(epochs)).withColumn("quota", F.col("target") - F.floor(epochs) * F.col("source_size"))
     plan = few(plan.select("source", "source_size", "target", "whole", "quota"), total["n"])
@@ -80,7 +81,7 @@ def mix_sources(docs: DataFrame, weights, share: float = 1.5, max_epochs: float
     before = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("in_block").over(before), F.lit(0)))
     edge = sums.join(plan, sums.source.eqNullSafe(plan.source)).where("before <= quota and before + in_block > quota").select(sums.source, "block", "before", "quota")
-    edge = cut(edge)
+    edge = cut(edge, many)
     at = skinny.withColumn("block", block)
     at = at.join(few(edge.withColumnRenamed("source", "s").withColumnRenamed("block", "b"), total["n"]), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     at = at.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("quota").alias("quota"))
@@ -90,7 +91,7 @@ def mix_sources(docs: DataFrame, weights, share: float = 1.5, max_epochs: float
     plan2 = plan.join(edges, plan.source.eqNullSafe(edges.es), "left")
     # No edge: the quota is the whole source (or nothing at all).
     plan2 = plan2.select(F.col("source").alias(name), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias(whole), F.coalesce("upto_key", F.when(F.col("quota") > 0, F.lit("g")).otherwise(F.lit(""))).alias(upto))
-    plan2 = few(cut(plan2), total["n"])
+    plan2 = few(cut(plan2, many), total["n"])
     out = docs.join(plan2, F.col(source_col).eqNullSafe(F.col(name)))
     copies = F.col(whole) + F.when(key <= F.col(upto), 1).otherwise(0)
     return out.withColumn("mix_size", n_words(F.col(text_col))).withColumn("mix_copies", copies.cast("int")).select(*map(plain, columns), "mix_size", "mix_source_size", "mix_target", "mix_copies")

@@ -203,7 +203,7 @@ def trusted_contexts(docs: DataFrame, found: DataFrame, text_col: str = "text")
         more = new.count()
         if not more:
             return few(trusted.select("context", "kind"), count)
-        trusted, count = cut(trusted.union(new)), count + more
+        trusted, count = cut(trusted.union(new), count + more), count + more
 
 
 def span_string(c: Column) -> Column:
