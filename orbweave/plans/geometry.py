@@ -155,12 +155,11 @@ def pc_norm(spark, d):
     return n.select("house", "idx", *[V.r6(F.col(c)).alias(c) for c in "xyz"], "degenerate")
 
 
-@query(f"WITH {_PC} SELECT house, idx, x, y, z, 5e-1 AS r, 5e-1 AS g, 5e-1 AS b FROM pc WHERE NOT degenerate")
+@query(f"WITH {_PC} SELECT house, idx, x, y, z, 5e-1 AS r, 5e-1 AS g, 5e-1 AS b FROM pc")
 def depth_shell(spark, d):
-    """Houses of more than one place as inputs of a point encoder, shown point by point."""
-    spread = cameras.frames_of(nodes(spark, d), "house").where("reach > 0")
-    n = nodes(spark, d).select("house", "idx", "x", "y", "z").join(spread.select("house"), "house", "left_semi")
-    s = clouds.shells(n, "house", "idx", 10_000).select("house", F.posexplode("cloud").alias("idx", "p"))
+    """All houses as inputs of a point encoder, shown point by point; those of one place are zeros."""
+    n = nodes(spark, d).select("house", "idx", "x", "y", "z")
+    s = clouds.shells(n, "house", "idx", 10_000, degenerate=True).select("house", F.posexplode("cloud").alias("idx", "p"))
     return s.select("house", F.col("idx").cast("long").alias("idx"), *[(V.r6(F.get("p", F.lit(i))) if i < 3 else F.get("p", F.lit(i))).alias(c) for i, c in enumerate("xyzrgb")])
 
 
