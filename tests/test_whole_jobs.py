@@ -16,3 +16,10 @@ def test_shells_of_all_houses(spark, sf_dir):
     assert got.where("x = 0 and y = 0 and z = 0").count() >= alone
     d = spark.createDataFrame([("b", 0, 1.0, 1.0, 1.0), ("b", 1, 1.0, 1.0, 1.0)], "g string, i int, x double, y double, z double")
     assert rows(clouds.shells(d, "g", "i", 9, degenerate=True), "g", "n", "cloud") == [("b", 2, [[0.0, 0.0, 0.0, 0.5, 0.5, 0.5]] * 2)]
+
+
+def test_all_pairs_of_queries(spark, sf_dir):
+    n, q = (load(spark, sf_dir, "embeddings").where(c).count() for c in ("true", "vec_id % 20 = 0"))
+    got = catalog.QUERIES["cosine_pairs"](spark, sf_dir)
+    assert got.count() == q * (n - 1) == got.distinct().count()
+    assert got.where(F.col("sim") < 0.2).count()
