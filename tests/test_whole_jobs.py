@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orbweave.operators import clouds
+from orbweave.operators import clouds, search
 from orbweave.plans import catalog
 from orbweave.sources.tables import load
 from tests.test_operators import rows
@@ -23,3 +23,38 @@ def test_all_pairs_of_queries(spark, sf_dir):
     got = catalog.QUERIES["cosine_pairs"](spark, sf_dir)
     assert got.count() == q * (n - 1) == got.distinct().count()
     assert got.where(F.col("sim") < 0.2).count()
+
+
+def test_blocks_of_a_search_are_held_in_strips(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    taken = {}
+
+    class Grouped:  # what meet() hands to Spark, called here with one pair of blocks
+        def __init__(self, d):
+            self.d = d
+
+        def cogroup(self, other):
+            return self
+
+        def applyInArrow(self, f, schema):
+            taken["f"] = f
+            return spark.createDataFrame([], schema)
+
+    d = spark.createDataFrame([], "id long, label int, vec array<double>")
+    monkeypatch.setattr(type(d), "groupBy", lambda self, *c: Grouped(self))
+    search.meet(d, d, lambda sim, q, g: {"n": pa.array((sim >= 0.5).sum(1)), "of": pa.array(np.full(len(sim), sim.shape[1]))}, "n long, of long")
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(3000, 4)), rng.normal(size=(2000, 4))
+    left, right = (pa.table({"vec": pa.array(list(v))}) for v in (x, y))
+    tracemalloc.start()
+    got = taken["f"](left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = [v / np.sqrt((v * v).sum(1, keepdims=True)) for v in (x, y)]
+    assert got["of"].to_pylist() == [2000] * 3000
+    assert got["n"].to_pylist() == (np.floor(unit[0] @ unit[1].T * 1e9 + 0.5) / 1e9 >= 0.5).sum(1).tolist()
+    assert peak < 3000 * 2000 * 8 / 2
