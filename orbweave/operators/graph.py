@@ -16,6 +16,33 @@ from orbweave.operators.search import best
 PAIRS = 4_000_000
 
 
+def near_pairs(size: np.ndarray, idx: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """(house, i, j), i < j, of houses that lie one after another, `size` nodes each, by their
+    place: each node with its k nearest, symmetrised. All houses of one size go at once, and
+    a large house some rows of its distances at a time."""
+    start = np.cumsum(size) - size
+    out = [np.zeros((0, 3), np.int64)]
+    for n in np.unique(size[size > 1]).tolist():
+        those = np.flatnonzero(size == n)
+        most = max(1, PAIRS // (n * n))
+        for a in range(0, len(those), most):
+            some = those[a : a + most]
+            at = start[some][:, None] + np.arange(n)
+            at = np.take_along_axis(at, np.argsort(idx[at], 1), 1)
+            for r in range(0, n, max(1, PAIRS // n) if n * n > PAIRS else n):
+                rows = np.arange(r, min(n, r + PAIRS // n) if n * n > PAIRS else n)
+                d = x[at[:, rows]][:, :, None] - x[at][:, None]
+                d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+                d2[:, np.arange(len(rows)), rows] = np.inf
+                i, j = best(-d2.reshape(-1, n), np.arange(n), min(k, n - 1))
+                h, i = i // len(rows), rows[i % len(rows)]
+                i, j = idx[at[h, i]], idx[at[h, j]]
+                out.append(np.stack([some[h], np.minimum(i, j), np.maximum(i, j)], 1))
+    edges = np.concatenate(out)
+    edges = edges[np.lexsort(edges.T[::-1])]
+    return edges[np.concatenate([[True], (edges[1:] != edges[:-1]).any(1)])[: len(edges)]]
+
+
 def scene_edges(nodes: DataFrame, k: int, parent: str | None = None) -> DataFrame:
     """(house, i, j, support), i < j: each node with its k nearest of the same house,
     symmetrised; and, with `parent` (a column: the idx of the node that holds this one, or
@@ -36,26 +63,8 @@ def scene_edges(nodes: DataFrame, k: int, parent: str | None = None) -> DataFram
         for batch in batches:
             lists = [batch.column(c) for c in range(1, 1 + len(columns))]
             size = np.asarray(lists[0].value_lengths())
-            start = np.cumsum(size) - size
             idx, x = np.asarray(lists[0].flatten()), np.stack([np.asarray(v.flatten()) for v in lists[1:4]], 1)
-            out = [np.zeros((0, 3), np.int64)]  # the house's place in the batch, i, j
-            for n in np.unique(size[size > 1]).tolist():
-                those = np.flatnonzero(size == n)
-                most = max(1, PAIRS // (n * n))
-                for a in range(0, len(those), most):
-                    some = those[a : a + most]
-                    at = start[some][:, None] + np.arange(n)
-                    at = np.take_along_axis(at, np.argsort(idx[at], 1), 1)
-                    for r in range(0, n, max(1, PAIRS // n) if n * n > PAIRS else n):
-                        rows = np.arange(r, min(n, r + PAIRS // n) if n * n > PAIRS else n)
-                        d = x[at[:, rows]][:, :, None] - x[at][:, None]
-                        d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
-                        d2[:, np.arange(len(rows)), rows] = np.inf
-                        i, j = best(-d2.reshape(-1, n), np.arange(n), min(k, n - 1))
-                        h, i = i // len(rows), rows[i % len(rows)]
-                        i, j = idx[at[h, i]], idx[at[h, j]]
-                        out.append(np.stack([some[h], np.minimum(i, j), np.maximum(i, j)], 1))
-            edges, held_by = np.unique(np.concatenate(out), axis=0), np.zeros((0, 3), np.int64)
+            edges, held_by = near_pairs(size, idx, x, k), np.zeros((0, 3), np.int64)
             if parent:
                 up, place = np.asarray(lists[4].flatten()), np.repeat(np.arange(len(size)), size)
                 known = pairs_of(place, idx)

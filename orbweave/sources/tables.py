@@ -19,10 +19,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Object instances of houses: (house, idx, asset, x, y, z), idx gapless from 0."""
-    li = load(spark, sf_dir, "lineitem")
-    idx = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*NODE_ORDER)) - 1
-    return li.select(F.col("l_orderkey").alias("house"), idx.cast("long").alias("idx"), F.col("l_partkey").alias("asset"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_tax") * 100).alias("z"))
+    """Object instances of houses: (house, idx, asset, x, y, z), idx gapless from 0.
+
+    Columns get their names before rows are dealt by house, so that what groups by house later
+    finds them dealt, and their values afterwards, so that nothing is sent twice."""
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("house"), *NODE_ORDER)
+    idx = F.row_number().over(W.partitionBy("house").orderBy(*NODE_ORDER)) - 1
+    placed = li.withColumn("idx", idx.cast("long"))
+    return placed.select("house", "idx", F.col("l_partkey").alias("asset"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_tax") * 100).alias("z"))
 
 
 NODES_SQL = f"""nodes AS (SELECT l_orderkey AS house, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(NODE_ORDER)}) - 1 AS BIGINT) AS idx,

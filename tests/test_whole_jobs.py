@@ -1,11 +1,13 @@
 """Queries give all rows of their job, and hold no more of it than they need."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from orbweave.operators import clouds, search
+from orbweave.operators import clouds, graph, layout, search
 from orbweave.plans import catalog
 from orbweave.sources.tables import load
-from tests.test_operators import rows
+from tests.test_operators import frames, rows, scene
 
 
 def test_shells_of_all_houses(spark, sf_dir):
@@ -28,7 +30,6 @@ def test_all_pairs_of_queries(spark, sf_dir):
 def test_blocks_of_a_search_are_held_in_strips(spark, monkeypatch):
     import tracemalloc
 
-    import numpy as np
     import pyarrow as pa
 
     taken = {}
@@ -58,3 +59,40 @@ def test_blocks_of_a_search_are_held_in_strips(spark, monkeypatch):
     assert got["of"].to_pylist() == [2000] * 3000
     assert got["n"].to_pylist() == (np.floor(unit[0] @ unit[1].T * 1e9 + 0.5) / 1e9 >= 0.5).sum(1).tolist()
     assert peak < 3000 * 2000 * 8 / 2
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_graphs_are_made_once_and_not_dealt_again(spark, sf_dir):
+    for name in ("layout_layer", "message_layer_two_mlp", "layout_embedding", "loo_query", "se3_invariance"):
+        p = plan(catalog.QUERIES[name](spark, sf_dir))
+        assert p.count("MapInArrow") == 1 and p.count("Window [") == 1, name
+        if name != "se3_invariance":  # which deals its greatest changes besides
+            assert p.count("Exchange hashpartitioning") == 1, name
+
+
+def test_near_graphs_against_graphs_of_rows(spark):
+    nodes, _ = scene(6, houses=30)
+    n, _ = frames(spark, nodes, [(0, 0, 0, None)])
+    n = n.union(n.where("house = 3").withColumn("house", F.lit(77).cast("long")))
+
+    def relate(house, i, j):
+        return np.stack([i + j, i * j], 1) / 4.0, (i + j + house) % 3 > 0
+
+    edge = F.when((F.col("i") + F.col("j") + F.col("house")) % 3 > 0, F.array((F.col("i") + F.col("j")) / 4, F.col("i") * F.col("j") / 4))
+    for target in (None, 0, 1):
+        e, m = graph.both_ways(graph.knn(n, 2)), n
+        if target is not None:
+            e, m = graph.without(e, target), n.where(F.col("idx") != target).withColumn("idx", F.col("idx") - (F.col("idx") > target).cast("long"))
+        e, near = e.withColumn("edge", edge), layout.Near(2, relate, target)
+        for choices in ({}, {"two_nets": True, "spread": "mean", "unit": True, "squared": False}, {"absolute": True, "pooling": "max"}):
+            enc = layout.demo_encoder(3, 2, **choices)
+            for got, want in ((layout.near_nodes(n, near, enc), layout.encode_nodes(m, e, enc)), (layout.near_layouts(n, near, enc), layout.encode_layouts(m, e, enc))):
+                got, want = (sorted(x.collect(), key=lambda r: (r.house, r[1] if "idx" in r else 0)) for x in (got, want))
+                assert [(r.house, r[1]) for r in got if "idx" in r] == [(r.house, r[1]) for r in want if "idx" in r] and len(got) == len(want)
+                for a, b in zip(got, want):
+                    assert a.house == b.house and np.allclose(a[-1], b[-1], rtol=1e-9, atol=1e-12)
+    with pytest.raises(Exception, match="without gaps"):
+        layout.near_nodes(n.where("idx <> 0"), layout.Near(2, relate), layout.demo_encoder(3, 2)).collect()
