@@ -48,7 +48,7 @@ def vector_aggregates(rows: DataFrame, group: list[str], column: str, wanted: di
         def combine(batches):
             import pyarrow as pa
 
-            held = None
+            held, new, rows, size = None, [], 0, 0
 
             def joined(table):
                 """One row for each key of the table, in the order of keys."""
@@ -70,17 +70,27 @@ def vector_aggregates(rows: DataFrame, group: list[str], column: str, wanted: di
                     cols.append(pa.ListArray.from_arrays(off, pa.array(x.ravel())))
                 return pa.table(cols, names=schema.names)
 
+            def whole(held, new):
+                t = pa.Table.from_batches(new)
+                return joined(t if held is None else pa.concat_tables([held, t.cast(held.schema)]))
+
+            # What arrived is joined when it is as much as what is held, so that a row is sorted
+            # and copied a few times only, however many batches there are.
             for b in batches:
                 if not b.num_rows:
                     continue
-                t = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, names=schema.names)])
-                if held is not None:
-                    t = pa.concat_tables([held, t.cast(held.schema)])
-                held = joined(t)
+                new.append(pa.RecordBatch.from_arrays(b.columns, names=schema.names))
+                rows += b.num_rows
+                size += sum(b.column(schema.names.index(k)).nbytes for k in kinds)
+                if rows < (held.num_rows if held is not None else 1) and size < 8 * HELD:
+                    continue
+                held, new, rows, size = whole(held, new), [], 0, 0
                 if sum(held[k].nbytes for k in kinds) > 8 * HELD:
                     done = held.num_rows - 1 if ordered else held.num_rows  # the last key may go on
                     yield from held.slice(0, done).to_batches()
                     held = held.slice(done) if ordered else None
+            if new:
+                held = whole(held, new)
             if held is not None:
                 yield from held.to_batches()
 

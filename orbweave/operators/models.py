@@ -22,30 +22,35 @@ def gathered(views: DataFrame, key: str, order: str, value: str, most: int, leas
 
     A record has between `least` and `most` views, all of different `order` and none of them
     null; another number, a repeated place or a null value raises and names the record, so
-    that a model never gets a set with a view missing. Only `most` values stand in a row.
+    that a model never gets a set with a view missing. Only `most` values stand in a row: sizes
+    are read before any row is made. Views that are dealt by `key` aren't dealt again.
     """
     sized = views.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(order).alias("places"), F.count(value).alias("whole"))
     bad = (F.col("n") > most) | (F.col("n") < least) | (F.col("places") < F.col("n")) | (F.col("whole") < F.col("n"))
     told = F.concat(F.lit(f"record {key} = "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" has "), F.col("n").cast("string"), F.lit(" views at "), F.col("places").cast("string"), F.lit(" places, "), F.col("whole").cast("string"), F.lit(f" of them whole; {least} to {most} are wanted"))
-    fit = kept(sized.select(key, F.when(bad, F.raise_error(told).cast("boolean")).otherwise(True).alias("fit")))
-    rows = views.join(fit.where("fit").select(F.col(key).alias("k_")), views[key].eqNullSafe(F.col("k_")), "left_semi")
+    kept(sized.select(F.when(bad, F.raise_error(told).cast("boolean")).alias("fit")).where("fit"))
     one = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    return rows.groupBy(key).agg(F.transform(one, lambda x: x["v"]).alias(out))
+    return views.groupBy(key).agg(F.transform(one, lambda x: x["v"]).alias(out))
 
 
 def batches_of(sizes: np.ndarray, batch: int, most_bytes: int) -> list[tuple[int, int]]:
     """(from, to) of runs of at most `batch` values and `most_bytes`, or of one larger value."""
-    out, a, held = [], 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > a and (i - a >= batch or held + n > most_bytes):
-            out.append((a, i))
-            a, held = i, 0
-        held += n
-    return [*out, (a, len(sizes))] if len(sizes) else []
+    out, a, ends = [], 0, np.cumsum(sizes)
+    while a < len(sizes):
+        before = int(ends[a - 1]) if a else 0
+        b = min(a + batch, max(a + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        out.append((a, b))
+        a = b
+    return out
 
 
 def sizes_of(values) -> np.ndarray:
     """Bytes of each value of an Arrow column, nested ones with all that they hold."""
+    import pyarrow as pa
+
+    if pa.types.is_binary(values.type) or pa.types.is_string(values.type):
+        size = np.diff(np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)) if len(values) else np.zeros(0)
+        return size.astype(np.int64)
     return np.array([values.slice(i, 1).nbytes for i in range(len(values))], np.int64)
 
 

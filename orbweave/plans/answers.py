@@ -73,10 +73,14 @@ def settled_embeddings(spark, d):
 
 VIEWS = 11
 
+#: Parts whose images one task makes, some 40 MB of them: a small file of parts is many images.
+PARTS = 10_000
+
 
 def images(spark, d):
     """(p_partkey, view, image): 11 stand-in images of each part, some hundred bytes each."""
-    p = load(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(VIEWS - 1))).alias("view"))
+    p = load(spark, d, "part").select("p_partkey", "p_size")
+    p = p.repartition(max(1, -(-p.count() // PARTS)), "p_partkey").select("*", F.explode(F.sequence(F.lit(0), F.lit(VIEWS - 1))).alias("view"))
     content = F.unhex(F.repeat(F.md5(F.concat_ws(":", "p_partkey", "view")), F.col("p_size")))
     return p.select("p_partkey", "view", content.alias("image"))
 

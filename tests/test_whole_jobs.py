@@ -1,10 +1,11 @@
 """Queries give all rows of their job, and hold no more of it than they need."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.operators import clouds, graph, layout, search
+from orbweave.operators import aggregates, clouds, graph, layout, models, search
 from orbweave.plans import catalog
 from orbweave.sources.tables import load
 from tests.test_operators import frames, rows, scene
@@ -30,7 +31,7 @@ def test_all_pairs_of_queries(spark, sf_dir):
 def test_blocks_of_a_search_are_held_in_strips(spark, monkeypatch):
     import tracemalloc
 
-    import pyarrow as pa
+
 
     taken = {}
 
@@ -96,3 +97,37 @@ def test_near_graphs_against_graphs_of_rows(spark):
                     assert a.house == b.house and np.allclose(a[-1], b[-1], rtol=1e-9, atol=1e-12)
     with pytest.raises(Exception, match="without gaps"):
         layout.near_nodes(n.where("idx <> 0"), layout.Near(2, relate), layout.demo_encoder(3, 2)).collect()
+
+
+def test_images_of_small_tables_spread_and_are_dealt_once(spark, sf_dir, monkeypatch):
+    from orbweave.plans import answers
+
+    monkeypatch.setattr(answers, "PARTS", 50)
+    n = load(spark, sf_dir, "part").count()
+    images = answers.images(spark, sf_dir)
+    assert images.rdd.getNumPartitions() == -(-n // 50) and images.count() == 11 * n
+    p = plan(models.gathered(images, "p_partkey", "view", "image", 11, 11))
+    assert p.count("Exchange") == 1
+
+
+def test_aggregates_join_what_they_hold_a_few_times(spark, monkeypatch):
+    sizes = []
+    add = aggregates.JOIN["sum"]
+    monkeypatch.setitem(aggregates.JOIN, "sum", lambda x, start: sizes.append(len(x)) or add(x, start))
+    taken = []
+    d = spark.createDataFrame([(0, [1.0])], "g long, v array<double>")
+    run = type(d).mapInArrow
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, f, schema: taken.append((f, self.schema)) or run(self, f, schema))
+    aggregates.vector_aggregates(d, ["g"], "v", {"v": "sum"})
+    f, schema = taken[0]
+    batches = [pa.RecordBatch.from_arrays([pa.array([str(i)]), pa.array([i]), pa.array([1]), pa.array([[1.0 * i]])], names=schema.names) for i in range(500)]
+    got = pa.Table.from_batches(list(f(iter(batches))))
+    assert sorted(got["sum"].to_pylist()) == [[1.0 * i] for i in range(500)]
+    assert sum(sizes) < 5000  # with a join for each batch, 125,250
+
+
+def test_sizes_of_flat_values_and_their_batches():
+    values = pa.array([b"abc", b"", b"x" * 50, b"yz"])
+    assert models.sizes_of(values).tolist() == [3, 0, 50, 2] and models.sizes_of(values.slice(2)).tolist() == [50, 2]
+    assert models.batches_of(np.array([3, 0, 50, 2]), 2, 10) == [(0, 2), (2, 3), (3, 4)]
+    assert models.batches_of(np.array([9, 1, 1]), 5, 10) == [(0, 2), (2, 3)] and models.batches_of(np.array([], np.int64), 5, 10) == []
