@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from orbweave.operators import models
 from orbweave.operators.aggregates import vector_aggregates
 from orbweave.operators.settled import content_key, settle_texts, settle_vectors, symmetric
 from orbweave.plans.registry import query
 from orbweave.plans.scans import finished, place
-from orbweave.sources.tables import NODES_SQL, load, nodes
+from orbweave.sources.tables import NODES_SQL, kept, load, nodes
 
 
 def neighbours(spark, d):
@@ -17,8 +18,9 @@ def neighbours(spark, d):
     n = nodes(spark, d)
     part = load(spark, d, "part").select(F.col("p_partkey").alias("asset"), F.concat_ws(" ", "p_type", "p_brand").alias("text"))
     told = n.join(part, "asset").select("house", "idx", "text")
-    then = told.select("house", (F.col("idx") - 1).alias("idx"), F.col("text").alias("b"))
-    return told.join(then, ["house", "idx"]).select("house", F.col("idx").alias("i"), (F.col("idx") + 1).alias("j"), F.col("text").alias("a"), "b")
+    w = W.partitionBy("house").orderBy("idx")
+    then = told.withColumns({"j": F.lead("idx").over(w), "b": F.lead("text").over(w)}).where(F.col("j") == F.col("idx") + 1)
+    return then.select("house", F.col("idx").alias("i"), "j", F.col("text").alias("a"), "b")
 
 
 def writer():
@@ -47,12 +49,13 @@ def settled_relations(spark, d):
     a, b = symmetric(F.col("a"), F.col("b"))
     e = e.select("house", "i", "j", content_key([a, b], ["p1", "w1"]).alias("key"), F.concat(a, F.lit(" | "), b).alias("prompt"))
     at = place(spark, "relations")
+    asked = kept(e.select("key", "prompt").distinct())  # few: the pairs of what parts there are
 
     def told(rows):
-        return settle_texts(rows.select("key", "prompt").distinct(), "prompt", writer, lambda t: None if t else "empty", lambda p, t, why: f"again {p}", at)
+        return settle_texts(rows, "prompt", writer, lambda t: None if t else "empty", lambda p, t, why: f"again {p}", at)
 
-    told(e.where(F.substring("key", 1, 1) < "8"))
-    got = told(e).drop("prompt")
+    told(asked.where(F.substring("key", 1, 1) < "8"))
+    got = told(asked).drop("prompt")
     return finished(e.join(got, "key").select("house", "i", "j", "key", F.col("text").alias("sentence"), "attempts", "degraded", "reason"), at)
 
 

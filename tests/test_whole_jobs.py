@@ -131,3 +131,12 @@ def test_sizes_of_flat_values_and_their_batches():
     assert models.sizes_of(values).tolist() == [3, 0, 50, 2] and models.sizes_of(values.slice(2)).tolist() == [50, 2]
     assert models.batches_of(np.array([3, 0, 50, 2]), 2, 10) == [(0, 2), (2, 3), (3, 4)]
     assert models.batches_of(np.array([9, 1, 1]), 5, 10) == [(0, 2), (2, 3)] and models.batches_of(np.array([], np.int64), 5, 10) == []
+
+
+def test_neighbours_are_found_in_one_window(spark, sf_dir):
+    from orbweave.plans.answers import neighbours
+
+    n = neighbours(spark, sf_dir)
+    p = plan(n)
+    assert p.count("Join") == 1 and p.count("Scan parquet") == 2  # parts only: no house meets itself
+    assert n.where("j <> i + 1 or a is null or b is null").count() == 0 < n.count()
