@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orbweave.operators import aggregates, clouds, graph, layout, models, search
 from orbweave.plans import catalog
 from orbweave.sources.tables import load
+from tests.duck import connect, differences
 from tests.test_operators import frames, rows, scene
 
 
@@ -140,3 +141,44 @@ def test_neighbours_are_found_in_one_window(spark, sf_dir):
     p = plan(n)
     assert p.count("Join") == 1 and p.count("Scan parquet") == 2  # parts only: no house meets itself
     assert n.where("j <> i + 1 or a is null or b is null").count() == 0 < n.count()
+
+
+def test_pairs_deal_each_side_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "PAIR_BLOCK", 16)
+    n, q = (load(spark, sf_dir, "embeddings").where(c).count() for c in ("true", "vec_id % 20 = 0"))
+    got, sc = catalog.QUERIES["cosine_pairs"](spark, sf_dir), spark.sparkContext
+    sc.setJobGroup("pairs", "pairs of many blocks")
+    found = got.collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not differences(connect(sf_dir), catalog.ORACLES["cosine_pairs"], got.columns, found)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("pairs") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    assert sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages) == n + q
+    assert "Broadcast" not in plan(got)
+
+
+def test_pairs_leave_a_task_in_strips(spark, monkeypatch):
+    taken = []
+    d = spark.createDataFrame([], "query_id long, id long, label int, vec array<double>")
+    monkeypatch.setattr(search, "CELLS", 100)
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, f, schema: taken.append(f) or spark.createDataFrame([], schema))
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(30, 4)), rng.normal(size=(20, 4))
+    y[7, 2] = np.nan
+
+    def block(name, ids, vectors):
+        t = pa.table({name: pa.array(ids), "label": pa.array(ids, pa.int32()), "vec": pa.array(list(vectors))})
+        return pa.ListArray.from_arrays([0, len(t)], t.to_struct_array().combine_chunks())
+
+    batch = pa.RecordBatch.from_arrays([block("query_id", range(30), x), block("id", range(20, 40), y)], ["left", "right"])
+    unit = [v / np.sqrt((v * v).sum(1, keepdims=True)) for v in (x, y)]
+    sim = np.floor(unit[0] @ unit[1].T * 1e9 + 0.5) / 1e9
+    for choices in ({}, {"decimals": 2}, {"least": 0.5}):
+        search.scores(d, d, **choices)
+        out = list(taken.pop()(iter([batch])))
+        assert len(out) == 6 and max(b.num_rows for b in out) <= 100
+        got = pa.Table.from_batches(out).to_pylist()
+        shown = np.floor(sim * 100 + 0.5) / 100 if "decimals" in choices else sim
+        want = [(i, j + 20, j + 20, repr(float(shown[i, j]))) for i in range(30) for j in range(20) if i != j + 20 and not sim[i, j] < choices.get("least", -2) and not ("least" in choices and np.isnan(sim[i, j]))]
+        assert [(r["query_id"], r["id"], r["label"], repr(r["sim"])) for r in got] == want
